@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontam import decontaminate
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
 from .sharding import assign_shards
 
@@ -28,6 +29,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item; cases as in :func:`decontaminate`."""
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their boilerplate lines dropped; ``source`` is the host.  Cases as in :func:`drop_boilerplate`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -37,6 +43,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op6_decontamination": op6_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
