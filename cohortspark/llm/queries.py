@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontam import decontaminate
+from .langid import fit, predict
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
 from .sharding import assign_shards
 
@@ -34,6 +35,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's language, learnt from the documents that are not held out; cases as in :func:`predict`."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    net = fit(docs.where(F.coalesce(~held_out, F.lit(False))))
+    out = predict(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), net)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their boilerplate lines dropped; ``source`` is the host.  Cases as in :func:`drop_boilerplate`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -44,6 +54,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op6_decontamination": op6_decontamination,
+    "op7_language_id": op7_language_id,
     "op10_line_dedup": op10_line_dedup,
 }
 
