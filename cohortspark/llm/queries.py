@@ -11,6 +11,7 @@ from .decontam import decontaminate
 from .langid import fit, predict
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
 from .sharding import assign_shards
+from .warc import arc_to_warc, pages_to_arc, read_warc_pages, scratch
 
 SHARDS = 8
 
@@ -30,6 +31,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as ARC archives, converted to WARC archives and read back; cases as in :func:`arc_to_warc`."""
+    arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
+    pages_to_arc(table(spark, sf_dir, "pages"), arc)
+    arc_to_warc(spark, arc, warc)
+    return read_warc_pages(spark, warc)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against every benchmark item; cases as in :func:`decontaminate`."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -53,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op10_line_dedup": op10_line_dedup,
