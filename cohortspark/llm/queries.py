@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .decontam import decontaminate
 from .langid import fit, predict
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
@@ -53,6 +54,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose vec_id is divisible by 20; cases as in :func:`nearest`."""
+    return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their boilerplate lines dropped; ``source`` is the host.  Cases as in :func:`drop_boilerplate`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_line_dedup": op10_line_dedup,
 }
 
