@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import fresh
+from ._base import fresh, materialize
 
 #: A line on more than this share of a host's pages is boilerplate ...
 BOILERPLATE_RATIO = 0.1
@@ -41,7 +41,8 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, *, kept: str = "kep
     own.
     """
     h, b = fresh(pages, "host"), fresh(pages, "lines")
-    plates = boilerplate(pages, host, text, ratio=ratio, min_pages=min_pages).select(F.col("host").alias(h), F.col("lines").alias(b))
+    # written first, so that its size is known: small, it is broadcast and the texts stay where they are
+    plates = materialize(boilerplate(pages, host, text, ratio=ratio, min_pages=min_pages), "plates").select(F.col("host").alias(h), F.col("lines").alias(b))
     joined = pages.join(plates, F.col(host) == F.col(h), "left").drop(h)
     parts = F.split(F.col(text), "\n")
     left = F.when(F.col(b).isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains(F.col(b), F.trim(x, F.lit(" \t\r")))))
