@@ -11,6 +11,7 @@ from .ann import nearest
 from .decontam import decontaminate
 from .langid import fit, predict
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
+from .pii import find_pii
 from .sharding import assign_shards
 from .warc import arc_to_warc, pages_to_arc, read_warc_pages, scratch
 
@@ -59,6 +60,11 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole document; cases as in :func:`find_pii`."""
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their boilerplate lines dropped; ``source`` is the host.  Cases as in :func:`drop_boilerplate`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
 }
 
