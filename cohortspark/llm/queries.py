@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .decontam import decontaminate
 from .langid import fit, predict
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
 from .pii import find_pii
+from .sentencepieces import Vocabulary, decode, encode
 from .sharding import assign_shards
 from .warc import arc_to_warc, pages_to_arc, read_warc_pages, scratch
 
@@ -22,6 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The model file: CORPUS_TOKENIZER in the driver's environment, or the installed public one."""
+    if os.environ.get("CORPUS_TOKENIZER"):
+        return os.environ["CORPUS_TOKENIZER"]
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def token_summary(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the comma-joined numbers), round_trip (decoding gives the text back).
+
+    Null text has 0 tokens, as an empty one has, and counts as a round trip.
+    """
+    vocabulary = Vocabulary.load(tokenizer_path())
+    made = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
+    return made.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded and decoded; cases as in :func:`encode`."""
+    return token_summary(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``key``: doc_id and the number of shards decide; nulls and ties as in :func:`assign_shards`.
 
@@ -73,6 +100,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
