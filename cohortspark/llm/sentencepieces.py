@@ -32,9 +32,14 @@ CHUNK = 1 << 15
 #: A chunk ends before a space among its last characters, if there is one.
 LOOK_BACK = 1 << 10
 #: Words whose pieces a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+
+#: Words of more characters are segmented on their own.
+LOCKSTEP = 32
 
 NEVER = -(1 << 60)
+_BASE = np.uint64(0x100000001B3)
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -100,6 +105,54 @@ class Segmenter:
             e -= step[e]
         return np.array(out[::-1], np.int32).tobytes(), best[n]
 
+    def learn(self, segments: set[str]) -> None:
+        """Remember the pieces of many new words, all segmented at once."""
+        new = [s for s in segments if s not in self.known and len(s) <= LOCKSTEP]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = [s for s in segments if len(s) <= LOCKSTEP]
+        for lo in range(0, len(new), 1 << 14):
+            part = new[lo : lo + (1 << 14)]
+            self.known.update(zip(part, self._lockstep(part)))
+
+    def _lockstep(self, words: list[str]) -> list[tuple[bytes, int]]:
+        """:meth:`viterbi` of many short words, position by position for all of them."""
+        table = self._table = getattr(self, "_table", None) or _PieceTable(self.v)
+        size = np.array([len(w) for w in words])
+        order = np.argsort(-size, kind="stable")
+        n, most = len(words), int(size.max())
+        points = np.zeros((n, most), np.uint64)
+        size = size[order]
+        points[np.arange(most) < size[:, None]] = np.frombuffer("".join(words[k] for k in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        prefix = np.zeros((most + 1, n), np.uint64)
+        for e in range(most):
+            prefix[e + 1] = prefix[e] * _BASE + points[:, e] + np.uint64(1)
+        best, step, number = np.full((most + 1, n), NEVER, np.int64), np.zeros((most + 1, n), np.int8), np.full((most + 1, n), -1, np.int32)
+        best[0] = 0
+        for e in range(1, most + 1):
+            live = int(np.searchsorted(-size, -e, side="right"))  # words of at least e characters come first
+            top, length, which = best[e, :live], step[e, :live], number[e, :live]
+            for length_now in range(min(e, self.v.longest), 0, -1):
+                s = e - length_now
+                k = table.find(prefix[e, :live] - prefix[s, :live] * table.powers[length_now])
+                score = best[s, :live] + np.where(k >= 0, table.scores[k], self.v.unknown if length_now == 1 else NEVER)
+                better = score > top
+                top[better], length[better], which[better] = score[better], length_now, k[better]
+        out = np.full((most, n), -1, np.int32)
+        at, count, odd = size.copy(), np.zeros(n, np.int64), np.zeros(n, bool)
+        everyone = np.arange(n)
+        while (live := everyone[at > 0]).size:
+            k = number[at[live], live]
+            odd[live[k < 0]] = True
+            out[count[live], live] = table.numbers[k]
+            count[live] += 1
+            at[live] -= step[at[live], live]
+        score = best[size, everyone]
+        result: list[tuple[bytes, int]] = [(b"", 0)] * n
+        for k in range(n):
+            result[order[k]] = self.viterbi(words[order[k]]) if odd[k] else (out[: count[k], k][::-1].tobytes(), int(score[k]))
+        return result
+
     def word(self, segment: str) -> tuple[bytes, int]:
         got = self.known.get(segment)
         if got is None:
@@ -173,6 +226,47 @@ class Segmenter:
         return rows
 
 
+class _PieceTable:
+    """An open-addressed hash table of the pieces, searched for arrays of hashes."""
+
+    def __init__(self, v: Vocabulary):
+        self.powers = [np.uint64(1)]
+        with np.errstate(over="ignore"):
+            for _ in range(v.longest):
+                self.powers.append(self.powers[-1] * _BASE)
+        keys = []
+        for piece in v.pieces:
+            h = 0
+            for c in piece:
+                h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
+            keys.append(h)
+        self.keys = np.array(keys, np.uint64)
+        if len(np.unique(self.keys)) < len(keys):
+            raise ValueError("two pieces have one hash")
+        self.numbers, self.scores = (np.array(x) for x in zip(*v.pieces.values()))
+        self.numbers = self.numbers.astype(np.int32)
+        self.bits = max(8, int(np.ceil(np.log2(len(keys) * 8))))
+        self.slots = np.full((1 << self.bits) + 64, -1, np.int32)
+        for k, at in enumerate(self._home(self.keys)):
+            while self.slots[at] >= 0:
+                at += 1
+            self.slots[at] = k
+
+    def _home(self, h: np.ndarray) -> np.ndarray:
+        return ((h * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Each hash's place among the pieces, -1 for none."""
+        at = self._home(h)
+        got = self.slots[at]
+        open_ = np.flatnonzero((got >= 0) & (self.keys[got] != h))
+        while len(open_):
+            at[open_] += 1
+            got[open_] = self.slots[at[open_]]
+            open_ = open_[(got[open_] >= 0) & (self.keys[got[open_]] != h[open_])]
+        return got
+
+
 def normalized(text: str) -> list[str]:
     """The text's parts between literal SPACE characters, with spaces as SPACE and one put before all."""
     return [p.replace(" ", SPACE) for p in (" " + text).split(SPACE)]
@@ -253,7 +347,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = [encode_text(t, seg) if t is not None else None for t in part.column(where).to_pylist()]
+                texts = part.column(where).to_pylist()
+                seg.learn({s for t in texts if t for p in normalized(t) for s in _SEGMENT.findall(p)})
+                got = [encode_text(t, seg) if t is not None else None for t in texts]
                 yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(got)], names=names)
 
     key = fresh(base, "key")
@@ -289,6 +385,8 @@ def _encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> Data
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(vocabulary)
         for batch in batches:
+            for t in batch.column(3).to_pylist():
+                seg.learn(set(_SEGMENT.findall(t)))
             out = [seg.transfer(c, t).tobytes() if c is not None else None for t, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["key", "part", "n", "m"])
 
@@ -312,6 +410,7 @@ def _encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> Data
                     got.append(literal)
                 else:
                     whole = c + t
+                    seg.learn(set(_SEGMENT.findall(whole)))
                     got.append(seg.encode(whole[len(c) - first : len(whole) - last]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids_array(got)], names=["key", "n", "ids"])
 
