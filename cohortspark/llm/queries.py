@@ -12,6 +12,7 @@ from .ann import nearest
 from .decontam import decontaminate
 from .langid import fit, predict
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
+from .ngram_join import similar_documents
 from .pii import find_pii
 from .sentencepieces import Vocabulary, decode, encode
 from .sharding import assign_shards
@@ -60,6 +61,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents by links of Jaccard similarity 0.8 on 5-word shingles; cases as in :func:`similar_documents`."""
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as ARC archives, converted to WARC archives and read back; cases as in :func:`arc_to_warc`."""
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
@@ -102,6 +108,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_language_id": op7_language_id,
