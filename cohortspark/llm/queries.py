@@ -16,6 +16,7 @@ from .ngram_join import similar_documents
 from .pii import find_pii
 from .sentencepieces import Vocabulary, decode, encode
 from .sharding import assign_shards
+from .suffix_dedup import remove_repeats
 from .warc import arc_to_warc, pages_to_arc, read_warc_pages, scratch
 
 SHARDS = 8
@@ -25,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents without the strings that stand more than once; cases as in :func:`remove_repeats`."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("removed_spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     """The model file: CORPUS_TOKENIZER in the driver's environment, or the installed public one."""
     if os.environ.get("CORPUS_TOKENIZER"):
@@ -106,6 +114,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_sharding": op3_sharding,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
