@@ -72,9 +72,9 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             yield batch.slice(lo, hi - lo), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have."""
-    have = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, stem: str, *taken: str) -> str:
+    """A column name that ``df`` does not have and that is not ``taken``."""
+    have = {c.lower() for c in (*df.columns, *taken)}
     name = f"_{stem}"
     while name in have:
         name = f"_{name}"

@@ -40,12 +40,12 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, *, kept: str = "kep
     line; without a host nothing is dropped.  Repeated rows are pages of their
     own.
     """
-    h, b = fresh(pages, "host"), fresh(pages, "lines")
+    h, b = (fresh(pages, x, kept, n_lines, n_dropped) for x in ("host", "plates"))
     # written first, so that its size is known: small, it is broadcast and the texts stay where they are
     plates = materialize(boilerplate(pages, host, text, ratio=ratio, min_pages=min_pages), "plates").select(F.col("host").alias(h), F.col("lines").alias(b))
     joined = pages.join(plates, F.col(host) == F.col(h), "left").drop(h)
     parts = F.split(F.col(text), "\n")
     left = F.when(F.col(b).isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains(F.col(b), F.trim(x, F.lit(" \t\r")))))
-    k = fresh(pages, "kept")
+    k = fresh(pages, "left", kept, n_lines, n_dropped)
     out = joined.withColumn(k, left)
     return out.withColumns({kept: F.array_join(k, "\n"), n_lines: F.coalesce(F.size(parts), F.lit(0)).cast("bigint"), n_dropped: F.coalesce(F.size(parts) - F.size(k), F.lit(0)).cast("bigint")}).drop(b, k)
