@@ -1 +1 @@
-
+"""The analysis is batch only: its cutoffs are per-member censoring dates, not watermarks."""
