@@ -16,7 +16,7 @@ class Rules:
     """What makes a member eligible; the labels are the study's own."""
 
     statuses: tuple[str, ...] = ("ACTIVE", "FINISHED")
-    treated: str = "GLP-1 Weight Loss"
+    treated: str = "Active GLP-1 for Weight-loss"
     reference: str = "Coaching Only"
     success_percent: float = 5.0
     repeatable_ratio: float = 2.0

@@ -1 +1,170 @@
+"""Model queries over the order study."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.stats import adjust_p
+from ..operators import cohort as c
+from ..operators import describe as d
+from ..operators import features as f
+from ..sources.extracts import Study
+from ..sources.views import RULES
+from . import lasso as ls
+from .association import activity_associations
+from .catalog import _r, features_of, query
+from .models import coefficient_table, fit_gls, fit_ols
+from .moments import diagnose_collinearity
+from .resample import base_model_cv, winner
+
+SEED = 20260901
+BASE = ["first_weight", "treated"]
+MEAN = ["engagement_volume_repeatable", "engagement_volume_repeatable_rate", "engagement_breadth", "tenure_days", "module_mean"]
+
+
+def cohort_of(s: Study) -> DataFrame:
+    return c.members(s, RULES).withColumn("treated", F.when(F.col("member_type") == RULES.treated, 1.0).otherwise(0.0))
+
+
+def wide(s: Study) -> DataFrame:
+    return features_of(s).withColumn("treated", F.when(F.col("member_type") == RULES.treated, 1.0).otherwise(0.0))
+
+
+# Closed forms: with one slope and two groups the slope is that within groups.
+_OLS = """, k as (select *, case when member_type = 'MACHINERY' then 1 else 0 end as g, first_weight as x, percentage_loss as y from cohort),
+means as (select g, count(*) as n, avg(x) as mx, avg(y) as my from k group by g),
+slope as (select sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) as b, sum((x - mx) * (x - mx)) as sxx from k join means on k.g = means.g),
+coefs as (select b, sxx, (select my from means where g = 0) - b * (select mx from means where g = 0) as a,
+  (select my from means where g = 1) - (select my from means where g = 0) - b * ((select mx from means where g = 1) - (select mx from means where g = 0)) as t from slope),
+points as (select k.*, y - (a + b * x + t * k.g) as e, 1.0::double / n + (x - mx) * (x - mx) / sxx as h, b, a, t, sxx, mx from k join means on k.g = means.g cross join coefs),
+fit as (select count(*)::double as n, sum(e * e) as rss, (select sum((y - m) * (y - m)) from k, (select avg(y) as m from k) q) as tss from points)"""
+
+
+def _rows(s: Study, names: list[str], rows: list[tuple], types: str) -> DataFrame:
+    return s.demographics.sparkSession.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types.split())))
+
+
+@query("q25_percentage_loss_coefficients", _OLS + f" select 'first_weight' as term, {_r('b * 1000', 'estimate_x1000')} from coefs union all select 'intercept', {_r('a * 1000', 'e')} from coefs union all select 'treated', {_r('t * 1000', 'e')} from coefs")
+def _(s: Study) -> DataFrame:
+    fit = fit_ols(cohort_of(s), "percentage_loss", BASE)
+    return _rows(s, ["term", "estimate_x1000"], [(t, float(v) * 1000) for t, v in zip(fit.terms, fit.coefficients)], "string double")
+
+
+@query("q26_percentage_loss_fit", _OLS + """ select n::bigint as n, round(1 - rss / tss, 6) as r_squared, round(1 - (rss / (n - 3)) / (tss / (n - 1)), 6) as adjusted_r_squared, round(sqrt(rss / n), 6) as rmse,
+ round(n * (ln(2 * pi() * rss / n) + 1), 6) as deviance, round(n * (ln(2 * pi() * rss / n) + 1) + 8, 6) as aic, round(n * (ln(2 * pi() * rss / n) + 1) + 4 * ln(n), 6) as bic from fit""")
+def _(s: Study) -> DataFrame:
+    fit = fit_ols(cohort_of(s), "percentage_loss", BASE)
+    return _rows(s, ["n", "r_squared", "adjusted_r_squared", "rmse", "deviance", "aic", "bic"], [(fit.n, *map(float, (fit.r_squared, fit.adjusted_r_squared, math.sqrt(fit.rss / fit.n), fit.deviance, fit.aic(), fit.bic())))], "bigint double double double double double double")
+
+
+@query("q27_percentage_loss_hc3", _OLS + " select round(b * 1000, 6) as slope_x1000, round(sqrt(sum(pow((x - mx) * e / (1 - h), 2))) / sxx * 1000, 6) as se_x1000 from points group by b, sxx")
+def _(s: Study) -> DataFrame:
+    k = cohort_of(s)
+    fit = fit_ols(k, "percentage_loss", BASE)
+    row = coefficient_table(fit, fit.hc3(k))[1]
+    return _rows(s, ["slope_x1000", "se_x1000"], [(row.estimate * 1000, row.standard_error * 1000)], "double double")
+
+
+# Regressions of y0, the change and the mid-point on the group, and of y0 on the group and the change.
+_GLS = """, k as (select case when member_type = 'MACHINERY' then 1 else 0 end as g, ln(first_weight) as y0, ln(last_weight) - ln(first_weight) as d, ln(first_weight) + ln(last_weight) as logs from cohort),
+w as (select *, y0 - avg(y0) over (partition by g) as r0, d - avg(d) over (partition by g) as rd, d - avg(d) over () as dd from k),
+q as (select count(*)::double as n, sum(r0 * r0) as s00, sum(r0 * rd) as s01, sum(rd * rd) as s11, sum(dd * dd) as sd, sum(logs) as logs from w),
+u as (select 'unstructured' as structure, 6 as parameters, n, logs, s01 / s11 as kappa, sd / n as vd, (s00 - s01 * s01 / s11) / n as vc from q),
+m as (select *, s00 + s01 + s11 / 4 as sm from q),
+a as (
+  select structure, parameters, logs, n, vc + kappa * kappa * vd as v00, vc + kappa * kappa * vd + kappa * vd as v01, vc + kappa * kappa * vd + 2 * kappa * vd + vd as v11, -n / 2 * (ln(2 * pi() * vd) + ln(2 * pi() * vc) + 2) as ll from u
+  union all select 'compound_symmetry', 5, logs, n, sm / n + sd / n / 4, sm / n - sd / n / 4, sm / n + sd / n / 4, -n / 2 * (ln(2 * pi() * sd / n) + ln(2 * pi() * sm / n) + 2) from m
+  union all select 'iid', 4, logs, n, (2 * sm + sd / 2) / (2 * n), 0, (2 * sm + sd / 2) / (2 * n), -n * (ln(2 * pi() * (2 * sm + sd / 2) / (2 * n)) + 1) from m)"""
+
+
+@query("q28_two_occasion_gls", _GLS + " select structure, round(v00, 6) as v00, round(v01, 6) as v01, round(v11, 6) as v11, round(ll, 4) as log_likelihood, round(-2 * (ll - logs), 4) as deviance, round(-2 * (ll - logs) + 2 * parameters, 4) as aic from a")
+def _(s: Study) -> DataFrame:
+    fits = [fit_gls(cohort_of(s), ["treated"], scale_name="log", structure=x) for x in ("unstructured", "compound_symmetry", "iid")]
+    names = ["structure", "v00", "v01", "v11", "log_likelihood", "deviance", "aic"]
+    return _rows(s, names, [(x.structure, x.v00, x.v01, x.v11, round(x.log_likelihood, 4), round(x.deviance, 4), round(x.aic, 4)) for x in fits], "string" + " double" * 6)
+
+
+@query("q29_gls_diagonal")
+def _(s: Study) -> DataFrame:
+    x = fit_gls(cohort_of(s), ["treated"], scale_name="log", structure="diagonal")
+    return _rows(s, ["structure", "v00", "v01", "v11", "log_likelihood"], [(x.structure, x.v00, x.v01, x.v11, x.log_likelihood)], "string double double double double")
+
+
+@query("q30_predicted_last_weight", _OLS.replace(", first_weight as x", ", first_weight as x") + " select member_id, round(first_weight * (1 - (a + b * x + t * g) / 100), 4) as predicted_last_weight from points")
+def _(s: Study) -> DataFrame:
+    k = cohort_of(s)
+    fit = fit_ols(k, "percentage_loss", BASE)
+    return k.select("member_id", F.round(F.col("first_weight") * (1 - fit.fitted() / 100), 4).alias("predicted_last_weight"))
+
+
+@query("q31_regression_diagnostics", _OLS + " select count(*) as n, round(max(h), 6) as maximum_leverage, round(max(pow(e / sqrt(rss / (n - 3) * (1 - h)), 2) * h / ((1 - h) * 3)), 6) as maximum_cooks_distance, round(max(abs(e / sqrt(rss / (n - 3) * (1 - h)))), 6) as maximum_absolute_standardized_residual from points cross join fit")
+def _(s: Study) -> DataFrame:
+    k = cohort_of(s)
+    fit = fit_ols(k, "percentage_loss", BASE)
+    return fit.with_diagnostics(k).agg(F.count(F.lit(1)).alias("n"), F.max("leverage").alias("maximum_leverage"), F.max("cooks_distance").alias("maximum_cooks_distance"), F.max(F.abs("standardized_residual")).alias("maximum_absolute_standardized_residual"))
+
+
+_PLACES = """, keyed as (select member_id, member_type, r::int as {r}, row_number() over (partition by r, member_type order by md5('20260901|' || r || '|' || member_id)) - 1 as place from cohort cross join range({n}) t(r)),
+sizes as (select member_type, count(*) as size from cohort group by 1), starts as (select *, coalesce(sum(size) over (order by member_type rows between unbounded preceding and 1 preceding), 0) as start from sizes)"""
+
+
+@query("q32_stratified_folds", _PLACES.format(r="repeat", n=2) + " select member_id, k.member_type, repeat, ((place + start) % 5)::int as fold from keyed k join starts s on k.member_type = s.member_type")
+def _(s: Study) -> DataFrame:
+    return ls.assign_folds(cohort_of(s), "member_id", "member_type", folds=5, repeats=2, seed=SEED)
+
+
+@query("q33_quota_subsamples")
+def _(s: Study) -> DataFrame:
+    return ls.subsamples(cohort_of(s), "member_id", "member_type", fraction=0.7, n=3, seed=SEED)
+
+
+@query("q34_base_model_cv")
+def _(s: Study) -> DataFrame:
+    scores = base_model_cv(cohort_of(s), ["treated"], folds=5, repeats=2, seed=SEED)
+    return scores.withColumn("is_winner", F.col("model") == winner(scores))
+
+
+@query("q35_lasso_one_candidate", _OLS.replace("percentage_loss as y from cohort", "percentage_loss as y, engagement_breadth::double as z from features").replace("avg(y) as my from k", "avg(y) as my, avg(z) as mz from k") + """,
+zs as (select sum((z - mz) * (x - mx)) / any_value(sxx) as c from k join means on k.g = means.g cross join slope),
+zr as (select (z - means.mz) - c * (x - means.mx) as r, e, y from points join means on points.g = means.g cross join zs),
+o as (select sum(r * e) / sum(r * r) as whole, count(*) as n from zr)
+select 'engagement_breadth' as candidate, round(whole * 0.5, 6) as coefficient from o""")
+def _(s: Study) -> DataFrame:
+    fit = ls.fit_lasso(wide(s), "percentage_loss", BASE, ["engagement_breadth"], 0.5)
+    return _rows(s, ["candidate", "coefficient"], [("engagement_breadth", float(fit.coefficients[0]))], "string double")
+
+
+@query("q36_lasso_tuning_and_stability")
+def _(s: Study) -> DataFrame:
+    w = wide(s).persist()
+    folds = ls.assign_folds(w, "member_id", "member_type", folds=5, repeats=2, seed=SEED + 1000)
+    tuned = ls.tune(w, folds, "percentage_loss", BASE, MEAN)
+    fit = ls.fit_lasso(w, "percentage_loss", BASE, MEAN, tuned.ratio)
+    samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=50, seed=SEED + 11000)
+    counts, n = ls.stability(w, samples, "percentage_loss", BASE, MEAN, tuned.ratio)
+    w.unpersist()
+    return _rows(s, ["candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"], [(x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(MEAN, fit.coefficients)], "string double double bigint double")
+
+
+@query("q37_activity_associations")
+def _(s: Study) -> DataFrame:
+    k = cohort_of(s)
+    types = f.classify_events(s.engagement, RULES)
+    dense = f.dense_counts(k, f.event_counts(s.engagement, k, RULES), types)
+    return adjust_p(activity_associations(k, dense, ["treated"], days="tenure_days"), "p_value")
+
+
+@query("q38_collinearity")
+def _(s: Study) -> DataFrame:
+    w = wide(s)
+    names = ["intercept", "first_weight", "treated", *MEAN]
+    got = diagnose_collinearity(w, [F.lit(1.0), *[F.col(x) for x in names[1:]]], names)
+    return _rows(s, ["position", "singular_value", "rank"], [(k, v, got.rank) for k, v in enumerate(got.singular_values)], "int double int")
+
+
+@query("q39_feature_summary", None)
+def _(s: Study) -> DataFrame:
+    return d.feature_summary(features_of(s), ["first_weight", "last_weight", "percentage_loss", "weight_days", *MEAN])
