@@ -1,0 +1,372 @@
+"""Each operator against a brute-force version on the awkward corpus, and on an empty table."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortspark.llm import ann, decontam, langid, line_dedup, ngram_join, pii, sentencepieces, sharding, suffix_dedup, warc
+
+from .cases import corpus, frame, words
+
+UTF8 = lambda t: (t or "").encode()
+
+
+def low(t: str | None) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+# 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_array_and_lcp(seed):
+    rng = random.Random(seed)
+    for _ in range(40):
+        t = [rng.randint(1, rng.choice([2, 3, 20])) for _ in range(rng.randint(1, 150))] * rng.choice([1, 3]) + [0]
+        sa = suffix_dedup.suffix_array(np.array(t))
+        expected = sorted(range(len(t)), key=lambda i: t[i:])
+        assert sa.tolist() == expected
+        before, lcp = suffix_dedup.permuted_lcp(np.array(t), sa)
+        for x, y in zip(expected, expected[1:]):
+            m = next((k for k in range(len(t)) if x + k >= len(t) or y + k >= len(t) or t[x + k] != t[y + k]), 0)
+            assert (before[y], lcp[y]) == (x, m)
+
+
+def repeats_by_force(texts):
+    raw, n = [UTF8(t) for t in texts], suffix_dedup.LENGTH
+    count = Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - n + 1):
+            if count[b[i : i + n]] > 1:
+                gone[i : i + n] = True
+        out.append((len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return Counter(out)
+
+
+def removed(df):
+    rows = suffix_dedup.remove_repeats(df).select("text", "removed_spans", "kept").collect()
+    return Counter((len(UTF8(r[0])), len(UTF8(r[0])) - len(r[2]), len(r[1]), bytes(r[2])) for r in rows)
+
+
+def test_suffix_dedup(spark):
+    assert removed(frame(spark)) == repeats_by_force([r[1] for r in corpus()])
+
+
+def test_suffix_dedup_commoner_anchors_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", 2)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)
+    rng = random.Random(5)
+    shared = words(rng, 90)
+    rows = [(k, words(rng, 40) + shared + words(rng, 50), *[None] * 7) for k in range(9)] + [(20, words(rng, 3000) + shared, *[None] * 7)]
+    assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
+
+
+# 2
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    path = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+    return sentencepieces.Vocabulary.load(path)
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 50])
+def test_sentencepiece_round_trip_and_best_scores(spark, vocabulary, chunk):
+    rows = [*corpus(), (90, "a ▁b ▁▁ c", *[None] * 7), (91, "▁", *[None] * 7), (92, "  x  y\tz ", *[None] * 7), (93, "q" * 300, *[None] * 7)]
+    made = sentencepieces.decode(sentencepieces.encode(frame(spark, rows), vocabulary, chunk=chunk), vocabulary)
+    seg, got = sentencepieces.Segmenter(vocabulary), made.collect()
+    assert len(got) == len(rows) and Counter(r["text"] for r in got) == Counter(r[1] for r in rows)
+    for r in got:
+        assert r["decoded"] == r["text"]
+        if r["text"] and "▁" not in r["text"] and len(r["text"]) < 3000:
+            whole = seg.viterbi((" " + r["text"]).replace(" ", "▁"))
+            assert seg.total(whole) == seg.total(np.array(r["ids"], np.int32).tobytes())
+        assert (r["ids"] is None) == (r["text"] is None) and (r["text"] != "" or r["ids"] == [])
+
+
+def test_lockstep_is_viterbi(vocabulary):
+    rng, seg = random.Random(2), sentencepieces.Segmenter(vocabulary)
+    new = sorted({"▁" * rng.randint(0, 1) + words(rng, 1) + rng.choice(["", "é", "梦", "\U0001f600"]) for _ in range(300)})
+    assert seg._lockstep(new) == [seg.viterbi(x) for x in new]
+
+
+# 3
+
+
+def test_sharding(spark):
+    df = frame(spark)
+    out = sharding.assign_shards(df, "doc_id", [1.0] * 5, tie_break=("text",)).collect()
+    for s in range(5):
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+    assert all(r["grown_shard"] in (r["shard"], 5) for r in out) and len(out) == df.count()
+    by_key = defaultdict(set)
+    for r in out:
+        by_key[r["doc_id"]].add(r["shard"])
+    assert all(len(v) == 1 for v in by_key.values())
+    many = spark.range(40_000).select(sharding.rendezvous_shard([F.col("id")], [1, 1, 2]).alias("s")).groupBy("s").count().collect()
+    assert {r[0]: round(r[1] / 10_000) for r in many} == {0: 1, 1: 1, 2: 2}
+    with pytest.raises(ValueError):
+        sharding.rendezvous_shard([F.lit(1)], [0.0])
+
+
+# 4
+
+
+def classes_by_force(rows):
+    sets, out = {}, {}
+    for k, t in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t[1]))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = {k: rows[k][0] for k in sets}
+    parent = {k: k for k in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if sets[a] and sets[b] and None not in (ids[a], ids[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    for k in sets:
+        own = [ids[j] for j in sets if root(j) == root(k) and ids[j] is not None]
+        out[k] = (ids[k], len(sets[k]), min(own) if ids[k] is not None else None)
+    return Counter(out.values())
+
+
+@pytest.mark.parametrize("full", [False, True])
+def test_ngram_join(spark, monkeypatch, full):
+    rng = random.Random(9)
+    rows, base = corpus(), words(rng, 150).split()
+    for k in range(25):  # a family of near copies, some of them too far from others
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = f"edit{rng.randint(0, 3)}"
+        rows.append((100 + k, " ".join(own), *[None] * 7))
+    if full:  # every bucket is full: all features count as common
+        heads = ngram_join.set_heads
+        monkeypatch.setattr(ngram_join, "set_heads", lambda *a, **k: (heads(*a, **k)[0], np.ones(1 << ngram_join.BUCKET_BITS, bool)))
+    got = ngram_join.similar_documents(frame(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == classes_by_force(rows)
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 4, 5, 9, 17, 40, 123, 400):
+        for _ in range(15):
+            a = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+            k = size * 2 // 9
+            b = np.unique(np.concatenate([a[: len(a) - k // 2], rng.integers(0, 1 << 63, k - k // 2).astype(np.uint64)]))
+            if ngram_join.verify(a, b):
+                rare = [x[x % np.uint64(3) > 0] for x in (a, b)]
+                assert set(ngram_join.signatures(a, rare[0], len(a), ngram_join.bands(64))) & set(ngram_join.signatures(b, rare[1], len(b), ngram_join.bands(64)))
+
+
+# 5
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_to_warc(spark, version):
+    rows = [(1, "http://a b/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "v", "é\r\n\r\nWARC/1.1\r\n"), (9, "w", "x"), (None, "n", "x"), (7, "long", "y" * 100_000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    arc, out = warc.scratch(spark, "arc"), warc.scratch(spark, "warc")
+    warc.pages_to_arc(pages, arc, version=version)
+    warc.arc_to_warc(spark, arc, out)
+    got = {r[0]: tuple(r[1:]) for r in warc.read_warc_pages(spark, out).collect()}
+    first = {"x": 9, "": 4}
+    for i, _, html in rows:
+        body, best = UTF8(html), first.get(html or "", i)
+        assert got[i] == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if best == i else "revisit", None if best == i else best)
+
+
+def test_arc_errors_and_dates():
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(b"http://no.version/\n"))
+    good = warc.arc_archive([warc.ArcRecord("u", "1.2.3.4", "20010203040506", "text/plain", b"ab\ncd")], "a.arc", 2)
+    assert [(r.url, r.block) for r in warc.parse_arc(good)] == [("u", b"ab\ncd")]
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(good[:-3]))
+    assert warc.warc_date("200102030405") == "2001-02-03T04:05:00Z" and warc.warc_date("x") == "1970-01-01T00:00:00Z"
+    headers, block = next(warc.parse_warc(warc.to_warc(next(warc.parse_arc(good))) + b"\n"))
+    assert headers["warc-type"] == "resource" and block == b"ab\ncd"
+
+
+# 6
+
+
+def hits_by_force(rows, items):
+    windows = defaultdict(set)
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    for i, t in items:
+        w = split(t)
+        for k in range(max(1, len(w) - 9)) if w else ():
+            windows[tuple(w[k : k + 10])].add(i)
+    out = []
+    for r in rows:
+        w, hit, own = split(r[1]), set(), set()
+        for win, ids in windows.items():
+            for k in range(len(w) - len(win) + 1):
+                if tuple(w[k : k + len(win)]) == win:
+                    hit |= set(range(k, k + len(win)))
+                    own |= ids
+        sha = hashlib.sha256(",".join(sorted("null" if i is None else str(i) for i in own)).encode()).hexdigest()
+        out.append((r[0], len(w), len(hit), len(own), sha, bool(hit)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 100])
+def test_decontamination(spark, monkeypatch, block):
+    rows = [r for r in corpus() if r[0] is not None]
+    if block == 100:  # several blocks: documents are brought together by id, so repeated ones are left out here
+        rows = list({r[0]: r for r in rows}.values())
+    part = rows[5][1].split()
+    items = [(1, " ".join(part[3:40])), (2, "; ".join(part[20:27])), (10, None), (11, ""), (12, "no such words"), (None, " ".join(part[50:75])), (13, "5")]
+    test = spark.createDataFrame(items, "item_id bigint, text string")
+    if block == 100:
+        full = decontam.test_blocks
+        monkeypatch.setattr(decontam, "test_blocks", lambda b: full(b, most=100))
+    got = decontam.decontaminate(frame(spark, rows), test).collect()
+    assert Counter(map(tuple, got)) == hits_by_force(rows, items)
+
+
+def test_proximity(spark):
+    test = decontam.read_test_set([(1, "alpha beta gamma delta")])
+    docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "gamma alpha")], "doc_id bigint, text string")
+    index = decontam.build_index(docs, test, shortest=1)
+    near = {r[0]: len(r[2]) for r in decontam.phrase_matches(index, test, slop=1).collect()}
+    exact = {r[0]: len(r[2]) for r in decontam.phrase_matches(index, test).collect()}
+    assert near[1] and near[2] and not near[3] and exact[2] and not exact[1]
+
+
+# 7
+
+
+def test_language_id(spark):
+    rng = random.Random(3)
+    kinds = {"aa": ["sha", "tio", "wer", "ing"], "bb": ["que", "eau", "ié", "oux"]}
+    rows = [(k, " ".join("".join(rng.choice(kinds[v]) for _ in range(3)) for _ in range(60)), v) for k in range(60) for v in kinds]
+    net = langid.fit(spark.createDataFrame(rows[:80], "doc_id bigint, text string, lang string"))
+    odd = [(900, None, None), (901, "", None), (902, "12 . 3", None), (903, rows[0][1] * 60, None), (903, rows[0][1] * 60, None), (904, "梦", None)]
+    out = langid.predict(spark.createDataFrame([(*r, "x") for r in rows[80:] + odd], "doc_id bigint, text string, lang string, score string"), net).collect()
+    got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in out]
+    right = [p == r[2] for (_, p, _), r in zip(got, rows[80:])]
+    assert np.mean(right) > 0.95 and all(0 <= s <= 1 for *_, s in got)
+    assert [p for *_, p, _ in got[40:]] == ["und", "und", "und", rows[0][2], rows[0][2], got[-1][1]] and got[-1][1] in kinds
+    none = langid.fit(spark.createDataFrame([], "doc_id bigint, text string, lang string"))
+    assert {r["lang_pred"] for r in langid.predict(frame(spark), none).collect()} == {"und"}
+
+
+# 8
+
+
+def test_nearest(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 10)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 32)).astype(np.float32)
+    x[100:140] = x[100]
+    rows = [(k, v.tolist(), "z") for k, v in enumerate(x)]
+    odd = [(2000, None, "z"), (2020, [0.0] * 32, "z"), (2040, [None] + [1.0] * 31, "z"), (2060, [float("nan")] + [1.0] * 31, "z"), (None, x[0].tolist(), "z")]
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<float>, rank string").repartition(4)
+    got = defaultdict(list)
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 900, 20))
+    hits = 0
+    for q, found in got.items():
+        score = x.astype(np.float64) @ x[q].astype(np.float64)
+        order = [i for i in np.lexsort((np.arange(900), -score)) if i != q][:20]
+        hits += len({i for i, _ in found} & set(order))
+        assert len(found) == 20 and np.allclose([s for _, s in found], [score[i] for i, _ in found], atol=1e-12)
+        assert found == sorted(found, key=lambda z: (-z[1], z[0]))
+    assert hits >= 0.95 * 20 * len(got)
+    assert ann.nearest(df.limit(0)).count() == 0
+
+
+# 9
+
+
+PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def base_by_force(text):
+    out = []
+    for kind, p in PATTERNS:
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            fine = {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 13 <= len(digits) <= 19 and pii.luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if fine:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans():
+    rng = random.Random(8)
+    order = lambda z: (pii.KINDS.index(z[0]), z[1])
+    for alphabet in ("ab@.-1", "12.", "1 -2+().", "a@b.c1+%_ -2", "0123 -", "4-1 "):
+        for _ in range(1500):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50)))
+            assert sorted(pii.base_spans(t), key=order) == sorted(base_by_force(t), key=order)
+
+
+def test_tagger_and_personal_data(spark):
+    net = pii.train()
+    right = wanted = made = 0
+    for text, spans in pii.training_spans(120, 77):
+        starts = list(range(0, len(text), pii.STRIDE))
+        x = np.zeros((len(starts), pii.WINDOW), np.int64)
+        for n, s in enumerate(starts):
+            own = pii.to_symbols(text[s : s + pii.WINDOW])
+            x[n, : len(own)] = own
+        got = set(pii.reconcile(dict(zip(starts, net.decode(x))), len(text)))
+        right, wanted, made = right + len(got & set(spans)), wanted + len(spans), made + len(got)
+    assert right > 0.95 * wanted and right > 0.95 * made
+    rows = [*corpus(), (50, "Mail é.x@ab.org, call (555) 123-4567 now; 10.0.0.256 or 10.0.0.25", *[None] * 7)]
+    out = {(r["doc_id"], r["spans"]): r for r in pii.find_pii(frame(spark, rows)).collect()}
+    row = next(r for (i, _), r in out.items() if i == 50)
+    assert (row["n_email"], row["n_ip"], row["n_phone"]) == (1, 1, 0) and "phone:22:36" in row["spans"]
+    assert all(r["n_email"] == r["n_card"] == 0 and r["spans"] == "" for (i, _), r in out.items() if i in (0, 12, 13, 17, None))
+
+
+# 10
+
+
+def test_line_dedup(spark):
+    rows = [(k, f"Menu\nown line {k}\n  Menu\t\n\nfooter {k % 2}", "en", "a" if k < 20 else "b" if k < 23 else None, 1, 1, "k", "s", 5) for k in range(26)]
+    rows += [(30, None, None, "a", None, 1, "k", "s", 5), (31, "", None, "a", None, 1, "k", "s", 5), rows[0]]
+    out = line_dedup.drop_boilerplate(frame(spark, rows), "source", "text", ratio=0.6).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r["text"] is None:
+            assert (r["kept_text"], r["n_lines"], r["n_dropped"]) == (None, 0, 0)
+        elif r["source"] == "a" and r["text"]:
+            assert r["n_dropped"] == 2 and r["kept_text"] == f"own line {r['doc_id']}\n\nfooter {r['doc_id'] % 2}" and r["kept"] == "k"
+        else:  # few pages, or no site
+            assert r["n_dropped"] == 0 and r["kept_text"] == r["text"]
+
+
+def test_empty_tables(spark):
+    none = frame(spark, []).limit(0)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+    assert sharding.assign_shards(none, "doc_id", [1.0]).count() == 0
+    assert ngram_join.similar_documents(none).count() == 0
+    assert decontam.decontaminate(none, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+    assert pii.find_pii(none).count() == 0
+    assert line_dedup.drop_boilerplate(none, "source", "text").count() == 0
+    arc, out = warc.scratch(spark, "arc"), warc.scratch(spark, "warc")
+    warc.pages_to_arc(spark.createDataFrame([], "page_id bigint, url string, html string"), arc)
+    warc.arc_to_warc(spark, arc, out)
+    assert warc.read_warc_pages(spark, out).count() == 0
+    assert zlib.crc32(b"") == 0
