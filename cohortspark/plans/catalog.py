@@ -158,10 +158,10 @@ def _(s: Study) -> DataFrame:
     return key_quality(s.demographics, "subscription_status")
 
 
-@query("q07_long_weights", """select member_id, member_type, 0 as time, 'first' as occasion, first_weight_at as measurement_at, round(first_weight, 6) as weight from cohort
-union all select member_id, member_type, 1, 'last', last_weight_at, round(last_weight, 6) from cohort""")
+@query("q07_long_weights", """select member_id, member_type, 0 as time, 'first' as occasion, cast(first_weight_at as varchar) as measurement_at, round(first_weight, 6) as weight from cohort
+union all select member_id, member_type, 1, 'last', cast(last_weight_at as varchar), round(last_weight, 6) from cohort""")
 def _(s: Study) -> DataFrame:
-    return c.long_weights(c.members(s, RULES))
+    return c.long_weights(c.members(s, RULES)).withColumn("measurement_at", F.col("measurement_at").cast("string"))
 
 
 @query("q08_repeatable_event_classification", f", {_types(6.72).replace('types as', 'strict as')} select event_type, events, distinct_members, {_r('events_per_member', 'events_per_member')}, is_repeatable from strict")
@@ -211,9 +211,9 @@ def features_of(s: Study) -> DataFrame:
 _DOUBLES = ["first_weight", "last_weight", "weight_days", "tenure_days", "absolute_weight_loss", "percentage_loss", "engagement_volume_repeatable_rate", *[f"module_{n}" for n in _NAMES], "module_mean"]
 
 
-@query("q15_member_features", f"select * replace ({', '.join(_r(x, x) for x in _DOUBLES)}) from features")
+@query("q15_member_features", f"select * replace (cast(first_weight_at as varchar) as first_weight_at, cast(last_weight_at as varchar) as last_weight_at, {', '.join(_r(x, x) for x in _DOUBLES)}) from features")
 def _(s: Study) -> DataFrame:
-    return features_of(s).drop("weight_difference")
+    return features_of(s).drop("weight_difference").withColumns({x: F.col(x).cast("string") for x in ("first_weight_at", "last_weight_at")})
 
 
 @query("q16_dense_member_event_counts", "select k.member_id, t.event_type, coalesce(event_count, 0)::bigint as event_count from cohort k cross join types t left join counts n on n.member_id = k.member_id and n.event_type = t.event_type")
