@@ -31,6 +31,11 @@ SLICE = 1 << 14
 BUCKET_SIGNATURES = 1 << 20
 #: Signatures that a task holds before it hands them on.
 HELD = 1 << 21
+#: Sets and features of a block of a family; two blocks are compared at a time.
+BLOCK_SETS = 512
+BLOCK_FEATURES = 1 << 20
+#: Features of at most so many sets of two blocks are counted by pairs.
+FEW = 16
 
 _Q = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
@@ -265,37 +270,117 @@ def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, te
     return shipped.repartition(n_buckets, "bucket").mapInArrow(group, "members binary")
 
 
-def _pairs_to_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each member with the group's smallest, the smallest of a task's groups kept."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(m.as_py(), np.int64) for m in batch.column(1)]
+        if own:
+            size = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), size)), pa.array(np.concatenate(own)), pa.array(np.repeat(size, size))], names=["g", "v", "z"])
+
+
+def families(groups: DataFrame) -> DataFrame:
+    """(hub, v): the groups' members, put together by each group's most popular one.
+
+    A set is as popular as all its groups together are large.  Variants of a
+    text share many signatures in many overlapping groups; their most popular
+    member is the one that is nearest to the others, and the union of its
+    groups holds every pair that they hold, once.
+    """
+    members = groups.select(F.xxhash64("members").alias("g"), "members").mapInArrow(_exploded, "g bigint, v bigint, z bigint")
+    fame = members.groupBy("v").agg(F.sum("z").alias("fame"))
+    hubs = members.join(fame, "v").groupBy("g").agg(F.max(F.struct("fame", "v")).alias("h")).select("g", F.col("h.v").alias("hub"))
+    return members.join(hubs, "g").select("hub", "v").distinct()
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """The matrix of the sets' intersection sizes.
+
+    Features of one set only are left out; those of a few are counted pair by
+    pair of their sets, those of many by matrix products.
+    """
+    m = len(sets)
+    who = np.repeat(np.arange(m), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    who, flat = who[order], flat[order]
+    begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    df = np.diff(np.append(begin, len(flat)))
+    pairs = [np.zeros(0, np.int64)]
+    for d in np.unique(df):
+        if d < 2 or d > FEW:
+            continue
+        lists = who[begin[df == d][:, None] + np.arange(d)]
+        for i in range(d):
+            for j in range(i + 1, d):
+                pairs.append(lists[:, i] * m + lists[:, j])
+    whole = np.bincount(np.concatenate(pairs), minlength=m * m).reshape(m, m)
+    whole = whole + whole.T
+    many = np.flatnonzero(df > FEW)
+    for lo in range(0, len(many), 1024):
+        part = many[lo : lo + 1024]
+        a = np.zeros((m, len(part)), np.float32)
+        for k, f in enumerate(part):
+            a[who[begin[f] : begin[f] + df[f]], k] = 1
+        whole = whole + (a @ a.T).astype(np.int64)
+    return whole
+
+
+def linked_within(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that join the similar ones of some sets: (member, smallest member it reaches)."""
+    if len(sets) == 2:
+        return [(max(names), min(names))] if verify(*sets) else []
+    size = np.array([len(x) for x in sets])
+    both = common(sets)
+    np.fill_diagonal(both, 0)
+    a, b = np.nonzero(np.triu(100 * both >= PERCENT * (size[:, None] + size[None, :] - both), 1))
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
     least: dict[int, int] = {}
+    for k, n in enumerate(names):
+        r = root(k)
+        least[r] = min(least.get(r, n), n)
+    return [(n, least[root(k)]) for k, n in enumerate(names) if least[root(k)] != n]
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array(list(least.values()), pa.int64())], names=["b", "a"])
 
-    for batch in batches:
-        for m in batch.column(0):
-            own = np.frombuffer(m.as_py(), np.int64)
-            first = int(own[0])
-            for x in own[1:].tolist():
-                if least.get(x, first) >= first:
-                    least[x] = first
-            if len(least) > 1 << 19:
-                yield out()
-                least.clear()
-    yield out()
-
-
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of set numbers whose sets are similar; ``sets`` is (s, features)."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def family_links(family: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b) links that join all similar sets of each family; ``sets`` is (s, n, features).
+
+    A family is cut into blocks of bounded numbers of sets and features, and
+    each pair of blocks is a task's work; no pairs are emitted but links.
+    """
+    sizes = family.join(sets.select(F.col("s").alias("v"), "n"), "v").groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
+    own = family.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    spread = own.select("hub", "v", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "v")
+    loaded = spread.join(sets.select(F.col("s").alias("v"), "features"), "v").select("hub", "i", "j", "v", "features")
+    dealt = loaded.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, own = None, [], []
+        out: list[tuple[int, int]] = []
         for batch in batches:
-            keep = [verify(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "ok"])
+            for hub, i, j, v, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (hub, i, j) != key:
+                    if len(names) > 1:
+                        out += linked_within(names, own)
+                    key, names, own = (hub, i, j), [], []
+                names.append(v), own.append(np.frombuffer(raw, np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array([a for _, a in out], pa.int64()), pa.array([b for b, _ in out], pa.int64())], names=["a", "b"])
+            out = []
+        if len(names) > 1:
+            out += linked_within(names, own)
+        yield pa.RecordBatch.from_arrays([pa.array([a for _, a in out], pa.int64()), pa.array([b for b, _ in out], pa.int64())], names=["a", "b"])
 
-    left = pairs.join(sets.select(F.col("s").alias("a"), F.col("features").alias("fa")), "a")
-    both = left.join(sets.select(F.col("s").alias("b"), F.col("features").alias("fb")), "b").select("a", "b", "fa", "fb")
-    return both.mapInArrow(check, "a bigint, b bigint, ok boolean")
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -326,54 +411,21 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("v"), "label").union(roots)
 
 
-def _pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a group's members with different labels, in bounded batches."""
-    for batch in batches:
-        for m, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            members, labels = np.array(m, np.int64), np.array(c, np.int64)
-            for k in range(len(members) - 1):
-                other = members[k + 1 :][labels[k + 1 :] != labels[k]]
-                for lo in range(0, len(other), 1 << 16):
-                    part = other[lo : lo + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part, members[k])), pa.array(np.maximum(part, members[k]))], names=["a", "b"])
-
-
 def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(heads, labels): doc_id, n and set number s of each document; set number and class label of each linked set.
 
-    First each candidate is verified against one other, the smallest it shares
-    a signature with, which joins most of each class.  Then all pairs that
-    share a signature and are in different classes yet are verified, so that
-    no link between classes is lost; pairs within a class cannot change it.
+    Sets that share a signature are of one family, and all pairs within
+    families are compared, so that no link is lost.
     """
     heads, full = set_heads(docs, doc_id=doc_id, text=text)
     total = heads.agg(F.sum("n")).first()[0] or 0
     groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
-    first = materialize(groups.mapInArrow(_pairs_to_first, "b bigint, a bigint").groupBy("b").agg(F.min("a").alias("a")), "first-pairs")
-    wanted = first.select(F.col("a").alias("s")).union(first.select(F.col("b").alias("s"))).distinct()
+    family = materialize(families(groups), "families")
+    wanted = family.select(F.col("v").alias("s")).distinct()
     bearers = heads.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
     sets = materialize(_features(docs, bearers, doc_id, text), "features")
-    checked = linked(first.select("a", "b"), sets)
-    edges = materialize(checked.where("ok").select("a", "b"), "links")
-    labels = materialize(components(edges), "labels")
-
-    members = groups.select(F.monotonically_increasing_id().alias("g"), "members").mapInArrow(_exploded, "g bigint, v bigint")
-    told = members.join(labels, "v", "left").select("g", "v", F.coalesce("label", "v").alias("label"))
-    open_ = told.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("g")
-    across = told.join(open_, "g").groupBy("g").agg(F.collect_list(F.struct("v", "label")).alias("x")).select(F.col("x.v").alias("m"), F.col("x.label").alias("c"))
-    more = across.mapInArrow(_pairs_across, "a bigint, b bigint").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    later = materialize(linked(more, sets).where("ok").select("a", "b"), "later-links")
-    if later.isEmpty():
-        return heads, labels
-    every = edges.union(later)
-    return heads, materialize(components(every), "labels")
-
-
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        own = [np.frombuffer(m.as_py(), np.int64) for m in batch.column(1)]
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), [len(x) for x in own])), pa.array(np.concatenate(own))], names=["g", "v"])
+    links = materialize(family_links(family, sets), "links")
+    return heads, materialize(components(links), "labels")
 
 
 def _features(docs: DataFrame, bearers: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -382,11 +434,11 @@ def _features(docs: DataFrame, bearers: DataFrame, doc_id: str, text: str) -> Da
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches, "text"):
             sets = shingle_sets(data, offsets)
-            keep = [(s, x.tobytes()) for s, x in zip(rows.column(0).to_pylist(), sets) if set_number(x) == s]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keep], pa.int64()), pa.array([v for _, v in keep], pa.binary())], names=["s", "features"])
+            keep = [(s, len(x), x.tobytes()) for s, x in zip(rows.column(0).to_pylist(), sets) if set_number(x) == s]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keep], pa.int64()), pa.array([n for _, n, _ in keep], pa.int64()), pa.array([v for _, _, v in keep], pa.binary())], names=["s", "n", "features"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(bearers, "doc_id").select("s", "text")
-    return rows.mapInArrow(make, "s bigint, features binary").dropDuplicates(["s"])
+    return rows.mapInArrow(make, "s bigint, n bigint, features binary").dropDuplicates(["s"])
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
