@@ -352,17 +352,23 @@ def linked_within(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, i
     return [(n, least[root(k)]) for k, n in enumerate(names) if least[root(k)] != n]
 
 
-def family_links(family: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) links that join all similar sets of each family; ``sets`` is (s, n, features).
+def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(a, b) links that join all similar sets of each family.
 
     A family is cut into blocks of bounded numbers of sets and features, and
-    each pair of blocks is a task's work; no pairs are emitted but links.
+    each pair of blocks is a task's work; no pairs are emitted but links.  A
+    set's features are made again from one document that has it, next to the
+    list of its blocks, and go straight to those.
     """
-    sizes = family.join(sets.select(F.col("s").alias("v"), "n"), "v").groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
-    own = family.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    spread = own.select("hub", "v", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "v")
-    loaded = spread.join(sets.select(F.col("s").alias("v"), "features"), "v").select("hub", "i", "j", "v", "features")
-    dealt = loaded.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
+    wanted = family.select(F.col("v").alias("s")).distinct()
+    bearers = materialize(heads.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).where("doc_id is not null"), "bearers")
+    known = family.join(bearers.select(F.col("s").alias("v"), "n"), "v")
+    sizes = known.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
+    own = known.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    spread = own.select("v", "hub", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("v", F.struct("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j")).alias("block"))
+    listed = spread.groupBy("v").agg(F.collect_list("block").alias("blocks")).join(bearers.select(F.col("s").alias("v"), "doc_id"), "v")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(listed, "doc_id").select("v", "text", "blocks")
+    dealt = rows.mapInArrow(_block_rows, "hub bigint, i int, j int, v bigint, features binary").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, own = None, [], []
@@ -373,7 +379,8 @@ def family_links(family: DataFrame, sets: DataFrame) -> DataFrame:
                     if len(names) > 1:
                         out += linked_within(names, own)
                     key, names, own = (hub, i, j), [], []
-                names.append(v), own.append(np.frombuffer(raw, np.uint64))
+                if not names or names[-1] != v:  # repeated rows bring a set twice
+                    names.append(v), own.append(np.frombuffer(raw, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array([a for _, a in out], pa.int64()), pa.array([b for b, _ in out], pa.int64())], names=["a", "b"])
             out = []
         if len(names) > 1:
@@ -383,6 +390,19 @@ def family_links(family: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, i, j, v, features) from (v, text, blocks); a text whose set is another one brings none."""
+    for rows, data, offsets in pieces(batches, "text"):
+        out: list[tuple] = []
+        for v, blocks, x in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), shingle_sets(data, offsets)):
+            if set_number(x) == v:
+                raw = x.tobytes()
+                out += [(b["hub"], b["i"], b["j"], v, raw) for b in blocks]
+        for lo in range(0, len(out), 500):
+            columns = zip(*out[lo : lo + 500])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["hub", "i", "j", "v", "features"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of each vertex of the edges (a, b): the smallest vertex reachable.
 
@@ -421,26 +441,10 @@ def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     total = heads.agg(F.sum("n")).first()[0] or 0
     groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
     family = materialize(families(groups), "families")
-    wanted = family.select(F.col("v").alias("s")).distinct()
-    bearers = heads.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    sets = materialize(_features(docs, bearers, doc_id, text), "features")
-    links = materialize(family_links(family, sets), "links")
+    links = materialize(family_links(docs, heads, family, doc_id, text), "links")
     return heads, materialize(components(links), "labels")
 
 
-def _features(docs: DataFrame, bearers: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(s, features) of the wanted sets, made again from one document of each."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches, "text"):
-            sets = shingle_sets(data, offsets)
-            keep = [(s, len(x), x.tobytes()) for s, x in zip(rows.column(0).to_pylist(), sets) if set_number(x) == s]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in keep], pa.int64()), pa.array([n for _, n, _ in keep], pa.int64()), pa.array([v for _, _, v in keep], pa.binary())], names=["s", "n", "features"])
-
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(bearers, "doc_id").select("s", "text")
-    return rows.mapInArrow(make, "s bigint, n bigint, features binary").dropDuplicates(["s"])
-
-
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document.
 
