@@ -36,11 +36,12 @@ REMEMBERED = 400_000
 
 #: Words of more characters are segmented on their own.
 LOCKSTEP = 32
+#: Longer ones are not remembered.
+LONG = 64
 
 NEVER = -(1 << 60)
 _BASE = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
-_SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 @dataclass(frozen=True)
@@ -78,14 +79,30 @@ class Vocabulary:
 
 
 class Segmenter:
-    """Best segmentations of texts in which spaces are ``SPACE``."""
+    """Best segmentations of texts in which spaces are ``SPACE``.
+
+    No piece holds a space after another character or a character of no
+    piece, so texts fall into segments that are segmented one by one, and
+    ``known`` remembers those of short segments.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.known: dict[str, tuple[bytes, int]] = {}
-
-    def viterbi(self, text: str) -> tuple[bytes, int]:
-        """(numbers as int32 bytes, score); of equal scores the longer last piece wins."""
+        self.known: dict[str, bytes] = {}
+        self.table: _PieceTable | None = None
+        inside = "".join(sorted({c for p in vocabulary.pieces for c in p} - {SPACE}))
+        own = re.escape(inside)
+        self.pattern = re.compile(f"{SPACE}+[{own}]*|[{own}]+|[^{own}{SPACE}]")
+        self.newline = "\n" not in inside
+        #: Score of each number; an unknown character's is with its first byte.
+        self.score = np.zeros(len(vocabulary.raw), np.int64)
+        for k, x in vocabulary.pieces.values():
+            self.score[k] = x
+        for byte, k in enumerate(vocabulary.bytes_at):
+            self.score[k] = 0 if 0x80 <= byte < 0xC0 else vocabulary.unknown
+
+    def viterbi(self, text: str) -> bytes:
+        """Numbers as int32 bytes; of equal scores the longer last piece wins."""
         pieces, longest, unknown = self.v.pieces, self.v.longest, self.v.unknown
         n = len(text)
         best, step = [0] + [NEVER] * n, [0] * (n + 1)
@@ -103,21 +120,33 @@ class Segmenter:
             got = pieces.get(piece)
             out.extend([got[0]] if got else [self.v.bytes_at[b] for b in reversed(piece.encode())])
             e -= step[e]
-        return np.array(out[::-1], np.int32).tobytes(), best[n]
+        return np.array(out[::-1], np.int32).tobytes()
+
+    def total(self, ids: bytes) -> int:
+        return int(self.score[np.frombuffer(ids, np.int32)].sum())
+
+    def segments(self, text: str) -> list[str]:
+        """The text's segments; some may be empty."""
+        if "\x00" in text or SPACE * 2 in text or not self.newline:
+            return self.pattern.findall(text)
+        cut_up = text.replace(SPACE, "\x00" + SPACE).replace("\n", "\x00\n\x00").split("\x00")
+        return cut_up
 
     def learn(self, segments: set[str]) -> None:
-        """Remember the pieces of many new words, all segmented at once."""
-        new = [s for s in segments if s not in self.known and len(s) <= LOCKSTEP]
+        """Remember the pieces of many segments, the short ones segmented all at once."""
+        new = [x for x in segments if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = [s for s in segments if len(s) <= LOCKSTEP]
-        for lo in range(0, len(new), 1 << 14):
-            part = new[lo : lo + (1 << 14)]
+            new = list(segments)
+        short = [x for x in new if 0 < len(x) <= LOCKSTEP]
+        for lo in range(0, len(short), 1 << 14):
+            part = short[lo : lo + (1 << 14)]
             self.known.update(zip(part, self._lockstep(part)))
+        self.known.update((x, self.viterbi(x)) for x in new if len(x) > LOCKSTEP or not x)
 
-    def _lockstep(self, words: list[str]) -> list[tuple[bytes, int]]:
+    def _lockstep(self, words: list[str]) -> list[bytes]:
         """:meth:`viterbi` of many short words, position by position for all of them."""
-        table = self._table = getattr(self, "_table", None) or _PieceTable(self.v)
+        table = self.table = self.table or _PieceTable(self.v)
         size = np.array([len(w) for w in words])
         order = np.argsort(-size, kind="stable")
         n, most = len(words), int(size.max())
@@ -135,9 +164,15 @@ class Segmenter:
             for length_now in range(min(e, self.v.longest), 0, -1):
                 s = e - length_now
                 k = table.find(prefix[e, :live] - prefix[s, :live] * table.powers[length_now])
-                score = best[s, :live] + np.where(k >= 0, table.scores[k], self.v.unknown if length_now == 1 else NEVER)
-                better = score > top
-                top[better], length[better], which[better] = score[better], length_now, k[better]
+                if length_now > 1:
+                    hit = np.flatnonzero(k >= 0)
+                    score = best[s, hit] + table.scores[k[hit]]
+                    hit, score = hit[score > top[hit]], score[score > top[hit]]
+                    top[hit], length[hit], which[hit] = score, length_now, k[hit]
+                else:
+                    score = best[s, :live] + np.where(k >= 0, table.scores[k], self.v.unknown)
+                    better = score > top
+                    top[better], length[better], which[better] = score[better], 1, k[better]
         out = np.full((most, n), -1, np.int32)
         at, count, odd = size.copy(), np.zeros(n, np.int64), np.zeros(n, bool)
         everyone = np.arange(n)
@@ -147,71 +182,61 @@ class Segmenter:
             out[count[live], live] = table.numbers[k]
             count[live] += 1
             at[live] -= step[at[live], live]
-        score = best[size, everyone]
-        result: list[tuple[bytes, int]] = [(b"", 0)] * n
-        for k in range(n):
-            result[order[k]] = self.viterbi(words[order[k]]) if odd[k] else (out[: count[k], k][::-1].tobytes(), int(score[k]))
+        back = np.ascontiguousarray(out.T[:, ::-1])
+        result = [b""] * n
+        raw, width = back.tobytes(), 4 * most
+        for k, (o, c, x) in enumerate(zip(order.tolist(), count.tolist(), odd.tolist())):
+            result[o] = self.viterbi(words[o]) if x else raw[(k + 1) * width - 4 * c : (k + 1) * width]
         return result
 
-    def word(self, segment: str) -> tuple[bytes, int]:
-        got = self.known.get(segment)
-        if got is None:
-            got = self.viterbi(segment)
-            if len(segment) <= 64:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[segment] = got
-        return got
-
     def encode(self, text: str) -> bytes:
-        """Pieces never hold a space after another character, so words are segmented one by one."""
-        known, word = self.known, self.word
-        return b"".join([(known.get(s) or word(s))[0] for s in _SEGMENT.findall(text)])
-
-    def transfer(self, context: str, chunk: str) -> np.ndarray:
-        """The chunk's (longest, longest) matrix; entry (j, i) leads from a boundary j before its start to one i before its end.
-
-        ``context`` are the up to ``longest - 1`` characters before it.  At a
-        place where a word begins every path has a boundary, so what lies
-        between the first and the last such place is a single sum.
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        parts = [self.segments(t) for t in texts]
+        self.learn(set().union(*parts))
+        known = self.known.__getitem__
+        out = [b"".join(map(known, p)) for p in parts]
+        if len(self.known) and any(len(x) > LONG for p in parts for x in p if len(x) > LONG):
+            self.known = {k: v for k, v in self.known.items() if len(k) <= LONG}
+        return out
+
+    def transfer(self, context: str, chunk: str) -> tuple[np.ndarray, int, bytes, int]:
+        """(matrix, from, pieces, to) of a chunk.
+
+        Entry (j, i) of the (longest, longest) matrix leads from a token
+        boundary j characters before the chunk's start to one i before its
+        end.  ``context`` are the up to ``longest - 1`` characters before it.
+        Where a word begins every path has a boundary, so between the first
+        and the last such place (from, to: counted from the context's start)
+        the pieces are found once for all, and their scores are one sum.
+        Without such a place both are -1.
         """
         size = self.v.longest
         text, start = context + chunk, len(context)
         begin = np.full((start + 1, size), NEVER, np.int64)
         for j in range(min(start, size - 1) + 1):
             begin[start - j, j] = 0
-        cuts = [m.start() for m in re.finditer(f"(?<!{SPACE}){SPACE}", text) if m.start() > start]
-        if cuts:
-            head = self._rows(text[: cuts[0]], begin, start)[cuts[0]]
-            middle = sum(self.word(s)[1] for s in _SEGMENT.findall(text[cuts[0] : cuts[-1]]))
-            tail = self._rows(text[cuts[-1] :], np.zeros((1, 1), np.int64), 0)
-            column = [int(tail[len(tail) - 1 - i, 0]) if i < len(tail) else None for i in range(size)]
-            out = np.full((size, size), NEVER, np.int64)
-            for i, c in enumerate(column):
-                if c is not None:
-                    out[:, i] = np.where(head > NEVER // 2, head + middle + c, NEVER)
-            rest = [i for i, c in enumerate(column) if c is None]
-            if rest:  # the last word is shorter than the longest piece: boundaries before it
-                whole = self._rows(text[: cuts[-1]], begin, start) if len(cuts) == 1 else None
-                for i in rest:
-                    at = len(text) - i
-                    if whole is not None:
-                        out[:, i] = whole[at] if at >= 0 else NEVER
-                    else:
-                        near = self._near(text, cuts, head, at)
-                        out[:, i] = near
-            return out
-        rows = self._rows(text, begin, start)
-        return np.stack([rows[len(text) - i] if len(text) - i >= 0 else np.full(size, NEVER, np.int64) for i in range(size)], 1)
-
-    def _near(self, text: str, cuts: list[int], head: np.ndarray, at: int) -> np.ndarray:
-        """The row of a position before the last cut: from the cut at or before it."""
-        back = max((c for c in cuts if c <= at), default=None)
-        if back is None:
-            return np.full(len(head), NEVER, np.int64)  # no path of the chunk's end needs it: a cut lies between
-        score = sum(self.word(s)[1] for s in _SEGMENT.findall(text[cuts[0] : back]))
-        own = int(self._rows(text[back:at], np.zeros((1, 1), np.int64), 0)[at - back, 0])
-        return np.where(head > NEVER // 2, head + score + own, NEVER)
+        first = self._cut(text, start + 1, 1)
+        last = self._cut(text, len(text) - size, -1)
+        if first < 0 or last < first:
+            rows = self._rows(text, begin, start)
+            return np.stack([rows[len(text) - i] if len(text) - i >= 0 else np.full(size, NEVER, np.int64) for i in range(size)], 1), -1, b"", -1
+        head = self._rows(text[:first], begin, start)[first]
+        middle = self.encode(text[first:last])
+        tail = self._rows(text[last:], np.zeros((1, 1), np.int64), 0)
+        column = np.array([tail[len(tail) - 1 - i, 0] for i in range(size)]) + self.total(middle)
+        return np.where((head[:, None] > NEVER // 2) & (column > NEVER // 2), head[:, None] + column, NEVER), first, middle, last
+
+    def _cut(self, text: str, at: int, way: int) -> int:
+        """The first place from ``at`` on (or back from it) where a word begins, or -1."""
+        while True:
+            at = text.find(SPACE, at) if way > 0 else text.rfind(SPACE, 0, max(at + 1, 0))
+            if at <= 0:
+                return -1
+            if text[at - 1] != SPACE:
+                return at
+            at += way
 
     def _rows(self, text: str, begin: np.ndarray, start: int) -> np.ndarray:
         """Best scores at every position of ``text``, a row each, from those at positions up to ``start``."""
@@ -272,21 +297,30 @@ def normalized(text: str) -> list[str]:
     return [p.replace(" ", SPACE) for p in (" " + text).split(SPACE)]
 
 
+def encode_texts(texts: list[str | None], seg: Segmenter) -> list[bytes | None]:
+    """Whole texts' numbers; an empty text has none, a literal SPACE character is encoded as its bytes."""
+    literal = np.array([seg.v.bytes_at[b] for b in SPACE.encode()], np.int32).tobytes()
+    parts = [normalized(t) if t else [] for t in texts]
+    done = iter(seg.encode_all([p for own in parts for p in own]))
+    return [literal.join([next(done) for _ in own]) if t is not None else None for t, own in zip(texts, parts)]
+
+
 def encode_text(text: str, seg: Segmenter) -> bytes:
-    """A whole text's numbers; an empty text has none, a literal SPACE character is encoded as its bytes."""
-    if not text:
-        return b""
-    parts = normalized(text)
-    literal = np.array([seg.v.bytes_at[b] for b in SPACE.encode()], np.int32).tobytes() if len(parts) > 1 else b""
-    return literal.join(seg.encode(p) for p in parts)
+    return encode_texts([text], seg)[0]
 
 
-def decode_ids(ids: list[int], vocabulary: Vocabulary) -> str:
-    """The text of the numbers; without the space that encoding puts first."""
-    raw = b"".join(map(vocabulary.raw.__getitem__, ids))
+def decode_ids(ids: np.ndarray, raw_at: np.ndarray) -> str:
+    """The text of the numbers (an index array into ``raw_at``); without the space that encoding puts first."""
+    raw = b"".join(raw_at[ids].tolist())
     return raw[raw[:1] == b" " :].decode("utf-8", "replace")
 
 
+def raw_table(vocabulary: Vocabulary) -> np.ndarray:
+    out = np.empty(len(vocabulary.raw), object)
+    out[:] = vocabulary.raw
+    return out
+
+
 def cut(text: str, chunk: int = CHUNK, look_back: int = LOOK_BACK) -> list[int]:
     """Chunk bounds of a normalised text: before a word's space near the limit, or else at the limit."""
     out = [0]
@@ -347,9 +381,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts = part.column(where).to_pylist()
-                seg.learn({s for t in texts if t for p in normalized(t) for s in _SEGMENT.findall(p)})
-                got = [encode_text(t, seg) if t is not None else None for t in texts]
+                got = encode_texts(part.column(where).to_pylist(), seg)
                 yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(got)], names=names)
 
     key = fresh(base, "key")
@@ -384,37 +416,42 @@ def _encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> Data
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(vocabulary)
+        literal = np.array([vocabulary.bytes_at[b] for b in SPACE.encode()], np.int32).tobytes()
         for batch in batches:
-            for t in batch.column(3).to_pylist():
-                seg.learn(set(_SEGMENT.findall(t)))
-            out = [seg.transfer(c, t).tobytes() if c is not None else None for t, c in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.binary())], names=["key", "part", "n", "m"])
+            for k in range(batch.num_rows):
+                chunk, context = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
+                if context is None:
+                    row = (None, chunk, -1, literal, -1)
+                else:
+                    m, first, middle, last = seg.transfer(context, chunk)
+                    row = (m.tobytes(), context + chunk, first, middle, last)
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(k, 1) for c in range(3)] + [pa.array([len(context or "")], pa.int32())] + [pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.int32()))], names=["key", "part", "n", "start", "m", "whole", "first", "middle", "last"])
 
     def bounds(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n")
         own = rows[rows["m"].notna()]
         at = scan([np.frombuffer(m, np.int64).reshape(size, size) for m in own["m"]]) if len(own) else [0]
-        return pd.DataFrame({"key": own["key"], "n": own["n"], "first": at[:-1], "last": at[1:]})
+        return pd.DataFrame({"key": own["key"], "n": own["n"], "back": at[:-1], "short": at[1:]})
 
-    made = spread.mapInArrow(matrices, "key string, part int, n int, m binary").where("m is not null")
-    fixed = made.groupBy("key", "part").applyInPandas(bounds, "key string, n int, first int, last int")
-    joined = cut_up.join(fixed, ["key", "n"], "left")
+    made = materialize(spread.mapInArrow(matrices, "key string, part int, n int, start int, m binary, whole string, first int, middle binary, last int"), "transfer")
+    fixed = made.where("m is not null").select("key", "part", "n", "m").groupBy("key", "part").applyInPandas(bounds, "key string, n int, back int, short int")
+    joined = made.select("key", "n", "start", "whole", "first", "middle", "last").join(fixed, ["key", "n"], "left")
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(vocabulary)
-        literal = np.array([vocabulary.bytes_at[b] for b in SPACE.encode()], np.int32).tobytes()
         for batch in batches:
             got = []
-            for _, _, t, c, first, last in zip(*(x.to_pylist() for x in batch.columns)):
-                if c is None:
-                    got.append(literal)
+            for _, _, start, whole, first, middle, last, back, short in zip(*(x.to_pylist() for x in batch.columns)):
+                if back is None:
+                    got.append(middle)
+                elif first < 0:
+                    got.append(seg.encode(whole[start - back : len(whole) - short]))
                 else:
-                    whole = c + t
-                    seg.learn(set(_SEGMENT.findall(whole)))
-                    got.append(seg.encode(whole[len(c) - first : len(whole) - last]))
+                    head, tail = seg.encode_all([whole[start - back : first], whole[last : len(whole) - short]])
+                    got.append(head + middle + tail)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids_array(got)], names=["key", "n", "ids"])
 
-    parts = joined.select("key", "n", "chunk", "context", "first", "last").mapInArrow(backtrace, "key string, n int, ids array<int>")
+    parts = joined.select("key", "n", "start", "whole", "first", "middle", "last", "back", "short").mapInArrow(backtrace, "key string, n int, ids array<int>")
     return parts.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
@@ -426,10 +463,12 @@ def decode(df: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", text: str
     where = base.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = raw_table(vocabulary)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                got = [decode_ids(x, vocabulary) if x is not None else None for x in part.column(where).to_pylist()]
+                lists = part.column(where)
+                got = [decode_ids(np.asarray(x.values), table) if x.is_valid else None for x in lists]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.string())], names=names)
 
     return base.mapInArrow(run, schema)
