@@ -24,7 +24,7 @@ from ._words import mix, prefix_hash, span_hash
 LENGTH = 400
 GRAM = 128
 #: Bytes of segments for one suffix array.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Segments of one anchor that a shard takes; those of a commoner anchor are split by string.
 SHARD_SEGMENTS = 256
 #: Strings of one text that are looked at together.
@@ -67,7 +67,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
     n_large, n_small = np.bincount(t[~small], minlength=size), np.bincount(t[small], minlength=size)
     large_at = np.concatenate([[0], np.cumsum(n_large)])
     small_at = np.concatenate([[0], np.cumsum(n_small)])
-    large, place = np.empty(large_at[-1], np.int64), large_at[:-1].copy()
+    large, place = np.empty(large_at[-1], np.int32), large_at[:-1].copy()
     lms_sorted = lms[np.argsort(t[lms], kind="stable")]
     lms_at = np.searchsorted(t[lms_sorted], np.arange(size + 1))
     used = np.flatnonzero(n_large + n_small)
@@ -85,7 +85,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
         if len(j):
             _deal(j, t[j], large, place)
     # the small ones of each bucket from its end: kept in reverse
-    back, place = np.empty(small_at[-1], np.int64), small_at[:-1].copy()
+    back, place = np.empty(small_at[-1], np.int32), small_at[:-1].copy()
     _deal(np.array([n - 1]), t[-1:], back, place)
     for c in used[::-1]:
         done = small_at[c]
@@ -101,7 +101,7 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np.
         j = j[small[j]]
         if len(j):
             _deal(j, t[j], back, place)
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     at = 0
     for c in used:
         a, b = large_at[c], large_at[c + 1]
@@ -303,7 +303,7 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for rows, data, offsets in pieces(batches, "text"):
+        for rows, data, offsets in pieces(batches, "text", 1 << 19):
             names = rows.column(0).to_pylist()
             for row, start, own, ah, sh in _blocks(data, offsets):
                 new = np.array([names[k] not in seen for k in range(len(names))])
@@ -367,7 +367,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _segment_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ah, sh, bytes, hot) of the wanted segments (ah, sh, start, own, hot) of each text."""
-    for batch in batches:
+    for batch in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
         out: list[tuple] = []
         held = 0
         for text, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
