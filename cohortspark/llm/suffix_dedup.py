@@ -299,7 +299,7 @@ ANCHORS = "t binary, ah bigint, sh bigint, starts binary, own int"
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """(t, ah, sh, starts, own) of the segments of texts (t, text): each segment of a text once, with all its starts."""
+    """(t, ah, sh, starts, own) of the segments of texts (t, text): each segment of a text (of a block, if it is long) once, with all its starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -398,9 +398,10 @@ def repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
     named = docs.select(F.unhex(F.md5(text)).alias("t"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
     copies = named.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
     anchors = materialize(anchor_rows(named), "anchors")
+    # a segment of one text that stands in several of its blocks has a row of each, with different first starts
     one = F.struct("t", F.substring("starts", 1, 4).alias("s"), F.octet_length("starts").alias("z"))
     segments = anchors.groupBy("ah", "sh").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.first("own").alias("own"))
-    segments = materialize(segments.select("ah", "sh", "own", F.col("a.t").alias("t"), F.col("a.s").alias("s"), ((F.col("a.t") != F.col("b.t")) | (F.col("a.z") > 4)).alias("multi")), "segments")
+    segments = materialize(segments.select("ah", "sh", "own", F.col("a.t").alias("t"), F.col("a.s").alias("s"), ((F.col("a.t") != F.col("b.t")) | (F.col("a.s") != F.col("b.s")) | (F.col("a.z") > 4)).alias("multi")), "segments")
     groups = segments.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = segments.join(groups, "ah").select("t", F.struct("ah", "sh", _int32("s").alias("start"), "own", (F.col("k") > SHARD_SEGMENTS).alias("hot")).alias("x"))
     by_text = wanted.groupBy("t").agg(F.collect_list("x").alias("x"))

@@ -72,6 +72,14 @@ def test_suffix_dedup_commoner_anchors_and_long_texts(spark, monkeypatch):
     assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
 
 
+def test_suffix_dedup_repeats_across_blocks_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 6000)
+    rng = random.Random(6)
+    passage = words(rng, 500)
+    rows = [(1, words(rng, 1500) + passage + words(rng, 2000) + passage + words(rng, 300), *[None] * 7), (2, words(rng, 200), *[None] * 7)]
+    assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
+
+
 # 2
 
 
