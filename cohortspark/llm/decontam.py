@@ -280,25 +280,28 @@ def test_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The summary of every document against every test item; cases as in the functions above.
 
-    Documents are matched where they lie, so nothing is shuffled but the term
-    counts.  Of a test set of several blocks, each is a pass of its own and
-    the documents' matches are brought together by id; repeated document ids
-    are then one document, as are they in the counts.
+    Every row of ``docs`` has a row, whatever its id.  Documents are matched
+    where they lie, so nothing is shuffled but the term counts.  Of a test set
+    of several blocks, each is a pass of its own; the rows are then numbered
+    and written first, and their matches are brought together by number.
     """
     blocks = test_blocks(benchmark)
     if len(blocks) == 1:
         index = materialize(build_index(docs, blocks[0]), "postings")
         return summarize(phrase_matches(index, blocks[0]), blocks[0])
+    row = F.monotonically_increasing_id().alias("row")
+    rows = materialize(docs.select(row, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "rows")
     ids = np.concatenate([b.item_ids for b in blocks])
-    merged, shift, parts = None, 0, []
+    shift, parts = 0, []
     for b in blocks:
-        index = materialize(build_index(docs, b), "postings")
+        index = materialize(build_index(rows, b, doc_id="row"), "postings")
         moved = TestTerms(b.terms, b.windows, b.length, b.item + shift, ids)
         parts.append(phrase_matches(index, moved))
         shift += len(b.item_ids)
-    merged = parts[0]
-    for p in parts[1:]:
-        merged = merged.unionByName(p)
-    join = lambda c: F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item", "start", "length"))), lambda x: F.hex(x[c])), ""), F.lit("hex")).alias(c)
-    merged = merged.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), join("item"), join("start"), join("length"))
-    return summarize(merged, TestTerms(blocks[0].terms, blocks[0].windows, blocks[0].length, blocks[0].item, ids))
+    # the rows bring their ids, the passes the numbers of words and what they found
+    merged = rows.select(F.col("doc_id").alias("id"), F.col("row").alias("doc_id"), F.lit(None).cast("bigint").alias("n_words"), *[F.lit(None).cast("binary").alias(c) for c in ("item", "start", "length")])
+    for p in parts:
+        merged = merged.unionByName(p.withColumn("id", F.lit(None).cast("bigint")))
+    join = lambda c: F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.octet_length("item") > 0, F.struct("item", "start", "length")))), lambda x: F.hex(x[c])), ""), F.lit("hex")).alias(c)
+    merged = merged.groupBy("doc_id").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), join("item"), join("start"), join("length"))
+    return summarize(merged.select(F.col("id").alias("doc_id"), "n_words", "item", "start", "length"), TestTerms(blocks[0].terms, blocks[0].windows, blocks[0].length, blocks[0].item, ids))

@@ -249,6 +249,17 @@ def test_decontamination(spark, monkeypatch, block):
     assert Counter(map(tuple, got)) == hits_by_force(rows, items)
 
 
+def test_decontamination_of_several_blocks_keeps_repeated_and_null_ids(spark, monkeypatch):
+    rows = corpus() + [(None, corpus()[6][1], *[None] * 7), (None, "clean", *[None] * 7), (5, "another text", *[None] * 7)]
+    part = rows[5][1].split()
+    items = [(1, " ".join(part[3:40])), (2, "; ".join(part[20:27])), (10, None), (12, "no such words"), (None, " ".join(part[50:75]))]
+    test, full = spark.createDataFrame(items, "item_id bigint, text string"), decontam.test_blocks
+    monkeypatch.setattr(decontam, "test_blocks", lambda b: full(b, most=100))
+    assert len(decontam.test_blocks(test)) > 1
+    got = decontam.decontaminate(frame(spark, rows), test).collect()
+    assert Counter(map(tuple, got)) == hits_by_force(rows, items)
+
+
 def test_proximity(spark):
     test = decontam.read_test_set([(1, "alpha beta gamma delta")])
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "gamma alpha")], "doc_id bigint, text string")
