@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import materialize, pieces
@@ -148,15 +148,24 @@ def verify(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, np.ndarray]:
+def text_digest(text: str) -> Column:
+    """The MD5 of a text's bytes; null text has null."""
+    return F.unhex(F.md5(F.col(text).cast("string")))
+
+
+def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, s) of every document, and which buckets of features are full.
 
+    With ``digest`` also t, the MD5 of the text's bytes.
+
     Features are counted over all documents (equal sets in one task once), in
     a fixed number of buckets, whose counts are summed by executors.  Full is
     a bucket with over a thousandth of all documents' features, 50 and five
     halves of the mean.  The counts come as slices, one sum each.
     """
     n_buckets = 1 << BUCKET_BITS
+    schema = "doc_id bigint, n bigint, s bigint, slice int, counts binary" + ", t binary" * digest
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(n_buckets, np.int32), set()
@@ -171,13 +180,13 @@ def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
                     if len(s) <= n_buckets // 64:
                         np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "s", "slice", "counts"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), *rows.columns[2:]], names=names)
         at = [k for k in range(n_buckets // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in at], pa.binary())], names=["doc_id", "n", "s", "slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in at], pa.binary()), *[pa.nulls(len(at), pa.binary())] * digest], names=names)
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = materialize(rows.mapInArrow(heads, "doc_id bigint, n bigint, s bigint, slice int, counts binary"), "sets")
-    heads_ = made.where("slice < 0").select("doc_id", "n", "s")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *[text_digest(text).alias("t")] * digest)
+    made = materialize(rows.mapInArrow(heads, schema), "sets")
+    heads_ = made.where("slice < 0").select("doc_id", "n", "s", *["t"] * digest)
     total = heads_.agg(F.count(F.lit(1)), F.sum("n")).first()
     least = max(50.0, total[0] / 1000, 2.5 * (total[1] or 0) / n_buckets)
 
@@ -431,13 +440,13 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("u").alias("v"), "label").union(roots)
 
 
-def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """(heads, labels): doc_id, n and set number s of each document; set number and class label of each linked set.
 
     Sets that share a signature are of one family, and all pairs within
     families are compared, so that no link is lost.
     """
-    heads, full = set_heads(docs, doc_id=doc_id, text=text)
+    heads, full = set_heads(docs, doc_id=doc_id, text=text, digest=digest)
     total = heads.agg(F.sum("n")).first()[0] or 0
     groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
     family = materialize(families(groups), "families")
@@ -460,3 +469,14 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     classed = told.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = heads.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return classed.union(alone)
+
+
+def first_of_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, t) of one document of each class of similar ones: the smallest id, then the smallest MD5 t of the text.
+
+    Ids may repeat: rows of one id with different texts are documents of
+    their own.  Documents without words or with a null id are in no class.
+    """
+    heads, labels = link_sets(docs, doc_id=doc_id, text=text, digest=True)
+    told = heads.where("n > 0 and doc_id is not null").join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("doc_id", "t", F.coalesce("label", "s").alias("label"))
+    return told.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("m")).select("m.doc_id", "m.t")

@@ -15,7 +15,7 @@ from cohortspark.llm._base import fresh, materialize
 from cohortspark.llm.decontam import decontaminate
 from cohortspark.llm.langid import UNKNOWN, fit, predict
 from cohortspark.llm.line_dedup import drop_boilerplate
-from cohortspark.llm.ngram_join import similar_documents
+from cohortspark.llm.ngram_join import first_of_classes, text_digest
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,21 +38,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar ones, that with the smallest id; of repeated ids with it, one row.
+    """One document of each class of similar ones, that with the smallest id, then the smallest MD5; of equal ids and texts one row.
 
-    Documents without words or with a null id are in no class and stay.
+    Rows that share an id are documents of their own, each in its text's
+    class.  Documents without words or with a null id are in no class and stay.
     """
-    classes = similar_documents(docs)
-    first = materialize(classes.where("component_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("c")).where("doc_id = c").select("doc_id"), "first")
-    one = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").select(*docs.columns)
-    # rows that share an id: the least text stays, or each if it has no words, which is the same row
-    return one.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    t = fresh(docs, "t")
+    first = materialize(first_of_classes(docs), "first").withColumnRenamed("t", t)
+    classed = F.col("doc_id").isNotNull() & F.coalesce(F.octet_length(F.ltrim("text", F.lit(" \t\n\v\f\r"))) > 0, F.lit(False))
+    one = docs.where(classed).withColumn(t, text_digest("text")).join(first, ["doc_id", t], "left_semi").dropDuplicates(["doc_id", t])
+    return one.select(*docs.columns).unionByName(docs.where(~classed))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    hit = decontaminate(docs, q.table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """Documents without a passage of the benchmark; each row is judged by its own text, which a 64-bit hash names."""
+    h = fresh(docs, "h")
+    own = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    # written first, so that its size is known: small, it is broadcast and the texts stay where they are
+    hit = materialize(decontaminate(own, q.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(h)).distinct(), "hit")
+    return docs.withColumn(h, F.xxhash64("text")).join(hit, h, "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

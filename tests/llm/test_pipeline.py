@@ -43,3 +43,30 @@ def test_stages(spark, tmp_path):
     assert kept["SentencePiece"] == kept["benchmark decontamination"]
     assert all(r["round_trip"] for r in docs.collect())
     assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} == kept["SentencePiece"]
+
+
+def test_rows_are_judged_by_themselves(spark, tmp_path):
+    """Null and repeated ids: a row goes for what is in its own text."""
+    import random
+    from collections import Counter
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    a, b, c, d, passage = (words(rng, n) for n in (80, 80, 60, 30, 12))
+    near = a.split()
+    near[3] = "changed"
+    near = " ".join(near)
+    schema = "doc_id bigint, text string, lang string, source string"
+    made = lambda pairs: spark.createDataFrame([(i, t, "en", "s") for i, t in pairs], schema).repartition(3)
+    rows = [(5, a), (5, b), (3, near), (None, a), (None, a), (None, c), (7, d), (7, d), (8, None), (8, " "), (9, c), (9, c + " \n")]
+    got = Counter((r[0], r[1]) for r in cp.ngram_join(spark, made(rows), str(tmp_path)).collect())
+    # of the two rows of 9, which are of one class, either text
+    assert got[9, c] + got[9, c + " \n"] == 1
+    assert Counter({k: n for k, n in got.items() if k[0] != 9}) == Counter([(5, b), (3, near), (None, a), (None, a), (None, c), (7, d), (8, None), (8, " ")])
+
+    pd.DataFrame([(1, passage)], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    dirty = f"{d} {passage}"
+    rows = [(None, a), (None, dirty), (None, None), (5, b), (5, dirty), (6, c), (6, c)]
+    got = Counter((r[0], r[1]) for r in cp.decontamination(spark, made(rows), str(tmp_path)).collect())
+    assert got == Counter(x for x in rows if x[1] != dirty)
