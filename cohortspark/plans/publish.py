@@ -7,11 +7,14 @@ import json
 import os
 import shutil
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Mapping
+from itertools import chain
 from pathlib import Path
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from ..sources.extracts import Study
 from .analysis import Analysis, Config, run_analysis
 from .schemas import SCHEMAS
 
@@ -27,18 +30,45 @@ def check_tables(tables: dict[str, pd.DataFrame]) -> None:
             raise ValueError(f"{name} has member_id")
 
 
-def check_privacy(texts: Iterable[str], identifiers: Iterable[str], least: int = 4) -> None:
-    """Fail if a text holds an identifier (of at least ``least`` characters), whatever its case.
-
-    The texts are the published cells, which are few; the identifiers are
-    read one at a time.
+def strings_of(value: object) -> Iterator[str]:
+    """The strings of a cell or of nested metadata, keys included; of JSON text also what it decodes to."""
+    if isinstance(value, str):
+        yield value
+        try:
+            decoded = json.loads(value)
+        except (ValueError, RecursionError):
+            return
+        if decoded != value:
+            yield from strings_of(decoded)
+    elif isinstance(value, Mapping):
+        for k, v in value.items():
+            yield from strings_of(k)
+            yield from strings_of(v)
+    elif isinstance(value, (list, tuple, set, frozenset)):
+        for v in value:
+            yield from strings_of(v)
+
+
+def check_privacy(values: Iterable[object], identifiers: Iterable[str]) -> None:
+    """Fail if a text holds an identifier, whatever its form, case and the spaces around it.
+
+    The values are the published cells and metadata, which are few; numbers
+    are no texts.  The identifiers are read one at a time, blank ones are none.
     """
-    whole = "\n".join(texts).casefold()
+    whole = "\n".join(dict.fromkeys(t.strip().casefold() for v in values for t in strings_of(v)))
     for i in identifiers:
-        if len(i) >= least and not i.isdecimal() and i.casefold() in whole:
+        own = i.strip().casefold() if i is not None else ""
+        if own and own in whole:
             raise ValueError("an identifier is in the output")
 
 
+def member_ids(study: Study) -> Iterator[str]:
+    """The distinct identifiers of all four tables."""
+    ids = [t.select(F.col("member_id").cast("string")) for t in (study.demographics, study.weights, study.engagement, study.modules)]
+    every = ids[0].union(ids[1]).union(ids[2]).union(ids[3]).where("member_id is not null").distinct()
+    return (r[0] for r in every.toLocalIterator())
+
+
 def write_outputs(result: Analysis, folder: str, *, source: str | None = None, identifiers: Iterable[str] = ()) -> list[Path]:
     """Write all tables and the metadata; the folder gets all of them or stays as it was.
 
@@ -52,7 +82,8 @@ def write_outputs(result: Analysis, folder: str, *, source: str | None = None, i
     check_tables(result.tables)
     files = {f"{n}.csv": t.to_csv(index=False, lineterminator="\n", float_format="%.12g") for n, t in result.tables.items()}
     files["metadata.json"] = json.dumps(result.metadata, indent=2, sort_keys=True) + "\n"
-    check_privacy(files.values(), identifiers)
+    cells = (v for t in result.tables.values() for v in t.to_numpy(dtype=object).ravel())
+    check_privacy(chain(cells, [result.metadata]), identifiers)
     target.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=".stage-", dir=target.parent))
     done: list[tuple[Path, Path | None]] = []
@@ -97,8 +128,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("cohort").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     study = load_study(spark, a.data_dir)
     result = run_analysis(study, config=config)
-    ids = (r[0] for r in study.demographics.select("member_id").distinct().toLocalIterator())
-    for path in write_outputs(result, a.output_dir, source=a.data_dir, identifiers=ids):
+    for path in write_outputs(result, a.output_dir, source=a.data_dir, identifiers=member_ids(study)):
         print(path)
 
 

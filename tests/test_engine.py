@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import shutil
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -261,6 +262,18 @@ def test_whole_analysis_is_published_whole_or_not_at_all(spark, study, folder, t
     shutil.rmtree(out)
 
 
+def test_identifiers_of_any_form_and_table_are_found(spark, study):
+    for text, i in [("case 12 left", "12"), ("a 48213 b", "48213"), (r'{"k": ["\u0041B9"]}', "ab9"), (r'"\u0034\u0032"', "42"), ("Member x7", " X7 ")]:
+        with pytest.raises(ValueError):
+            publish.check_privacy(["clean", 3, text], [i])
+    with pytest.raises(ValueError):
+        publish.check_privacy([{"a": {"id 77": 1}}], ["77"])
+    publish.check_privacy(["clean", 48213, 0.12, None], ["48213", "12", " ", None])
+    extra = study.weights.limit(1).withColumn("member_id", F.lit("only-in-weights"))
+    made = replace(study, weights=study.weights.unionByName(extra))
+    assert "only-in-weights" in set(publish.member_ids(made))
+
+
 def test_configuration():
     with pytest.raises(ValueError):
         analysis.Config(cv_folds=1)
