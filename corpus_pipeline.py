@@ -19,7 +19,10 @@ from cohortspark.llm.ngram_join import first_of_classes, text_digest
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network has learnt; those without text or letters go."""
+    """Documents with a letter; those without text or letters go, whatever the network's score.
+
+    Text in a language that was not learnt stays.
+    """
     net = fit(docs)
     lang, score = fresh(docs, "lang"), fresh(docs, "score")
     return predict(docs, net, lang=lang, score=score).where(F.col(lang) != UNKNOWN).drop(lang, score)
