@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Spans of more bytes are hashed one by one.
+LONG = 64
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 #: Lower-cases A-Z and nothing else.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -26,16 +27,6 @@ SPACED = byte_class(" \t\n\v\f\r")
 LETTERS = byte_class("".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]))
-        for k, p in enumerate((_P, _P_INV)):
-            grown = np.full(size, p, np.uint64)
-            grown[0] = 1
-            _POWERS[k] = np.cumprod(grown, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -43,16 +34,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[e] - H[s] the polynomial hash of data[s:e], times the base to the power s."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[0], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of data[starts:ends], the same wherever the same bytes stand."""
-    return mix((prefix[ends] - prefix[starts]) * _powers(len(prefix))[1][starts])
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[starts:ends], the same wherever the same bytes stand.
+
+    Eight bytes at a time go through :func:`mix`, which no structure of the
+    text cancels; long spans go through XXH3.
+    """
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    out = mix(size.astype(np.uint64) * _ODD)
+    live, at, left = np.arange(len(size)), starts, size
+    if len(size) and size.max() > LONG:
+        raw = data.tobytes()
+        big = np.flatnonzero(size > LONG)
+        out[big] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[big].tolist(), ends[big].tolist())]
+        live = np.flatnonzero(size <= LONG)
+        at, left = starts[live], size[live]
+    while True:
+        more = left > 0
+        if not more.all():
+            live, at, left = live[more], at[more], left[more]
+        if not len(live):
+            return out
+        part = eight[at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        out[live] = mix((out[live] ^ part) * _ODD)
+        at, left = at + 8, left - 8
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,4 +87,4 @@ def find_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple
 def word_hashes(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, starts, ends, first) of the words of ``data``, which is folded already."""
     starts, ends, first = find_words(data, offsets, word)
-    return span_hash(prefix_hash(data), starts, ends), starts, ends, first
+    return span_hash(data, starts, ends), starts, ends, first

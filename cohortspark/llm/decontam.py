@@ -1,4 +1,12 @@
-"""Benchmark decontamination with a positional inverted index of test terms."""
+"""Benchmark decontamination with a distributed positional inverted index.
+
+The index is partitioned by documents, as search engines partition theirs:
+each row is a shard of about a megabyte of text, with every term that stands
+in it, and for each term the sorted list of its positions.  It is made once,
+whatever the test set, and holds every word.  The test set is read block by
+block; each block's windows are looked up in all shards, and the matches of
+all blocks are brought together by shard.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +18,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._base import materialize, pieces
-from ._words import FOLD, LETTERS, find_words, prefix_hash, span_hash, word_hashes
+from ._words import FOLD, LETTERS, word_hashes
 
 WINDOW = 10
-#: Test text that one pass over the documents takes; a larger test set takes several.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text of an index shard, or one longer document.
+SHARD_BYTES = 1 << 20
+#: Bytes of test text that the driver reads and sends at a time.
+BLOCK_BYTES = 4 << 20
+#: Candidate places that are looked at together.
+CANDIDATES = 1 << 21
 
-INDEX_SCHEMA = "doc_id bigint, n_words bigint, run_start binary, run_length binary, postings binary, terms binary"
-HITS_SCHEMA = "doc_id bigint, n_words bigint, item binary, start binary, length binary"
+HITS_SCHEMA = "shard bigint, items array<string>, start binary, length binary"
 
 
 @dataclass(frozen=True)
@@ -36,10 +48,6 @@ class TestTerms:
     item: np.ndarray
     item_ids: np.ndarray
 
-    @property
-    def shortest(self) -> int:
-        return int(self.length.min()) if len(self.length) else 1 << 30
-
 
 def read_test_set(items: list[tuple[int, str | None]], window: int = WINDOW) -> TestTerms:
     """Windows of ``window`` words of each item; an item of fewer words is one window, one without words none."""
@@ -64,244 +72,208 @@ def read_test_set(items: list[tuple[int, str | None]], window: int = WINDOW) ->
     return TestTerms(terms, windows, (windows >= 0).sum(1), np.array(item, np.int64), np.array([i for i, _ in items], object))
 
 
-def _numbers(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Each hash's number among the sorted ``terms``, -1 for words of no test item.
+def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Shards of a positional inverted index of all words: shard, doc_ids, first, terms, counts, postings.
 
-    A table of the hashes' first 16 bits rejects most of the others at once.
+    Words of a shard are numbered through; ``first`` holds the number of each
+    document's first word, and the end.  ``terms`` are the sorted hashes of
+    the shard's distinct words, ``counts`` the lengths of their posting lists,
+    and ``postings`` the lists, one after the other.  Null or empty text has
+    no words.  The index is written to the shared folder.
     """
-    out = np.full(len(hashes), -1, np.int32)
-    if not len(terms):
-        return out
-    seen = np.zeros(1 << 16, bool)
-    seen[(terms >> np.uint64(48)).astype(np.int64)] = True
-    maybe = np.flatnonzero(seen[(hashes >> np.uint64(48)).astype(np.int64)])
-    at = np.searchsorted(terms, hashes[maybe])
-    at[at == len(terms)] = 0
-    same = terms[at] == hashes[maybe]
-    out[maybe[same]] = at[same]
-    return out
-
-
-def build_index(docs: DataFrame, test: TestTerms, *, text: str = "text", doc_id: str = "doc_id", shortest: int | None = None) -> DataFrame:
-    """Positional postings of the test terms: one row a document.
-
-    ``postings`` are the positions sorted by term and then position, ``terms``
-    the term of each.  Words in a run of fewer than ``shortest`` test terms
-    can't be in any phrase (the shortest window's length unless given) and have
-    no postings; ``shortest=1`` keeps all, as proximity search needs.  The runs
-    say where postings are adjacent.  Null or empty text has no words.
-    """
-    least = test.shortest if shortest is None else shortest
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches, "text"):
-            data = FOLD[data]
-            hashes, _, _, first = word_hashes(data, offsets, LETTERS)
-            number = _numbers(hashes, test.terms)
-            # runs of test terms that end with the document
-            known = number >= 0
-            opens = known.copy()
-            opens[1:] &= ~known[:-1]
-            closes = np.zeros(len(known) + 1, bool)
-            closes[1:] = known
-            closes[1:-1] &= ~known[1:]
-            edges = first[1:-1]
-            edges = edges[(edges > 0) & (edges < len(known))]
-            opens[edges] = known[edges]
-            closes[edges] = known[edges - 1]
-            begin, end = np.flatnonzero(opens), np.flatnonzero(closes)
-            long = end - begin >= least
-            begin, end = begin[long], end[long]
-            split = np.searchsorted(begin, first)
-            out = [[], [], [], []]
-            for k in range(rows.num_rows):
-                b, e = begin[split[k] : split[k + 1]], end[split[k] : split[k + 1]]
-                if not len(b):
-                    for x in out:
-                        x.append(b"")
-                    continue
-                size = e - b
-                at = np.repeat(b - np.cumsum(size) + size, size) + np.arange(size.sum())
-                order = np.argsort(number[at], kind="stable")
-                out[0].append((b - first[k]).astype(np.int32).tobytes())
-                out[1].append(size.astype(np.int32).tobytes())
-                out[2].append((at[order] - first[k]).astype(np.int32).tobytes())
-                out[3].append(number[at[order]].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), *[pa.array(x, pa.binary()) for x in out]], names=[x.split()[0] for x in INDEX_SCHEMA.split(", ")])
-
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(index, INDEX_SCHEMA)
-
-
-def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
-    """Postings of each term over the whole index, summed on the executors; as many numbers as test terms."""
+        for rows, data, offsets in pieces(batches, "text", SHARD_BYTES):
+            hashes, _, _, first = word_hashes(FOLD[data], offsets, LETTERS)
+            order = np.argsort(hashes, kind="stable")
+            ordered = hashes[order]
+            begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else order
+            counts = np.diff(np.append(begin, len(order)))
+            ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(0))
+            yield pa.RecordBatch.from_arrays([ids, *[pa.array([x.tobytes()], pa.binary()) for x in (first.astype(np.int32), ordered[begin], counts.astype(np.int32), order.astype(np.int32))]], names=["doc_ids", "first", "terms", "counts", "postings"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("first", "terms", "counts", "postings")]])
+    return materialize(rows.mapInArrow(index, schema).withColumn("shard", F.monotonically_increasing_id()), "postings")
+
+
+def _meet(shard_terms: bytes, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the test terms that a shard has, in the shard's list and in the test's."""
+    own = np.frombuffer(shard_terms, np.uint64)
+    if not len(own) or not len(terms):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.searchsorted(own, terms)
+    at[at == len(own)] = 0
+    here = np.flatnonzero(own[at] == terms)
+    return at[here], here
+
+
+def term_counts(index: DataFrame, test: TestTerms) -> np.ndarray:
+    """Postings of each test term over the whole index, summed on the executors."""
+    terms = test.terms
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_terms, np.int64)
+        total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), np.int32), minlength=n_terms)
+            for own, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at, here = _meet(own, terms)
+                total[here] += np.frombuffer(counts, np.int32)[at]
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["term", "n"])
 
-    rows = index.where(F.octet_length("terms") > 0).select("terms").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(n_terms, np.int64)
+    rows = index.select("terms", "counts").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(terms), np.int64)
     out[rows["term"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
 def phrase_matches(index: DataFrame, test: TestTerms, counts: np.ndarray | None = None, *, slop: int = 0) -> DataFrame:
-    """Occurrences of the windows: for each document the item, start and length (words) of every match.
+    """Occurrences of the windows: for each shard the item, start and length (words) of every match.
 
     A window's posting lists are intersected from its rarest term on: the
     positions of that term, less its offset in the window, are the candidate
     starts; the next rarest terms' lists, offset-adjusted alike, thin them
     out.  With ``slop`` a term may stand up to so many words from its place
-    (proximity); the index then has to hold all terms' postings.
+    (proximity).  No match crosses documents.
     """
-    counts = term_counts(index, len(test.terms)) if counts is None else counts
+    counts = term_counts(index, test) if counts is None else counts
     windows, length = test.windows, test.length
-    order = np.argsort(np.where(windows >= 0, counts[np.maximum(windows, 0)], np.iinfo(np.int64).max), axis=1, kind="stable")
+    order = np.argsort(np.where(windows >= 0, counts[np.maximum(windows, 0)], np.iinfo(np.int64).max), axis=1, kind="stable") if len(windows) else windows
     rarest = windows[np.arange(len(windows)), order[:, 0]] if len(windows) else np.zeros(0, np.int32)
     by_rarest = np.argsort(rarest, kind="stable")
     rarest_sorted = rarest[by_rarest]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
-            for postings, terms in zip(batch.column(4), batch.column(5)):
-                position, term = np.frombuffer(postings.as_py(), np.int32).astype(np.int64), np.frombuffer(terms.as_py(), np.int32)
-                found = _intersect(position, term) if len(term) else None
-                for x, v in zip(out, found or (b"", b"", b"")):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.binary()) for x in out]], names=[x.split()[0] for x in HITS_SCHEMA.split(", ")])
-
-    def _intersect(position: np.ndarray, term: np.ndarray) -> tuple[bytes, bytes, bytes] | None:
-        own, begin, n = np.unique(term, return_index=True, return_counts=True)
-        # windows whose rarest term is here, each with that term's postings
+            for shard, first, terms, n, postings in zip(*(c.to_pylist() for c in batch.columns)):
+                found = [x for x in shard_matches(np.frombuffer(first, np.int32), terms, np.frombuffer(n, np.int32), np.frombuffer(postings, np.int32)) if len(x[0])]
+                if found:
+                    w, start, size = (np.concatenate(x) for x in zip(*found))
+                    items = pa.array([[str(i) for i in test.item_ids[test.item[w]]]], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), items, *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (start, size)]], names=["shard", "items", "start", "length"])
+
+    def shard_matches(first: np.ndarray, terms: bytes, n: np.ndarray, postings: np.ndarray) -> Iterator[tuple]:
+        at, own = _meet(terms, test.terms)
+        if not len(own):
+            return
+        size, begin = n[at].astype(np.int64), (np.cumsum(n) - n)[at].astype(np.int64)
+        # windows whose rarest term is here, and all their other terms
         lo, hi = np.searchsorted(rarest_sorted, own), np.searchsorted(rarest_sorted, own, side="right")
         has = np.flatnonzero(hi > lo)
-        if not len(has):
-            return None
         spread = (hi - lo)[has]
         w = by_rarest[np.repeat(lo[has] - np.cumsum(spread) + spread, spread) + np.arange(spread.sum())]
         t = np.repeat(has, spread)
         here = np.zeros(len(test.terms) + 1, bool)
         here[own] = True
         here[-1] = True  # -1: beyond a short window's end
-        whole = here[windows[w]].all(1)
+        whole = here[windows[w]].all(1) if len(w) else np.zeros(0, bool)
         w, t = w[whole], t[whole]
         if not len(w):
-            return None
-        w, at = np.repeat(w, n[t]), position[np.repeat(begin[t] - np.cumsum(n[t]) + n[t], n[t]) + np.arange(n[t].sum())]
-        start = at - order[w, 0]
-        keep = start >= 0 if not slop else slice(None)
+            return
+        # the lists of these windows' terms: keys of term and position, sorted as postings are
+        used = np.unique(windows[w])
+        used = np.searchsorted(own, used[used >= 0])
+        span = int(first[-1])
+        lists = [postings[begin[k] : begin[k] + size[k]].astype(np.int64) for k in used]
+        key = np.concatenate([x + int(own[k]) * span for k, x in zip(used, lists)])
+        places = dict(zip(used.tolist(), lists))
+        ends = np.cumsum(size[t])
+        for part in np.split(np.arange(len(w)), np.searchsorted(ends, np.arange(CANDIDATES, ends[-1], CANDIDATES))):
+            if len(part):
+                start = np.concatenate([places[int(k)] for k in t[part]])
+                who = np.repeat(w[part], size[t[part]])
+                if slop:
+                    yield _near(key, span, first, who, start)
+                else:
+                    yield _exact(key, span, first, who, start - order[who, 0])
+
+    def _exact(key: np.ndarray, span: int, first: np.ndarray, w: np.ndarray, start: np.ndarray) -> tuple:
+        end = start + length[w]
+        keep = (start >= 0) & (end <= span)
+        w, start, end = w[keep], start[keep], end[keep]
+        keep = np.searchsorted(first, start, side="right") == np.searchsorted(first, end - 1, side="right")
         w, start = w[keep], start[keep]
-        if slop:
-            return _near(position, term, own, begin, n, w, start)
-        span = int(position.max()) + 1
-        key = term.astype(np.int64) * span + position  # sorted, as postings are
         for j in range(1, windows.shape[1]):
-            if not len(w):
-                return None
             off = order[w, j]
             wanted = windows[w, off].astype(np.int64)
-            place = start + off
-            k = np.searchsorted(key, wanted * span + place)
+            k = np.searchsorted(key, wanted * span + start + off)
             k[k == len(key)] = 0
-            ok = (wanted < 0) | (place < span) & (key[k] == wanted * span + place)
+            ok = (wanted < 0) | (key[k] == wanted * span + start + off)
             w, start = w[ok], start[ok]
-        return _packed(w, start, length[w])
-
-    def _near(position, term, own, begin, n, w, start):
-        got_w, got_s, got_l = [], [], []
-        lists = {int(v): position[b : b + c] for v, b, c in zip(own, begin, n)}
-        for x, s in zip(w, start):
-            lowest, highest, ok = 1 << 60, -1, True
-            for off in range(length[x]):
-                p = lists[int(windows[x, off])]
-                k = int(np.searchsorted(p, s + off))
-                near = [int(v) for v in p[max(0, k - 1) : k + 1] if abs(int(v) - (s + off)) <= slop]
+        return w, start, length[w]
+
+    def _near(key: np.ndarray, span: int, first: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple:
+        got: list[tuple[int, int, int]] = []
+        doc = np.searchsorted(first, at, side="right") - 1
+        for x, p, own in zip(w.tolist(), at.tolist(), doc.tolist()):
+            start, lowest, highest = p - int(order[x, 0]), 1 << 60, -1
+            for off in range(int(length[x])):
+                base = int(windows[x, off]) * span
+                k = int(np.searchsorted(key, base + start + off))
+                near = [int(v) - base for v in key[max(0, k - 1) : k + 1] if abs(int(v) - base - start - off) <= slop and first[own] <= int(v) - base < first[own + 1]]
                 if not near:
-                    ok = False
                     break
-                best = min(near, key=lambda v: (abs(v - (s + off)), v))
+                best = min(near, key=lambda v: (abs(v - start - off), v))
                 lowest, highest = min(lowest, best), max(highest, best)
-            if ok:
-                got_w.append(x), got_s.append(lowest), got_l.append(highest - lowest + 1)
-        return _packed(np.array(got_w, np.int64), np.array(got_s, np.int64), np.array(got_l, np.int64)) if got_w else None
-
-    def _packed(w, start, size):
-        if not len(w):
-            return None
-        return test.item[w].astype(np.int32).tobytes(), start.astype(np.int32).tobytes(), size.astype(np.int32).tobytes()
+            else:
+                got.append((x, lowest, highest - lowest + 1))
+        return tuple(np.array(x, np.int64) for x in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
 
-    return index.mapInArrow(match, HITS_SCHEMA)
+    return index.select("shard", "first", "terms", "counts", "postings").mapInArrow(match, HITS_SCHEMA)
 
 
-def summarize(hits: DataFrame, test: TestTerms) -> DataFrame:
-    """A row a document: words, words inside matches, items matched, their digest, contaminated or not."""
-    names = test.item_ids
+def summarize(index: DataFrame, hits: DataFrame) -> DataFrame:
+    """A row a document: words, words inside matches, items matched by id, their digest, contaminated or not."""
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_hit, n_items, sha = [], [], []
-            for item, start, size in zip(batch.column(2), batch.column(3), batch.column(4)):
-                which = np.unique(np.frombuffer(item.as_py(), np.int32))
-                s, z = np.frombuffer(start.as_py(), np.int32), np.frombuffer(size.as_py(), np.int32)
-                covered = 0
-                if len(s):
-                    delta = np.zeros(int((s + z).max()) + 1, np.int64)
+            for k in range(batch.num_rows):
+                first = np.frombuffer(batch.column(1)[k].as_py(), np.int32).astype(np.int64)
+                ids = batch.column(0).slice(k, 1).flatten()
+                delta, own = np.zeros(first[-1] + 1, np.int64), [set() for _ in ids]
+                for h in batch.column(2)[k].as_py() or ():
+                    s, z = np.frombuffer(h["start"], np.int32).astype(np.int64), np.frombuffer(h["length"], np.int32)
                     np.add.at(delta, s, 1)
                     np.add.at(delta, s + z, -1)
-                    covered = int((np.cumsum(delta) > 0).sum())
-                ids = sorted({str(names[k]) for k in which})
-                n_hit.append(covered), n_items.append(len(which)), sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                    for d, i in set(zip((np.searchsorted(first, s, side="right") - 1).tolist(), h["items"])):
+                        own[d].add(i)
+                covered = np.concatenate([[0], np.cumsum(np.cumsum(delta)[:-1] > 0)])
+                n_hit = covered[first[1:]] - covered[first[:-1]]
+                sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in own]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in own], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0)], names=names)
 
-    return hits.mapInArrow(sums, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+    gathered = hits.groupBy("shard").agg(F.collect_list(F.struct("items", "start", "length")).alias("hits"))
+    rows = index.select("shard", "doc_ids", "first").join(gathered, "shard", "left").select("doc_ids", "first", "hits")
+    types = (index.schema["doc_ids"].dataType.elementType, T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType())
+    return rows.mapInArrow(sums, T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))
 
 
-def test_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> list[TestTerms]:
-    """The test set as blocks of at most ``most`` bytes of text (or one longer item).
+def test_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", most: int = BLOCK_BYTES) -> Iterator[TestTerms]:
+    """The test set in blocks of at most ``most`` characters (or one longer item), one at a time.
 
-    The test set is read by the driver block by block; only numbers of it go
-    to the executors.  Items without an id are called ``null``.
+    Items without an id are called ``null``.
     """
-    blocks, own, size = [], [], 0
+    own, size = [], 0
     for i, t in benchmark.select(F.col(item_id), F.col(text)).toLocalIterator():
         if own and size + len(t or "") > most:
-            blocks.append(read_test_set(own))
+            yield read_test_set(own)
             own, size = [], 0
         own.append((i if i is not None else "null", t))
         size += len(t or "")
-    return [*blocks, read_test_set(own)]
+    yield read_test_set(own)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The summary of every document against every test item; cases as in the functions above.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The summary of every document against every test item.
 
-    Every row of ``docs`` has a row, whatever its id.  Documents are matched
-    where they lie, so nothing is shuffled but the term counts.  Of a test set
-    of several blocks, each is a pass of its own; the rows are then numbered
-    and written first, and their matches are brought together by number.
+    Every row of ``docs`` has a row, whatever its id; ids are carried as they
+    are.  Null or empty text has no words, and items without words have no
+    windows.  Items of one id count once.  Empty tables give no rows or no
+    hits.  All test sets are taken alike, block by block.
     """
-    blocks = test_blocks(benchmark)
-    if len(blocks) == 1:
-        index = materialize(build_index(docs, blocks[0]), "postings")
-        return summarize(phrase_matches(index, blocks[0]), blocks[0])
-    row = F.monotonically_increasing_id().alias("row")
-    rows = materialize(docs.select(row, F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), "rows")
-    ids = np.concatenate([b.item_ids for b in blocks])
-    shift, parts = 0, []
-    for b in blocks:
-        index = materialize(build_index(rows, b, doc_id="row"), "postings")
-        moved = TestTerms(b.terms, b.windows, b.length, b.item + shift, ids)
-        parts.append(phrase_matches(index, moved))
-        shift += len(b.item_ids)
-    # the rows bring their ids, the passes the numbers of words and what they found
-    merged = rows.select(F.col("doc_id").alias("id"), F.col("row").alias("doc_id"), F.lit(None).cast("bigint").alias("n_words"), *[F.lit(None).cast("binary").alias(c) for c in ("item", "start", "length")])
-    for p in parts:
-        merged = merged.unionByName(p.withColumn("id", F.lit(None).cast("bigint")))
-    join = lambda c: F.to_binary(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.octet_length("item") > 0, F.struct("item", "start", "length")))), lambda x: F.hex(x[c])), ""), F.lit("hex")).alias(c)
-    merged = merged.groupBy("doc_id").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), join("item"), join("start"), join("length"))
-    return summarize(merged.select(F.col("id").alias("doc_id"), "n_words", "item", "start", "length"), TestTerms(blocks[0].terms, blocks[0].windows, blocks[0].length, blocks[0].item, ids))
+    index = build_index(docs, text=text, doc_id=doc_id)
+    hits = docs.sparkSession.createDataFrame([], HITS_SCHEMA)
+    for block in test_blocks(benchmark):
+        hits = hits.unionByName(materialize(phrase_matches(index, block), "hits"))
+    return summarize(index, hits)

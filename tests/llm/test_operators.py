@@ -80,6 +80,27 @@ def test_suffix_dedup_repeats_across_blocks_of_one_text(spark, monkeypatch):
     assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
 
 
+def test_suffix_dedup_common_passages(spark, monkeypatch):
+    """Many different segments of one anchor: passages just below and above the length, alone and at edges."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", 3)
+    rng = random.Random(7)
+    shared = [words(rng, 400)[:n] for n in (150, 300, 385, 392, 399, 400, 401, 430, 900)]
+    rows = [(k, words(rng, 60) + shared[k % 9] + words(rng, 60), *[None] * 7) for k in range(90)]
+    rows += [(100 + k, shared[8][300:] + words(rng, 50), *[None] * 7) for k in range(4)] + [(200, rows[8][1], *[None] * 7)]
+    assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
+
+
+def test_suffix_dedup_strings_that_a_polynomial_hash_confuses(spark):
+    rows = [(1, thue_morse(400), *[None] * 7), (2, thue_morse(400).translate(str.maketrans("ab", "ba")), *[None] * 7)]
+    assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
+
+
+def test_suffix_dedup_crowds(spark):
+    text = words(random.Random(8), 120)
+    rows = [(k, text, *[None] * 7) for k in range(1500)] + [(5000, "x" * 50 + text[:450], *[None] * 7)]
+    assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
+
+
 # 2
 
 
@@ -229,44 +250,44 @@ def hits_by_force(rows, items):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
                     own |= ids
-        sha = hashlib.sha256(",".join(sorted("null" if i is None else str(i) for i in own)).encode()).hexdigest()
+        own = {"null" if i is None else str(i) for i in own}
+        sha = hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
         out.append((r[0], len(w), len(hit), len(own), sha, bool(hit)))
     return Counter(out)
 
 
 @pytest.mark.parametrize("block", [1 << 20, 100])
 def test_decontamination(spark, monkeypatch, block):
-    rows = [r for r in corpus() if r[0] is not None]
-    if block == 100:  # several blocks: documents are brought together by id, so repeated ones are left out here
-        rows = list({r[0]: r for r in rows}.values())
-    part = rows[5][1].split()
-    items = [(1, " ".join(part[3:40])), (2, "; ".join(part[20:27])), (10, None), (11, ""), (12, "no such words"), (None, " ".join(part[50:75])), (13, "5")]
-    test = spark.createDataFrame(items, "item_id bigint, text string")
-    if block == 100:
-        full = decontam.test_blocks
-        monkeypatch.setattr(decontam, "test_blocks", lambda b: full(b, most=100))
-    got = decontam.decontaminate(frame(spark, rows), test).collect()
-    assert Counter(map(tuple, got)) == hits_by_force(rows, items)
-
-
-def test_decontamination_of_several_blocks_keeps_repeated_and_null_ids(spark, monkeypatch):
     rows = corpus() + [(None, corpus()[6][1], *[None] * 7), (None, "clean", *[None] * 7), (5, "another text", *[None] * 7)]
     part = rows[5][1].split()
-    items = [(1, " ".join(part[3:40])), (2, "; ".join(part[20:27])), (10, None), (12, "no such words"), (None, " ".join(part[50:75]))]
+    items = [(1, " ".join(part[3:40])), (2, "; ".join(part[20:27])), (2, " ".join(part[60:75])), (10, None), (11, ""), (12, "no such words"), (None, " ".join(part[50:75])), (13, "5")]
     test, full = spark.createDataFrame(items, "item_id bigint, text string"), decontam.test_blocks
-    monkeypatch.setattr(decontam, "test_blocks", lambda b: full(b, most=100))
-    assert len(decontam.test_blocks(test)) > 1
+    monkeypatch.setattr(decontam, "test_blocks", lambda b: full(b, most=block))
+    monkeypatch.setattr(decontam, "SHARD_BYTES", 4000)
+    assert (len(list(decontam.test_blocks(test))) > 1) == (block == 100)
     got = decontam.decontaminate(frame(spark, rows), test).collect()
     assert Counter(map(tuple, got)) == hits_by_force(rows, items)
 
 
+def thue_morse(n):
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    w = thue_morse(1024)
+    other = w.translate(str.maketrans("ab", "ba"))
+    got = decontam.decontaminate(spark.createDataFrame([(1, other), (2, w)], "doc_id bigint, text string"), spark.createDataFrame([(1, w)], "item_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["contaminated"] for r in got} == {1: False, 2: True}
+    got = ngram_join.similar_documents(spark.createDataFrame([(1, other), (2, w)], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2}
+
+
 def test_proximity(spark):
     test = decontam.read_test_set([(1, "alpha beta gamma delta")])
-    docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "gamma alpha")], "doc_id bigint, text string")
-    index = decontam.build_index(docs, test, shortest=1)
-    near = {r[0]: len(r[2]) for r in decontam.phrase_matches(index, test, slop=1).collect()}
-    exact = {r[0]: len(r[2]) for r in decontam.phrase_matches(index, test).collect()}
-    assert near[1] and near[2] and not near[3] and exact[2] and not exact[1]
+    docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "gamma alpha"), (4, "alpha beta"), (5, "gamma delta")], "doc_id bigint, text string")
+    index = decontam.build_index(docs)
+    found = lambda slop: sorted(r["doc_id"] for r in decontam.summarize(index, decontam.phrase_matches(index, test, slop=slop)).collect() if r["contaminated"])
+    assert found(1) == [1, 2] and found(0) == [2]
 
 
 # 7
