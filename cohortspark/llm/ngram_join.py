@@ -3,14 +3,16 @@
 Two sets with Jaccard similarity of at least 0.8 differ in at most a ninth of
 their sizes' sum.  Sets are put into size bands, so that this is a number k
 for a band.  The feature domain is partitioned by a hash into more than k
-parts; two sets that differ in k features differ in at most k parts, so they
-agree in another.  Each set emits a signature for each of its non-empty
-parts, and sets that share a signature are candidates, which are verified.
+parts, of which two sets that differ in k features differ in at most k, so
+that they agree in the others.  Each set emits a signature for each subset of
+parts of a fixed size (two parts for small k, one for larger), and sets that
+share a signature are candidates, which are verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,18 @@ BLOCK_FEATURES = 1 << 20
 #: Features of at most so many sets of two blocks are counted by pairs.
 FEW = 16
 
-_Q = mix(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
+#: Sets that differ in at most so many features have signatures of two parts, others of one.
+PAIRED = 6
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def chained(words: list[np.ndarray]) -> np.ndarray:
+    """One hash of words that follow each other, each a bijection of the next word's hash."""
+    out = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        out = mix((out ^ w) * _ODD)
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -48,11 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """
     words, _, _, first = word_hashes(FOLD[data], offsets, SPACED)
     n = len(words) - SHINGLE + 1
-    whole = np.zeros(max(n, 0), np.uint64)
-    if n > 0:
-        for k in range(SHINGLE):
-            whole += words[k : k + n] * _Q[k]
-    whole = mix(whole)
+    whole = chained([words[k : k + n] for k in range(SHINGLE)]) if n > 0 else words[:0]
     out = []
     for a, b in zip(first[:-1], first[1:]):
         size = b - a
@@ -60,16 +69,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             s = np.sort(whole[a : b - SHINGLE + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif size:
-            short = (words[a:b] * _Q[:size]).sum(dtype=np.uint64) + np.uint64(size)
-            out.append(mix(np.array([short], np.uint64)))
+            out.append(chained([words[k : k + 1] for k in range(a, b)]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
 
 
-def set_number(s: np.ndarray) -> int:
-    """A set's 64-bit name: equal sets have the same one."""
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+def set_name(s: np.ndarray) -> bytes:
+    """A set's 128-bit name: equal sets have the same one."""
+    return xxhash.xxh3_128_digest(s.tobytes())
 
 
 def bands(largest: int) -> list[tuple[int, int]]:
@@ -104,12 +112,13 @@ def signatures(features: np.ndarray, rare: np.ndarray, size: int, known: list[tu
     A set takes part in its own band's enumeration and in the next larger
     band's, as similar sets are in one band or in adjacent ones.  ``rare``
     are the features outside full buckets.  Parts are of the rare features
-    alone if that leaves k + 1 non-empty parts: two such sets still agree in
-    one, and no signature is of common features alone.  If there are not that
-    many, the set also takes part in enumerations over twice and more as many
-    parts, and at last over all its features.  Whoever of a pair needs fewer
-    parts has k + 1 of them at a stage in which the other takes part as well,
-    so every similar pair shares a signature.
+    alone if that leaves more non-empty parts than two similar sets can differ
+    in: two such sets still agree in a subset of parts, and no signature is of
+    common features alone.  If there are not that many, the set also takes
+    part in enumerations over twice and more as many parts, and at last over
+    all its features.  Whoever of a pair needs fewer parts has enough of them
+    at a stage in which the other takes part as well, so every similar pair
+    shares a signature.
     """
     out = []
     home = band_of(size, known)
@@ -117,7 +126,7 @@ def signatures(features: np.ndarray, rare: np.ndarray, size: int, known: list[tu
         if band == len(known):
             band_of(known[-1][1] + 1, known)
         k = most_different(known[band][1])
-        for stage, (own, parts) in enumerate(_stages(features, rare, k)):
+        for stage, (own, parts, together) in enumerate(_stages(features, rare, k)):
             part = (own % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             sorted_part = part[order]
@@ -125,20 +134,34 @@ def signatures(features: np.ndarray, rare: np.ndarray, size: int, known: list[tu
             if len(begin):
                 body = np.add.reduceat(mix(own + np.uint64(1))[order], begin)
                 label = np.uint64(band) << np.uint64(44) | np.uint64(stage) << np.uint64(36)
-                out.append(mix(body + mix(sorted_part[begin].astype(np.uint64) + label)))
+                one = mix(body + mix(sorted_part[begin].astype(np.uint64) + label))
+                if together == 1:
+                    out.append(one)
+                else:  # an empty part is a part like the others, but no subset is of empty parts alone
+                    every = mix(mix(np.arange(parts, dtype=np.uint64) + label))
+                    every[sorted_part[begin]] = one
+                    full = np.zeros(parts, bool)
+                    full[sorted_part[begin]] = True
+                    sets = np.array(list(combinations(range(parts), together)))
+                    sets = sets[full[sets].any(1)]
+                    out.append(chained([every[sets[:, c]] for c in range(together)]))
+            # every subset of that size of the parts that agree must hold a part that isn't empty
             if len(begin) > k:
                 break
     return np.concatenate(out)
 
 
-def _stages(features: np.ndarray, rare: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int]]:
+def _stages(features: np.ndarray, rare: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(features, parts, parts in a signature) of each enumeration."""
+    if 0 < k <= PAIRED:
+        yield rare, k + 2, 2
     parts = 1 if k == 0 else (k + 1) * 5 // 4 + 2
     for own in (rare, features):
         for grow in (1, 2, 8, 64):
-            yield own, parts * grow
+            yield own, parts * grow, 1
     grow = 1024
     while True:  # all features in parts of their own, in the end
-        yield features, parts * grow
+        yield features, parts * grow, 1
         grow *= 64
 
 
@@ -164,14 +187,14 @@ def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
     halves of the mean.  The counts come as slices, one sum each.
     """
     n_buckets = 1 << BUCKET_BITS
-    schema = "doc_id bigint, n bigint, s bigint, slice int, counts binary" + ", t binary" * digest
+    schema = "doc_id bigint, n bigint, s binary, slice int, counts binary" + ", t binary" * digest
     names = [x.split()[0] for x in schema.split(", ")]
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(n_buckets, np.int32), set()
         for rows, data, offsets in pieces(batches, "text"):
             sets = shingle_sets(data, offsets)
-            numbers = [set_number(s) for s in sets]
+            numbers = [set_name(s) for s in sets]
             for s, number in zip(sets, numbers):
                 if number not in seen:
                     if len(seen) < 1 << 18:
@@ -180,9 +203,9 @@ def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
                     if len(s) <= n_buckets // 64:
                         np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.int64()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), *rows.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.binary()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), *rows.columns[2:]], names=names)
         at = [k for k in range(n_buckets // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in at], pa.binary()), *[pa.nulls(len(at), pa.binary())] * digest], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array([counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in at], pa.binary()), *[pa.nulls(len(at), pa.binary())] * digest], names=names)
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *[text_digest(text).alias("t")] * digest)
     made = materialize(rows.mapInArrow(heads, schema), "sets")
@@ -206,19 +229,20 @@ def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
 
 
 def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, text: str = "text") -> DataFrame:
-    """(members) of each signature that several sets share: the sets' numbers, sorted, as int64 bytes.
+    """(members) of each signature that several sets share: the sets' names, sorted, one after the other.
 
     Signatures travel packed: for each task and bucket of signatures the
-    distinct sets' numbers, how many signatures each has there, and those.
+    distinct sets' names, how many signatures each has there, and those.
     Equal sets of a task are one, so that copies are not repeated.
     """
     n_buckets = max(16, -(-n_signatures // BUCKET_SIGNATURES))
     packed = np.packbits(full).tobytes()
 
-    def emit(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def emit(held: list[tuple[bytes, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
-        who = np.repeat(np.array([n for n, _ in held], np.int64), [len(s) for _, s in held])
+        names = np.array([n for n, _ in held], dtype="V16")
+        who = np.repeat(np.arange(len(held)), [len(s) for _, s in held])
         sigs = np.concatenate([s for _, s in held])
         bucket = (sigs % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -230,14 +254,14 @@ def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, te
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 count = np.diff(np.append(first, len(own))).astype(np.int32)
                 short = (sigs[part] // np.uint64(n_buckets)).view(np.uint8).reshape(-1, 8)[:, :6]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([own[first].tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(short).tobytes()], pa.binary())], names=["bucket", "sets", "counts", "sigs"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([names[own[first]].tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(short).tobytes()], pa.binary())], names=["bucket", "sets", "counts", "sigs"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
         known, held, size, seen = bands(1 << 12), [], 0, set()
         for _, data, offsets in pieces(batches, "text"):
             for s in shingle_sets(data, offsets):
-                number = set_number(s)
+                number = set_name(s)
                 if not len(s) or number in seen:
                     continue
                 if len(seen) < 1 << 18:
@@ -256,10 +280,12 @@ def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, te
             for k, sets, counts, sigs in zip(*(c.to_pylist() for c in b.columns)):
                 raw = np.zeros((len(sigs) // 6, 8), np.uint8)
                 raw[:, :6] = np.frombuffer(sigs, np.uint8).reshape(-1, 6)
-                by_bucket.setdefault(k, []).append((np.repeat(np.frombuffer(sets, np.int64), np.frombuffer(counts, np.int32)), raw.view(np.uint64).ravel()))
+                by_bucket.setdefault(k, []).append((sets, np.frombuffer(counts, np.int32), raw.view(np.uint64).ravel()))
         for blocks in by_bucket.values():
-            who, sigs = (np.concatenate(x) for x in zip(*blocks))
+            own, counts, sigs = zip(*blocks)
             blocks.clear()
+            names, number = numbered(b"".join(own))
+            who, sigs = np.repeat(number, np.concatenate(counts)), np.concatenate(sigs)
             order = np.argsort(sigs, kind="stable")
             same = np.concatenate([[False], sigs[order][1:] == sigs[order][:-1]])
             keep = same | np.append(same[1:], False)
@@ -269,7 +295,7 @@ def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, te
             for a, b in zip(begin[:-1], begin[1:]):
                 members = np.unique(who[order[a:b]])
                 if len(members) > 1:
-                    found.add(members.tobytes())
+                    found.add(names[members].tobytes())
             todo = list(found)
             for lo in range(0, len(todo), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(todo[lo : lo + 1000], pa.binary())], names=["members"])
@@ -279,26 +305,44 @@ def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, te
     return shipped.repartition(n_buckets, "bucket").mapInArrow(group, "members binary")
 
 
+def numbered(names: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 16-byte names in order, and the number of each name among them."""
+    halves = np.frombuffer(names, ">u8").reshape(-1, 2).astype(np.uint64)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    ordered = halves[order]
+    new = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(1)]) if len(order) else np.zeros(0, bool)
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return np.frombuffer(names, "V16")[order[new]], out
+
+
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [np.frombuffer(m.as_py(), np.int64) for m in batch.column(1)]
-        if own:
-            size = [len(x) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), size)), pa.array(np.concatenate(own)), pa.array(np.repeat(size, size))], names=["g", "v", "z"])
+        if batch.num_rows:
+            own = [m.as_py() for m in batch.column(1)]
+            size = [len(x) // 16 for x in own]
+            names = pa.Array.from_buffers(pa.binary(16), sum(size), [None, pa.py_buffer(b"".join(own))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), size)), names.cast(pa.binary()), pa.array(np.repeat(size, size))], names=["g", "v", "z"])
+
+
+def group_members(groups: DataFrame) -> DataFrame:
+    """(g, v, z): the members v of each group and its size."""
+    return groups.select(F.xxhash64("members").alias("g"), "members").mapInArrow(_exploded, "g bigint, v binary, z bigint")
 
 
-def families(groups: DataFrame) -> DataFrame:
-    """(hub, v): the groups' members, put together by each group's most popular one.
+def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hub, v) twice: each set with its most popular hub only, and with every hub.
 
-    A set is as popular as all its groups together are large.  Variants of a
-    text share many signatures in many overlapping groups; their most popular
-    member is the one that is nearest to the others, and the union of its
-    groups holds every pair that they hold, once.
+    A set is as popular as all its groups together are large, and the hub of a
+    group is its most popular member.  Variants of a text share many signatures
+    in many overlapping groups; their hub is the one that is nearest to the
+    others.  The second table's families hold every pair that the groups hold.
     """
-    members = groups.select(F.xxhash64("members").alias("g"), "members").mapInArrow(_exploded, "g bigint, v bigint, z bigint")
     fame = members.groupBy("v").agg(F.sum("z").alias("fame"))
-    hubs = members.join(fame, "v").groupBy("g").agg(F.max(F.struct("fame", "v")).alias("h")).select("g", F.col("h.v").alias("hub"))
-    return members.join(hubs, "g").select("hub", "v").distinct()
+    hubs = members.join(fame, "v").groupBy("g").agg(F.max(F.struct("fame", "v")).alias("h"))
+    known = members.join(hubs, "g").select("v", "h")
+    best = known.groupBy("v").agg(F.max("h").alias("h")).select(F.col("h.v").alias("hub"), "v")
+    return best, known.select(F.col("h.v").alias("hub"), "v").distinct()
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -334,7 +378,7 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return whole
 
 
-def linked_within(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def linked_within(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
     """Links that join the similar ones of some sets: (member, smallest member it reaches)."""
     if len(sets) == 2:
         return [(max(names), min(names))] if verify(*sets) else []
@@ -354,34 +398,40 @@ def linked_within(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, i
         x, y = root(x), root(y)
         if x != y:
             parent[max(x, y)] = min(x, y)
-    least: dict[int, int] = {}
+    least: dict[int, bytes] = {}
     for k, n in enumerate(names):
         r = root(k)
         least[r] = min(least.get(r, n), n)
     return [(n, least[root(k)]) for k, n in enumerate(names) if least[root(k)] != n]
 
 
-def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(a, b) links that join all similar sets of each family.
+def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: str, text: str, *, whole: bool) -> DataFrame:
+    """(a, b) links that join similar sets of each family (hub, v).
 
-    A family is cut into blocks of bounded numbers of sets and features, and
-    each pair of blocks is a task's work; no pairs are emitted but links.  A
-    set's features are made again from one document that has it, next to the
-    list of its blocks, and go straight to those.
+    A family is cut into blocks of bounded numbers of sets and features.  If
+    ``whole``, each pair of blocks is a task's work, and all similar sets of
+    the family are joined; otherwise each block is compared within itself and
+    with the hub, so that each set's features are sent once.  No pairs are
+    emitted but links.  A set's features are made again from one document
+    that has it, next to the list of its blocks, and go straight to those.
     """
-    wanted = family.select(F.col("v").alias("s")).distinct()
+    wanted = family.select(F.col("v").alias("s")).union(family.select(F.col("hub").alias("s"))).distinct()
     bearers = materialize(heads.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).where("doc_id is not null"), "bearers")
     known = family.join(bearers.select(F.col("s").alias("v"), "n"), "v")
     sizes = known.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
     own = known.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    spread = own.select("v", "hub", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("v", F.struct("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j")).alias("block"))
+    if whole:
+        spread = own.select("v", "hub", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("v", F.struct("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j")).alias("block"))
+    else:
+        hubs = sizes.select(F.col("hub").alias("v"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+        spread = own.where("v <> hub").select("v", "hub", "b").union(hubs).select("v", F.struct("hub", F.col("b").alias("i"), F.col("b").alias("j")).alias("block"))
     listed = spread.groupBy("v").agg(F.collect_list("block").alias("blocks")).join(bearers.select(F.col("s").alias("v"), "doc_id"), "v")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(listed, "doc_id").select("v", "text", "blocks")
-    dealt = rows.mapInArrow(_block_rows, "hub bigint, i int, j int, v bigint, features binary").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
+    dealt = rows.mapInArrow(_block_rows, "hub binary, i int, j int, v binary, features binary").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, own = None, [], []
-        out: list[tuple[int, int]] = []
+        out: list[tuple[bytes, bytes]] = []
         for batch in batches:
             for hub, i, j, v, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (hub, i, j) != key:
@@ -390,13 +440,17 @@ def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: s
                     key, names, own = (hub, i, j), [], []
                 if not names or names[-1] != v:  # repeated rows bring a set twice
                     names.append(v), own.append(np.frombuffer(raw, np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array([a for _, a in out], pa.int64()), pa.array([b for b, _ in out], pa.int64())], names=["a", "b"])
+            yield _pairs(out)
             out = []
         if len(names) > 1:
             out += linked_within(names, own)
-        yield pa.RecordBatch.from_arrays([pa.array([a for _, a in out], pa.int64()), pa.array([b for b, _ in out], pa.int64())], names=["a", "b"])
+        yield _pairs(out)
+
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for _, a in out], pa.binary()), pa.array([b for b, _ in out], pa.binary())], names=["a", "b"])
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,12 +458,12 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in pieces(batches, "text"):
         out: list[tuple] = []
         for v, blocks, x in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), shingle_sets(data, offsets)):
-            if set_number(x) == v:
+            if set_name(x) == v:
                 raw = x.tobytes()
                 out += [(b["hub"], b["i"], b["j"], v, raw) for b in blocks]
         for lo in range(0, len(out), 500):
             columns = zip(*out[lo : lo + 500])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["hub", "i", "j", "v", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["hub", "i", "j", "v", "features"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -441,17 +495,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(heads, labels): doc_id, n and set number s of each document; set number and class label of each linked set.
+    """(heads, labels): doc_id, n and set name s of each document; set name and class label of each linked set.
 
-    Sets that share a signature are of one family, and all pairs within
-    families are compared, so that no link is lost.
+    Sets that share a signature are candidates.  First each is compared with
+    the hub of its largest family and with a bounded block of that family;
+    this joins most near copies.  The groups that still hold sets of several
+    classes then form families in which all pairs of blocks are compared, so
+    that no link between different classes is lost.
     """
     heads, full = set_heads(docs, doc_id=doc_id, text=text, digest=digest)
     total = heads.agg(F.sum("n")).first()[0] or 0
     groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
-    family = materialize(families(groups), "families")
-    links = materialize(family_links(docs, heads, family, doc_id, text), "links")
-    return heads, materialize(components(links), "labels")
+    members = materialize(group_members(groups), "members")
+    near = materialize(family_links(docs, heads, families(members)[0], doc_id, text, whole=False), "near-links")
+    first = materialize(components(near), "near-labels")
+    told = members.join(first, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    open_ = told.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+    left = materialize(members.join(open_, "g", "left_semi"), "open-members")
+    links = materialize(family_links(docs, heads, families(left)[1], doc_id, text, whole=True), "links")
+    return heads, materialize(components(links.unionByName(first.select(F.col("v").alias("a"), F.col("label").alias("b")))), "labels")
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
