@@ -5,7 +5,10 @@ is sharded by content first.  Of each string of ``LENGTH`` bytes the smallest
 hash of its ``GRAM``-byte grams picks an anchor; equal strings have equal
 anchors.  The strings of one anchor stand side by side and form a segment.
 Segments whose anchors are equal meet in one shard, equal segments as one,
-and the shard's suffix array finds the strings that they share.
+and the shard's suffix array finds the strings that they share.  The segments
+of a common anchor are sharded again by more of their content: by the
+``LENGTH - WIDTH + 1`` bytes that ``WIDTH`` neighbouring strings share, and if
+that is common too, string by string.
 """
 
 from __future__ import annotations
@@ -14,19 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import materialize, pieces
-from ._words import mix, prefix_hash, span_hash
+from ._base import fresh, materialize, pieces
+from ._words import mix
 
 LENGTH = 400
 GRAM = 128
 #: Bytes of segments for one suffix array.
 SHARD_BYTES = 1 << 19
-#: Segments of one anchor that a shard takes; those of a commoner anchor are split by string.
+#: Different segments that a shard takes of one anchor; those of a commoner one are sharded more finely.
 SHARD_SEGMENTS = 256
+#: Neighbouring strings of one finer shard.
+WIDTH = 17
 #: Strings of one text that are looked at together.
 BLOCK = 1 << 20
 
@@ -189,9 +195,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     ordered = rough[is_lms[rough]]
     end = np.full(len(t), len(t), np.int64)
     end[lms[:-1]] = lms[1:] + 1
-    prefix = prefix_hash(t)
-    code = span_hash(prefix, ordered, end[ordered])
-    name = np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))
+    name = np.cumsum(np.concatenate([[False], ~_equal_spans(t, ordered, end[ordered])]))
     names = np.zeros(len(t), np.int64)
     names[ordered] = name
     if name[-1] + 1 < len(ordered):
@@ -199,6 +203,26 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return _induce(t, small, ordered, size)
 
 
+def _equal_spans(t: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each span t[start:end] but the first equals the one before it."""
+    size = ends - starts
+    same = size[1:] == size[:-1]
+    live = np.flatnonzero(same)
+    step = 0
+    while len(live):
+        if step == 64:  # the few long ones at once
+            raw, width = t.tobytes(), t.itemsize
+            for k in live:
+                a, b, n = int(starts[k]), int(starts[k + 1]), int(size[k])
+                same[k] = raw[a * width : (a + n) * width] == raw[b * width : (b + n) * width]
+            break
+        equal = t[starts[live] + step] == t[starts[live + 1] + step]
+        same[live[~equal]] = False
+        step += 1
+        live = live[equal & (size[live] > step)]
+    return same
+
+
 def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(before, lcp): for each position the suffix before it in the array and their common prefix's length.
 
@@ -254,21 +278,37 @@ def repeated(segments: list[bytes]) -> list[np.ndarray]:
 # Segments
 
 
-def find_segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, own, anchor hash, segment hash) of the segments of each row's strings.
+_P = np.uint64(0x9E3779B97F4A7C15)
+_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Rolling hashes of all grams; they choose anchors and name shards, but make nothing equal."""
+    n = len(data)
+    with np.errstate(over="ignore"):
+        powers, inverse = np.full(n, _P, np.uint64), np.full(n, _P_INV, np.uint64)
+        powers[0] = inverse[0] = 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64)])
+        return mix((sums[GRAM:] - sums[: n - GRAM + 1]) * np.cumprod(inverse, dtype=np.uint64)[: n - GRAM + 1])
+
+
+def _anchor_keys(grams: np.ndarray) -> np.ndarray:
+    """What the smallest is looked for of: 40 bits of the hash, then the position."""
+    return (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
+
+
+def find_segments(data: np.ndarray, offsets: np.ndarray) -> tuple:
+    """(row, start, own, anchor hash, name) of the segments of each row's strings.
 
     ``own`` is the number of strings of the segment, which start side by side
-    from ``start`` in the row.
+    from ``start`` in the row; the name is the 128-bit hash of its bytes.
     """
-    none = tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
     if not count.sum():
-        return none
-    n, width = len(data), LENGTH - GRAM + 1
-    prefix = prefix_hash(data)
-    grams = span_hash(prefix, np.arange(n - GRAM + 1), np.arange(GRAM, n + 1))
-    # the smallest of 40 bits of the hash, the first of equal ones
-    keys = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
+        return (*(np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64)), [])
+    width = LENGTH - GRAM + 1
+    grams = gram_hashes(data)
+    keys = _anchor_keys(grams)
     whole = -(-len(keys) // width) * width
     grid = np.full(whole, np.uint64(2**64 - 1))
     grid[: len(keys)] = keys
@@ -281,7 +321,9 @@ def find_segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ..
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])]))
     own = np.diff(np.append(first, len(row)))
     begin = starts[first]
-    return row[first], begin - offsets[:-1][row[first]], own, grams[anchor[first]], span_hash(prefix, begin, begin + own - 1 + LENGTH)
+    raw = data.tobytes()
+    names = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + own - 1 + LENGTH).tolist())]
+    return row[first], begin - offsets[:-1][row[first]], own, grams[anchor[first]], names
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
@@ -295,7 +337,7 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
         yield (row, start + lo, *rest)
 
 
-ANCHORS = "t binary, ah bigint, sh bigint, starts binary, own int"
+ANCHORS = "t binary, ah bigint, sh binary, starts binary, own int"
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
@@ -310,15 +352,17 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                 keep = np.flatnonzero(new[row]) if len(row) else row
                 if not len(keep):
                     continue
-                row, start, own, ah, sh = (x[keep] for x in (row, start, own, ah, sh))
-                key = mix(ah + mix(sh + mix(row.astype(np.uint64))))
-                order = np.argsort(key, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+                row, start, own, ah = (x[keep] for x in (row, start, own, ah))
+                sh = np.array([sh[k] for k in keep.tolist()], object)
+                halves = np.frombuffer(b"".join(sh), np.uint64).reshape(-1, 2)
+                key = np.stack([row.astype(np.uint64), halves[:, 0], halves[:, 1]], 1)
+                order = np.argsort(mix(key[:, 0] + mix(key[:, 1] ^ mix(key[:, 2]))), kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], (key[order][1:] != key[order][:-1]).any(1)]))
                 ends = np.append(first[1:], len(order))
                 packed = start[order].astype(np.int32)
                 k = order[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[r] for r in row[k]], pa.binary()), pa.array(ah[k].view(np.int64)), pa.array(sh[k].view(np.int64)), pa.array([packed[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array(own[k].astype(np.int32))],
+                    [pa.array([names[r] for r in row[k]], pa.binary()), pa.array(ah[k].view(np.int64)), pa.array(sh[k].tolist(), pa.binary()), pa.array([packed[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array(own[k].astype(np.int32))],
                     names=["t", "ah", "sh", "starts", "own"],
                 )
             if len(seen) < 1 << 18:
@@ -335,13 +379,13 @@ def _runs(flags: np.ndarray) -> bytes:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ah, sh, runs) from (ah, sh, bytes) sorted by ah: suffix arrays of whole groups, many to an array."""
-    held: dict[tuple[int, int], bytes] = {}
+    held: dict[tuple[int, bytes], bytes] = {}
     size, last = 0, None
 
     def solve() -> Iterator[pa.RecordBatch]:
         found = [(k, _runs(f)) for k, f in zip(held, repeated(list(held.values()))) if f.any()] if held else []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.binary())], names=["ah", "sh", "runs"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.binary()), pa.array([r for _, r in found], pa.binary())], names=["ah", "sh", "runs"])
 
     for batch in batches:
         for ah, sh, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -355,14 +399,37 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from solve()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ah, sh, at, w): the hash of each string of a segment."""
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ah, sh, at, finer, name, raw): the parts of a segment, each of at most ``WIDTH`` neighbouring strings.
+
+    The parts are cut where the anchor stands a multiple of ``WIDTH`` bytes
+    into a string, so that equal strings are in parts alike; ``finer`` is the
+    hash of the bytes that all strings of such a part would share.
+    """
     for batch in batches:
+        out: list[tuple] = []
         for ah, sh, raw in zip(*(c.to_pylist() for c in batch.columns)):
-            data = np.frombuffer(raw, np.uint8)
-            n = len(data) - LENGTH + 1
-            w = span_hash(prefix_hash(data), np.arange(n), np.arange(n) + LENGTH)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, ah)), pa.array(np.full(n, sh)), pa.array(np.arange(n, dtype=np.int32)), pa.array(w.view(np.int64))], names=["ah", "sh", "at", "w"])
+            n = len(raw) - LENGTH + 1
+            at = int(_anchor_keys(gram_hashes(np.frombuffer(raw[:LENGTH], np.uint8))).argmin())
+            for c in range(max(0, at - n + 1) // WIDTH, at // WIDTH + 1):
+                lo, hi = max(0, at - c * WIDTH - WIDTH + 1), min(n - 1, at - c * WIDTH)
+                core = raw[at - c * WIDTH : at - c * WIDTH - WIDTH + 1 + LENGTH]
+                part = raw[lo : hi + LENGTH]
+                out.append((ah, sh, lo, xxhash.xxh3_64_intdigest(core, c) - (1 << 63), xxhash.xxh3_128_digest(part), part))
+        if out:
+            yield _columns(out, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), ["ah", "sh", "at", "finer", "name", "raw"])
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ah, sh, at, name) of each string of parts (ah, sh, at, raw)."""
+    for batch in batches:
+        out = [(ah, sh, at + k, xxhash.xxh3_128_digest(raw[k : k + LENGTH])) for ah, sh, at, raw in zip(*(c.to_pylist() for c in batch.columns)) for k in range(len(raw) - LENGTH + 1)]
+        if out:
+            yield _columns(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), ["ah", "sh", "at", "name"])
+
+
+def _columns(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
 def _segment_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,40 +451,76 @@ def _segment_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _named(rows: list[tuple]) -> pa.RecordBatch:
-    a, s, b, h = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(b, pa.binary()), pa.array(h, pa.bool_())], names=["ah", "sh", "raw", "hot"])
+    return _columns(rows, (pa.int64(), pa.binary(), pa.binary(), pa.bool_()), ["ah", "sh", "raw", "hot"])
+
+
+SHARDED = "ah bigint, sh binary, runs binary"
+
 
+def _solve(pieces_: DataFrame) -> DataFrame:
+    """(ah, sh, runs) of the repeated strings of (ah, sh, raw), each ah's rows in one shard."""
+    return pieces_.select("ah", "sh", "raw").repartition("ah").sortWithinPartitions("ah").mapInArrow(_shards, SHARDED)
 
-def repeats(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(t, whole, marks) of each text with repeated strings; ``t`` is the MD5 of the text's bytes.
+
+def _finely(raw: DataFrame) -> DataFrame:
+    """:func:`_solve` for segments of common anchors: in finer shards, of which the common ones go string by string."""
+    parts = materialize(raw.select("ah", "sh", "raw").mapInArrow(_finer, "ah bigint, sh binary, at int, finer bigint, name binary, raw binary"), "parts")
+    names = materialize(parts.groupBy("finer", "name").agg(F.count(F.lit(1)).alias("n")), "part-names")
+    shards = names.groupBy("finer").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    few, many = shards.where(F.col("k") <= SHARD_SEGMENTS).select("finer"), shards.where(F.col("k") > SHARD_SEGMENTS).select("finer")
+    own = parts.join(few, "finer", "left_semi").select(F.col("finer").alias("ah"), F.col("name").alias("sh"), "raw").dropDuplicates(["ah", "sh"])
+    solved = _solve(own).select(F.col("ah").alias("finer"), F.col("sh").alias("name"), "runs")
+    several = names.where("n > 1").select("name").distinct()
+    equal = parts.select("ah", "sh", "at", "name", (F.octet_length("raw") - LENGTH + 1).alias("own")).join(several, "name", "left_semi").select("ah", "sh", "at", F.concat(_bytes32(F.lit(0)), _bytes32(F.col("own"))).alias("runs"))
+    shared = parts.select("ah", "sh", "at", "finer", "name").join(solved, ["finer", "name"]).select("ah", "sh", "at", "runs").unionByName(equal)
+    strings = parts.join(many, "finer", "left_semi").select("ah", "sh", "at", "raw").mapInArrow(_strings, "ah bigint, sh binary, at int, name binary")
+    strings = materialize(strings, "strings")
+    often = strings.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    single = strings.join(often, "name", "left_semi").select("ah", "sh", "at", F.concat(_bytes32(F.lit(0)), _bytes32(F.lit(1))).alias("runs"))
+    return shared.unionByName(single).mapInArrow(_moved, SHARDED)
+
+
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ah, sh, runs) from (ah, sh, at, runs), whose runs are counted from at."""
+    for batch in batches:
+        runs = [(np.frombuffer(r, np.int32) + at).astype(np.int32).tobytes() for at, r in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.binary())], names=["ah", "sh", "runs"])
+
+
+def repeats(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(t, whole, marks) of each text with repeated strings, and the few t of very many copies; ``t`` is the MD5 of the text's bytes.
 
     ``whole``: the text stands more than once, and so does every string of
     it.  ``marks``: its segments' starts, each with the runs of its repeated
-    strings.
+    strings.  Texts of over a thousandth of all rows are in the second table,
+    which has a thousand rows at most.
     """
     named = docs.select(F.unhex(F.md5(text)).alias("t"), F.col(text).alias("text")).where(F.octet_length("text") >= LENGTH)
-    copies = named.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t")
     anchors = materialize(anchor_rows(named), "anchors")
+    counts = materialize(named.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    least = max(1000, docs.count() // 1000)
+    crowds = materialize(counts.where(F.col("n") >= least).select("t"), "crowds")
     # a segment of one text that stands in several of its blocks has a row of each, with different first starts
     one = F.struct("t", F.substring("starts", 1, 4).alias("s"), F.octet_length("starts").alias("z"))
     segments = anchors.groupBy("ah", "sh").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.first("own").alias("own"))
     segments = materialize(segments.select("ah", "sh", "own", F.col("a.t").alias("t"), F.col("a.s").alias("s"), ((F.col("a.t") != F.col("b.t")) | (F.col("a.s") != F.col("b.s")) | (F.col("a.z") > 4)).alias("multi")), "segments")
     groups = segments.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = segments.join(groups, "ah").select("t", F.struct("ah", "sh", _int32("s").alias("start"), "own", (F.col("k") > SHARD_SEGMENTS).alias("hot")).alias("x"))
-    by_text = wanted.groupBy("t").agg(F.collect_list("x").alias("x"))
-    bearers = named.join(by_text, "t").select("text", "x")
-    raw = materialize(bearers.mapInArrow(_segment_bytes, "ah bigint, sh bigint, raw binary, hot boolean"), "segment-bytes")
-
-    cold = raw.where("not hot").select("ah", "sh", "raw").repartition("ah").sortWithinPartitions("ah").mapInArrow(_shards, "ah bigint, sh bigint, runs binary")
-    strings = raw.where("hot").select("ah", "sh", "raw").dropDuplicates(["ah", "sh"]).mapInArrow(_windows, "ah bigint, sh bigint, at int, w bigint")
-    often = strings.groupBy("ah", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah", "w")
-    hot = strings.join(often, ["ah", "w"], "left_semi").groupBy("ah", "sh").agg(F.sort_array(F.collect_list("at")).alias("at")).mapInArrow(_from_places, "ah bigint, sh bigint, runs binary")
+    by_text = materialize(wanted.groupBy("t").agg(F.collect_list("x").alias("x")), "wanted")
+    # of copies one brings the bytes; very many copies are made one before they meet
+    bearing = by_text.select("t").join(F.broadcast(crowds), "t", "left_semi")
+    few = named.join(F.broadcast(bearing), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    rest = named.join(F.broadcast(crowds), "t", "left_anti")
+    bearers = rest.join(by_text, "t").groupBy("t").agg(F.first("text").alias("text"), F.first("x").alias("x")).select("text", "x")
+    bearers = bearers.unionByName(few.join(by_text, "t").select("text", "x"))
+    raw = materialize(bearers.mapInArrow(_segment_bytes, "ah bigint, sh binary, raw binary, hot boolean"), "segment-bytes")
+
     full = segments.where("multi").select("ah", "sh", F.concat(_bytes32(F.lit(0)), _bytes32(F.col("own"))).alias("runs"))
-    found = cold.unionByName(hot).unionByName(full)
+    found = _solve(raw.where("not hot")).unionByName(_finely(raw.where("hot"))).unionByName(full)
     marks = anchors.join(found, ["ah", "sh"]).select("t", F.struct("starts", "runs").alias("m"))
     by_text = marks.groupBy("t").agg(F.collect_list("m").alias("marks")).select("t", F.lit(False).alias("whole"), "marks")
-    every = by_text.unionByName(copies.select("t", F.lit(True).alias("whole"), F.array().cast(by_text.schema["marks"].dataType).alias("marks")))
-    return every.groupBy("t").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("marks")).alias("marks"))
+    every = by_text.unionByName(counts.select("t", F.lit(True).alias("whole"), F.array().cast(by_text.schema["marks"].dataType).alias("marks")))
+    return every.groupBy("t").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("marks")).alias("marks")), crowds
 
 
 def _int32(column: str):
@@ -431,16 +534,6 @@ def _bytes32(value):
     return F.unhex(F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]))
 
 
-def _from_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        runs = []
-        for at in batch.column(2).to_pylist():
-            flags = np.zeros(at[-1] + 1, bool)
-            flags[at] = True
-            runs.append(_runs(flags))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.binary())], names=["ah", "sh", "runs"])
-
-
 def removed_spans(size: int, whole: bool, marks: list[dict]) -> list[tuple[int, int]]:
     """The maximal runs of bytes that repeated strings cover."""
     if whole:
@@ -468,8 +561,13 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", spans: str = "removed
     base = docs.drop(spans, kept)
     columns = base.columns
     where = columns.index(text)
-    found = repeats(docs, text=text).withColumnsRenamed({"t": "_t", "whole": "_whole", "marks": "_marks"})
-    joined = base.join(found, F.unhex(F.md5(text)) == F.col("_t"), "left").drop("_t")
+    found, crowds = repeats(docs, text=text)
+    key, crowd = fresh(base, "t"), fresh(base, "crowd")
+    # very many copies are whole ones: dealt by number, they match nothing and need nothing
+    told = base.withColumn(key, F.unhex(F.md5(text))).join(F.broadcast(crowds.select(F.col("t").alias(key), F.lit(True).alias(crowd))), key, "left")
+    told = told.withColumn(key, F.when(F.col(crowd), F.encode(F.monotonically_increasing_id().cast("string"), "utf-8")).otherwise(F.col(key)))
+    found = found.select(F.col("t").alias(key), F.col("whole").alias("_whole"), F.col("marks").alias("_marks"))
+    joined = told.join(found, key, "left").select(*columns, F.coalesce(crowd, "_whole").alias("_whole"), "_marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
