@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -16,12 +18,13 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session does not name one (as in tests on one machine) a
-    temporary folder takes its place.
+    Only on one machine, as in tests, a temporary folder may take its place.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="corpus-shared-"))
 
 
@@ -34,7 +37,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is a crowd's if it has at least so many rows, and a thousandth of them all.
+CROWD = 1000
+
+
+def crowds(counts: DataFrame, key: str, n: str, rows: int) -> DataFrame:
+    """(key) of the at most a thousand keys of a table of ``rows`` rows that have the most of them, written."""
+    return materialize(counts.where(F.col(n) >= max(CROWD, rows // 1000)).select(key), "crowds")
+
+
+def left_join(left: DataFrame, right: DataFrame, key: str, crowd: DataFrame, salt: Column) -> DataFrame:
+    """``left`` with the columns of ``right``, whose ``key`` is unique, without one task for a crowd's or the null key.
+
+    Rows of the ``crowd`` keys (few, see :func:`crowds`) get theirs from a
+    broadcast of their rows of ``right``, which have to be small; they and
+    rows without a key are then dealt by ``salt``, which equals no key.
+    """
+    others = [c for c in right.columns if c != key]
+    warm, own, dealt = fresh(left, "warm", *others), fresh(left, "own", *others), fresh(left, "dealt", *others)
+    few = right.join(F.broadcast(crowd), key, "left_semi").select(F.col(key).alias(own), F.struct(*others).alias(warm))
+    cold = right.join(F.broadcast(crowd), key, "left_anti").select(F.col(key).alias(dealt), *others)
+    told = left.join(F.broadcast(few), F.col(key) == F.col(own), "left").withColumn(dealt, F.when(F.col(own).isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(salt))
+    out = told.join(cold, dealt, "left")
+    return out.select(*left.columns, *[F.coalesce(F.col(c), F.col(f"{warm}.{c}")).alias(c) for c in others])
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

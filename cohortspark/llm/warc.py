@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import shared_dir
+from ._base import crowds, left_join, materialize, shared_dir
 
 #: Bytes of records after which an archive ends.
 ARCHIVE_BYTES = 8 << 20
@@ -36,11 +36,84 @@ RECORD_SCHEMA = "url string, ip string, date string, mime string, block binary"
 
 @dataclass(frozen=True)
 class ArcRecord:
+    """A record; ``place`` (archive and offset) tells equal records apart."""
+
     url: str
     ip: str
     date: str
     mime: str
     block: bytes
+    place: str = ""
+
+
+@dataclass(frozen=True)
+class Damaged:
+    """What stands at an offset (of the unpacked archive) instead of a record."""
+
+    offset: int
+    reason: str
+
+
+class Stream:
+    """Lines and blocks of an archive, plain or of gzip members one after the other, unpacked as it is read."""
+
+    def __init__(self, data: bytes):
+        self.parts = self._members(data) if data[:2] == b"\x1f\x8b" else iter([data])
+        self.held = b""
+        self.at = 0
+        self.offset = 0
+        self.broken = ""
+
+    def _members(self, data: bytes) -> Iterator[bytes]:
+        view, at = memoryview(data), 0
+        while at < len(data):
+            member = zlib.decompressobj(31)
+            while not member.eof and at < len(data):
+                part = view[at : at + (1 << 16)]
+                try:
+                    yield member.decompress(part)
+                except zlib.error as e:
+                    self.broken = f"gzip: {e}"
+                    return
+                at += len(part) - len(member.unused_data)
+            if not member.eof:
+                self.broken = "gzip: the last member has no end"
+
+    def _more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        self.held, self.at = self.held[self.at :] + part, 0
+        return True
+
+    def line(self) -> bytes | None:
+        """The next line without its end, or None at the end."""
+        seen = 0
+        while (end := self.held.find(b"\n", self.at + seen)) < 0:
+            seen = len(self.held) - self.at
+            if not self._more():
+                if not seen:
+                    return None
+                end = len(self.held)
+                break
+        out = self.held[self.at : end]
+        self.offset += min(end + 1, len(self.held)) - self.at
+        self.at = min(end + 1, len(self.held))
+        return out[:-1] if out.endswith(b"\r") else out
+
+    def read(self, size: int) -> bytes | None:
+        """The next ``size`` bytes, or None if there are fewer, which are gone then."""
+        parts, left = [], size
+        while True:
+            part = self.held[self.at : self.at + left]
+            parts.append(part)
+            left -= len(part)
+            self.at += len(part)
+            self.offset += len(part)
+            if not left:
+                return b"".join(parts)
+            if not self._more():
+                return None
 
 
 def sha1_base32(data: bytes) -> str:
@@ -69,44 +142,55 @@ def arc_archive(records: list[ArcRecord], name: str, version: int = 1) -> bytes:
     return b"".join(out)
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
+def parse_arc(data: bytes, name: str = "") -> Iterator[ArcRecord | Damaged]:
     """The records of an ARC file of either version, by declared lengths; the version block is not one.
 
     The field line in the version block says which of a header line's fields
-    is which.  A header line without as many fields, or a length beyond the
-    end, is an error.
+    is which; spaces beyond them belong to the URL.  An empty file has no
+    records.  What is no header line, or declares more bytes than there are,
+    is damaged; records go on at the next line that looks like a header.
     """
-    line, at = _line(data, 0)
-    parts = line.split(" ")
-    if not line.startswith("filedesc://"):
-        raise ValueError("an ARC file starts with filedesc://")
-    version_block = data[at : at + int(parts[-1])]
-    version, fields = version_block.decode("utf-8", "replace").split("\n")[:2]
-    names = [x.lower() for x in fields.split(" ")]
-    if fields != ARC_FIELDS.get(int(version.split(" ")[0])):
-        raise ValueError(f"unknown ARC version: {version!r}")
-    at += int(parts[-1])
-    while True:
-        while at < len(data) and data[at] in (10, 13):
-            at += 1
-        if at >= len(data):
-            return
-        line, at = _line(data, at)
-        parts = line.split(" ")
-        if len(parts) != len(names):
-            raise ValueError(f"{len(names)} fields wanted: {line[:200]!r}")
-        own = dict(zip(names, parts))
-        size = int(own["archive-length"])
-        if at + size > len(data):
-            raise ValueError(f"record of {size} bytes beyond the end: {line[:200]!r}")
-        yield ArcRecord(own["url"], own["ip-address"], own["archive-date"], own["content-type"], data[at : at + size])
-        at += size
-
-
-def _line(data: bytes, at: int) -> tuple[str, int]:
-    end = data.find(b"\n", at)
-    end = len(data) if end < 0 else end
-    return data[at:end].rstrip(b"\r").decode("utf-8", "replace"), end + 1
+    stream, names, lost = Stream(data), ARC_FIELDS[1].lower().split(" "), False
+    while (line := stream.line()) is not None:
+        if not line:
+            continue
+        at = stream.offset
+        if line.startswith(b"filedesc://"):  # archives may be joined, so it may come again
+            size = line.rpartition(b" ")[2]
+            block = stream.read(int(size)) if re.fullmatch(rb"[0-9]{1,9}", size) else None
+            fields = (block or b"").decode("utf-8", "replace").split("\n")[1:2]
+            own = fields[0].strip().lower().split(" ") if fields else []
+            if "url" in own and own[-1] == "archive-length":
+                names, lost = own, False
+            else:
+                yield Damaged(at, f"a version block with the fields {own}")
+                lost = True
+            continue
+        header = _header(line, names, strict=lost)
+        if header is None:
+            if not lost:
+                yield Damaged(at, f"no header of {len(names)} fields: {line[:100]!r}")
+            lost = True
+            continue
+        lost = False
+        block = stream.read(int(header["archive-length"]))
+        if block is None:
+            yield Damaged(at, f"a record of {header['archive-length']} bytes, which end beyond the archive")
+            break
+        yield ArcRecord(header["url"], header.get("ip-address", "0.0.0.0"), header.get("archive-date", ""), header.get("content-type", "no-type"), block, f"{name}#{at}")
+    if stream.broken:
+        yield Damaged(stream.offset, stream.broken)
+
+
+def _header(line: bytes, names: list[str], strict: bool) -> dict[str, str] | None:
+    """The named fields of a header line; if ``strict``, only of one that can hardly be content."""
+    parts = line.decode("utf-8", "replace").rsplit(" ", len(names) - 1)
+    if len(parts) != len(names) or not re.fullmatch(r"[0-9]{1,15}", parts[-1]):
+        return None
+    own = dict(zip(names, parts))
+    if strict and not (re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", own["url"]) and re.fullmatch(r"[0-9]{12}([0-9]{2})?", own.get("archive-date", ""))):
+        return None
+    return own
 
 
 def http_payload(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -121,9 +205,9 @@ def http_payload(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
 
 
 def warc_id(record: ArcRecord, payload_digest: str) -> str:
-    """A stable identifier for a converted record: the same record gets the same one."""
+    """A stable identifier for a converted record: the same record of the same place gets the same one."""
     _, head, _ = http_payload(record.block)
-    seed = "\n".join([record.url, record.date, hashlib.sha1(head).hexdigest(), payload_digest])
+    seed = "\n".join([record.url, record.date, hashlib.sha1(head).hexdigest(), payload_digest, record.place])
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>"
 
 
@@ -164,21 +248,31 @@ def to_warc(record: ArcRecord, *, digest: str | None = None, refers_to: str | No
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r"
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record, by declared lengths."""
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4
-        size = int(headers["content-length"])
-        if at + size > len(data):
-            raise ValueError("record beyond the end")
-        yield headers, data[at : at + size]
-        at += size + 4
+def parse_warc(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes] | Damaged]:
+    """(headers with lower-case names, block) of each record, by declared lengths; damage as in :func:`parse_arc`."""
+    stream, lost = Stream(data), False
+    while (line := stream.line()) is not None:
+        if not line:
+            continue
+        at = stream.offset
+        headers: dict[str, str] = {}
+        if line.startswith(b"WARC/"):
+            while part := stream.line():
+                k, _, v = part.decode("utf-8", "replace").partition(":")
+                headers[k.strip().lower()] = v.strip()
+        if not re.fullmatch(r"[0-9]{1,15}", headers.get("content-length", "")):
+            if not lost:
+                yield Damaged(at, f"no WARC header: {line[:100]!r}")
+            lost = True
+            continue
+        lost = False
+        block = stream.read(int(headers["content-length"]))
+        if block is None:
+            yield Damaged(at, f"a record of {headers['content-length']} bytes, which end beyond the archive")
+            break
+        yield headers, block
+    if stream.broken:
+        yield Damaged(stream.offset, stream.broken)
 
 
 def write_archives(rows: DataFrame, path: str, join: Callable[[list], bytes], size: Callable[[object], int], most: int = ARCHIVE_BYTES) -> None:
@@ -206,17 +300,20 @@ def write_archives(rows: DataFrame, path: str, join: Callable[[list], bytes], si
     made.write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
-def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that ``parse`` makes of each archive file under ``path``."""
+def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes, str], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that ``parse`` makes of each archive file's bytes and name under ``path``, packed or not.
+
+    A file is one row, so it has to be smaller than 2 GB; what it holds is
+    unpacked as it is read.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                data = zlib.decompress(content.as_py(), 31)
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out: list[tuple] = []
                 held = 0
-                for row in parse(data):
+                for row in parse(content.as_py(), file.rpartition("/")[2]):
                     out.append(row)
                     held += sum(len(x) for x in row if isinstance(x, (bytes, str)))
                     if held > 2 << 20:
@@ -225,10 +322,17 @@ def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes], Itera
                 if out:
                     yield _batch(out, names, schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    # names that Spark gives to no data (_SUCCESS, checksums) are not archives
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(records, schema)
 
 
+def damaged(spark: SparkSession, path: str, *, warc: bool = False) -> DataFrame:
+    """(archive, position, reason) of what stands in ARC (or WARC) archives instead of records; conversion passes over it."""
+    read = parse_warc if warc else parse_arc
+    return read_archives(spark, path, lambda data, name: ((name, x.offset, x.reason) for x in read(data, name) if isinstance(x, Damaged)), "archive string, position bigint, reason string")
+
+
 _TYPES = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
 
 
@@ -259,15 +363,19 @@ def pages_to_arc(pages: DataFrame, path: str, *, page_id: str = "page_id", url:
     write_archives(rows, path, join, lambda r: len(r[2] or b"") + 400)
 
 
-def _arc_rows(data: bytes) -> Iterator[tuple]:
-    for r in parse_arc(data):
-        headers, _, payload = http_payload(r.block)
-        digest = sha1_base32(payload)
-        page = headers.get("x-page-id")
-        yield (int(page) if page else None), digest, warc_id(r, digest), r.url, r.ip, r.date, r.mime, r.block
+def _arc_rows(data: bytes, name: str) -> Iterator[tuple]:
+    for r in parse_arc(data, name):
+        if isinstance(r, ArcRecord):
+            headers, _, payload = http_payload(r.block)
+            digest = sha1_base32(payload)
+            yield _number(headers.get("x-page-id")), digest, warc_id(r, digest), r.url, r.ip, r.date, r.mime, r.block, r.place
+
+
+def _number(text: str | None) -> int | None:
+    return int(text) if re.fullmatch(r"-?[0-9]{1,18}", text or "") else None
 
 
-_ARC_ROWS = "page_id bigint, digest string, record_id string, url string, ip string, date string, mime string, block binary"
+_ARC_ROWS = "page_id bigint, digest string, record_id string, url string, ip string, date string, mime string, block binary, place string"
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, *, least_payload: int = 0) -> None:
@@ -275,41 +383,47 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, *, least_pay
 
     Of records with equal payloads (of at least ``least_payload`` bytes) that
     with the largest page id becomes a response, and the others revisits that
-    refer to it; ties have the larger record identifier, and rows equal in
-    that too are all responses.  Records without a page id come last.  The
-    archives are read twice, first for the digests alone, so that payloads
-    are shuffled once; digests are aggregated before they are.
+    refer to it; ties have the larger record identifier, which is of the
+    record's place, so that of equal records one is the response.  Records
+    without a page id come last.  Damaged ones (see :func:`damaged`) are
+    passed over.  The archives are read twice, first for the digests alone,
+    so that payloads are shuffled once; the records of a payload that very
+    many have are dealt by their identifiers.
     """
     records = read_archives(spark, arc_path, _arc_rows, _ARC_ROWS)
-    ids = read_archives(spark, arc_path, lambda data: (r[:3] for r in _arc_rows(data)), "page_id bigint, digest string, record_id string")
-    best = ids.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("digest").alias("_digest"), F.col("best.record_id").alias("_first"))
-    paired = records.join(best, F.col("digest") == F.col("_digest"), "left").drop("_digest")
+    ids = materialize(read_archives(spark, arc_path, lambda data, name: (r[:3] for r in _arc_rows(data, name)), "page_id bigint, digest string, record_id string"), "arc-index")
+    best = ids.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", F.col("best.record_id").alias("_first"), "copies")
+    crowd = crowds(best, "digest", "copies", ids.count())
+    paired = left_join(records, best.drop("copies"), "digest", crowd, F.concat(F.lit("#"), F.col("record_id")))
 
     def join(rows: list[tuple]) -> bytes:
         out = []
-        for digest, own, first, url, ip, date, mime, block in rows:
+        for digest, own, first, url, ip, date, mime, block, place in rows:
             again = first is not None and first != own and len(http_payload(block)[2]) >= least_payload
-            out.append(to_warc(ArcRecord(url, ip, date, mime, block), digest=digest, refers_to=first if again else None))
+            out.append(to_warc(ArcRecord(url, ip, date, mime, block, place), digest=digest, refers_to=first if again else None))
         return b"\n".join(out)
 
-    rows = paired.select("digest", "record_id", "_first", "url", "ip", "date", "mime", "block")
+    rows = paired.select("digest", "record_id", "_first", "url", "ip", "date", "mime", "block", "place")
     write_archives(rows, warc_path, join, lambda r: len(r[7]) + 600)
 
 
-def _warc_rows(data: bytes) -> Iterator[tuple]:
-    for headers, block in parse_warc(data):
-        http, head, payload = http_payload(block)
-        size = len(payload) if headers["warc-type"] != "revisit" else int(http.get("content-length", 0))
-        page = http.get("x-page-id")
-        yield (int(page) if page else None), headers["warc-record-id"], headers["warc-type"], size, headers["warc-payload-digest"].removeprefix("sha1:"), headers.get("warc-refers-to")
+def _warc_rows(data: bytes, name: str) -> Iterator[tuple]:
+    for record in parse_warc(data, name):
+        if isinstance(record, Damaged):
+            continue
+        headers, block = record
+        http, _, payload = http_payload(block)
+        size = len(payload) if headers.get("warc-type") != "revisit" else _number(http.get("content-length")) or 0
+        digest = headers.get("warc-payload-digest")
+        yield _number(http.get("x-page-id")), headers.get("warc-record-id"), headers.get("warc-type"), size, digest.rpartition(":")[2] if digest else None, headers.get("warc-refers-to")
 
 
 def read_warc_pages(spark: SparkSession, warc_path: str) -> DataFrame:
     """A row a record: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id)."""
-    path = scratch(spark, "warc-index")
-    read_archives(spark, warc_path, _warc_rows, "page_id bigint, record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_id string").write.option("compression", "zstd").parquet(path)
-    index = spark.read.parquet(path)
-    named = index.where(F.col("refers_id").isNotNull()).select(F.col("refers_id").alias("record_id")).distinct()
-    first = index.join(named, "record_id", "left_semi").where("record_type <> 'revisit'").groupBy(F.col("record_id").alias("_id")).agg(F.max("page_id").alias("refers_to"))
-    out = index.join(first, F.col("refers_id") == F.col("_id"), "left")
+    index = materialize(read_archives(spark, warc_path, _warc_rows, "page_id bigint, record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_id string"), "warc-index")
+    named = index.where(F.col("refers_id").isNotNull()).groupBy(F.col("refers_id").alias("record_id")).agg(F.count(F.lit(1)).alias("n"))
+    first = index.where("record_type <> 'revisit'").select("record_id", "page_id").join(named, "record_id").groupBy(F.col("record_id").alias("refers_id")).agg(F.max("page_id").alias("refers_to"))
+    named = named.withColumnRenamed("record_id", "refers_id")
+    crowd = crowds(named, "refers_id", "n", index.count())
+    out = left_join(index, first, "refers_id", crowd, F.concat(F.lit("#"), F.monotonically_increasing_id()))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -220,16 +220,46 @@ def test_arc_to_warc(spark, version):
         assert got[i] == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if best == i else "revisit", None if best == i else best)
 
 
+def test_equal_pages_have_one_response(spark):
+    rows = [(5, "u", "same"), (5, "u", "same"), (5, "u", "same"), (4, "u", "same"), (6, "v", "other")]
+    arc, out = warc.scratch(spark, "arc"), warc.scratch(spark, "warc")
+    warc.pages_to_arc(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2), arc)
+    warc.arc_to_warc(spark, arc, out)
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc_pages(spark, out).collect())
+    assert got == {(5, "response", None): 1, (5, "revisit", 5): 2, (4, "revisit", 5): 1, (6, "response", None): 1}
+
+
 def test_arc_errors_and_dates():
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(b"http://no.version/\n"))
-    good = warc.arc_archive([warc.ArcRecord("u", "1.2.3.4", "20010203040506", "text/plain", b"ab\ncd")], "a.arc", 2)
-    assert [(r.url, r.block) for r in warc.parse_arc(good)] == [("u", b"ab\ncd")]
-    with pytest.raises(ValueError):
-        list(warc.parse_arc(good[:-3]))
+    kinds = lambda data: [x.url if isinstance(x, warc.ArcRecord) else "damaged" for x in warc.parse_arc(data)]
+    assert kinds(b"") == [] and kinds(b"http://no.version/\n") == ["damaged"]
+    records = [warc.ArcRecord("u", "1.2.3.4", "20010203040506", "text/plain", b"ab\ncd"), warc.ArcRecord("http://x/", "1.2.3.4", "20010203040506", "text/plain", b"ef")]
+    for version in (1, 2):
+        good = warc.arc_archive(records, "a.arc", version)
+        assert [(r.url, r.block) for r in warc.parse_arc(good)] == [("u", b"ab\ncd"), ("http://x/", b"ef")]
+        assert kinds(good[:-2]) == ["u", "damaged"] and kinds(good.replace(b" 5\n", b" x\n")) == ["damaged", "http://x/"]
+        assert kinds(good.replace(b"u 1.2", b"u a b 1.2")) == ["u a b", "http://x/"]
     assert warc.warc_date("200102030405") == "2001-02-03T04:05:00Z" and warc.warc_date("x") == "1970-01-01T00:00:00Z"
-    headers, block = next(warc.parse_warc(warc.to_warc(next(warc.parse_arc(good))) + b"\n"))
-    assert headers["warc-type"] == "resource" and block == b"ab\ncd"
+    made = warc.to_warc(next(warc.parse_arc(good))) + b"\n"
+    (headers, block), broken, (again, _) = warc.parse_warc(made + b"junk\n" + made)
+    assert headers["warc-type"] == "resource" and block == b"ab\ncd" and again == headers and isinstance(broken, warc.Damaged)
+
+
+def test_archives_of_a_member_a_record_and_plain_ones(spark, tmp_path):
+    """As real archives are: a gzip member for each record, large ones too, or none at all."""
+    import gzip
+
+    records = [warc.page_record(k, f"http://h/{k}", bytes([65 + k]) * size) for k, size in enumerate((10, 200_000, 0, 70_000, 10))]
+    head = warc.arc_archive([], "a.arc")
+    parts = [head, *(warc.arc_archive([r], "a.arc")[len(head) :] for r in records)]
+    (tmp_path / "one.arc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "two.arc").write_bytes(b"".join(parts[:3]))
+    (tmp_path / "cut.arc.gz").write_bytes(b"".join(map(gzip.compress, parts))[:-5])
+    (tmp_path / "empty.arc.gz").write_bytes(b"")
+    out = warc.scratch(spark, "warc")
+    warc.arc_to_warc(spark, str(tmp_path), out)
+    got = Counter(r["page_id"] for r in warc.read_warc_pages(spark, out).collect())
+    assert got == {0: 3, 1: 3, 2: 2, 3: 2, 4: 2}
+    assert {r["archive"] for r in warc.damaged(spark, str(tmp_path)).collect()} == {"cut.arc.gz"}
 
 
 # 6
