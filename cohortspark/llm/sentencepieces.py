@@ -1,19 +1,23 @@
 """SentencePiece encoding and decoding as a max-plus scan.
 
-The best segmentation of a text maximises the sum of its pieces' scores.  In
-the (max, +) semiring that is a product of transfer matrices: a chunk of the
-text takes the best scores at the last few positions before it to those at
-its own last positions.  Giant texts are cut into chunks, their matrices are
-made independently, combined associatively, and each chunk's pieces are then
-found independently between the token boundaries that the scan has fixed.
-
-The vocabulary's scores are used as they are; the model at hand is one whose
-scores fall with the rank of its pieces, so that frequent pieces win.
+A BPE encoding is the one segmentation in which any two neighbouring pieces
+could not have merged otherwise, and whether they could depends on these two
+alone.  So it is a best path over states (place, last piece) with moves of a
+score for pieces that may follow each other and minus infinity for others,
+and in the (max, +) semiring a product of transfer matrices.  A chunk of a
+giant text leads from the states at its start, a last piece and how many
+characters before the start it ends, to those at its end.  Giant texts are cut
+into chunks, their matrices are made independently and combined associatively
+in a tree, the states between chunks are read off the tree, and each chunk's
+pieces are then found independently between its two states.
+
+The encoding is that of the SentencePiece library with the same model file.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,36 +35,40 @@ SPACE = "▁"
 CHUNK = 1 << 15
 #: A chunk ends before a space among its last characters, if there is one.
 LOOK_BACK = 1 << 10
-#: Words whose pieces a task remembers.
+#: Matrices that a task combines.
+FAN = 64
+#: Segments whose pieces a task remembers.
 REMEMBERED = 400_000
-
-#: Words of more characters are segmented on their own.
-LOCKSTEP = 32
-#: Longer ones are not remembered.
-LONG = 64
+#: Segments of more characters are encoded as a path, and not remembered.
+LONG = 128
 
 NEVER = -(1 << 60)
-_BASE = np.uint64(0x100000001B3)
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+NEVER_MERGED = 1 << 60
+#: The last piece where nothing stands before.
+START = -1
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Pieces with their number and score, the numbers of the 256 bytes, and each number's bytes.
+    """Pieces and their numbers, how each piece is merged, the numbers of the 256 bytes, and each number's bytes.
 
-    A character that is no piece is encoded as its UTF-8 bytes at the score
-    ``unknown``, below that of any piece.
+    ``rank`` is the order of the merges, 0 for a single character; ``left``
+    and ``right`` are the two pieces of a piece's last merge.  Pieces that no
+    merges lead to are left out.  A character that is no piece is encoded as
+    its UTF-8 bytes.
     """
 
-    pieces: dict[str, tuple[int, int]]
+    pieces: dict[str, int]
+    rank: dict[int, int]
+    left: dict[int, int]
+    right: dict[int, int]
     bytes_at: tuple[int, ...]
     raw: tuple[bytes, ...]
     longest: int
-    unknown: int
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """From a model file with byte pieces; scores are rounded to integers, so that sums are exact."""
+        """From a BPE model file with byte pieces."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -73,160 +81,197 @@ class Vocabulary:
             elif sp.is_control(k) or sp.is_unknown(k):
                 raw.append(b"")
             else:
-                found[piece] = (k, round(sp.get_score(k)))
+                found[piece] = sp.get_score(k)
                 raw.append(piece.replace(SPACE, " ").encode())
-        return cls(found, tuple(at), tuple(raw), max(map(len, found)), min(s for _, s in found.values()) - 10)
+        order = {x: n + 1 for n, x in enumerate(sorted({x for p, x in found.items() if len(p) > 1}, reverse=True))}
+        merged = {p: order[x] for p, x in found.items() if len(p) > 1}
+        number = {p: sp.piece_to_id(p) for p in found}
+        pieces, rank, left, right = {}, {}, {}, {}
+        for p, k in number.items():
+            halves = _last_merge(p, merged)
+            if len(p) == 1:
+                pieces[p], rank[k] = k, 0
+            elif halves and all(h in number for h in halves):
+                pieces[p], rank[k] = k, merged[p]
+                left[k], right[k] = (number[h] for h in halves)
+        return cls(pieces, rank, left, right, tuple(at), tuple(raw), max(map(len, pieces)))
+
+
+def _last_merge(piece: str, rank: dict[str, int]) -> tuple[str, str] | None:
+    """The two parts that the merges of a piece's characters end with, if they end with the piece."""
+    parts = list(piece)
+    while len(parts) > 2:
+        best = min(((rank.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:]))), default=(1 << 60, 0))
+        if best[0] == 1 << 60:
+            return None
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return (parts[0], parts[1]) if len(parts) == 2 and piece in rank else None
 
 
 class Segmenter:
-    """Best segmentations of texts in which spaces are ``SPACE``.
+    """Encodings of texts in which spaces are ``SPACE``.
 
     No piece holds a space after another character or a character of no
-    piece, so texts fall into segments that are segmented one by one, and
-    ``known`` remembers those of short segments.
+    piece, so texts fall into segments that are encoded one by one, and
+    ``known`` remembers those of short segments.  A character that is no
+    piece is the piece ``outside`` plus its code point here.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.known: dict[str, bytes] = {}
-        self.table: _PieceTable | None = None
+        self.follows: dict[tuple[int, int], bool] = {}
+        self.outside = len(vocabulary.raw)
+        self.order = {p: vocabulary.rank[k] for p, k in vocabulary.pieces.items() if len(p) > 1}
+        self.text = {k: p for p, k in vocabulary.pieces.items()}
         inside = "".join(sorted({c for p in vocabulary.pieces for c in p} - {SPACE}))
         own = re.escape(inside)
         self.pattern = re.compile(f"{SPACE}+[{own}]*|[{own}]+|[^{own}{SPACE}]")
         self.newline = "\n" not in inside
-        #: Score of each number; an unknown character's is with its first byte.
-        self.score = np.zeros(len(vocabulary.raw), np.int64)
-        for k, x in vocabulary.pieces.values():
-            self.score[k] = x
-        for byte, k in enumerate(vocabulary.bytes_at):
-            self.score[k] = 0 if 0x80 <= byte < 0xC0 else vocabulary.unknown
-
-    def viterbi(self, text: str) -> bytes:
-        """Numbers as int32 bytes; of equal scores the longer last piece wins."""
-        pieces, longest, unknown = self.v.pieces, self.v.longest, self.v.unknown
-        n = len(text)
-        best, step = [0] + [NEVER] * n, [0] * (n + 1)
-        for e in range(1, n + 1):
-            top, size = NEVER, 0
-            for s in range(max(0, e - longest), e):
-                got = pieces.get(text[s:e])
-                score = best[s] + (got[1] if got else unknown if s == e - 1 else NEVER)
-                if score > top:
-                    top, size = score, e - s
-            best[e], step[e] = top, size
-        out, e = [], n
-        while e:
-            piece = text[e - step[e] : e]
-            got = pieces.get(piece)
-            out.extend([got[0]] if got else [self.v.bytes_at[b] for b in reversed(piece.encode())])
-            e -= step[e]
-        return np.array(out[::-1], np.int32).tobytes()
-
-    def total(self, ids: bytes) -> int:
-        return int(self.score[np.frombuffer(ids, np.int32)].sum())
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether pieces a and b can stand side by side: at no time have the parts that meet there merged."""
+        got = self.follows.get((a, b))
+        if got is None:
+            got = self.follows[a, b] = a < 0 or a >= self.outside or b >= self.outside or self._meet(a, b)
+        return got
+
+    def _meet(self, a: int, b: int) -> bool:
+        # the merges are undone from the last on, equal ones from the right
+        v, text, before = self.v, self.text, 1 << 60
+        while True:
+            whole = v.pieces.get(text[a] + text[b])
+            if whole is not None and v.rank[whole] < before:
+                return False
+            if v.rank[a] > v.rank[b]:
+                before, a = v.rank[a], v.right[a]
+            elif v.rank[b]:
+                before, b = v.rank[b] + 1, v.left[b]
+            else:
+                return True
+
+    def ends(self, text: str, end: int) -> Iterator[tuple[int, int]]:
+        """(start, piece) of the pieces that could end at a place, the longest first."""
+        get = self.v.pieces.get
+        for s in range(max(0, end - self.v.longest), end):
+            piece = get(text[s:end])
+            if piece is not None:
+                yield s, piece
+            elif s == end - 1:
+                yield s, self.outside + ord(text[s])
+
+    def merges(self, segment: str) -> bytes:
+        """:meth:`path` of a short segment: its characters merged pair by pair, the first of the smallest rank."""
+        rank, parts = self.order.get, list(segment)
+        ranks = [rank(a + b, NEVER_MERGED) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == NEVER_MERGED:
+                break
+            k = ranks.index(low)
+            parts[k] += parts.pop(k + 1)
+            del ranks[k]
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], NEVER_MERGED)
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], NEVER_MERGED)
+        number = self.v.pieces.get
+        found = [number(p, -1) for p in parts]
+        return self.path(segment) if -1 in found else array("i", found).tobytes()
+
+    def path(self, text: str, start: int = 0, last: int = START, least: int = 0, goal: int | None = None) -> bytes:
+        """Numbers (int32 bytes) of the pieces from a place after a piece to the end of the text.
+
+        The first piece ends beyond ``least``, the last one is ``goal`` if that is given.
+        """
+        if not start and last == START and goal is None and (whole := self.v.pieces.get(text)) is not None:
+            return np.int32(whole).tobytes()
+        at: list[dict[int, int]] = [{} for _ in range(len(text) + 1)]  # piece that ends there: where it starts
+        before: list[dict[int, int]] = [{} for _ in range(len(text) + 1)]  # and the piece before it
+        at[start][last] = -1
+        for e in range(max(start, least) + 1, len(text) + 1):
+            for s, piece in self.ends(text, e):
+                for p in at[s] if s >= start else ():
+                    if (s == start or s > least) and self.may_follow(p, piece):
+                        at[e][piece], before[e][piece] = s, p
+                        break
+        e, piece, out = len(text), goal, []
+        if piece is None:
+            piece = next(iter(at[e]))
+        while e > start:
+            out.append(piece)
+            e, piece = at[e][piece], before[e][piece]
+        return self.numbers(out[::-1])
+
+    def numbers(self, pieces: list[int]) -> bytes:
+        out: list[int] = []
+        for k in pieces:
+            if k >= self.outside:
+                out += [self.v.bytes_at[b] for b in chr(k - self.outside).encode("utf-8", "surrogatepass")]
+            else:
+                out.append(k)
+        return np.array(out, np.int32).tobytes()
 
     def segments(self, text: str) -> list[str]:
         """The text's segments; some may be empty."""
         if "\x00" in text or SPACE * 2 in text or not self.newline:
             return self.pattern.findall(text)
-        cut_up = text.replace(SPACE, "\x00" + SPACE).replace("\n", "\x00\n\x00").split("\x00")
-        return cut_up
+        return text.replace(SPACE, "\x00" + SPACE).replace("\n", "\x00\n\x00").split("\x00")
 
-    def learn(self, segments: set[str]) -> None:
-        """Remember the pieces of many segments, the short ones segmented all at once."""
-        new = [x for x in segments if x not in self.known]
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        parts = [self.segments(t) for t in texts]
+        wanted = set().union(*parts)
+        new = [x for x in wanted if x not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(segments)
-        short = [x for x in new if 0 < len(x) <= LOCKSTEP]
-        for lo in range(0, len(short), 1 << 14):
-            part = short[lo : lo + (1 << 14)]
-            self.known.update(zip(part, self._lockstep(part)))
-        self.known.update((x, self.viterbi(x)) for x in new if len(x) > LOCKSTEP or not x)
-
-    def _lockstep(self, words: list[str]) -> list[bytes]:
-        """:meth:`viterbi` of many short words, position by position for all of them."""
-        table = self.table = self.table or _PieceTable(self.v)
-        size = np.array([len(w) for w in words])
-        order = np.argsort(-size, kind="stable")
-        n, most = len(words), int(size.max())
-        points = np.zeros((n, most), np.uint64)
-        size = size[order]
-        points[np.arange(most) < size[:, None]] = np.frombuffer("".join(words[k] for k in order).encode("utf-32-le", "surrogatepass"), np.uint32)
-        prefix = np.zeros((most + 1, n), np.uint64)
-        for e in range(most):
-            prefix[e + 1] = prefix[e] * _BASE + points[:, e] + np.uint64(1)
-        best, step, number = np.full((most + 1, n), NEVER, np.int64), np.zeros((most + 1, n), np.int8), np.full((most + 1, n), -1, np.int32)
-        best[0] = 0
-        for e in range(1, most + 1):
-            live = int(np.searchsorted(-size, -e, side="right"))  # words of at least e characters come first
-            top, length, which = best[e, :live], step[e, :live], number[e, :live]
-            for length_now in range(min(e, self.v.longest), 0, -1):
-                s = e - length_now
-                k = table.find(prefix[e, :live] - prefix[s, :live] * table.powers[length_now])
-                if length_now > 1:
-                    hit = np.flatnonzero(k >= 0)
-                    score = best[s, hit] + table.scores[k[hit]]
-                    hit, score = hit[score > top[hit]], score[score > top[hit]]
-                    top[hit], length[hit], which[hit] = score, length_now, k[hit]
-                else:
-                    score = best[s, :live] + np.where(k >= 0, table.scores[k], self.v.unknown)
-                    better = score > top
-                    top[better], length[better], which[better] = score[better], 1, k[better]
-        out = np.full((most, n), -1, np.int32)
-        at, count, odd = size.copy(), np.zeros(n, np.int64), np.zeros(n, bool)
-        everyone = np.arange(n)
-        while (live := everyone[at > 0]).size:
-            k = number[at[live], live]
-            odd[live[k < 0]] = True
-            out[count[live], live] = table.numbers[k]
-            count[live] += 1
-            at[live] -= step[at[live], live]
-        back = np.ascontiguousarray(out.T[:, ::-1])
-        result = [b""] * n
-        raw, width = back.tobytes(), 4 * most
-        for k, (o, c, x) in enumerate(zip(order.tolist(), count.tolist(), odd.tolist())):
-            result[o] = self.viterbi(words[o]) if x else raw[(k + 1) * width - 4 * c : (k + 1) * width]
-        return result
+            self.known, new = {}, list(wanted)
+        self.known.update((x, self.merges(x) if len(x) <= LONG else self.path(x)) for x in new)
+        out = [b"".join(map(self.known.__getitem__, p)) for p in parts]
+        for x in new:
+            if len(x) > LONG:
+                del self.known[x]
+        return out
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        parts = [self.segments(t) for t in texts]
-        self.learn(set().union(*parts))
-        known = self.known.__getitem__
-        out = [b"".join(map(known, p)) for p in parts]
-        if len(self.known) and any(len(x) > LONG for p in parts for x in p if len(x) > LONG):
-            self.known = {k: v for k, v in self.known.items() if len(k) <= LONG}
+    def states(self, context: str) -> list[tuple[int, int]]:
+        """(characters before the end of the context, piece that ends there) of the states there; a text's start is one."""
+        out = []
+        for back in range(min(self.v.longest, len(context) + 1)):
+            end = len(context) - back
+            out += [(back, piece) for _, piece in self.ends(context, end)] if end else [(back, START)]
         return out
 
-    def transfer(self, context: str, chunk: str) -> tuple[np.ndarray, int, bytes, int]:
-        """(matrix, from, pieces, to) of a chunk.
+    def transfer(self, context: str, chunk: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]], np.ndarray, int, bytes, int]:
+        """(states before, states after, matrix, from, numbers, to) of a chunk.
 
-        Entry (j, i) of the (longest, longest) matrix leads from a token
-        boundary j characters before the chunk's start to one i before its
-        end.  ``context`` are the up to ``longest - 1`` characters before it.
-        Where a word begins every path has a boundary, so between the first
-        and the last such place (from, to: counted from the context's start)
-        the pieces are found once for all, and their scores are one sum.
-        Without such a place both are -1.
+        An entry is the number of pieces on the path between two states, or
+        ``NEVER``.  ``context`` are the up to ``2 * longest`` characters before
+        the chunk, all if it is shorter.  Where a word begins every path has a
+        boundary, and what follows does not depend on what stands before, so
+        between the first and the last such place (from, to: counted from the
+        context's start) there is one path for all: its numbers are found
+        here.  Without such a place both are -1.
         """
-        size = self.v.longest
         text, start = context + chunk, len(context)
-        begin = np.full((start + 1, size), NEVER, np.int64)
-        for j in range(min(start, size - 1) + 1):
-            begin[start - j, j] = 0
+        into = self.states(context)
+        begin: dict[int, dict[int, np.ndarray]] = {}
+        for k, (back, piece) in enumerate(into):
+            unit = np.full(len(into), NEVER, np.int64)
+            unit[k] = 0
+            begin.setdefault(start - back, {})[piece] = unit
         first = self._cut(text, start + 1, 1)
-        last = self._cut(text, len(text) - size, -1)
+        last = self._cut(text, len(text) - self.v.longest, -1)
         if first < 0 or last < first:
             rows = self._rows(text, begin, start)
-            return np.stack([rows[len(text) - i] if len(text) - i >= 0 else np.full(size, NEVER, np.int64) for i in range(size)], 1), -1, b"", -1
-        head = self._rows(text[:first], begin, start)[first]
-        middle = self.encode(text[first:last])
-        tail = self._rows(text[last:], np.zeros((1, 1), np.int64), 0)
-        column = np.array([tail[len(tail) - 1 - i, 0] for i in range(size)]) + self.total(middle)
-        return np.where((head[:, None] > NEVER // 2) & (column > NEVER // 2), head[:, None] + column, NEVER), first, middle, last
+            first, middle, last = -1, b"", -1
+        else:
+            head = np.max([*self._rows(text[:first], begin, start)[first].values()], axis=0)
+            middle = self.encode(text[first:last])
+            rows = {last + p: own for p, own in self._rows(text[last:], {0: {START: head + len(middle) // 4}}, 0).items()}
+        out = [(len(text) - p, piece) for p in sorted(rows, reverse=True) if len(text) - p < self.v.longest for piece in rows[p]]
+        matrix = np.stack([np.maximum(rows[len(text) - back][piece], NEVER) for back, piece in out], 1)
+        return into, out, np.where(matrix < 0, NEVER, matrix), first, middle, last
 
     def _cut(self, text: str, at: int, way: int) -> int:
         """The first place from ``at`` on (or back from it) where a word begins, or -1."""
@@ -238,60 +283,20 @@ class Segmenter:
                 return at
             at += way
 
-    def _rows(self, text: str, begin: np.ndarray, start: int) -> np.ndarray:
-        """Best scores at every position of ``text``, a row each, from those at positions up to ``start``."""
-        pieces, longest = self.v.pieces, self.v.longest
-        rows = np.full((len(text) + 1, begin.shape[1]), NEVER, np.int64)
-        rows[: start + 1] = begin
+    def _rows(self, text: str, begin: dict[int, dict[int, np.ndarray]], start: int) -> dict[int, dict[int, np.ndarray]]:
+        """For each place and piece that ends there the best scores from the states up to ``start``."""
+        rows = dict(begin)
         for e in range(start + 1, len(text) + 1):
-            for s in range(max(0, e - longest), e):
-                got = pieces.get(text[s:e])
-                if got or s == e - 1:
-                    np.maximum(rows[e], np.where(rows[s] > NEVER // 2, rows[s] + (got[1] if got else self.v.unknown), NEVER), out=rows[e])
+            own: dict[int, np.ndarray] = {}
+            for s, piece in self.ends(text, e):
+                for p, row in rows.get(s, {}).items():
+                    if self.may_follow(p, piece):
+                        own[piece] = np.maximum(own[piece], row + 1) if piece in own else row + 1
+            rows[e] = own
+            rows.pop(e - 2 * self.v.longest, None)
         return rows
 
 
-class _PieceTable:
-    """An open-addressed hash table of the pieces, searched for arrays of hashes."""
-
-    def __init__(self, v: Vocabulary):
-        self.powers = [np.uint64(1)]
-        with np.errstate(over="ignore"):
-            for _ in range(v.longest):
-                self.powers.append(self.powers[-1] * _BASE)
-        keys = []
-        for piece in v.pieces:
-            h = 0
-            for c in piece:
-                h = (h * int(_BASE) + ord(c) + 1) & (2**64 - 1)
-            keys.append(h)
-        self.keys = np.array(keys, np.uint64)
-        if len(np.unique(self.keys)) < len(keys):
-            raise ValueError("two pieces have one hash")
-        self.numbers, self.scores = (np.array(x) for x in zip(*v.pieces.values()))
-        self.numbers = self.numbers.astype(np.int32)
-        self.bits = max(8, int(np.ceil(np.log2(len(keys) * 8))))
-        self.slots = np.full((1 << self.bits) + 64, -1, np.int32)
-        for k, at in enumerate(self._home(self.keys)):
-            while self.slots[at] >= 0:
-                at += 1
-            self.slots[at] = k
-
-    def _home(self, h: np.ndarray) -> np.ndarray:
-        return ((h * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Each hash's place among the pieces, -1 for none."""
-        at = self._home(h)
-        got = self.slots[at]
-        open_ = np.flatnonzero((got >= 0) & (self.keys[got] != h))
-        while len(open_):
-            at[open_] += 1
-            got[open_] = self.slots[at[open_]]
-            open_ = open_[(got[open_] >= 0) & (self.keys[got[open_]] != h[open_])]
-        return got
-
-
 def normalized(text: str) -> list[str]:
     """The text's parts between literal SPACE characters, with spaces as SPACE and one put before all."""
     return [p.replace(" ", SPACE) for p in (" " + text).split(SPACE)]
@@ -333,25 +338,118 @@ def cut(text: str, chunk: int = CHUNK, look_back: int = LOOK_BACK) -> list[int]:
     return [*out, len(text)]
 
 
-def scan(matrices: list[np.ndarray]) -> list[int]:
-    """For each bound between chunks (and both ends) how many characters before it the last token ends.
+#: A matrix with the states that its rows and columns are of, packed.
+Matrix = tuple[bytes, bytes, bytes]
 
-    Prefixes of the chunks' products are made one after the other here, as
-    their combination is associative any tree would do; then the bounds are
-    chosen from the last to the first, ties nearest to the bound.
-    """
-    size = len(matrices[0])
-    vec = np.full(size, NEVER, np.int64)
-    vec[0] = 0
-    prefix = [vec]
+
+def _label(states: list[tuple[int, int]]) -> bytes:
+    return np.array([back << 32 | piece + 1 for back, piece in states], np.int64).tobytes()
+
+
+def _unlabel(label: int) -> tuple[int, int]:
+    return label >> 32, (label & (1 << 32) - 1) - 1
+
+
+def _open(m: Matrix) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    before, after = np.frombuffer(m[0], np.int64), np.frombuffer(m[1], np.int64)
+    return before, after, np.frombuffer(m[2], np.int64).reshape(len(before), len(after))
+
+
+def _placed(labels: np.ndarray, wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Columns of ``values`` (for ``labels``) in the order of ``wanted``; states that were not reached have NEVER."""
+    out = np.full((len(values), len(wanted)), NEVER, np.int64)
+    at = {x: k for k, x in enumerate(labels.tolist())}
+    for k, x in enumerate(wanted.tolist()):
+        if x in at:
+            out[:, k] = values[:, at[x]]
+    return out
+
+
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """The two chunks as one, in (max, +)."""
+    into, mid, left = _open(a)
+    own, out, right = _open(b)
+    left = _placed(mid, own, left)
+    best = np.full((len(into), len(out)), NEVER, np.int64)
+    for k in range(len(own)):
+        np.maximum(best, np.where((left[:, k, None] < 0) | (right[None, k] < 0), NEVER, left[:, k, None] + right[None, k]), out=best)
+    return a[0], b[1], best.tobytes()
+
+
+def between(matrices: list[Matrix], before: int, after: int) -> list[tuple[int, int]]:
+    """(state before, state after) of each of some chunks, from the states at both ends of them all."""
+    prefix, labels = [], []
+    vector, own = np.zeros((1, 1), np.int64), np.array([before])
     for m in matrices:
-        via = np.where((prefix[-1][:, None] > NEVER // 2) & (m > NEVER // 2), prefix[-1][:, None] + m, NEVER)
-        prefix.append(via.max(0))
-    out = [0]
-    for k in range(len(matrices) - 1, -1, -1):
-        m = matrices[k][:, out[-1]]
-        out.append(int(np.where((prefix[k] > NEVER // 2) & (m > NEVER // 2), prefix[k] + m, NEVER).argmax()))
-    return out[::-1]
+        into, out, values = _open(m)
+        vector = _placed(own, into, vector)
+        prefix.append(vector[0]), labels.append(into)
+        vector = np.where((vector[0][:, None] < 0) | (values < 0), NEVER, vector[0][:, None] + values).max(0)[None]
+        own = out
+    result = []
+    for m, vector, into in zip(matrices[::-1], prefix[::-1], labels[::-1]):
+        _, out, values = _open(m)
+        column = values[:, int(np.flatnonzero(out == after)[0])]
+        best = int(into[int(np.where((vector < 0) | (column < 0), NEVER, vector + column).argmax())])
+        result.append((best, after))
+        after = best
+    return result[::-1]
+
+
+def _level(rows: DataFrame) -> DataFrame:
+    """Matrices of ``FAN`` chunks (key, part, n, before, after, m) each combined."""
+
+    def combine(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n")
+        whole = None
+        for m in zip(group["before"], group["after"], group["m"]):
+            whole = m if whole is None else product(whole, m)
+        return pd.DataFrame({"key": group["key"].iloc[:1], "part": group["part"].iloc[0], "n": group["n"].iloc[0] // FAN, "before": [whole[0]], "after": [whole[1]], "m": [whole[2]]})
+
+    return rows.groupBy("key", "part", F.expr(f"n div {FAN}").alias("g")).applyInPandas(combine, "key string, part int, n int, before binary, after binary, m binary")
+
+
+def boundary_states(rows: DataFrame) -> DataFrame:
+    """(key, part, n, enter, leave): the states at both ends of each chunk (key, part, n, before, after, m).
+
+    Matrices are combined up a tree until ``FAN`` are left of a text; then
+    each node's two states give those of its children, down the tree.  No
+    task has more than ``FAN`` matrices of a text.
+    """
+    levels = [rows]
+    most = rows.agg(F.max("n")).first()[0] or 0
+    while most >= FAN:
+        levels.append(materialize(_level(levels[-1]), "matrices"))
+        most //= FAN
+    told = None
+    for own in reversed(levels):
+        if told is None:
+            joined = own.select("*", F.lit(0).alias("g"), *[F.lit(None).cast("bigint").alias(c) for c in ("from", "to")])
+        else:
+            joined = own.withColumn("g", F.expr(f"cast(n div {FAN} as int)")).join(told.select("key", "part", F.col("n").alias("g"), F.col("enter").alias("from"), F.col("leave").alias("to")), ["key", "part", "g"])
+
+        def split(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("n")
+            own = list(zip(group["before"], group["after"], group["m"]))
+            if group["from"].isna().iloc[0]:
+                # the whole text: from its start to its end
+                out = _open(own[-1])[1]
+                whole = np.zeros((1, 1), np.int64), np.array([0])
+                for m in own:
+                    into, after, values = _open(m)
+                    vector = _placed(whole[1], into, whole[0])[0]
+                    whole = np.where((vector[:, None] < 0) | (values < 0), NEVER, vector[:, None] + values).max(0)[None], after
+                done = [(v, x) for v, x in zip(whole[0][0].tolist(), out.tolist()) if x >> 32 == 0]
+                start, end = 0, max(done)[1]
+            else:
+                start, end = int(group["from"].iloc[0]), int(group["to"].iloc[0])
+            ends = between(own, start, end)
+            return pd.DataFrame({"key": group["key"], "part": group["part"], "n": group["n"], "enter": [a for a, _ in ends], "leave": [b for _, b in ends]})
+
+        told = joined.groupBy("key", "part", "g").applyInPandas(split, "key string, part int, n int, enter bigint, leave bigint")
+        if own is not levels[0]:
+            told = materialize(told, "boundaries")
+    return told
 
 
 def _ids_array(column: list[bytes | None]) -> pa.Array:
@@ -367,8 +465,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
 
     Null text has null, an empty text an empty array; an existing column of
     that name is replaced.  Texts of more than ``chunk`` characters are
-    encoded by the scan; equal texts among them once.  Any one of the best
-    segmentations is always the same one: a function of the text alone.
+    encoded by the scan; equal texts among them once.  Literal SPACE
+    characters are encoded as their bytes, so that decoding gives them back;
+    otherwise the numbers are those of the library.
     """
     base = docs.drop(ids)
     names = [*base.columns, ids]
@@ -393,66 +492,66 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
 
 
 def _encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> DataFrame:
-    """(key, ids) of normalised giant texts, chunk by chunk."""
-    size = vocabulary.longest
+    """(key, ids) of giant texts, chunk by chunk.
+
+    ``part`` counts the parts of a text between literal SPACE characters,
+    which are texts of their own; ``n`` counts a part's chunks, -1 is the
+    literal SPACE before a part.
+    """
+    reach = 2 * vocabulary.longest
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n, rows = 0, []
                 for p, part in enumerate(normalized(text)):
-                    if p:
-                        rows.append((key, p, n, SPACE, None))  # a literal SPACE between parts
-                        n += 1
+                    rows = [(key, p, -1, SPACE, "")] if p else []
                     bounds = cut(part, chunk)
-                    for a, b in zip(bounds, bounds[1:]):
-                        rows.append((key, p, n, part[a:b], part[max(0, a - size + 1) : a]))
-                        n += 1
-                for r in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["key", "part", "n", "chunk", "context"])
+                    rows += [(key, p, n, part[a:b], part[max(0, a - reach) : a]) for n, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
+                    for r in rows:
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["key", "part", "n", "chunk", "context"])
 
     cut_up = materialize(texts.mapInArrow(chunks, "key string, part int, n int, chunk string, context string"), "chunks")
-    spread = cut_up.repartition("key", "n")
+    spread = cut_up.repartition("key", "part", "n")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(vocabulary)
-        literal = np.array([vocabulary.bytes_at[b] for b in SPACE.encode()], np.int32).tobytes()
+        types = (pa.binary(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.int32())
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, context = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
-                if context is None:
-                    row = (None, chunk, -1, literal, -1)
+                if batch.column(2)[k].as_py() < 0:
+                    row = (None, None, None, SPACE, -1, np.array([vocabulary.bytes_at[b] for b in SPACE.encode()], np.int32).tobytes(), -1)
                 else:
-                    m, first, middle, last = seg.transfer(context, chunk)
-                    row = (m.tobytes(), context + chunk, first, middle, last)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(k, 1) for c in range(3)] + [pa.array([len(context or "")], pa.int32())] + [pa.array([x], t) for x, t in zip(row, (pa.binary(), pa.string(), pa.int32(), pa.binary(), pa.int32()))], names=["key", "part", "n", "start", "m", "whole", "first", "middle", "last"])
-
-    def bounds(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        own = rows[rows["m"].notna()]
-        at = scan([np.frombuffer(m, np.int64).reshape(size, size) for m in own["m"]]) if len(own) else [0]
-        return pd.DataFrame({"key": own["key"], "n": own["n"], "back": at[:-1], "short": at[1:]})
+                    before, after, m, first, middle, last = seg.transfer(context, chunk)
+                    row = (_label(before), _label(after), m.tobytes(), context + chunk, first, middle, last)
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(k, 1) for c in range(3)] + [pa.array([len(context)], pa.int32())] + [pa.array([x], t) for x, t in zip(row, types)], names=["key", "part", "n", "start", "before", "after", "m", "whole", "first", "middle", "last"])
 
-    made = materialize(spread.mapInArrow(matrices, "key string, part int, n int, start int, m binary, whole string, first int, middle binary, last int"), "transfer")
-    fixed = made.where("m is not null").select("key", "part", "n", "m").groupBy("key", "part").applyInPandas(bounds, "key string, n int, back int, short int")
-    joined = made.select("key", "n", "start", "whole", "first", "middle", "last").join(fixed, ["key", "n"], "left")
+    made = materialize(spread.mapInArrow(matrices, "key string, part int, n int, start int, before binary, after binary, m binary, whole string, first int, middle binary, last int"), "transfer")
+    fixed = boundary_states(made.where("n >= 0").select("key", "part", "n", "before", "after", "m"))
+    joined = made.select("key", "part", "n", "start", "whole", "first", "middle", "last").join(fixed, ["key", "part", "n"], "left")
 
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(vocabulary)
         for batch in batches:
             got = []
-            for _, _, start, whole, first, middle, last, back, short in zip(*(x.to_pylist() for x in batch.columns)):
-                if back is None:
+            for _, _, _, start, whole, first, middle, last, enter, leave in zip(*(x.to_pylist() for x in batch.columns)):
+                if enter is None:
                     got.append(middle)
+                    continue
+                (back, piece), (short, goal) = _unlabel(enter), _unlabel(leave)
+                end = len(whole) - short
+                if end <= start - back:  # one piece from before the chunk to beyond it
+                    got.append(b"")
                 elif first < 0:
-                    got.append(seg.encode(whole[start - back : len(whole) - short]))
+                    got.append(seg.path(whole[:end], start - back, piece, start if back else start - back, goal))
                 else:
-                    head, tail = seg.encode_all([whole[start - back : first], whole[last : len(whole) - short]])
+                    head = seg.path(whole[:first], start - back, piece, start if back else start - back)
+                    tail = seg.path(whole[last:end], goal=goal) if end > last else b""
                     got.append(head + middle + tail)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _ids_array(got)], names=["key", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _ids_array(got)], names=["key", "part", "n", "ids"])
 
-    parts = joined.select("key", "n", "start", "whole", "first", "middle", "last", "back", "short").mapInArrow(backtrace, "key string, n int, ids array<int>")
-    return parts.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias("ids"))
+    parts = joined.select("key", "part", "n", "start", "whole", "first", "middle", "last", "enter", "leave").mapInArrow(backtrace, "key string, part int, n int, ids array<int>")
+    return parts.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "n", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, *, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -110,24 +110,39 @@ def vocabulary():
     return sentencepieces.Vocabulary.load(path)
 
 
-@pytest.mark.parametrize("chunk", [1 << 15, 50])
-def test_sentencepiece_round_trip_and_best_scores(spark, vocabulary, chunk):
-    rows = [*corpus(), (90, "a ▁b ▁▁ c", *[None] * 7), (91, "▁", *[None] * 7), (92, "  x  y\tz ", *[None] * 7), (93, "q" * 300, *[None] * 7)]
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@pytest.mark.parametrize("chunk", [1 << 15, 50, 7])
+def test_sentencepiece_is_the_library_and_a_round_trip(spark, vocabulary, monkeypatch, chunk):
+    """With small chunks and small trees every boundary falls into words, runs of spaces and characters of no piece."""
+    monkeypatch.setattr(sentencepieces, "FAN", 3 if chunk == 7 else 64)
+    rng = random.Random(4)
+    odd = ["  x  y\tz ", "q" * 300, " " * 90, "=" * 70 + "-" * 70, "梦" * 40 + "a😀b" * 20, "".join(rng.choice("ab .\né梦") for _ in range(400)), "internationalization" * 12]
+    rows = [r for r in corpus() if chunk > 7 or len(r[1] or "") < 1000] + [(90, "a ▁b ▁▁ c", *[None] * 7), (91, "▁", *[None] * 7), *((92 + k, t, *[None] * 7) for k, t in enumerate(odd))]
     made = sentencepieces.decode(sentencepieces.encode(frame(spark, rows), vocabulary, chunk=chunk), vocabulary)
-    seg, got = sentencepieces.Segmenter(vocabulary), made.collect()
+    sp, got = library(), made.collect()
     assert len(got) == len(rows) and Counter(r["text"] for r in got) == Counter(r[1] for r in rows)
     for r in got:
         assert r["decoded"] == r["text"]
-        if r["text"] and "▁" not in r["text"] and len(r["text"]) < 3000:
-            whole = seg.viterbi((" " + r["text"]).replace(" ", "▁"))
-            assert seg.total(whole) == seg.total(np.array(r["ids"], np.int32).tobytes())
-        assert (r["ids"] is None) == (r["text"] is None) and (r["text"] != "" or r["ids"] == [])
-
-
-def test_lockstep_is_viterbi(vocabulary):
-    rng, seg = random.Random(2), sentencepieces.Segmenter(vocabulary)
-    new = sorted({"▁" * rng.randint(0, 1) + words(rng, 1) + rng.choice(["", "é", "梦", "\U0001f600"]) for _ in range(300)})
-    assert seg._lockstep(new) == [seg.viterbi(x) for x in new]
+        if r["text"] is not None and "▁" not in r["text"]:
+            assert r["ids"] == sp.encode(r["text"])
+        assert (r["ids"] is None) == (r["text"] is None)
+
+
+def test_segments_are_encoded_as_by_the_library(vocabulary):
+    rng, seg, sp = random.Random(2), sentencepieces.Segmenter(vocabulary), library()
+    pieces = sorted(vocabulary.pieces)
+    made = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))).replace("▁", " ") for _ in range(600)]
+    made += [rng.choice("ax=-# .0é") * rng.randint(1, 200) for _ in range(100)] + [words(rng, 3) for _ in range(200)]
+    for t in made:
+        text = (" " + t).replace(" ", "▁")
+        assert seg.numbers(np.frombuffer(seg.path(text), np.int32).tolist()) == np.array(sp.encode(t), np.int32).tobytes()
+        assert np.frombuffer(sentencepieces.encode_text(t, seg), np.int32).tolist() == sp.encode(t)
 
 
 # 3
