@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, pieces
+from ._base import crowds, discard, left_join, materialize, pieces
 from ._words import FOLD, SPACED, mix, word_hashes
 
 SHINGLE = 5
@@ -378,10 +378,11 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
     return whole
 
 
-def linked_within(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-    """Links that join the similar ones of some sets: (member, smallest member it reaches)."""
+def linked_within(names: list[bytes], sets: list[np.ndarray], hub: bytes = b"") -> list[tuple[bytes, bytes]]:
+    """Links that join the similar ones of some sets: (member, the hub if it reaches that, otherwise the smallest it reaches)."""
+    least_of = lambda own: hub if hub in own else min(own)
     if len(sets) == 2:
-        return [(max(names), min(names))] if verify(*sets) else []
+        return [(n, least_of(names)) for n in names if n != least_of(names)] if verify(*sets) else []
     size = np.array([len(x) for x in sets])
     both = common(sets)
     np.fill_diagonal(both, 0)
@@ -398,11 +399,10 @@ def linked_within(names: list[bytes], sets: list[np.ndarray]) -> list[tuple[byte
         x, y = root(x), root(y)
         if x != y:
             parent[max(x, y)] = min(x, y)
-    least: dict[int, bytes] = {}
+    classes: dict[int, list[bytes]] = {}
     for k, n in enumerate(names):
-        r = root(k)
-        least[r] = min(least.get(r, n), n)
-    return [(n, least[root(k)]) for k, n in enumerate(names) if least[root(k)] != n]
+        classes.setdefault(root(k), []).append(n)
+    return [(n, least_of(own)) for own in classes.values() for n in own if n != least_of(own)]
 
 
 def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: str, text: str, *, whole: bool) -> DataFrame:
@@ -436,14 +436,14 @@ def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: s
             for hub, i, j, v, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (hub, i, j) != key:
                     if len(names) > 1:
-                        out += linked_within(names, own)
+                        out += linked_within(names, own, hub=key[0])
                     key, names, own = (hub, i, j), [], []
                 if not names or names[-1] != v:  # repeated rows bring a set twice
                     names.append(v), own.append(np.frombuffer(raw, np.uint64))
             yield _pairs(out)
             out = []
         if len(names) > 1:
-            out += linked_within(names, own)
+            out += linked_within(names, own, hub=key[0])
         yield _pairs(out)
 
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
@@ -484,7 +484,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = materialize(small, "small-star")
+        old, pairs = pairs, materialize(small, "small-star")
+        discard(old, large)
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
         if now == before:
             break
@@ -508,12 +509,28 @@ def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
     groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
     members = materialize(group_members(groups), "members")
     near = materialize(family_links(docs, heads, families(members)[0], doc_id, text, whole=False), "near-links")
-    first = materialize(components(near), "near-labels")
-    told = members.join(first, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    # a set has one link here, to its hub or to another of its block, and a hub to a more popular one
+    label = near.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
+    for _ in range(2):
+        label = materialize(label, "near-labels")
+        label = label.join(label.select(F.col("v").alias("label"), F.col("label").alias("next")), "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+    told = members.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
     open_ = told.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
     left = materialize(members.join(open_, "g", "left_semi"), "open-members")
     links = materialize(family_links(docs, heads, families(left)[1], doc_id, text, whole=True), "links")
-    return heads, materialize(components(links.unionByName(first.select(F.col("v").alias("a"), F.col("label").alias("b")))), "labels")
+    return heads, materialize(components(links.unionByName(near)), "labels")
+
+
+def _salt() -> Column:
+    """A value of each row that is no set's name."""
+    return F.encode(F.monotonically_increasing_id().cast("string"), "utf-8")
+
+
+def _labelled(heads: DataFrame, labels: DataFrame) -> DataFrame:
+    """The heads of documents with words and an id, each with its class's label."""
+    own = heads.where("n > 0 and doc_id is not null")
+    crowd = crowds(own.groupBy("s").agg(F.count(F.lit(1)).alias("k")), "s", "k", own.count())
+    return left_join(own, labels.withColumnRenamed("v", "s"), "s", crowd, _salt()).withColumn("label", F.coalesce("label", "s"))
 
 
 def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -525,10 +542,9 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     Repeated rows are equal sets.  An empty table gives none.
     """
     heads, labels = link_sets(docs, doc_id=doc_id, text=text)
-    told = heads.where("n > 0 and doc_id is not null").join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("doc_id", "n", F.coalesce("label", "s").alias("label"))
-    told = materialize(told, "told")
-    least = told.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    classed = told.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    told = materialize(_labelled(heads, labels), "told")
+    least = materialize(told.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "classes")
+    classed = left_join(told, least.drop("n"), "label", crowds(least, "label", "n", told.count()), _salt()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = heads.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return classed.union(alone)
 
@@ -540,5 +556,5 @@ def first_of_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     their own.  Documents without words or with a null id are in no class.
     """
     heads, labels = link_sets(docs, doc_id=doc_id, text=text, digest=True)
-    told = heads.where("n > 0 and doc_id is not null").join(labels.select(F.col("v").alias("s"), "label"), "s", "left").select("doc_id", "t", F.coalesce("label", "s").alias("label"))
+    told = _labelled(heads, labels)
     return told.groupBy("label").agg(F.min(F.struct("doc_id", "t")).alias("m")).select("m.doc_id", "m.t")
