@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ._base import fresh, materialize
 
-#: A line on more than this share of a host's pages is boilerplate ...
+#: A line on more than this share of a host's pages is boilerplate,
 BOILERPLATE_RATIO = 0.1
-#: ... if at least this many of the host's pages have it.
-MIN_PAGES = 5
+#: if it is on more than one: a line that stands on a single page does not repeat on its site.
+MIN_PAGES = 2
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, *, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -428,18 +428,25 @@ def test_tagger_and_personal_data(spark):
 # 10
 
 
+def lines_by_force(rows, ratio):
+    """(id, source, kept text, lines, dropped) of rows (id, text, _, source, ...)."""
+    strip = lambda x: x.strip(" \t\r")
+    pages, having = Counter(r[3] for r in rows), Counter((r[3], x) for r in rows for x in {strip(x) for x in (r[1] or "").split("\n")})
+    out = []
+    for r in rows:
+        own = r[1].split("\n") if r[1] is not None else []
+        left = [x for x in own if r[3] is None or not strip(x) or having[r[3], strip(x)] < 2 or having[r[3], strip(x)] / pages[r[3]] <= ratio]
+        out.append((r[0], r[3], "\n".join(left) if r[1] is not None else None, len(own), len(own) - len(left)))
+    return Counter(out)
+
+
 def test_line_dedup(spark):
     rows = [(k, f"Menu\nown line {k}\n  Menu\t\n\nfooter {k % 2}", "en", "a" if k < 20 else "b" if k < 23 else None, 1, 1, "k", "s", 5) for k in range(26)]
-    rows += [(30, None, None, "a", None, 1, "k", "s", 5), (31, "", None, "a", None, 1, "k", "s", 5), rows[0]]
-    out = line_dedup.drop_boilerplate(frame(spark, rows), "source", "text", ratio=0.6).collect()
-    assert len(out) == len(rows)
-    for r in out:
-        if r["text"] is None:
-            assert (r["kept_text"], r["n_lines"], r["n_dropped"]) == (None, 0, 0)
-        elif r["source"] == "a" and r["text"]:
-            assert r["n_dropped"] == 2 and r["kept_text"] == f"own line {r['doc_id']}\n\nfooter {r['doc_id'] % 2}" and r["kept"] == "k"
-        else:  # few pages, or no site
-            assert r["n_dropped"] == 0 and r["kept_text"] == r["text"]
+    rows += [(30, None, None, "a", None, 1, "k", "s", 5), (31, "", None, "a", None, 1, "k", "s", 5), rows[0], (40, "alone\nalone", "en", "c", 1, 1, "k", "s", 5)]
+    for ratio in (0.1, 0.6):
+        out = line_dedup.drop_boilerplate(frame(spark, rows), "source", "text", ratio=ratio).collect()
+        assert Counter((r["doc_id"], r["source"], r["kept_text"], r["n_lines"], r["n_dropped"]) for r in out) == lines_by_force(rows, ratio)
+        assert all(r["kept"] == "k" for r in out)
 
 
 def test_empty_tables(spark):
