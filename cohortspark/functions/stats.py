@@ -64,9 +64,24 @@ def equal_count_bins(df: DataFrame, value: str, tie: str, bins: int | None = Non
     """Each row's bin, 1-based: bins of equal counts in the order of ``value`` and ``tie``.
 
     Unless given there are as many bins as pairs of rows, ``most`` at most.
+    Rows are sorted in ranges that are numbered on from each other, so the
+    whole order is no single task; with ``by`` there are bins in each group.
     """
-    if bins is None:
-        n = df.count()
-        bins = max(1, min(most, n // 2))
-    keys = [F.col(c) for c in by or []] or [F.lit(0)]
-    return df.withColumn(out, F.ntile(bins).over(Window.partitionBy(*keys).orderBy(value, tie)))
+    if by:
+        return df.withColumn(out, F.ntile(bins or most).over(Window.partitionBy(*by).orderBy(value, tie)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the number of a row's partition and its place there are in the identifier
+    ordered = df.repartitionByRange(parts, F.asc_nulls_first(value), F.asc_nulls_first(tie)).sortWithinPartitions(F.asc_nulls_first(value), F.asc_nulls_first(tie)).withColumn("_id", F.monotonically_increasing_id()).persist()
+    sizes = dict(ordered.groupBy(F.shiftright("_id", 33).alias("p")).count().collect())
+    n = sum(sizes.values())
+    k = bins or max(1, min(most, n // 2))
+    first, start = {}, 0
+    for p in sorted(sizes):
+        first[p], start = start, start + sizes[p]
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.shiftright("_id", 33)) if first else F.lit(0)
+    place = offset + F.col("_id").bitwiseAND((1 << 33) - 1)
+    # the first n % k bins have one row more than the others
+    size, more = n // k, n % k
+    edge = more * (size + 1)
+    number = F.when(place < edge, F.floor(place / (size + 1))).otherwise(more + F.floor((place - edge) / max(size, 1)))
+    return ordered.withColumn(out, (number + 1).cast("int")).drop("_id")

@@ -115,16 +115,44 @@ def levels(cohort: DataFrame, rules: Rules, characteristics: Sequence[tuple[str,
     return out.select(*keys, "n_total", "n_observed", "n_missing", "count", ratio(100.0 * F.col("count"), base).alias("percentage"))
 
 
-def activities(dense: DataFrame, types: DataFrame) -> DataFrame:
-    """Per event type over all members: reach, zeros, events, and their spread among those reached."""
+def activities(counts: DataFrame, members: int, types: DataFrame) -> DataFrame:
+    """Per event type over all members: reach, zeros, events, and their spread among those reached.
+
+    ``counts`` are those of members with events; the others are what is left
+    of ``members``, the number of all.
+    """
     n = F.col("event_count")
-    reached = F.when(n > 0, n)
-    q = F.percentile(reached, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    per = dense.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n_analysis"), F.count(reached).alias("n_reached"), F.count_if(n == 0).alias("n_zero"), F.sum(n).alias("total_events"),
-        ratio(F.sum(n), F.count(reached)).alias("events_per_reached_member"), q[1].alias("median_events_among_reached"), q[0].alias("q1_events_among_reached"), q[2].alias("q3_events_among_reached"),
+    q = F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    per = counts.where(n > 0).groupBy("event_type").agg(F.count(F.lit(1)).alias("reached"), F.sum(n).alias("events"), q.alias("q"))
+    reached, events = F.coalesce("reached", F.lit(0)).cast("bigint"), F.coalesce("events", F.lit(0)).cast("bigint")
+    return types.select("event_type", "is_repeatable").join(per, "event_type", "left").select(
+        "event_type", F.lit(members).cast("bigint").alias("n_analysis"), reached.alias("n_reached"), (F.lit(members).cast("bigint") - reached).alias("n_zero"), events.alias("total_events"),
+        ratio(events, reached).alias("events_per_reached_member"), F.col("q")[1].alias("median_events_among_reached"), F.col("q")[0].alias("q1_events_among_reached"), F.col("q")[2].alias("q3_events_among_reached"), "is_repeatable",
     )
-    return per.join(types.select("event_type", "is_repeatable"), "event_type")
+
+
+# The event types and their classes.
+ACTIONABILITY = {
+    "CHART_REVIEW": "care_delivery",
+    "COMPLETED_CONSULTATION": "care_delivery",
+    "COMPLETED_LAB_TEST": "clinical_or_administrative",
+    "CONSUMED_DIGITAL_CONTENT": "member_behavior",
+    "MEAL_PLAN_GENERATED": "care_delivery",
+    "MEDICAL_QUESTIONNAIRE_ANSWERED": "clinical_or_administrative",
+    "MEDICATION_CHANGE": "care_delivery",
+    "QUESTIONNAIRE_ANSWERED": "member_behavior",
+    "RECORD_BLOOD_GLUCOSE": "member_behavior",
+    "RECORD_BLOOD_GLUCOSE_WITH_REVIEW": "care_delivery",
+    "RECORD_BLOOD_PRESSURE": "member_behavior",
+    "RECORD_BLOOD_PRESSURE_WITH_REVIEW": "care_delivery",
+    "RECORD_BODY_WEIGHT": "member_behavior",
+    "RECORD_STEPS": "member_behavior",
+    "REGISTRATION": "clinical_or_administrative",
+    "SUBSCRIPTION_STARTED": "clinical_or_administrative",
+    "TEXT_MESSAGE_CARE_ONLY": "care_delivery",
+    "VIDEO_CALL_COMPLETED": "care_delivery",
+    "VOICE_MESSAGE_CARE_ONLY": "care_delivery",
+}
 
 
 def classify_strictly(types: DataFrame, mapping: dict[str, str], name: str = "actionability_class") -> DataFrame:

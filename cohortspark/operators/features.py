@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import at_least, holds, ratio
 from .cohort import Rules
 
+#: Event types that a study may have at most where members meet all of them.
+MOST_TYPES = 1000
+
 
 def classify_events(engagement: DataFrame, rules: Rules) -> DataFrame:
     """Per event type: events, distinct members, their ratio, and whether both reach the thresholds.
@@ -83,8 +86,12 @@ def member_features(engagement: DataFrame, modules: DataFrame, cohort: DataFrame
 def dense_counts(cohort: DataFrame, counts: DataFrame, types: DataFrame) -> DataFrame:
     """Every member with every event type: 0 where there is no count.
 
-    ``types`` is the table of event types, a fixed vocabulary; each member is
-    repeated for each of it.
+    ``types`` is the table of event types, a vocabulary of at most
+    ``MOST_TYPES``, which is checked; each member is repeated for each of it.
     """
-    spine = cohort.select("member_id").crossJoin(F.broadcast(types.select("event_type").distinct()))
+    known = [r[0] for r in types.select("event_type").distinct().limit(MOST_TYPES + 1).collect()]
+    if len(known) > MOST_TYPES:
+        raise ValueError(f"over {MOST_TYPES} event types: the column is no vocabulary")
+    vocabulary = F.array(*[F.lit(t).cast("string") for t in known]) if known else F.array().cast("array<string>")
+    spine = cohort.select("member_id", F.explode(vocabulary).alias("event_type"))
     return spine.join(counts.select("member_id", "event_type", "event_count"), ["member_id", "event_type"], "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)).cast("bigint"))

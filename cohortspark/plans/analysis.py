@@ -103,13 +103,14 @@ def choose_specification(mean: Specification, domains: Specification) -> str:
     return "mean" if mean.score <= domains.score + 1e-12 else "domains"
 
 
+def canonical(candidate: str) -> bool:
+    """Of the contrasts of sex only that of MALE is eligible for the locked model."""
+    return not candidate.startswith("sex[") or candidate == "sex[MALE]"
+
+
 def locked_candidates(spec: Specification, threshold: float) -> tuple[str, ...]:
-    """The winning specification's candidates that reach the threshold, in order; of sexes only MALE may be one."""
-    out = tuple(n for n in spec.candidates if spec.frequency(n) >= threshold)
-    odd = [n for n in out if n.startswith("sex[") and n != "sex[MALE]"]
-    if odd:
-        raise ValueError(f"not a canonical contrast: {odd[0]}")
-    return out
+    """The winning specification's candidates that reach the threshold, in order; those that are not canonical are reported, but not locked."""
+    return tuple(n for n in spec.candidates if canonical(n) and spec.frequency(n) >= threshold)
 
 
 def common_support(df: DataFrame, column: str) -> DataFrame:
@@ -159,11 +160,11 @@ def quantile_pairs(points: DataFrame, model_id: str, n: int) -> list[dict]:
     return [dict(model_id=model_id, diagnostic_type="normal_qq", row_type="plot_summary", series="quantile_pair", bin_order=i, bin_method="fixed_probability_quantiles", bin_lower=p, bin_upper=p, bin_count=n, x_value=NormalDist().inv_cdf(p), y_value=v, metric="standardized_residual_quantile", value=v, flag=False, status="descriptive") for i, (p, v) in enumerate(zip(at, got), start=1)]
 
 
-def run_analysis(study: Study, rules: Rules | None = None, config: Config | None = None, actionability: dict[str, str] | None = None) -> Analysis:
+def run_analysis(study: Study, rules: Rules | None = None, config: Config | None = None, actionability: dict[str, str] = d.ACTIONABILITY) -> Analysis:
     """Run everything; fails if the percentage-loss model does not win the comparison, as only that can be locked.
 
-    ``actionability`` classes every event type, and no other; by default all
-    are unclassified.
+    ``actionability`` classes every event type, and no other: a type without a
+    class, a missing one or a class without its type fails the run.
     """
     rules, config = rules or Rules(), config or Config()
     require_keys(study.demographics, "member_id", "demographics")
@@ -209,7 +210,7 @@ def small(df: DataFrame, *order: str) -> pd.DataFrame:
     return df.orderBy(*order).toPandas()
 
 
-def build_tables(study: Study, rules: Rules, config: Config, members: DataFrame, types: DataFrame, wide: DataFrame, cv: DataFrame, best: str, specs: dict[str, Specification], chosen: str, locked: Sequence[str], base: Sequence[str], actionability: dict[str, str] | None) -> dict[str, pd.DataFrame]:
+def build_tables(study: Study, rules: Rules, config: Config, members: DataFrame, types: DataFrame, wide: DataFrame, cv: DataFrame, best: str, specs: dict[str, Specification], chosen: str, locked: Sequence[str], base: Sequence[str], actionability: dict[str, str]) -> dict[str, pd.DataFrame]:
     out: dict[str, pd.DataFrame] = {}
     flow = small(c.cohort_flow(study, rules), "flow_order").assign(row_type="stage", notes="")
     out["cohort_flow"] = closed("cohort_flow", flow.assign(stage_label=flow["stage_id"].str.replace("_", " "), exclusion_definition=["", *[f"excluded first at: {s.replace('_', ' ')}" for s in c.STAGES]]))
@@ -223,12 +224,12 @@ def build_tables(study: Study, rules: Rules, config: Config, members: DataFrame,
     out["engagement_by_member_type"] = closed("engagement_by_member_type", eng.assign(metric_label=eng["metric"].str.replace("_", " "), unit="", exposure_window_definition="events up to the last weight", denominator_definition=np.where(eng["metric"].str.contains("rate"), f"at least {rules.floor_days:g} days", "")))
     counts = f.event_counts(study.engagement, members, rules)
     dense = f.dense_counts(members, counts, types)
-    with_treated = wide.select("member_id", "percentage_loss", "first_weight", "treated", "tenure_days")
-    classed = d.classify_strictly(types, actionability) if actionability else types.withColumn("actionability_class", F.lit("unclassified"))
-    acts = d.activities(dense, types).join(classed.select("event_type", "actionability_class"), "event_type").toPandas()
+    with_treated = wide.select("member_id", "percentage_loss", "first_weight", "treated", "weight_days")
+    classed = d.classify_strictly(types, actionability)
+    acts = d.activities(counts, members.count(), types).join(classed.select("event_type", "actionability_class"), "event_type").toPandas()
     tests = adjust_p(activity_associations(with_treated, dense, ["treated"]), "p_value").toPandas().drop(columns="n_reached")
     acts = acts.merge(tests, on="event_type").sort_values("event_type", ignore_index=True)
-    acts = acts.assign(event_order=acts.index + 1, predictor="event count", predictor_transform="standardised log1p", effect_unit="percentage points per SD", reference_distribution="normal", ci_level=0.95, fdr_method="benjamini_hochberg", fdr_family="event types tested", fdr_test_count=int((acts["test_status"] == "tested").sum()), covariance_estimator="HC3", adjustment_terms="first_weight, member_type, tenure_days, tenure_days squared", reference_member_type=rules.reference, interpretation="association, not an effect")
+    acts = acts.assign(event_order=acts.index + 1, predictor="event count", predictor_transform="standardised log1p", effect_unit="percentage points per SD", reference_distribution="normal", ci_level=0.95, fdr_method="benjamini_hochberg", fdr_family="event types tested", fdr_test_count=int((acts["test_status"] == "tested").sum()), covariance_estimator="HC3", adjustment_terms="first_weight, member_type, weight_days, weight_days squared", reference_member_type=rules.reference, interpretation="association, not an effect")
     out["engagement_activity_summary"] = closed("engagement_activity_summary", acts)
     mods = small(d.modules(wide, rules), "scope_order", "module_order")
     out["modules_by_member_type"] = closed("modules_by_member_type", mods.assign(module_label=mods["module_variable"].str.replace("_", " "), module_group=np.where(mods["module_variable"] == "module_core", "core", "extension"), completion_definition="distinct titles up to the last weight", availability_status=np.where(mods["zero_completion_group_flag"], "no completion observed", "observed"), support_scope=np.where(mods["zero_completion_group_flag"], "not verifiable in this scope", "observed in this scope"), cross_group_comparability=np.where(mods["zero_completion_group_flag"], "not comparable", "comparable"), interpretation="descriptive"))
@@ -266,7 +267,7 @@ def selection_rows(spec: Specification, order: int, wins: bool, locked: Sequence
     for k, name in enumerate(spec.candidates):
         out, frequency = name in spec.fit.excluded, spec.frequency(name)
         reached = frequency >= config.threshold
-        status = "locked" if wins and name in locked else "inestimable_full_fit" if out else "nonwinning_specification" if not wins else "below_stability_threshold"
+        status = "ineligible_noncanonical_candidate" if not canonical(name) else "locked" if wins and name in locked else "inestimable_full_fit" if out else "nonwinning_specification" if not wins else "below_stability_threshold"
         rows.append(dict(specification_order=order, module_spec=spec.name, is_winning_specification=wins, candidate_order=k + 1, candidate=name, candidate_label=name.replace("_", " "), candidate_role="module" if name.startswith("module") else "demographic" if name.startswith("sex") else "engagement", reference_level="FEMALE" if name.startswith("sex") else "", penalty_status="penalised", selected_lambda_ratio=spec.tuning.ratio, full_sample_lambda=spec.fit.lam, full_sample_lambda_max=spec.fit.lam_max, cv_selection_rule=config.selection_rule, cv_mean_mse=spec.score, cv_standard_error=float(spec.tuning.error[spec.tuning.best]), fold_plan_id=f"seed {config.seed + 1000}", n_resamples=spec.n_resamples, subsample_fraction=config.fraction, selection_threshold=config.threshold, full_sample_coefficient=float(spec.fit.coefficients[k]), full_sample_standardized_coefficient=float(spec.fit.theta[k]), selection_count=0 if out else spec.counts[name], selection_frequency=frequency, selected_at_threshold=reached, eligible_for_locked_model=wins and reached and not out, locked_model_status=status, exclusion_reason="constant or within the base" if out else "", coefficient_unit="percentage points", interpretation="selection is not inference"))
     return rows
 

@@ -205,7 +205,7 @@ def _(s: Study) -> DataFrame:
 
 
 def features_of(s: Study) -> DataFrame:
-    return f.member_features(s.engagement, s.modules, c.members(s, RULES), RULES)
+    return f.member_features(s.engagement, s.modules, c.members(s, RULES).persist(), RULES)
 
 
 _DOUBLES = ["first_weight", "last_weight", "weight_days", "tenure_days", "absolute_weight_loss", "percentage_loss", "engagement_volume_repeatable_rate", *[f"module_{n}" for n in _NAMES], "module_mean"]
@@ -247,9 +247,8 @@ select event_type, any_value(is_repeatable) as is_repeatable, count(*) as n_anal
   {_r('sum(n)::double / nullif(count(*) filter (n > 0), 0)', 'events_per_reached_member')}, {_r('quantile_cont(n, 0.5) filter (n > 0)', 'median_events_among_reached')}, {_r('quantile_cont(n, 0.25) filter (n > 0)', 'q1_events_among_reached')}, {_r('quantile_cont(n, 0.75) filter (n > 0)', 'q3_events_among_reached')}
 from dense group by event_type""")
 def _(s: Study) -> DataFrame:
-    k = c.members(s, RULES)
-    types = f.classify_events(s.engagement, RULES)
-    return d.activities(f.dense_counts(k, f.event_counts(s.engagement, k, RULES), types), types)
+    k = c.members(s, RULES).persist()
+    return d.activities(f.event_counts(s.engagement, k, RULES), k.count(), f.classify_events(s.engagement, RULES))
 
 
 _MODULE_ROWS = " union all ".join(

@@ -116,14 +116,36 @@ def _(s: Study) -> DataFrame:
     return ls.assign_folds(cohort_of(s), "member_id", "member_type", folds=5, repeats=2, seed=SEED)
 
 
-@query("q33_quota_subsamples")
+_QUOTAS = """, sized as (select member_type, count(*) as c from cohort group by 1), whole as (select round_even(0.7 * sum(c), 0) as size, sum(c) as n from sized),
+ideal as (select member_type, size, size * c / n as i from sized cross join whole), floors as (select *, greatest(1, floor(i)) as q from ideal),
+quotas as (select member_type, q + case when row_number() over (order by i - q desc, member_type) <= size - sum(q) over () then 1 else 0 end as quota from floors)"""
+
+
+@query("q33_quota_subsamples", _PLACES.format(r="resample", n=3) + _QUOTAS + " select member_id, k.member_type, resample from keyed k join quotas q on q.member_type = k.member_type where place < quota")
 def _(s: Study) -> DataFrame:
     return ls.subsamples(cohort_of(s), "member_id", "member_type", fraction=0.7, n=3, seed=SEED)
 
 
-@query("q34_base_model_cv")
+# Both models' closed forms on each training part, and their errors on the rest.
+_CV = """, plan as (select member_id, repeat, ((place + start) % 5)::int as fold from keyed k join starts s on k.member_type = s.member_type),
+r as (select p.repeat, p.fold, case when member_type = 'MACHINERY' then 1 else 0 end as g, first_weight as x, percentage_loss as y, last_weight, ln(first_weight) as y0, ln(last_weight) - ln(first_weight) as d from plan p join cohort c on c.member_id = p.member_id),
+tr as (select r.*, f.fold as held from r join (select distinct fold from r) f on f.fold <> r.fold),
+gm as (select repeat, held, g, avg(x) as mx, avg(y) as my, avg(y0 + d / 2) as mm from tr group by all),
+delta as (select repeat, held, avg(d) as delta from tr group by all),
+sums as (select t.repeat, t.held, sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) as b, avg((y0 + d / 2 - mm) * (y0 + d / 2 - mm)) as vm, avg((d - delta) * (d - delta)) as vd, any_value(delta) as delta
+  from tr t join gm on gm.repeat = t.repeat and gm.held = t.held and gm.g = t.g join delta e on e.repeat = t.repeat and e.held = t.held group by all),
+test as (select r.repeat, r.fold, last_weight, x * (1 - (my + b * (x - mx)) / 100) as ols, mm - delta / 2 as mu, vm + vd / 4 as v, vm - vd / 4 as c, delta, y0
+  from r join gm on gm.repeat = r.repeat and gm.held = r.fold and gm.g = r.g join sums s on s.repeat = r.repeat and s.held = r.fold),
+errors as (select repeat, fold, 'percentage_loss_ols' as model, last_weight - ols as e from test
+  union all select repeat, fold, 'longitudinal_log_gls', last_weight - exp(mu + delta + c / v * (y0 - mu) + (v - c * c / v) / 2) from test),
+scores as (select repeat, fold, model, count(*) as n_test, sqrt(avg(e * e)) as rmse, avg(abs(e)) as mae from errors group by all),
+best as (select model from scores group by model order by avg(rmse), avg(mae), model = 'longitudinal_log_gls' limit 1)
+select repeat::int as repeat, fold, model, n_test, round(rmse, 6) as rmse, round(mae, 6) as mae, model = (select model from best) as is_winner from scores"""
+
+
+@query("q34_base_model_cv", _PLACES.format(r="repeat", n=2) + _CV)
 def _(s: Study) -> DataFrame:
-    scores = base_model_cv(cohort_of(s), ["treated"], folds=5, repeats=2, seed=SEED)
+    scores = base_model_cv(cohort_of(s), ["treated"], folds=5, repeats=2, seed=SEED).persist()
     return scores.withColumn("is_winner", F.col("model") == winner(scores))
 
 
@@ -143,18 +165,47 @@ def _(s: Study) -> DataFrame:
     folds = ls.assign_folds(w, "member_id", "member_type", folds=5, repeats=2, seed=SEED + 1000)
     tuned = ls.tune(w, folds, "percentage_loss", BASE, MEAN)
     fit = ls.fit_lasso(w, "percentage_loss", BASE, MEAN, tuned.ratio)
-    samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=50, seed=SEED + 11000)
+    samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=100, seed=SEED + 11000)
     counts, n = ls.stability(w, samples, "percentage_loss", BASE, MEAN, tuned.ratio)
     w.unpersist()
     return _rows(s, ["candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"], [(x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(MEAN, fit.coefficients)], "string double double bigint double")
 
 
-@query("q37_activity_associations")
+def _association_sql() -> str:
+    """One regression an event type by successive orthogonalisation: each regressor less what those before it explain."""
+    names = ["x1", "x2", "x3", "x4", "z"]
+    centred = ", ".join(f"{c} - avg({c}) over w as {c}" for c in [*names, "y"])
+    sql = f"""(select event_type, n, n_reached, 1.0::double / n as h, {centred} from (
+      select event_type, count(*) over w as n, count(*) filter (c > 0) over w as n_reached, first_weight as x1, case when member_type = 'MACHINERY' then 1.0::double else 0.0 end as x2,
+        weight_days - avg(weight_days) over w as x3, pow(weight_days - avg(weight_days) over w, 2) as x4,
+        (ln(1 + c) - avg(ln(1 + c)) over w) / stddev_samp(ln(1 + c)) over w as z, percentage_loss as y
+      from dense window w as (partition by event_type)) d0 window w as (partition by event_type))"""
+    for k, own in enumerate(names):
+        rest = [*names[k + 1 :], "y"]
+        slope = lambda c, own=own: f"sum({c} * {own}) over w / sum({own} * {own}) over w"
+        moved = ", ".join(f"{c} - {own} * ({slope(c)}) as {c}" for c in rest)
+        keep = f", z as zr, sum(z * z) over w as zz, {slope('y')} as b" if own == "z" else ""
+        sql = f"(select event_type, n, n_reached, h + {own} * {own} / sum({own} * {own}) over w as h, {moved}{keep} from {sql} o{k} window w as (partition by event_type))"
+    return f""", dense as (select k.*, t.event_type, coalesce(event_count, 0)::double as c from cohort k cross join types t left join counts n on n.member_id = k.member_id and n.event_type = t.event_type),
+fits as (select event_type, any_value(n_reached) as n_reached, any_value(b) as b, sqrt(sum(pow(zr * y / (1 - h), 2))) / any_value(zz) as se from {sql} e group by event_type)
+select event_type, n_reached::bigint as n_reached, case when n_reached < 30 then 'insufficient_reach' else 'tested' end as test_status, {_r('case when n_reached >= 30 then b end', 'estimate')}, {_r('case when n_reached >= 30 then se end', 'standard_error')},
+ {_r('case when n_reached >= 30 then b / se end', 'test_statistic')}, {_r('case when n_reached >= 30 then b - 1.959963984540054 * se end', 'ci_lower')}, {_r('case when n_reached >= 30 then b + 1.959963984540054 * se end', 'ci_upper')} from fits"""
+
+
+@query("q37_activity_associations", _association_sql())
+def _(s: Study) -> DataFrame:
+    k = cohort_of(s)
+    types = f.classify_events(s.engagement, RULES)
+    dense = f.dense_counts(k, f.event_counts(s.engagement, k, RULES), types)
+    return activity_associations(k, dense, ["treated"]).drop("p_value")  # a normal probability: DuckDB has no erf
+
+
+@query("q40_activity_p_values")
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     types = f.classify_events(s.engagement, RULES)
     dense = f.dense_counts(k, f.event_counts(s.engagement, k, RULES), types)
-    return adjust_p(activity_associations(k, dense, ["treated"], days="tenure_days"), "p_value")
+    return adjust_p(activity_associations(k, dense, ["treated"]), "p_value").select("event_type", "p_value", "fdr_adjusted_p_value")
 
 
 @query("q38_collinearity")
@@ -165,6 +216,10 @@ def _(s: Study) -> DataFrame:
     return _rows(s, ["position", "singular_value", "rank"], [(k, v, got.rank) for k, v in enumerate(got.singular_values)], "int double int")
 
 
-@query("q39_feature_summary", None)
+_SUMMARIZED = ["first_weight", "last_weight", "percentage_loss", "weight_days", *MEAN]
+_STATISTICS = {"n_observed": "count({v})::double", "n_missing": "(count(*) - count({v}))::double", "mean": "avg({v})", "standard_deviation": "stddev_samp({v})", "minimum": "min({v})::double", "median": "quantile_cont({v}, 0.5)", "maximum": "max({v})::double"}
+
+
+@query("q39_feature_summary", " union all ".join(f"select {k} as variable_order, '{v}' as variable, '{name}' as statistic, {_r(x.format(v=v), 'value')} from features" for k, v in enumerate(_SUMMARIZED, 1) for name, x in _STATISTICS.items()))
 def _(s: Study) -> DataFrame:
-    return d.feature_summary(features_of(s), ["first_weight", "last_weight", "percentage_loss", "weight_days", *MEAN])
+    return d.feature_summary(features_of(s), _SUMMARIZED)

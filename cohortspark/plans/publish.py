@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import shutil
+import sys
 import tempfile
 from collections.abc import Iterable, Iterator, Mapping
 from itertools import chain
@@ -69,6 +70,18 @@ def member_ids(study: Study) -> Iterator[str]:
     return (r[0] for r in every.toLocalIterator())
 
 
+def _taken_back(path: Path, kept: Path | None) -> bool:
+    """Put the file before in the place of a published one; False if that fails."""
+    try:
+        if kept is not None:
+            os.replace(kept, path)
+        else:
+            path.unlink(missing_ok=True)
+    except OSError:
+        return False
+    return True
+
+
 def write_outputs(result: Analysis, folder: str, *, source: str | None = None, identifiers: Iterable[str] = ()) -> list[Path]:
     """Write all tables and the metadata; the folder gets all of them or stays as it was.
 
@@ -101,13 +114,13 @@ def write_outputs(result: Analysis, folder: str, *, source: str | None = None, i
             done.append((target / name, kept))
             os.replace(stage / name, target / name)
     except BaseException:
-        for path, kept in reversed(done):
-            path.unlink(missing_ok=True)
-            if kept is not None:
-                os.replace(kept, path)
-        raise
-    finally:
+        # a file that can't be taken back stays in the stage folder, which is then kept
+        lost = [path.name for path, kept in reversed(done) if not _taken_back(path, kept)]
+        if lost:
+            raise RuntimeError(f"not restored: {', '.join(lost)}; the files before are in {stage}") from sys.exception()
         shutil.rmtree(stage, ignore_errors=True)
+        raise
+    shutil.rmtree(stage, ignore_errors=True)
     return [target / name for name in files]
 
 

@@ -39,22 +39,22 @@ class Study:
 
 # The source files' names and headers.
 MODULES = Extract(
-    "Doc 1 modules completion.csv",
+    "Data Analyst Case Study Doc 1 - 12 Weeks Weight Loss Modules Completion.csv",
     {"Readable Id": "member_id", "Questionnaire Title (All Questionnaire Records)": "questionnaire_title", "Day of Answered At (All Questionnaire Records)": "answered_at"},
     dates=("answered_at",),
 )
 DEMOGRAPHICS = Extract(
-    "Doc 2 demographics.csv",
+    "Data Analyst Case Study Doc 2 - Demographics.csv",
     {"Readable Id": "member_id", "Day of Start Date": "start_date", "Status (Subscriptions)": "subscription_status", "cancellation_date": "cancellation_date", "Sex": "sex", "ethnicity": "ethnicity"},
     dates=("start_date", "cancellation_date"),
 )
 ENGAGEMENT = Extract(
-    "Doc 3 engagement.csv",
+    "Data Analyst Case Study Doc 3 - Engagement Data.csv",
     {"Readable Id": "member_id", "Day of Activity Timestamp": "activity_at", "Type": "event_type"},
     dates=("activity_at",),
 )
 WEIGHTS = Extract(
-    "Doc 4 BW detail.csv",
+    "Data Analyst Case Study Doc 4 - BW_Detail.csv",
     {
         "User Id": "member_id",
         "Weight-loss Member Type": "member_type",

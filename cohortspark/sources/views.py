@@ -24,17 +24,11 @@ select cast(c_custkey as string) as member_id,
        case when c_custkey % 30 = 9 then '  ' when c_nationkey < 12 then 'GROUP A' when c_nationkey < 20 then 'GROUP B' else 'GROUP C' end as ethnicity
 from customer"""
 
-_RANKED = """
-select o_custkey, o_orderdate, o_totalprice,
-       row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as a,
-       row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as z
-from orders"""
-
-_FIRST_LAST = f"""
+_FIRST_LAST = """
 select o_custkey,
-       min(case when a = 1 then o_orderdate end) as first_weight_at, min(case when z = 1 then o_orderdate end) as last_weight_at,
-       min(case when a = 1 then o_totalprice end) as first_weight, min(case when z = 1 then o_totalprice end) as last_weight
-from ({_RANKED}) ranked group by o_custkey"""
+       min(o_orderdate) as first_weight_at, max(o_orderdate) as last_weight_at,
+       min_by(o_totalprice, %PAIR%(o_orderdate, o_orderkey)) as first_weight, max_by(o_totalprice, %PAIR%(o_orderdate, o_orderkey)) as last_weight
+from orders group by o_custkey"""
 
 WEIGHTS = f"""
 select cast(o_custkey as string) as member_id, c_mktsegment as member_type, first_weight_at, last_weight_at, first_weight, last_weight,
@@ -56,7 +50,7 @@ _DUCK_DAYS = "date_diff('day', first_weight_at, last_weight_at)"
 
 def duck_views() -> str:
     """The views as a WITH list for DuckDB."""
-    own = {"v_demographics": DEMOGRAPHICS, "v_weights": WEIGHTS.replace("%DAYS%", _DUCK_DAYS), "v_engagement": ENGAGEMENT, "v_modules": MODULES}
+    own = {"v_demographics": DEMOGRAPHICS, "v_weights": WEIGHTS.replace("%DAYS%", _DUCK_DAYS).replace("%PAIR%", "row"), "v_engagement": ENGAGEMENT, "v_modules": MODULES}
     return ", ".join(f"{name} as ({sql})" for name, sql in own.items())
 
 
@@ -73,7 +67,7 @@ def order_study(spark: SparkSession, sf_dir: str) -> Study:
 
     return Study(
         view(DEMOGRAPHICS, "customer"),
-        view(WEIGHTS.replace("%DAYS%", _SPARK_DAYS), "customer", "orders"),
+        view(WEIGHTS.replace("%DAYS%", _SPARK_DAYS).replace("%PAIR%", "struct"), "customer", "orders"),
         view(ENGAGEMENT, "lineitem", "orders"),
         view(MODULES, "lineitem", "orders", "part"),
     )

@@ -16,7 +16,7 @@ def spelled(d: date, k: int) -> str:
 def write_study(folder: Path, n: int = 64, seed: int = 3) -> None:
     rng = random.Random(seed)
     start = date(2025, 1, 1)
-    files = {"Doc 1 modules completion.csv": [["Readable Id", "Questionnaire Title (All Questionnaire Records)", "Day of Answered At (All Questionnaire Records)"]], "Doc 2 demographics.csv": [["Readable Id", "Day of Start Date", "Status (Subscriptions)", "cancellation_date", "Sex", "ethnicity"]], "Doc 3 engagement.csv": [["Readable Id", "Day of Activity Timestamp", "Type"]], "Doc 4 BW detail.csv": [["User Id", "Weight-loss Member Type", "Day of BW First Measurement Effective", "Day of BW Last Measurement Effective", "First", "Last", "Diff", "BW Days between First/Last", "days in weight-loss program"]]}
+    files = {"Data Analyst Case Study Doc 1 - 12 Weeks Weight Loss Modules Completion.csv": [["Readable Id", "Questionnaire Title (All Questionnaire Records)", "Day of Answered At (All Questionnaire Records)"]], "Data Analyst Case Study Doc 2 - Demographics.csv": [["Readable Id", "Day of Start Date", "Status (Subscriptions)", "cancellation_date", "Sex", "ethnicity"]], "Data Analyst Case Study Doc 3 - Engagement Data.csv": [["Readable Id", "Day of Activity Timestamp", "Type"]], "Data Analyst Case Study Doc 4 - BW_Detail.csv": [["User Id", "Weight-loss Member Type", "Day of BW First Measurement Effective", "Day of BW Last Measurement Effective", "First", "Last", "Diff", "BW Days between First/Last", "days in weight-loss program"]]}
     modules, people, events, weights = files.values()
     for k in range(n):
         name, kind = f"member-{k:03d}", (TREATED, REFERENCE)[k % 2]

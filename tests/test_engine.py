@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 import shutil
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from cohortspark.sources.extracts import MODULES, load_study, read_extract
 from .study import TREATED, write_study
 
 RULES = c.Rules()
+CLASSES = {"WEIGHT": "member_behavior", "MEAL": "member_behavior", "LOGIN": "clinical_or_administrative"}
 
 
 @pytest.fixture(scope="module")
@@ -239,7 +243,7 @@ def test_collinearity(points):
 
 def test_whole_analysis_is_published_whole_or_not_at_all(spark, study, folder, tmp_path):
     config = analysis.Config(cv_folds=2, cv_repeats=1, resamples=4, lambda_ratios=(1.0, 0.2))
-    result = analysis.run_analysis(study, config=config)
+    result = analysis.run_analysis(study, config=config, actionability=CLASSES)
     assert result.winner == analysis.OLS_MODEL and list(result.tables) == list(SCHEMAS)
     assert len(result.tables["cohort_flow"]) == 8 and len(result.tables["outcomes_by_member_type"]) == 18 and len(result.tables["limitations"]) == 10
     out = tmp_path / "out"
@@ -247,7 +251,7 @@ def test_whole_analysis_is_published_whole_or_not_at_all(spark, study, folder, t
     paths = publish.write_outputs(result, str(out), source=str(folder), identifiers=ids)
     assert len(paths) == 16 and all(p.exists() for p in paths)
     before = {p.name: p.read_bytes() for p in paths}
-    again = analysis.run_analysis(load_study(spark, str(folder)), config=config)
+    again = analysis.run_analysis(load_study(spark, str(folder)), config=config, actionability=CLASSES)
     publish.write_outputs(again, str(out), identifiers=ids)
     assert {p.name: p.read_bytes() for p in paths} == before
     with pytest.raises(ValueError):
@@ -262,6 +266,40 @@ def test_whole_analysis_is_published_whole_or_not_at_all(spark, study, folder, t
     shutil.rmtree(out)
 
 
+def test_event_types_without_a_class_stop_the_run(study):
+    with pytest.raises(ValueError, match="without a class"):
+        d.classify_strictly(f.classify_events(study.engagement, RULES), d.ACTIONABILITY)
+
+
+def test_contrasts_that_are_not_canonical_are_reported_but_not_locked():
+    names = ("tenure_days", "sex[MALE]", "sex[OTHER]")
+    fit = SimpleNamespace(excluded=(), lam=1.0, lam_max=2.0, coefficients=[0.1] * 3, theta=[0.1] * 3)
+    spec = analysis.Specification("mean", names, None, fit, dict.fromkeys(names, 9), 10)
+    assert analysis.locked_candidates(spec, 0.75) == ("tenure_days", "sex[MALE]")
+    assert [analysis.canonical(n) for n in names] == [True, True, False]
+
+
+def test_files_that_cannot_be_restored_are_kept(study, tmp_path, monkeypatch):
+    """If a published file can't be taken back, what stood there before stays in the stage folder."""
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "a.csv").write_text("before")
+    moves, real = [], os.replace
+
+    def replace_(a, b):
+        moves.append((a, b))
+        if len(moves) > 1:
+            raise OSError("no more")
+        real(a, b)
+
+    monkeypatch.setattr(publish, "SCHEMAS", {"a": ("x",)})
+    monkeypatch.setattr(publish.os, "replace", replace_)
+    result = SimpleNamespace(tables={"a": pd.DataFrame({"x": [1]})}, metadata={})
+    with pytest.raises(RuntimeError, match="not restored"):
+        publish.write_outputs(result, str(out))
+    assert [p.read_text() for p in tmp_path.glob(".stage-*/a.csv.before")] == ["before"]
+
+
 def test_identifiers_of_any_form_and_table_are_found(spark, study):
     for text, i in [("case 12 left", "12"), ("a 48213 b", "48213"), (r'{"k": ["\u0041B9"]}', "ab9"), (r'"\u0034\u0032"', "42"), ("Member x7", " X7 ")]:
         with pytest.raises(ValueError):
