@@ -18,14 +18,26 @@ from cohortspark.llm.line_dedup import drop_boilerplate
 from cohortspark.llm.ngram_join import first_of_classes, text_digest
 
 
+#: A text whose best language has a lower mean probability is in none of the languages that were learnt.  Of four
+#: languages chance is 0.25; of held-out labelled texts (sf0.01) of ``JUDGED`` bytes or more the lowest score is 0.64.
+LEAST_SCORE = 0.45
+#: Texts of fewer bytes are too short for their score to reject them.
+JUDGED = 64
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; those without text or letters go, whatever the network's score.
+    """Documents in a language that the network has learnt.
 
-    Text in a language that was not learnt stays.
+    Those without text or letters go, and those whose score is below
+    ``LEAST_SCORE``.  Without any labelled text nothing is learnt, and the
+    score rejects nothing.
     """
     net = fit(docs)
     lang, score = fresh(docs, "lang"), fresh(docs, "score")
-    return predict(docs, net, lang=lang, score=score).where(F.col(lang) != UNKNOWN).drop(lang, score)
+    told = predict(docs, net, lang=lang, score=score)
+    if not net.languages:
+        return docs.where(F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    return told.where((F.col(lang) != UNKNOWN) & ((F.col(score) >= LEAST_SCORE) | (F.octet_length("text") < JUDGED))).drop(lang, score)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +66,12 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; each row is judged by its own text, which a 64-bit hash names."""
+    """Documents without a passage of the benchmark; each row is judged by its own text, which its MD5 names."""
     h = fresh(docs, "h")
-    own = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    own = docs.select(text_digest("text").alias("doc_id"), "text")
     # written first, so that its size is known: small, it is broadcast and the texts stay where they are
     hit = materialize(decontaminate(own, q.table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias(h)).distinct(), "hit")
-    return docs.withColumn(h, F.xxhash64("text")).join(hit, h, "left_anti").select(*docs.columns)
+    return docs.withColumn(h, text_digest("text")).join(hit, h, "left_anti").select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
