@@ -20,7 +20,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EPOCHS = 12
-#: Windows of one training text that are learnt from.
+#: Windows of one training text that are learnt from at most.  With ``TRAIN_ROWS`` this bounds what the driver holds.
 TRAIN_WINDOWS = 4
 
 PAD = 0
@@ -101,7 +101,7 @@ def cut_windows(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return out, row
 
 
-def train(texts: list[bytes], languages: list[str], *, epochs: int = EPOCHS, seed: int = 7) -> ByteCNN:
+def train(texts: list[bytes], languages: list[str], *, epochs: int = EPOCHS, seed: int = 7, most: int = TRAIN_WINDOWS) -> ByteCNN:
     """A network from labelled texts (softmax cross-entropy, Adagrad); a pure function of its arguments.
 
     Gradients reach a filter only through the position of its maximum, so
@@ -114,7 +114,7 @@ def train(texts: list[bytes], languages: list[str], *, epochs: int = EPOCHS, see
     for t, v in zip(texts, languages):
         s = SYMBOL[np.frombuffer(t, np.uint8)].astype(np.int32)
         w, _ = cut_windows(s, np.array([0, len(s)]))
-        pick = np.arange(len(w)) if len(w) <= TRAIN_WINDOWS else np.sort(rng.choice(len(w), TRAIN_WINDOWS, replace=False))
+        pick = np.arange(len(w)) if len(w) <= most else np.sort(rng.choice(len(w), most, replace=False))
         rows.append(w[pick]), labels.extend([number[v]] * len(pick))
     x = np.concatenate(rows) if rows else np.zeros((0, WINDOW), np.int32)
     y = np.array(labels, np.int64)
@@ -156,17 +156,18 @@ def train(texts: list[bytes], languages: list[str], *, epochs: int = EPOCHS, see
     return ByteCNN(tuple(f.astype(np.float32) for f in filters), bias, dense, out_bias, names)
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> ByteCNN:
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS, windows: int = TRAIN_WINDOWS) -> ByteCNN:
     """Train on at most ``rows`` labelled rows, the first in the order of a hash of their id and text.
 
     Rows without text or label teach nothing.  Texts come to the driver as
-    four windows each, taken evenly from the whole text.
+    at most ``windows`` windows each, taken evenly from the whole text; both
+    bounds together are the size of the sample.
     """
     c = F.col(text).cast("binary")
     span = F.octet_length(text)
-    step = F.greatest(F.floor((span - WINDOW) / (TRAIN_WINDOWS - 1)), F.lit(0)).cast("int")
-    windows = F.array_distinct(F.array(*[F.substring(c, step * k + 1, F.lit(WINDOW)) for k in range(TRAIN_WINDOWS)]))
-    sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (span > 0)).select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), windows.alias("w"))
+    step = F.greatest(F.floor((span - WINDOW) / max(windows - 1, 1)), F.lit(0)).cast("int")
+    cut = F.array_distinct(F.array(*[F.substring(c, step * k + 1, F.lit(WINDOW)) for k in range(windows)]))
+    sample = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (span > 0)).select(F.col(doc_id).alias("i"), F.col(lang).alias("l"), cut.alias("w"))
     # half as many again by the hash alone come to the driver, whatever the number of tasks
     order = F.xxhash64("i", "w")
     share = min(1.0, 1.5 * rows / max(sample.count(), 1))

@@ -1,4 +1,9 @@
-"""Personal data: exact patterns, and a character BiLSTM-CRF that adds spans to theirs."""
+"""Personal data: exact patterns, and a character BiLSTM-CRF that adds spans to theirs.
+
+The network learns from labelled spans: made-up personal data in many written
+forms, put into pieces of the corpus's own text.  It adds what the patterns
+can't see: numbers in national or spaced forms, spaced addresses, and secrets.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+#: What the patterns find.
+BASE = ("email", "ip", "card", "phone")
+#: What the network finds; ``secret`` is a key or token.
+KINDS = (*BASE, "secret")
 
 Span = tuple[str, int, int]
 
@@ -75,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
 
 # The network: symbols, labels, training data.
 
-_SIGNS = "@.-_%+(): /,\n"
+_SIGNS = "@.-_%+(): /,\n=\"#"
 #: Outside, and the beginning and inside of a span of each kind.
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 WINDOW, STRIDE = 64, 32
@@ -102,37 +110,63 @@ def to_symbols(text: str) -> np.ndarray:
     return np.where(points < 128, SYMBOLS[np.minimum(points, 127)], 2)
 
 
-def training_spans(n: int, seed: int) -> list[tuple[str, list[Span]]]:
-    """Labelled text: invented words around personal data, and around numbers that are none."""
+#: Pieces of the corpus that training text is made of, at most, and their characters.
+CARRIERS, CARRIER_SIZE = 400, 120
+
+
+def _invented(rng: np.random.Generator) -> str:
+    parts = ("an", "the", "ra", "lo", "mi", "est", "ing", "o", "er", "su", "ti", "bel")
+    return "".join(parts[k] for k in rng.integers(0, len(parts), int(rng.integers(1, 4))))
+
+
+def training_spans(n: int, seed: int, carriers: tuple[str, ...] = ()) -> list[tuple[str, list[Span]]]:
+    """Labelled text: words of the carriers (or invented ones) around personal data, and around numbers that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     num = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
-    word = lambda: "".join(pick(["an", "the", "ra", "lo", "mi", "est", "ing", "o", "er", "su", "ti", "bel"]) for _ in range(int(rng.integers(1, 4))))
+    word = lambda: _invented(rng)
+    real = [own for c in carriers if (own := [w for w in c.split() if not _TRIGGER.search(w)])]
+
+    def around() -> str:
+        if not real or rng.random() < 0.3:
+            return " ".join(word() for _ in range(int(rng.integers(1, 4))))
+        own = pick(real)
+        k = int(rng.integers(len(own)))
+        text = " ".join(own[k : k + int(rng.integers(1, 4))])
+        return text.upper() if rng.random() < 0.1 else text
 
     def email() -> str:
-        return pick([f"{word()}.{word()}", f"{word()}{num(2)}", word(), f"{word()}_{word()}.{num(2)}"]) + "@" + word() + pick([".com", ".org", f".{word()}.net", f"{num(1)}.test"])
+        name = pick([f"{word()}.{word()}", f"{word()}{num(2)}", word(), f"{word()}_{word()}.{num(2)}"])
+        host = word() + pick([".com", ".org", f".{word()}.net", f"{num(1)}.test"])
+        return name + pick(["@", "@", "@", " @ ", " @"]) + host
 
     def card() -> str:
         body = num(15)
         check = next(c for c in "0123456789" if luhn(body + c))
         d = body + check
-        return pick([d, "-".join(d[k : k + 4] for k in range(0, 16, 4)), " ".join(d[k : k + 4] for k in range(0, 16, 4))])
+        return pick(["", "-", " ", ".", "  "]).join(d[k : k + 4] for k in range(0, 16, 4))
 
     def phone() -> str:
-        return pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}.{num(3)}.{num(6)}"])
+        return pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}.{num(3)}.{num(6)}", f"{num(3)}.{num(3)}.{num(4)}"])
 
-    make = {"email": email, "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone}
-    other = [lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(1)}", lambda: f"{num(2)}:{num(2)}", lambda: num(int(rng.integers(1, 8))), lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: f"{word()}{num(3)}{word()}{num(2)}", lambda: f"@{word()}", lambda: f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}"]
+    def secret() -> str:
+        signs = pick(["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
+        return pick(["", "", "", "sk-", "key_"]) + "".join(pick(signs) for _ in range(int(rng.integers(24, 44))))
+
+    make = {"email": email, "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone, "secret": secret}
+    other = [lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(1)}", lambda: f"{num(2)}:{num(2)}", lambda: num(int(rng.integers(1, 8))), lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: f"{word()}{num(3)}{word()}{num(2)}", lambda: f"@{word()}", lambda: f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: "".join(word() for _ in range(7))]
     out = []
     for _ in range(n):
         text, spans = "", []
         while len(text) < WINDOW:
-            text += " ".join(word() for _ in range(int(rng.integers(1, 4)))) + pick([" ", " ", ", ", ": ", ". ", "\n"])
+            text += around() + pick([" ", " ", ", ", ": ", ". ", "\n"])
             kind = pick([*KINDS, None, None])
             piece = make[kind]() if kind else pick(other)()
+            quote = pick(['"', "", ""]) if kind == "secret" else ""
+            text += pick(["key = ", "token: ", ""]) + quote if kind == "secret" else ""
             if kind:
                 spans.append((kind, len(text), len(text) + len(piece)))
-            text += piece + pick([" ", " ", ".", ", ", "\n"])
+            text += piece + quote + pick([" ", " ", ".", ", ", "\n", "### "])
         out.append((text, spans))
     return out
 
@@ -225,11 +259,11 @@ def _crf_gradients(scores: np.ndarray, y: np.ndarray, moves: np.ndarray, first:
 
 
 @lru_cache(maxsize=2)
-def train(n: int = 3000, steps: int = 260, seed: int = 5) -> Tagger:
+def train(n: int = 3000, steps: int = 320, seed: int = 5, carriers: tuple[str, ...] = ()) -> Tagger:
     """A tagger from labelled spans, by Adam on the CRF's likelihood; a pure function of its arguments."""
     rng = np.random.default_rng(seed)
     x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
-    for k, (text, spans) in enumerate(training_spans(n, seed)):
+    for k, (text, spans) in enumerate(training_spans(n, seed, carriers)):
         shift = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
         x[k] = to_symbols(text)[shift : shift + WINDOW]
         y[k] = label_numbers(len(text), spans)[shift : shift + WINDOW]
@@ -266,14 +300,16 @@ def train(n: int = 3000, steps: int = 260, seed: int = 5) -> Tagger:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the overlapping windows with a digit or an at sign; no kind can be without one."""
-    starts: set[int] = set()
+    """Starts of the overlapping windows that can hold a part of a span.
+
+    No kind is without a digit or an at sign, and no span is longer than a
+    window, so these are the windows with one and their neighbours.
+    """
+    last, starts = len(text) // STRIDE, set()
     for m in _TRIGGER.finditer(text):
         k = m.start() // STRIDE
-        starts.add(k * STRIDE)
-        if k:
-            starts.add((k - 1) * STRIDE)
-    return sorted(starts)
+        starts.update(range(max(0, k - 2), min(last, k + 1) + 1))
+    return [k * STRIDE for k in sorted(starts)]
 
 
 def reconcile(labels: dict[int, np.ndarray], size: int) -> list[Span]:
@@ -282,21 +318,18 @@ def reconcile(labels: dict[int, np.ndarray], size: int) -> list[Span]:
     Each character takes its label from the window in whose middle it lies
     deepest; a span is a run of one kind, whether or not it begins with B.
     """
-    depth_in = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    held: dict[int, tuple[int, int]] = {}
+    depth_in = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW)).astype(np.int16)
+    deepest, label = np.full(size, -1, np.int16), np.zeros(size, np.int8)
     for start, own in labels.items():
         # the ends of the text are as deep as its windows are long
         depth = depth_in + (WINDOW if start == 0 else 0) * (np.arange(WINDOW) < STRIDE)
-        for k in np.flatnonzero(np.arange(start, start + WINDOW) < size):
-            best = held.get(start + k)
-            if best is None or depth[k] > best[0]:
-                held[start + k] = (int(depth[k]), int(own[k]))
+        n = min(WINDOW, size - start)
+        better = depth[:n] > deepest[start : start + n]
+        deepest[start : start + n][better] = depth[:n][better]
+        label[start : start + n][better] = own[:n][better]
     spans: list[Span] = []
-    for pos in sorted(held):
-        label = held[pos][1]
-        if not label:
-            continue
-        kind, begins = KINDS[(label - 1) // 2], label % 2 == 1
+    for pos in np.flatnonzero(label).tolist():
+        kind, begins = KINDS[(int(label[pos]) - 1) // 2], label[pos] % 2 == 1
         if spans and spans[-1][2] == pos and spans[-1][0] == kind and not begins:
             spans[-1] = (kind, spans[-1][1], pos + 1)
         else:
@@ -314,9 +347,11 @@ def plausible(text: str, span: Span) -> bool:
     if kind == "phone":
         return 9 <= digits <= 15 and not any(c.isalpha() for c in piece) and len(re.split(r"[^0-9]+", piece.strip("()+ "))) >= 3 and not re.match(r"[0-9]{4}-[0-9]{2}-", piece)
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.]+", piece))
+        return bool(re.fullmatch(r"[^\s@]+ ?@ ?[^\s@]+\.[^\s@.]+", piece))
     if kind == "card":
         return 13 <= digits <= 19 and luhn(_digits(piece)) and not any(c.isalpha() for c in piece)
+    if kind == "secret":
+        return e - s >= 20 and 4 <= digits < e - s and bool(re.fullmatch(r"[A-Za-z0-9_+/=-]+", piece))
     parts = piece.split(".")
     return len(parts) == 4 and all(x.isdecimal() and len(x) <= 3 and int(x) <= 255 for x in parts)
 
@@ -352,22 +387,31 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def carriers(docs: DataFrame, *, text: str = "text") -> tuple[str, ...]:
+    """At most ``CARRIERS`` pieces of ``CARRIER_SIZE`` characters, from anywhere in the texts, the first by a hash."""
+    h = F.xxhash64(text)
+    start = F.pmod(h, F.greatest(F.char_length(text) - CARRIER_SIZE, F.lit(1)).cast("bigint")) + 1
+    rows = docs.where(F.char_length(text) > 0).select(h.alias("h"), F.substring(F.col(text), start.cast("int"), F.lit(CARRIER_SIZE)).alias("c"))
+    return tuple(r["c"] for r in rows.orderBy("h", "c").limit(CARRIERS).collect())
+
+
 def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", net: Tagger | None = None) -> DataFrame:
-    """A row a document: counts of the base spans by kind, their digest and all spans.
+    """A row a document: counts of the base spans by kind, their digest, all spans and their number.
 
     Positions are code points, ends are exclusive.  Null and empty text has
-    no spans.  Repeated rows have a row each.
+    no spans.  Repeated rows have a row each.  Without a network one is
+    trained on spans in pieces of the documents.
     """
-    net = net or train()
+    net = net or train(carriers=carriers(docs, text=text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 got = find(part.column(1).to_pylist(), net)
-                counts = [pa.array([sum(z[0] == kind for z in b) for b, _ in got], pa.int64()) for kind in KINDS]
+                counts = [pa.array([sum(z[0] == kind for z in b) for b, _ in got], pa.int64()) for kind in BASE]
                 sha = [hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in got]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(sha, pa.string()), pa.array([_joined(a) for _, a in got], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(sha, pa.string()), pa.array([_joined(a) for _, a in got], pa.string()), pa.array([len(a) for _, a in got], pa.int64())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")
