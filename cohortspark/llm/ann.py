@@ -1,4 +1,10 @@
-"""Nearest neighbours by inner product with randomly rotated one-bit codes."""
+"""Nearest neighbours by inner product with randomly rotated one-bit codes.
+
+Every row is coded once: the packed signs of its rotated direction and two
+correction scalars are stored in blocks beside the vectors.  A block's codes
+give each query estimates with error bounds, and only vectors whose bounds
+reach those of the best are compared in double precision.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +21,7 @@ from ._base import materialize
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
 #: Standard errors of the estimate within which a vector is reranked.
-BOUND = 3.0
+BOUND = 2.0
 SEED = 11
 
 
@@ -25,6 +31,13 @@ def rotation(dim: int, seed: int = SEED) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, without overflow of the squares."""
+    most = np.abs(vectors).max(1, initial=0.0)
+    most[most == 0] = 1
+    return most * np.linalg.norm(vectors / most[:, None], axis=1)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, scale, spread): packed signs of the rotated vectors and two correction scalars each.
 
@@ -34,18 +47,18 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ``scale`` is the norm over <x, u>, ``spread`` that deviation times the norm.
     """
     dim = vectors.shape[1]
-    norm = np.linalg.norm(vectors, axis=1)
-    turned = vectors @ turn
-    inner = np.abs(turned).sum(1) / np.sqrt(dim) / norm
+    norm = norms(vectors)
+    turned = (vectors / norm[:, None]) @ turn
+    inner = np.abs(turned).sum(1) / np.sqrt(dim)
     spread = norm * np.sqrt(np.maximum(1 - inner**2, 0) / inner**2 / max(dim - 1, 1))
     return np.packbits(turned > 0, axis=1), norm / inner, spread
 
 
-def estimate(codes: np.ndarray, scale: np.ndarray, queries: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """Estimated inner products, a row a query, from packed signs."""
-    dim = queries.shape[1]
+def estimate(codes: np.ndarray, scale: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Estimated inner products with rotated unit queries, a row a query, from packed signs."""
+    dim = turned.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-    return ((queries @ turn).astype(np.float32) @ signs.T) * (scale / np.sqrt(dim)).astype(np.float32)
+    return (turned.astype(np.float32) @ signs.T).astype(np.float64) * (scale / np.sqrt(dim))
 
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -56,23 +69,24 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, coded: tuple[np.ndarray,
     """(query number, vec_id, score) of each query's best ``k`` of a block, ties to the smaller id.
 
     A vector is reranked exactly unless its upper bound is below the k-th
-    largest lower bound of the block.  A query's own id is no candidate.
+    largest lower bound of the block; bounds that are no numbers exclude
+    none.  A query's own id is no candidate.
     """
     codes, scale, spread = coded
-    guess = estimate(codes, scale, queries, turn)
-    slack = (bound * np.linalg.norm(queries, axis=1)[:, None] * spread[None, :]).astype(np.float32) + 1e-6
+    guess = estimate(codes, scale, (queries / norms(queries)[:, None]) @ turn)
+    slack = bound * spread[None, :] + 1e-6 * np.abs(guess)
     own = query_ids[:, None] == ids[None, :]
-    guess[own] = -np.inf
-    low = guess - slack
-    least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf, np.float32)
-    maybe = (guess + slack >= least[:, None]) & ~own
+    low = np.where(own | ~np.isfinite(guess - slack), -np.inf, guess - slack)
+    least = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(queries), -np.inf)
+    maybe = ~(guess + slack < least[:, None]) & ~own
     q, v, s = [], [], []
     for n in range(len(queries)):
         at = np.flatnonzero(maybe[n])
         score = exact(queries[n], vectors[at])
         if len(at) > 4 * k:
-            cut = np.partition(score, len(at) - k)[len(at) - k]
-            at, score = at[score >= cut], score[score >= cut]
+            cut = np.partition(np.nan_to_num(score, nan=-np.inf), len(at) - k)[len(at) - k]
+            keep = ~(score < cut)
+            at, score = at[keep], score[keep]
         best = np.lexsort((ids[at], -score))[:k]
         q.append(np.full(len(best), n)), v.append(ids[at][best]), s.append(score[best])
     return np.concatenate(q), np.concatenate(v), np.concatenate(s)
@@ -88,72 +102,74 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def nearest(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, bound: float = BOUND) -> DataFrame:
     """The ``k`` nearest rows by inner product of each row whose id is divisible by ``every``.
 
-    Every row is coded.  Queries form blocks, and each block of coded rows
-    meets each block of queries once: an equi-join on the query block's
-    number and a group of candidate blocks, before which each candidate block
-    is repeated for every query block and each query block for every group.  A task keeps a query's best ``k`` only, so what is shuffled after
-    is k rows for each query and candidate task.  Rows with the id of the
-    query are not its candidates; repeated ids are candidates once for each
-    row, and a query once.  Vectors of another length than the most frequent
-    one are an error.  An empty table has an empty result.
+    Every row is coded, once, and each block of coded rows meets each block of
+    queries once: an equi-join on the query block's number and a group of
+    candidate blocks, before which each candidate block is repeated for every
+    query block and each query block for every group.  A task keeps a query's
+    best ``k`` only, so what is shuffled after is k rows for each query and
+    candidate task.
+
+    Rows with the id of the query are not its candidates.  Repeated ids are
+    candidates once for each row, and a query once, with the smallest of
+    their vectors.  Of equal vectors only the rows of the ``k + 1`` smallest
+    ids, and of one id ``k`` rows, can be among the nearest, so the others are
+    not compared.  Vectors of another length than the most frequent one (the
+    larger of two) take no part.  Products that are no numbers come last.  An
+    empty table has an empty result.
     """
     rows = materialize(usable(df, vec_id, vector), "vectors")
     spark = df.sparkSession
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count")).limit(2).collect()
     schema = "query_id bigint, rank int, vec_id bigint, score double"
+    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], schema)
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of {sizes[0]['dim']} and of {sizes[1]['dim']} components")
     dim = sizes[0]["dim"]
-    asked = rows.where(F.col("vec_id") % every == 0)
+    rows = rows.where(F.size("v") == dim)
+    few = rows.withColumn("n", F.row_number().over(Window.partitionBy("v", "vec_id").orderBy(F.lit(0)))).where(F.col("n") <= k)
+    pool = few.withColumn("n", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1).select("vec_id", "v")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = rotation(dim)
+        for b in batches:
+            for lo in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(lo, BLOCK_ROWS)
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                codes, scale, spread = encode(flat.reshape(-1, dim), turn)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.asarray(part.column(0)), codes, scale, spread, flat)], names=["ids", "codes", "scale", "spread", "flat"])
+
+    coded = materialize(pool.mapInArrow(code, "ids binary, codes binary, scale binary, spread binary, flat binary"), "codes")
+    # an id's smallest vector is the query; queries in blocks by a hash of their id, one row for each task that held some of it
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks = max(1, -(-asked.count() // QUERY_ROWS))
     # candidate blocks are dealt over so many groups, each of which gets the query blocks once
     n_groups = max(1, -(-rows.count() // (2 * BLOCK_ROWS)))
-
-    def pack(most: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo in range(0, b.num_rows, most):
-                    part = b.slice(lo, most)
-                    flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
-                    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column(0)).tobytes()], pa.binary()), pa.array([flat.astype(np.float64).tobytes()], pa.binary())], names=["ids", "flat"])
-
-        return run
-
-    # queries in blocks by a hash of their id; a block is one row for each task that held some of it
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    pieces = "ids binary, flat binary"
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            number = np.asarray(b.column(2))
+            number, ids = np.asarray(b.column(2)), np.asarray(b.column(0))
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             for n in np.unique(number):
-                part = b.filter(pa.array(number == n))
-                for out in pack(QUERY_ROWS)(iter([part])):
-                    yield out.append_column("qb", pa.array([int(n)], pa.int32()))
+                at = np.flatnonzero(number == n)
+                for lo in range(0, len(at), QUERY_ROWS):
+                    own = at[lo : lo + QUERY_ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[own].tobytes()], pa.binary()), pa.array([flat[own].tobytes()], pa.binary()), pa.array([int(n)], pa.int32())], names=["q_ids", "q_flat", "qb"])
 
-    queries = asked.dropDuplicates(["vec_id"]).select("vec_id", "v", block.alias("qb")).mapInArrow(by_block, f"{pieces}, qb int").select("qb", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
-    coded = rows.select("vec_id", "v").mapInArrow(pack(BLOCK_ROWS), pieces)
+    queries = asked.select("vec_id", "v", block.alias("qb")).mapInArrow(by_block, "q_ids binary, q_flat binary, qb int").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
     candidates = coded.select("*", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = rotation(dim)
-        last, coded, vectors = None, None, None
         for b in batches:
-            for k_row in range(b.num_rows):
-                raw = b.column(1)[k_row].as_py()
-                ids = np.frombuffer(b.column(0)[k_row].as_py(), np.int64)
-                if raw != last:
-                    last, vectors = raw, np.frombuffer(raw, np.float64).reshape(-1, dim)
-                    coded = encode(vectors, turn)
-                q_ids = np.frombuffer(b.column(2)[k_row].as_py(), np.int64)
-                q = np.frombuffer(b.column(3)[k_row].as_py(), np.float64).reshape(-1, dim)
+            for own, codes, scale, spread, flat, asked_ids, asked_flat in zip(*(c.to_pylist() for c in b.columns)):
+                ids, vectors = np.frombuffer(own, np.int64), np.frombuffer(flat, np.float64).reshape(-1, dim)
+                code_of = np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(scale, np.float64), np.frombuffer(spread, np.float64)
+                q_ids, q = np.frombuffer(asked_ids, np.int64), np.frombuffer(asked_flat, np.float64).reshape(-1, dim)
                 for lo in range(0, len(q), 256):
-                    n, v, s = search_block(ids, vectors, coded, q_ids[lo : lo + 256], q[lo : lo + 256], turn, k, bound)
+                    n, v, s = search_block(ids, vectors, code_of, q_ids[lo : lo + 256], q[lo : lo + 256], turn, k, bound)
                     yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo : lo + 256][n]), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    met = candidates.join(queries, ["qb", "group"]).select("ids", "flat", "q_ids", "q_flat")
+    met = candidates.join(queries, ["qb", "group"]).select("ids", "codes", "scale", "spread", "flat", "q_ids", "q_flat")
     found = met.mapInArrow(search, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

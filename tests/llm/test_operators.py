@@ -380,6 +380,22 @@ def test_nearest(spark, monkeypatch):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_with_repeated_ids_other_lengths_and_large_components(spark):
+    """Exactly as by brute force where every candidate is reranked."""
+    rng = np.random.default_rng(3)
+    made = [(k, (rng.normal(size=8) * (1e25 if k % 3 else 1e-200)).tolist()) for k in range(60)]
+    made += [(k, made[7][1]) for k in range(60, 110)] + [made[20]] * 3 + [(40, made[3][1])] + [(200, [1.0] * 5), (201, [2.0] * 9)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(made, "vec_id bigint, embedding array<double>"), bound=50.0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    own = [(i, v) for i, v in made if len(v) == 8]
+    for q in (0, 20, 40, 60, 80, 100):
+        v = np.array(min(x for i, x in own if i == q))
+        wanted = sorted(((-float((np.array(x) * v).sum()), i) for i, x in own if i != q))[:20]
+        assert [i for i, _ in got[q]] == [i for _, i in wanted] and [s for _, s in got[q]] == [-s for s, _ in wanted]
+    assert set(got) == {0, 20, 40, 60, 80, 100}
+
+
 # 9
 
 
