@@ -476,8 +476,19 @@ def _finely(raw: DataFrame) -> DataFrame:
     strings = parts.join(many, "finer", "left_semi").select("ah", "sh", "at", "raw").mapInArrow(_strings, "ah bigint, sh binary, at int, name binary")
     strings = materialize(strings, "strings")
     often = strings.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    single = strings.join(often, "name", "left_semi").select("ah", "sh", "at", F.concat(_bytes32(F.lit(0)), _bytes32(F.lit(1))).alias("runs"))
-    return shared.unionByName(single).mapInArrow(_moved, SHARDED)
+    single = strings.join(often, "name", "left_semi").groupBy("ah", "sh").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return shared.mapInArrow(_moved, SHARDED).unionByName(single.mapInArrow(_from_places, SHARDED))
+
+
+def _from_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(ah, sh, runs) from the sorted places of a segment's repeated strings."""
+    for batch in batches:
+        runs = []
+        for at in batch.column(2).to_pylist():
+            flags = np.zeros(at[-1] + 1, bool)
+            flags[at] = True
+            runs.append(_runs(flags))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.binary())], names=["ah", "sh", "runs"])
 
 
 def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -538,12 +549,12 @@ def removed_spans(size: int, whole: bool, marks: list[dict]) -> list[tuple[int,
     """The maximal runs of bytes that repeated strings cover."""
     if whole:
         return [(0, size)]
-    delta = np.zeros(size + 1, np.int64)
+    begins, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for m in marks:
-        starts, runs = np.frombuffer(m["starts"], np.int32).astype(np.int64), np.frombuffer(m["runs"], np.int32).reshape(-1, 2)
-        for a, b in runs:
-            np.add.at(delta, starts + a, 1)
-            np.add.at(delta, starts + b - 1 + LENGTH, -1)
+        starts, runs = np.frombuffer(m["starts"], np.int32).astype(np.int64)[:, None], np.frombuffer(m["runs"], np.int32).reshape(-1, 2)
+        begins.append((starts + runs[:, 0]).ravel())
+        ends.append((starts + (runs[:, 1] - 1 + LENGTH)).ravel())
+    delta = np.bincount(np.concatenate(begins), minlength=size + 1) - np.bincount(np.concatenate(ends), minlength=size + 1)
     covered = np.concatenate([[0], (np.cumsum(delta)[:-1] > 0).astype(np.int8), [0]])
     edge = np.diff(covered)
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
