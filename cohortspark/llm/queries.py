@@ -146,5 +146,27 @@ kept as (
 select doc_id, source, coalesce(len(parts), 0)::bigint as n_lines, coalesce(len(parts) - len(k), 0)::bigint as n_dropped,
        md5(coalesce(array_to_string(k, chr(10)), '')) as kept_md5
 from kept
+""",
+    "op5_warc": """
+with own as (select *, row_number() over (partition by coalesce(html, '') order by page_id desc nulls last) as place, max(page_id) over (partition by coalesce(html, '')) as first, sha1(coalesce(html, '')) as hex from pages)
+select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, ((k // 4) * 5 + 1)::int, 5))::bigint >> (15 - 5 * (k % 4))::int) & 31) + 1)::bigint, 1)), '') as payload_digest,
+  case when place = 1 then 'response' else 'revisit' end as record_type, case when place > 1 then first end as refers_to
+from own
+""",
+    "op6_decontamination": r"""
+with split_docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+split_items as (
+  select coalesce(item_id::varchar, 'null') as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+starts as (select item, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as k from split_items where len(w) > 0),
+windows as (select distinct item, n, array_to_string(w[k : k + n - 1], ' ') as t from starts),
+sizes as (select distinct n from windows),
+places as (select r, w, n, unnest(range(1, len(w) - n + 2)) as k from split_docs cross join sizes where len(w) >= n),
+found as (select r, item, k, p.n from places p join windows v on v.n = p.n and v.t = array_to_string(p.w[k : k + p.n - 1], ' ')),
+hits as (select r, count(distinct h) as n_hit from (select r, unnest(range(k, k + n)) as h from found) x group by r),
+items as (select r, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as ids from found group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
+from split_docs d left join hits h on h.r = d.r left join items i on i.r = d.r
 """,
 }
