@@ -16,6 +16,7 @@ from ..sources.views import RULES
 from . import lasso as ls
 from .association import activity_associations
 from .catalog import _r, features_of, query
+from .longitudinal import exploratory_records, whitened
 from .models import coefficient_table, fit_gls, fit_ols
 from .moments import diagnose_collinearity
 from .resample import base_model_cv, winner
@@ -223,3 +224,22 @@ _STATISTICS = {"n_observed": "count({v})::double", "n_missing": "(count(*) - cou
 @query("q39_feature_summary", " union all ".join(f"select {k} as variable_order, '{v}' as variable, '{name}' as statistic, {_r(x.format(v=v), 'value')} from features" for k, v in enumerate(_SUMMARIZED, 1) for name, x in _STATISTICS.items()))
 def _(s: Study) -> DataFrame:
     return d.feature_summary(features_of(s), _SUMMARIZED)
+
+
+_CHOLESKY = """, l as (select 1 / sqrt(v00) as a, -v01 / v00 / sqrt(v11 - v01 * v01 / v00) as c, 1 / sqrt(v11 - v01 * v01 / v00) as d from a where structure = 'compound_symmetry')
+select member_id, 'first' as occasion, round(l.a * ln(first_weight), 6) as outcome, 0.0::double as time, round(l.a * (member_type = 'MACHINERY')::int, 6) as treated, round(l.a * engagement_breadth, 6) as breadth, 0.0::double as time_breadth from features cross join l
+union all select member_id, 'last', round(l.c * ln(first_weight) + l.d * ln(last_weight), 6), round(l.d, 6), round((l.c + l.d) * (member_type = 'MACHINERY')::int, 6), round((l.c + l.d) * engagement_breadth, 6), round(l.d * engagement_breadth, 6) from features cross join l"""
+
+
+@query("q41_longitudinal_whitened_design", _GLS + _CHOLESKY)
+def _(s: Study) -> DataFrame:
+    w = wide(s)
+    rows = whitened(w, fit_gls(w, ["treated"], scale_name="log", structure="compound_symmetry"), ["engagement_breadth"])
+    return rows.select("member_id", "occasion", "outcome", "time", "treated", F.col("engagement_breadth").alias("breadth"), F.col("`time:engagement_breadth`").alias("time_breadth"))
+
+
+@query("q42_longitudinal_lasso")
+def _(s: Study) -> DataFrame:
+    w = wide(s).persist()
+    rows = exploratory_records(w, fit_gls(w, ["treated"], scale_name="log", structure="compound_symmetry"), MEAN)
+    return _rows(s, ["variable", "selected", "coefficient", "estimable"], [(r["variable"], r["count"], r["value"], r["estimable"]) for r in rows], "string int double boolean")

@@ -18,7 +18,7 @@ from cohortspark.operators import cohort as c
 from cohortspark.operators import describe as d
 from cohortspark.operators import features as f
 from cohortspark.operators.quality import key_quality, require_keys
-from cohortspark.plans import analysis, lasso, models, moments, publish
+from cohortspark.plans import analysis, lasso, longitudinal, models, moments, publish
 from cohortspark.plans.schemas import SCHEMAS
 from cohortspark.sources.extracts import MODULES, load_study, read_extract
 
@@ -214,6 +214,29 @@ def test_lasso_against_rows(points):
     assert fit.lam == pytest.approx(0.2 * fit.lam_max)
 
 
+def test_longitudinal_lasso_against_whitened_rows(spark):
+    rng = np.random.default_rng(6)
+    n = 50
+    g, z = np.arange(n) % 2, rng.normal(size=(n, 2))
+    first = 180 + 10 * g + rng.normal(0, 9, n)
+    last = first * np.exp(-0.05 - 0.06 * z[:, 0] + rng.normal(0, 0.03, n))
+    rows = [(f"m{k}", "ab"[g[k]], float(first[k]), float(last[k]), float(g[k]), *map(float, z[k]), float(2 * z[k, 0]), 3.0) for k in range(n)]
+    df = spark.createDataFrame(rows, "member_id string, member_type string, first_weight double, last_weight double, g double, z0 double, z1 double, twice double, c double")
+    gls = models.fit_gls(df, ["g"], scale_name="log", structure="compound_symmetry")
+    fit, kept = longitudinal.longitudinal_lasso(df, gls, ["z0", "c", "twice", "z1"])
+    assert kept == ["z0", "z1"]
+    low = np.linalg.inv(np.linalg.cholesky([[gls.v00, gls.v01], [gls.v01, gls.v11]]))
+    block = lambda a, b: (low @ np.stack([a, b])).T.ravel()
+    one, zero = np.ones(n), np.zeros(n)
+    base = np.column_stack([block(one, one), block(zero, one), block(g, g), block(z[:, 0], z[:, 0]), block(z[:, 1], z[:, 1])])
+    t = row_lasso(base, np.column_stack([block(zero, z[:, 0]), block(zero, z[:, 1])]), block(np.log(first), np.log(last)), fit.lam)
+    assert fit.theta == pytest.approx(t, abs=1e-8) and abs(fit.theta[0]) > 0.01
+    records = longitudinal.exploratory_records(df, gls, ["z0", "c", "twice", "z1"])
+    assert [r["estimable"] for r in records] == [True, False, False, True] and records[0]["count"] == 1
+    with pytest.raises(ValueError, match="same members"):
+        longitudinal.longitudinal_lasso(df.where("member_id <> 'm3'"), gls, ["z0"])
+
+
 def test_folds_tuning_and_stability(points):
     folds = lasso.assign_folds(points, "member_id", "member_type", folds=4, repeats=2, seed=1)
     got = folds.collect()
