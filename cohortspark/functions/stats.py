@@ -60,28 +60,42 @@ def adjust_p(df: DataFrame, p: str, family: list[str] | None = None, out: str =
     return ranked.withColumn(out, F.when(known, F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw", "_rank")
 
 
-def equal_count_bins(df: DataFrame, value: str, tie: str, bins: int | None = None, by: list[str] | None = None, most: int = 10, out: str = "bin") -> DataFrame:
-    """Each row's bin, 1-based: bins of equal counts in the order of ``value`` and ``tie``.
+def placed(df: DataFrame, value: str, tie: str, out: str = "place") -> tuple[DataFrame, int]:
+    """Each row's place from 0 in the order of ``value`` and ``tie``, and the number of rows.
 
-    Unless given there are as many bins as pairs of rows, ``most`` at most.
     Rows are sorted in ranges that are numbered on from each other, so the
-    whole order is no single task; with ``by`` there are bins in each group.
+    whole order is no single task.
     """
-    if by:
-        return df.withColumn(out, F.ntile(bins or most).over(Window.partitionBy(*by).orderBy(value, tie)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = (F.asc_nulls_first(value), F.asc_nulls_first(tie))
     # the number of a row's partition and its place there are in the identifier
-    ordered = df.repartitionByRange(parts, F.asc_nulls_first(value), F.asc_nulls_first(tie)).sortWithinPartitions(F.asc_nulls_first(value), F.asc_nulls_first(tie)).withColumn("_id", F.monotonically_increasing_id()).persist()
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
     sizes = dict(ordered.groupBy(F.shiftright("_id", 33).alias("p")).count().collect())
-    n = sum(sizes.values())
-    k = bins or max(1, min(most, n // 2))
     first, start = {}, 0
     for p in sorted(sizes):
         first[p], start = start, start + sizes[p]
     offset = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.shiftright("_id", 33)) if first else F.lit(0)
-    place = offset + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return ordered.withColumn(out, (offset + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_id"), start
+
+
+def rank_positions(df: DataFrame, value: str, tie: str, out: str = "position") -> DataFrame:
+    """Each row's plotting position, (place + 1/2) / rows."""
+    ordered, n = placed(df, value, tie, "_place")
+    return ordered.withColumn(out, (F.col("_place") + 0.5) / max(n, 1)).drop("_place")
+
+
+def equal_count_bins(df: DataFrame, value: str, tie: str, bins: int | None = None, by: list[str] | None = None, most: int = 10, out: str = "bin") -> DataFrame:
+    """Each row's bin, 1-based: bins of equal counts in the order of ``value`` and ``tie``.
+
+    Unless given there are as many bins as pairs of rows, ``most`` at most;
+    with ``by`` there are bins in each group.
+    """
+    if by:
+        return df.withColumn(out, F.ntile(bins or most).over(Window.partitionBy(*by).orderBy(value, tie)))
+    ordered, n = placed(df, value, tie, "_place")
+    k, place = bins or max(1, min(most, n // 2)), F.col("_place")
     # the first n % k bins have one row more than the others
     size, more = n // k, n % k
     edge = more * (size + 1)
     number = F.when(place < edge, F.floor(place / (size + 1))).otherwise(more + F.floor((place - edge) / max(size, 1)))
-    return ordered.withColumn(out, (number + 1).cast("int")).drop("_id")
+    return ordered.withColumn(out, (number + 1).cast("int")).drop("_place")

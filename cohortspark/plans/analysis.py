@@ -21,6 +21,9 @@ from ..operators.quality import require_keys
 from ..sources.extracts import Study
 from . import lasso as ls
 from .association import activity_associations
+from .contract import check_metadata, check_selection, model_summary
+from .longitudinal import RATIO as LONGITUDINAL_RATIO
+from .longitudinal import exploratory_records
 from .models import Gls, Ols, coefficient_table, fit_gls, fit_ols
 from .moments import Scale, tall_qr
 from .resample import GLS_MODEL, OLS_MODEL, base_model_cv, winner
@@ -82,6 +85,8 @@ class Analysis:
     locked: tuple[str, ...]
     tables: dict[str, pd.DataFrame]
     metadata: dict = field(default_factory=dict)
+    models: pd.DataFrame | None = None
+    longitudinal: pd.DataFrame | None = None
 
 
 def candidates_of(kind: str, rules: Rules, sexes: Sequence[str]) -> tuple[str, ...]:
@@ -192,8 +197,46 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
         raise ValueError(f"{best} won the comparison; only {OLS_MODEL} can be locked")
     locked = locked_candidates(specs[chosen], config.threshold)
     tables = build_tables(study, rules, config, members, types, wide, cv, best, specs, chosen, locked, base, actionability)
-    metadata = dict(seed=config.seed, cv_folds=config.cv_folds, cv_repeats=config.cv_repeats, resamples=config.resamples, subsample_fraction=config.fraction, selection_threshold=config.threshold, lambda_ratios=list(config.lambda_ratios), winning_base_model=best, winning_module_spec=chosen, locked_candidates=list(locked), n_members=int(tables["cohort_flow"]["retained_n"].iloc[-1]), base_models={k: dict(parameters=v.parameters if isinstance(v, Gls) else v.k + 1, deviance=v.deviance, aic=v.aic if isinstance(v, Gls) else v.aic()) for k, v in fits.items()}, tables={k: len(v) for k, v in tables.items()})
-    return Analysis(config, rules, wide, fits, best, specs, chosen, locked, tables, metadata)
+    for k, kind in (("lasso_mean_selection", "mean"), ("lasso_domain_selection", "domains")):
+        check_selection(tables[k], specs[kind].candidates)
+    flow = tables["cohort_flow"].iloc[-1]
+    metadata = dict(
+        analysis_schema_version="1.0.0",
+        seed=config.seed,
+        cv_folds=config.cv_folds,
+        cv_repeats=config.cv_repeats,
+        stability_resamples=config.resamples,
+        lambda_ratios=list(config.lambda_ratios),
+        stability_subsample_fraction=config.fraction,
+        stability_selection_threshold=config.threshold,
+        complete_pair_eligible_members=int(flow["starting_n"]),
+        excluded_nonprimary_members=int(flow["excluded_n"]),
+        included_members=int(flow["retained_n"]),
+        reference_member_type=rules.reference,
+        responder_threshold_percentage=float(rules.success_percent),
+        source_row_counts=source_rows(study),
+        base_model_comparison_target="raw_last_weight",
+        base_model_comparison_metrics=["rmse", "mae"],
+        base_model_winner_rule=f"least mean rmse, then least mean mae, then {OLS_MODEL}",
+        winning_base_model=best,
+        cross_family_likelihood_comparison=False,
+        locked_covariance_estimator="HC3",
+        locked_inference_status="conditional_exploratory",
+        selection_interpretation="selected terms describe these members; their p values do not account for the selection",
+        longitudinal_lasso_interpretation="exploratory, with the covariance of the whole sample",
+        longitudinal_exploratory_lambda_ratio=LONGITUDINAL_RATIO,
+        lasso_specification_tie_tolerance=1e-12,
+        lasso_fold_plan_id=tables["lasso_mean_selection"]["fold_plan_id"].iloc[0],
+        lasso_fold_plan="the same whole members in both specifications",
+        output_files=sorted([*(f"{n}.csv" for n in tables), "metadata.json"]),
+    )
+    check_metadata(metadata, tables)
+    longitudinal = exploratory_records(wide, fits["log_compound_symmetry"], specs["mean"].candidates)
+    return Analysis(config, rules, wide, fits, best, specs, chosen, locked, tables, metadata, model_summary(fits), pd.DataFrame(longitudinal))
+
+
+def source_rows(study: Study) -> dict[str, int]:
+    return {"body_weights": study.weights.count(), "demographics": study.demographics.count(), "engagement": study.engagement.count(), "module_completions": study.modules.count()}
 
 
 def closed(name: str, rows: pd.DataFrame | list[dict]) -> pd.DataFrame:

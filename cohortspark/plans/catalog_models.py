@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import adjust_p
+from ..functions.stats import adjust_p, rank_positions
 from ..operators import cohort as c
 from ..operators import describe as d
 from ..operators import features as f
@@ -16,6 +16,7 @@ from ..sources.views import RULES
 from . import lasso as ls
 from .association import activity_associations
 from .catalog import _r, features_of, query
+from .contract import member_consistency
 from .longitudinal import exploratory_records, whitened
 from .models import coefficient_table, fit_gls, fit_ols
 from .moments import diagnose_collinearity
@@ -243,3 +244,16 @@ def _(s: Study) -> DataFrame:
     w = wide(s).persist()
     rows = exploratory_records(w, fit_gls(w, ["treated"], scale_name="log", structure="compound_symmetry"), MEAN)
     return _rows(s, ["variable", "selected", "coefficient", "estimable"], [(r["variable"], r["count"], r["value"], r["estimable"]) for r in rows], "string int double boolean")
+
+
+@query("q43_member_consistency", """ select count(*) filter (f.member_id is null) as only_in_members, count(*) filter (k.member_id is null) as only_in_features, count(*) filter (k.member_type is distinct from f.member_type and k.member_id is not null and f.member_id is not null) as type_differs,
+  (select count(*) from counts where member_id not in (select member_id from cohort)) as counts_of_no_member, (select count(*) from (select 1 from counts group by member_id, event_type having count(*) > 1) x) as repeated_pairs
+  from cohort k full join features f on k.member_id = f.member_id""")
+def _(s: Study) -> DataFrame:
+    k = c.members(s, RULES).persist()
+    return member_consistency(k, features_of(s), f.event_counts(s.engagement, k, RULES))
+
+
+@query("q44_rank_positions", " select member_id, round((row_number() over (order by percentage_loss, member_id) - 0.5) / count(*) over (), 6)::double as position from cohort")
+def _(s: Study) -> DataFrame:
+    return rank_positions(cohort_of(s), "percentage_loss", "member_id").select("member_id", "position")

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..sources.extracts import Study
-from .analysis import Analysis, Config, run_analysis
+from .analysis import Analysis, Config, run_analysis, source_rows
+from .contract import check_metadata
 from .schemas import SCHEMAS
 
 
@@ -141,6 +142,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("cohort").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     study = load_study(spark, a.data_dir)
     result = run_analysis(study, config=config)
+    # against the sources as they are now, read again
+    check_metadata(result.metadata, result.tables, source_rows(load_study(spark, a.data_dir)))
     for path in write_outputs(result, a.output_dir, source=a.data_dir, identifiers=member_ids(study)):
         print(path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import shutil
@@ -18,7 +19,7 @@ from cohortspark.operators import cohort as c
 from cohortspark.operators import describe as d
 from cohortspark.operators import features as f
 from cohortspark.operators.quality import key_quality, require_keys
-from cohortspark.plans import analysis, lasso, longitudinal, models, moments, publish
+from cohortspark.plans import analysis, contract, lasso, longitudinal, models, moments, publish
 from cohortspark.plans.schemas import SCHEMAS
 from cohortspark.sources.extracts import MODULES, load_study, read_extract
 
@@ -273,6 +274,14 @@ def test_whole_analysis_is_published_whole_or_not_at_all(spark, study, folder, t
     ids = [r[0] for r in study.demographics.select("member_id").collect()]
     paths = publish.write_outputs(result, str(out), source=str(folder), identifiers=ids)
     assert len(paths) == 16 and all(p.exists() for p in paths)
+    contract.check_metadata(result.metadata, result.tables, analysis.source_rows(study))
+    for key, value in dict(included_members=1, lambda_ratios=[2.0], lasso_fold_plan_id="other", seed=-1, stability_selection_threshold=float("nan")).items():
+        with pytest.raises(ValueError):
+            contract.check_metadata(result.metadata | {key: value}, result.tables)
+    with pytest.raises(ValueError, match="unknown"):
+        contract.check_metadata(result.metadata | {"more": 1}, result.tables)
+    assert list(result.models["model_id"])[-1] == analysis.OLS_MODEL and json.loads(result.models["coefficients"].iloc[-1]).keys() == {"intercept", "first_weight", "treated"}
+    assert len(result.longitudinal) == len(result.specifications["mean"].candidates)
     before = {p.name: p.read_bytes() for p in paths}
     again = analysis.run_analysis(load_study(spark, str(folder)), config=config, actionability=CLASSES)
     publish.write_outputs(again, str(out), identifiers=ids)
@@ -335,6 +344,29 @@ def test_identifiers_of_any_form_and_table_are_found(spark, study):
     assert "only-in-weights" in set(publish.member_ids(made))
 
 
+def test_members_that_do_not_belong_together_are_counted(spark):
+    own = "member_id string, member_type string"
+    members = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], own)
+    features = spark.createDataFrame([("a", "x"), ("b", "y"), ("d", "y")], own)
+    counts = spark.createDataFrame([("a", "e"), ("a", "e"), ("z", "e")], "member_id string, event_type string")
+    row = contract.member_consistency(members, features, counts).first()
+    assert row.asDict() == dict(only_in_members=1, only_in_features=1, type_differs=1, counts_of_no_member=1, repeated_pairs=1)
+
+
+def test_selection_tables_must_be_whole():
+    good = pd.DataFrame(dict(candidate=["a", "b"], candidate_order=[1, 2], selection_count=[3, 9], n_resamples=10, selection_frequency=[0.3, 0.9], selection_threshold=0.75, selected_at_threshold=[False, True], module_spec="mean", selected_lambda_ratio=0.2, cv_mean_mse=1.0, fold_plan_id="f", is_winning_specification=True, locked_model_status=["below_stability_threshold", "locked"]))
+    contract.check_selection(good, ("a", "b"))
+    for column, values in dict(selection_count=[3, 8], selected_at_threshold=[True, True], candidate_order=[2, 1], cv_mean_mse=[1.0, 2.0], is_winning_specification=False).items():
+        with pytest.raises(ValueError):
+            contract.check_selection(good.assign(**{column: values}), ("a", "b"))
+
+
+def test_rank_positions(spark):
+    df = spark.createDataFrame([(float(k * 7 % 31), k) for k in range(31)] + [(3.0, 99)], "v double, k int").repartition(5)
+    got = [r["v"] for r in stats.rank_positions(df, "v", "k").orderBy("position").collect()]
+    assert got == sorted(got) and stats.rank_positions(df, "v", "k").agg(F.sum("position")).first()[0] == pytest.approx(16)
+
+
 def test_configuration():
     with pytest.raises(ValueError):
         analysis.Config(cv_folds=1)
