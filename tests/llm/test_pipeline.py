@@ -2,54 +2,99 @@
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
+from collections import Counter
 
 import pandas as pd
 import pytest
 
-from .cases import corpus, words
-from .test_operators import classes_by_force
+from cohortspark.llm import langid
+from cohortspark.llm._base import materialize
 
+from .cases import words
+from .test_operators import hits_by_force, library, lines_by_force, low
+from .test_queries import made, write
 
-def test_stages(spark, tmp_path):
-    pytest.importorskip("public_tokenizers")
-    import random
 
+def by_language(spark, rows):
+    """Rows with a letter whose score, if they are long enough to be judged, is not too low."""
     import corpus_pipeline as cp
 
-    rng = random.Random(11)
-    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in corpus() if r[0] is not None]
-    rows = list({r[0]: r for r in rows}.values()) + [(100 + k, f"Site menu\n{words(rng, 40)}", "en", "s9", None) for k in range(8)]
-    passage = words(rng, 12)
-    rows.append((200, f"{words(rng, 20)} {passage} {words(rng, 9)}", "fr", "s1", None))
-    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"n_chars": "Int64"}).to_parquet(tmp_path / "documents.parquet")
-    pd.DataFrame([(1, passage)], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
-    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, doc_id bigint, text string, lang string, source string, n_chars bigint")
+    score = {r["n"]: r["score"] for r in langid.predict(df, langid.fit(df)).collect()}
+    return [r for n, r in enumerate(rows) if any(c.isalpha() for c in r[1] or "") and (len(r[1].encode()) < cp.JUDGED or score[n] >= cp.LEAST_SCORE)]
+
+
+def by_lines(rows):
+    out = []
+    for (i, source, text, n, dropped), m in lines_by_force(rows, 0.1).items():
+        assert dropped == 0 or n > dropped or not (text or "").strip()
+        out += [(i, text, source)] * (m if dropped == 0 or (text or "").strip() else 0)
+    return Counter(out)
+
+
+def by_classes(rows):
+    """Of (doc_id, text) rows one of each class: the least id, then the least MD5; those without words or id stay."""
+    sets = [(lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())(re.findall(r"[^\x20\x09-\x0D]+", low(t))) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and rows[a][0] is not None and rows[b][0] is not None and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    first = {}
+    for k, (i, t) in enumerate(rows):
+        if sets[k] and i is not None:
+            first[root(k)] = min(first.get(root(k), (i, hashlib.md5(t.encode()).digest(), t)), (i, hashlib.md5(t.encode()).digest(), t))
+    return Counter((i, t) for i, _, t in first.values()) + Counter(r for r, x in zip(rows, sets) if not x or r[0] is None)
+
+
+def test_every_stage_by_force(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null and empty texts through all stages; each is judged on its own input."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as cp
+
+    rows = made()
+    rows["documents"] += [(400 + k, f"Site menu\n{words(random.Random(k), 40)}", "en", "s9", None) for k in range(4)] + [(7, words(random.Random(90), 30), "en", None, None)]
+    folder = write(tmp_path, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    now = rows["documents"]
     for name, stage in cp.STAGES:
-        before = docs
-        docs = stage(spark, docs, str(tmp_path))
-        kept[name] = {r[0] for r in docs.select("doc_id").collect()}
+        out = stage(spark, docs, folder)
         if name != cp.STAGES[-1][0]:
-            assert docs.columns == before.columns
-        if name == "line dedup":
-            texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
-            assert all("Site menu" not in texts[100 + k] for k in range(8))
-            stay = [(k, t) for k, t in texts.items()]
-    lettered = {r[0] for r in rows if r[1] and re.search(r"[^\W\d_]", r[1])}
-    assert kept["language ID"] == lettered
-    assert kept["line dedup"] == lettered
-    assert kept["n-gram Jaccard join"] == {c for i, n, c in classes_by_force(stay)}
-    assert kept["n-gram Jaccard join"] - kept["benchmark decontamination"] == {200}
-    assert kept["SentencePiece"] == kept["benchmark decontamination"]
-    assert all(r["round_trip"] for r in docs.collect())
-    assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} == kept["SentencePiece"]
+            assert out.columns == docs.columns
+            out = materialize(out, "stage")
+        got = [tuple(r) for r in out.collect()]
+        pairs = Counter((r[0], r[1]) for r in got)
+        if name == "language ID":
+            assert Counter(got) == Counter(by_language(spark, now))
+        elif name == "line dedup":
+            assert Counter((r[0], r[1], r[3]) for r in got) == by_lines(now)
+            assert not any("Site menu" in r[1] for r in got)
+        elif name == "n-gram Jaccard join":
+            assert pairs == by_classes([(r[0], r[1]) for r in now]) and sum(pairs.values()) < len(now)
+        elif name == "benchmark decontamination":
+            hit = {r[1] for r in now if any(x[5] for x in hits_by_force([r], rows["benchmark"]))}
+            assert pairs == Counter((r[0], r[1]) for r in now if r[1] not in hit) and hit
+        else:
+            sp, own = library(), []
+            for r in now:
+                ids = sp.encode(r[1]) if r[1] else []
+                own.append((r[0], len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), True))
+            assert Counter(got) == Counter(own)
+        docs, now = out, got
+    assert Counter(map(tuple, cp.run(spark, folder).collect())) == Counter(now)
 
 
 def test_rows_are_judged_by_themselves(spark, tmp_path):
     """Null and repeated ids: a row goes for what is in its own text."""
-    import random
-    from collections import Counter
-
     import corpus_pipeline as cp
 
     rng = random.Random(12)
