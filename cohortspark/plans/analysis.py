@@ -22,6 +22,7 @@ from ..sources.extracts import Study
 from . import lasso as ls
 from .association import activity_associations
 from .contract import check_metadata, check_selection, model_summary
+from .figures import FIGURES
 from .longitudinal import RATIO as LONGITUDINAL_RATIO
 from .longitudinal import exploratory_records
 from .models import Gls, Ols, coefficient_table, fit_gls, fit_ols
@@ -192,6 +193,8 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
     best = winner(cv)
     folds = ls.assign_folds(wide, "member_id", "member_type", folds=config.cv_folds, repeats=config.cv_repeats, seed=config.seed + 1000).persist()
     specs = {k: specify(k, wide, folds, base, sexes, rules, config, config.seed + s) for k, s in (("mean", 11000), ("domains", 12000))}
+    if len({x.n for x in fits.values()}) != 1:
+        raise ValueError("the base models have different members: a value is missing in some")
     chosen = choose_specification(specs["mean"], specs["domains"])
     if best != OLS_MODEL:
         raise ValueError(f"{best} won the comparison; only {OLS_MODEL} can be locked")
@@ -228,7 +231,7 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
         lasso_specification_tie_tolerance=1e-12,
         lasso_fold_plan_id=tables["lasso_mean_selection"]["fold_plan_id"].iloc[0],
         lasso_fold_plan="the same whole members in both specifications",
-        output_files=sorted([*(f"{n}.csv" for n in tables), "metadata.json"]),
+        output_files=sorted([*(f"{n}.csv" for n in tables), *(f"{n}.svg" for n in FIGURES), "metadata.json"]),
     )
     check_metadata(metadata, tables)
     longitudinal = exploratory_records(wide, fits["log_compound_symmetry"], specs["mean"].candidates)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.extracts import Study
 from .analysis import Analysis, Config, run_analysis, source_rows
 from .contract import check_metadata
+from .figures import figures
 from .schemas import SCHEMAS
 
 
@@ -95,9 +96,12 @@ def write_outputs(result: Analysis, folder: str, *, source: str | None = None, i
         raise ValueError("the output would lie in the source folder")
     check_tables(result.tables)
     files = {f"{n}.csv": t.to_csv(index=False, lineterminator="\n", float_format="%.12g") for n, t in result.tables.items()}
+    if set(SCHEMAS) <= set(result.tables):
+        files |= {f"{n}.svg": text for n, text in figures(result.tables).items()}
     files["metadata.json"] = json.dumps(result.metadata, indent=2, sort_keys=True) + "\n"
     cells = (v for t in result.tables.values() for v in t.to_numpy(dtype=object).ravel())
-    check_privacy(chain(cells, [result.metadata]), identifiers)
+    drawn = (text for n, text in files.items() if n.endswith(".svg"))
+    check_privacy(chain(cells, drawn, [result.metadata]), identifiers)
     target.mkdir(parents=True, exist_ok=True)
     stage = Path(tempfile.mkdtemp(prefix=".stage-", dir=target.parent))
     done: list[tuple[Path, Path | None]] = []

@@ -8,6 +8,7 @@ import os
 import shutil
 from dataclasses import replace
 from types import SimpleNamespace
+from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from cohortspark.operators import cohort as c
 from cohortspark.operators import describe as d
 from cohortspark.operators import features as f
 from cohortspark.operators.quality import key_quality, require_keys
-from cohortspark.plans import analysis, contract, lasso, longitudinal, models, moments, publish
+from cohortspark.plans import analysis, contract, figures, lasso, longitudinal, models, moments, publish
 from cohortspark.plans.schemas import SCHEMAS
 from cohortspark.sources.extracts import MODULES, load_study, read_extract
 
@@ -273,7 +274,9 @@ def test_whole_analysis_is_published_whole_or_not_at_all(spark, study, folder, t
     out = tmp_path / "out"
     ids = [r[0] for r in study.demographics.select("member_id").collect()]
     paths = publish.write_outputs(result, str(out), source=str(folder), identifiers=ids)
-    assert len(paths) == 16 and all(p.exists() for p in paths)
+    assert len(paths) == 25 and all(p.exists() for p in paths) and sorted(p.name for p in paths) == result.metadata["output_files"]
+    drawn = figures.figures(result.tables)
+    assert tuple(drawn) == figures.FIGURES and all(ElementTree.fromstring(x).tag.endswith("svg") for x in drawn.values())
     contract.check_metadata(result.metadata, result.tables, analysis.source_rows(study))
     for key, value in dict(included_members=1, lambda_ratios=[2.0], lasso_fold_plan_id="other", seed=-1, stability_selection_threshold=float("nan")).items():
         with pytest.raises(ValueError):
@@ -325,6 +328,7 @@ def test_files_that_cannot_be_restored_are_kept(study, tmp_path, monkeypatch):
         real(a, b)
 
     monkeypatch.setattr(publish, "SCHEMAS", {"a": ("x",)})
+    monkeypatch.setattr(publish, "figures", lambda tables: {})
     monkeypatch.setattr(publish.os, "replace", replace_)
     result = SimpleNamespace(tables={"a": pd.DataFrame({"x": [1]})}, metadata={})
     with pytest.raises(RuntimeError, match="not restored"):
