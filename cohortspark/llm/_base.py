@@ -50,6 +50,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the files of finished shuffles go.
+
+    They are deleted when the driver's collector finds that nothing refers to
+    them any more, and a driver with little garbage seldom looks.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A key is a crowd's if it has at least so many rows, and a thousandth of them all.
 CROWD = 1000
 

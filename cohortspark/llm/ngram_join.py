@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import crowds, discard, left_join, materialize, pieces
+from ._base import crowds, discard, left_join, materialize, pieces, release
 from ._words import FOLD, SPACED, mix, word_hashes
 
 SHINGLE = 5
@@ -411,9 +411,9 @@ def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: s
     A family is cut into blocks of bounded numbers of sets and features.  If
     ``whole``, each pair of blocks is a task's work, and all similar sets of
     the family are joined; otherwise each block is compared within itself and
-    with the hub, so that each set's features are sent once.  No pairs are
-    emitted but links.  A set's features are made again from one document
-    that has it, next to the list of its blocks, and go straight to those.
+    with the hub, so that each set is sent once.  No pairs are emitted but
+    links.  A set travels as the text of one document that has it, which is
+    smaller than its features; they are made again in the block.
     """
     wanted = family.select(F.col("v").alias("s")).union(family.select(F.col("hub").alias("s"))).distinct()
     bearers = materialize(heads.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).where("doc_id is not null"), "bearers")
@@ -426,20 +426,22 @@ def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: s
         hubs = sizes.select(F.col("hub").alias("v"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
         spread = own.where("v <> hub").select("v", "hub", "b").union(hubs).select("v", F.struct("hub", F.col("b").alias("i"), F.col("b").alias("j")).alias("block"))
     listed = spread.groupBy("v").agg(F.collect_list("block").alias("blocks")).join(bearers.select(F.col("s").alias("v"), "doc_id"), "v")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(listed, "doc_id").select("v", "text", "blocks")
-    dealt = rows.mapInArrow(_block_rows, "hub binary, i int, j int, v binary, features binary").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(listed, "doc_id").select("v", "text", F.explode("blocks").alias("b"))
+    dealt = rows.select("b.hub", "b.i", "b.j", "v", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, names, own = None, [], []
         out: list[tuple[bytes, bytes]] = []
-        for batch in batches:
-            for hub, i, j, v, raw in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch, data, offsets in pieces(batches, "text"):
+            for hub, i, j, v, x in zip(*(c.to_pylist() for c in batch.columns[:4]), shingle_sets(data, offsets)):
+                if set_name(x) != v:  # another text of the same id
+                    continue
                 if (hub, i, j) != key:
                     if len(names) > 1:
                         out += linked_within(names, own, hub=key[0])
                     key, names, own = (hub, i, j), [], []
                 if not names or names[-1] != v:  # repeated rows bring a set twice
-                    names.append(v), own.append(np.frombuffer(raw, np.uint64))
+                    names.append(v), own.append(x)
             yield _pairs(out)
             out = []
         if len(names) > 1:
@@ -453,19 +455,6 @@ def _pairs(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([a for _, a in out], pa.binary()), pa.array([b for b, _ in out], pa.binary())], names=["a", "b"])
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hub, i, j, v, features) from (v, text, blocks); a text whose set is another one brings none."""
-    for rows, data, offsets in pieces(batches, "text"):
-        out: list[tuple] = []
-        for v, blocks, x in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), shingle_sets(data, offsets)):
-            if set_name(x) == v:
-                raw = x.tobytes()
-                out += [(b["hub"], b["i"], b["j"], v, raw) for b in blocks]
-        for lo in range(0, len(out), 500):
-            columns = zip(*out[lo : lo + 500])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["hub", "i", "j", "v", "features"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of each vertex of the edges (a, b): the smallest vertex reachable.
 
@@ -506,10 +495,14 @@ def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
     """
     heads, full = set_heads(docs, doc_id=doc_id, text=text, digest=digest)
     total = heads.agg(F.sum("n")).first()[0] or 0
+    spark = docs.sparkSession
     groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
     members = materialize(group_members(groups), "members")
+    discard(groups)
+    release(spark)
     near = materialize(family_links(docs, heads, families(members)[0], doc_id, text, whole=False), "near-links")
     # a set has one link here, to its hub or to another of its block, and a hub to a more popular one
+    release(spark)
     label = near.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
     for _ in range(2):
         label = materialize(label, "near-labels")
@@ -518,6 +511,8 @@ def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
     open_ = told.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
     left = materialize(members.join(open_, "g", "left_semi"), "open-members")
     links = materialize(family_links(docs, heads, families(left)[1], doc_id, text, whole=True), "links")
+    discard(members, left)
+    release(spark)
     return heads, materialize(components(links.unionByName(near)), "labels")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import fresh, materialize, pieces
+from ._base import discard, fresh, materialize, pieces, release
 from ._words import mix
 
 LENGTH = 400
@@ -525,6 +525,8 @@ def repeats(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFram
     bearers = rest.join(by_text, "t").groupBy("t").agg(F.first("text").alias("text"), F.first("x").alias("x")).select("text", "x")
     bearers = bearers.unionByName(few.join(by_text, "t").select("text", "x"))
     raw = materialize(bearers.mapInArrow(_segment_bytes, "ah bigint, sh binary, raw binary, hot boolean"), "segment-bytes")
+    discard(by_text)
+    release(docs.sparkSession)
 
     full = segments.where("multi").select("ah", "sh", F.concat(_bytes32(F.lit(0)), _bytes32(F.col("own"))).alias("runs"))
     found = _solve(raw.where("not hot")).unionByName(_finely(raw.where("hot"))).unionByName(full)
