@@ -259,7 +259,7 @@ def _crf_gradients(scores: np.ndarray, y: np.ndarray, moves: np.ndarray, first:
 
 
 @lru_cache(maxsize=2)
-def train(n: int = 3000, steps: int = 320, seed: int = 5, carriers: tuple[str, ...] = ()) -> Tagger:
+def train(n: int = 3000, steps: int = 480, seed: int = 5, carriers: tuple[str, ...] = ()) -> Tagger:
     """A tagger from labelled spans, by Adam on the CRF's likelihood; a pure function of its arguments."""
     rng = np.random.default_rng(seed)
     x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
@@ -272,6 +272,7 @@ def train(n: int = 3000, steps: int = 320, seed: int = 5, carriers: tuple[str, .
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
     for step in range(1, steps + 1):
         own = rng.integers(0, n, 64)
+        hot = np.eye(N_SYMBOLS)[x[own]]
         net = Tagger(*p)
         h, past = net.states(x[own], keep=True)
         g, g_moves, g_first = _crf_gradients(h @ p[3] + p[4], y[own], p[5], p[6])
@@ -285,7 +286,7 @@ def train(n: int = 3000, steps: int = 320, seed: int = 5, carriers: tuple[str, .
             dh = dh + g_h[:, t, d * HIDDEN : (d + 1) * HIDDEN]
             dc = dc + dh * o * (1 - tc * tc)
             z = np.concatenate([dc * new * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - new * new)], 1)
-            np.add.at(grads[0][d], x[own, t], z)
+            grads[0][d] += hot[:, t].T @ z
             grads[1][d] += h0.T @ z
             grads[2][d] += z.sum(0)
             dh, dc = z @ p[1][d].T, dc * f
