@@ -54,7 +54,10 @@ def outcomes(cohort: DataFrame, rules: Rules, extra: Sequence[str] = ("first_wei
     none = F.lit(None).cast("double")
     continuous = continuous.select("*", none.alias("numerator"), none.alias("denominator"), none.alias("percentage"), none.alias("ci_lower"), none.alias("ci_upper"))
     s = F.col("weight_loss_success")
-    rate = own.groupBy("scope_order", "scope").agg(F.count(F.lit(1)).alias("n_total"), F.count(s).alias("n_observed"), F.count_if(s.isNull()).alias("n_missing"), F.count_if(s).alias("numerator"))
+    rate = own.groupBy("scope_order", "scope").agg(
+        F.count(F.lit(1)).alias("n_total"), F.count(s).alias("n_observed"), F.count_if(s.isNull()).alias("n_missing"),
+        F.count_if(s).alias("numerator")
+    )
     low, high = wilson(F.col("numerator"), F.col("n_observed"))
     binary = rate.select(
         "scope_order", "scope", F.lit(len(extra) + 1).alias("outcome_order"), F.lit("weight_loss_success").alias("outcome"), "n_total", "n_observed", "n_missing",
@@ -71,15 +74,26 @@ def engagement(features: DataFrame, rules: Rules) -> DataFrame:
     """Engagement metrics by scope, with how many members are at zero and above."""
     own = features.withColumn("rate_by_weight_days", ratio(F.col("engagement_volume_repeatable"), at_least(F.col("weight_days"), rules.floor_days)))
     rows = tall(scopes(own, rules), ("scope_order", "scope"), ENGAGEMENT_METRICS, "metric", "metric_order")
-    return rows.groupBy("scope_order", "scope", "metric_order", "metric").agg(*summary(), F.count_if(F.col("value") == 0).alias("zero_n"), F.count_if(F.col("value") > 0).alias("reached_n"))
+    return rows.groupBy("scope_order", "scope", "metric_order", "metric").agg(
+        *summary(), F.count_if(F.col("value") == 0).alias("zero_n"), F.count_if(F.col("value") > 0).alias("reached_n")
+    )
 
 
 def modules(features: DataFrame, rules: Rules) -> DataFrame:
     """Completions by scope for each domain, and for all domains together."""
     names = [n for n, _, _ in rules.module_domains]
     own = features.withColumns({"module_mean_count": sum((F.col(f"module_{n}_count") for n in names[1:]), F.col(f"module_{names[0]}_count"))})
-    pairs = [*[(f"module_{n}_count", f"module_{n}", f"module_{n}", k) for n, _, k in rules.module_domains], ("module_mean_count", "module_mean", "module_mean", sum(k for _, _, k in rules.module_domains))]
-    rows = F.array(*[F.struct(F.lit(k).alias("module_order"), F.lit(label).alias("module_variable"), F.lit(titles).alias("available_title_denominator"), F.col(c).cast("double").alias("value"), F.col(p).cast("double").alias("share")) for k, (c, p, label, titles) in enumerate(pairs, start=1)])
+    pairs = [
+        *[(f"module_{n}_count", f"module_{n}", f"module_{n}", k) for n, _, k in rules.module_domains],
+        ("module_mean_count", "module_mean", "module_mean", sum(k for _, _, k in rules.module_domains))
+    ]
+    rows = F.array(*[
+        F.struct(
+            F.lit(k).alias("module_order"), F.lit(label).alias("module_variable"), F.lit(titles).alias("available_title_denominator"),
+            F.col(c).cast("double").alias("value"), F.col(p).cast("double").alias("share")
+        ) for k,
+        (c, p, label, titles) in enumerate(pairs, start=1)
+    ])
     flat = scopes(own, rules).select("scope_order", "scope", F.inline(rows))
     v, p = F.col("value"), F.col("share")
     q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -100,7 +114,13 @@ def levels(cohort: DataFrame, rules: Rules, characteristics: Sequence[tuple[str,
     shown for all members only.  The levels are those of the whole cohort.
     """
     own = scopes(cohort, rules)
-    rows = F.array(*[F.struct(F.lit(k).alias("characteristic_order"), F.lit(c).alias("characteristic"), F.lit(every).alias("every"), F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit("Missing")).alias("level")) for k, (c, every) in enumerate(characteristics, start=1)])
+    rows = F.array(*[
+        F.struct(
+            F.lit(k).alias("characteristic_order"), F.lit(c).alias("characteristic"), F.lit(every).alias("every"),
+            F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.lit("Missing")).alias("level")
+        ) for k,
+        (c, every) in enumerate(characteristics, start=1)
+    ])
     flat = own.select("scope_order", "scope", F.inline(rows)).where(F.col("every") | (F.col("scope_order") == 1)).drop("every")
     counts = flat.groupBy("scope_order", "scope", "characteristic_order", "characteristic", "level").agg(F.count(F.lit(1)).alias("n"))
     # the spine: a few levels for three scopes
@@ -168,7 +188,13 @@ def classify_strictly(types: DataFrame, mapping: dict[str, str], name: str = "ac
 def missingness(df: DataFrame, name: str) -> DataFrame:
     """Missing counts and rates of every column, in one aggregation."""
     one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"m{k}") for k, c in enumerate(df.columns)])
-    rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"m{k}").alias("n_missing"), ratio(F.col(f"m{k}"), F.col("n")).alias("missing_rate")) for k, c in enumerate(df.columns)])
+    rows = F.array(*[
+        F.struct(
+            F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col("n").alias("n_rows"), F.col(f"m{k}").alias("n_missing"),
+            ratio(F.col(f"m{k}"), F.col("n")).alias("missing_rate")
+        ) for k,
+        c in enumerate(df.columns)
+    ])
     return one.select(F.inline(rows))
 
 

@@ -33,7 +33,10 @@ def cutoff_audit(facts: DataFrame, cohort: DataFrame, at: str) -> DataFrame:
     """One row of counts: all rows, the cohort's, kept, late, and without a date."""
     of = _cut(facts, cohort, at)
     count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).cast("bigint")
-    own = of.agg(F.count(F.lit(1)).alias("cohort_rows"), count(F.col("kept")).alias("kept_rows"), count(F.col("late")).alias("late_rows"), count(~F.col("kept") & ~F.col("late")).alias("undated_rows"))
+    own = of.agg(
+        F.count(F.lit(1)).alias("cohort_rows"), count(F.col("kept")).alias("kept_rows"), count(F.col("late")).alias("late_rows"),
+        count(~F.col("kept") & ~F.col("late")).alias("undated_rows")
+    )
     return facts.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(own)
 
 
@@ -41,14 +44,18 @@ def event_counts(engagement: DataFrame, cohort: DataFrame, rules: Rules) -> Data
     """Sparse (member, event type) counts of kept events, with the type's class; absent pairs have no row."""
     kept = _cut(engagement, cohort, "activity_at").where(F.col("kept") & F.col("event_type").isNotNull())
     pairs = kept.groupBy("member_id", "event_type").agg(F.count(F.lit(1)).alias("event_count"))
-    return pairs.join(classify_events(engagement, rules).select("event_type", "is_repeatable"), "event_type", "left").select("member_id", "event_type", "event_count", "is_repeatable")
+    return pairs.join(
+        classify_events(engagement, rules).select("event_type", "is_repeatable"), "event_type", "left"
+    ).select("member_id", "event_type", "event_count", "is_repeatable")
 
 
 def engagement_features(cohort: DataFrame, counts: DataFrame, rules: Rules) -> DataFrame:
     """Members with breadth, repeatable volume and its rate per day of tenure (of seven at least)."""
     per = counts.groupBy("member_id").agg(F.count("event_type").alias("breadth"), F.sum(F.when(holds(F.col("is_repeatable")), F.col("event_count")).otherwise(0)).alias("volume"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
-    joined = cohort.join(per, "member_id", "left").withColumns({"engagement_breadth": zero(F.col("breadth")), "engagement_volume_repeatable": zero(F.col("volume"))}).drop("breadth", "volume")
+    joined = cohort.join(per, "member_id", "left").withColumns({
+        "engagement_breadth": zero(F.col("breadth")), "engagement_volume_repeatable": zero(F.col("volume"))
+    }).drop("breadth", "volume")
     return joined.withColumn("engagement_volume_repeatable_rate", ratio(F.col("engagement_volume_repeatable"), at_least(F.col("tenure_days"), rules.floor_days)))
 
 
@@ -94,4 +101,6 @@ def dense_counts(cohort: DataFrame, counts: DataFrame, types: DataFrame) -> Data
         raise ValueError(f"over {MOST_TYPES} event types: the column is no vocabulary")
     vocabulary = F.array(*[F.lit(t).cast("string") for t in known]) if known else F.array().cast("array<string>")
     spine = cohort.select("member_id", F.explode(vocabulary).alias("event_type"))
-    return spine.join(counts.select("member_id", "event_type", "event_count"), ["member_id", "event_type"], "left").withColumn("event_count", F.coalesce("event_count", F.lit(0)).cast("bigint"))
+    return spine.join(
+        counts.select("member_id", "event_type", "event_count"), ["member_id", "event_type"], "left"
+    ).withColumn("event_count", F.coalesce("event_count", F.lit(0)).cast("bigint"))

@@ -136,16 +136,38 @@ def locked_model(df: DataFrame, model_id: str, names: Sequence[str], locked: Seq
     """Coefficient rows, the fit row and diagnostic rows of one HC3 model."""
     fit = fit_ols(df, "percentage_loss", names)
     rows = [
-        dict(model_id=model_id, term_order=k, term=x.term, term_label=x.term.replace("_", " "), term_role="selected" if x.term in locked else "base", estimate=x.estimate, standard_error=x.standard_error, test_statistic=x.statistic, reference_distribution="normal", p_value=x.p_value, ci_lower=x.ci_lower, ci_upper=x.ci_upper, ci_level=0.95, n_members=fit.n, covariance_estimator="HC3", selection_frequency=meta["frequency"].get(x.term), selection_provenance="stability selection" if x.term in locked else "always included", inference_status="post-selection, descriptive", **meta["ids"])
+        dict(
+            model_id=model_id, term_order=k, term=x.term, term_label=x.term.replace("_", " "),
+            term_role="selected" if x.term in locked else "base", estimate=x.estimate, standard_error=x.standard_error,
+            test_statistic=x.statistic, reference_distribution="normal", p_value=x.p_value, ci_lower=x.ci_lower, ci_upper=x.ci_upper,
+            ci_level=0.95, n_members=fit.n, covariance_estimator="HC3", selection_frequency=meta["frequency"].get(x.term),
+            selection_provenance="stability selection" if x.term in locked else "always included",
+            inference_status="post-selection, descriptive", **meta["ids"]
+        )
         for k, x in enumerate(coefficient_table(fit, fit.hc3(df)), start=1)
     ]
     points = fit.with_diagnostics(df)
     top = points.agg(F.max("leverage"), F.max("cooks_distance"), F.max(F.abs("standardized_residual"))).first()
     cond = condition_number(df, names)
-    fit_row = dict(model_id=model_id, analysis_population="primary complete pairs", modeled_outcome="percentage_loss", model_formula="percentage_loss ~ " + " + ".join(names), n_members=fit.n, n_parameters=fit.k, residual_degrees_of_freedom=fit.n - fit.k, covariance_estimator="HC3", r_squared=fit.r_squared, adjusted_r_squared=fit.adjusted_r_squared, residual_rmse=math.sqrt(fit.rss / fit.n), negative_two_log_likelihood=fit.deviance, aic=fit.aic(0), bic=fit.bic(0), likelihood_use="descriptive", standardized_design_condition_number=cond, maximum_leverage=top[0], maximum_cooks_distance=top[1], selection_rule=f"frequency >= {meta['threshold']}", inference_status="post-selection, descriptive", fit_status="estimated", **meta["ids"])
+    fit_row = dict(
+        model_id=model_id, analysis_population="primary complete pairs", modeled_outcome="percentage_loss",
+        model_formula="percentage_loss ~ " + " + ".join(names), n_members=fit.n, n_parameters=fit.k,
+        residual_degrees_of_freedom=fit.n - fit.k, covariance_estimator="HC3", r_squared=fit.r_squared,
+        adjusted_r_squared=fit.adjusted_r_squared, residual_rmse=math.sqrt(fit.rss / fit.n), negative_two_log_likelihood=fit.deviance,
+        aic=fit.aic(0), bic=fit.bic(0), likelihood_use="descriptive", standardized_design_condition_number=cond, maximum_leverage=top[0],
+        maximum_cooks_distance=top[1], selection_rule=f"frequency >= {meta['threshold']}", inference_status="post-selection, descriptive",
+        fit_status="estimated", **meta["ids"]
+    )
     diagnostics = [*binned(points, model_id, "residuals_vs_fitted", "fitted_value", "residual", "mean_residual"), *quantile_pairs(points, model_id, fit.n)]
-    for kind, metric, value, limit in (("leverage", "maximum_leverage", top[0], 2 * fit.k / fit.n), ("cooks_distance", "maximum_cooks_distance", top[1], 4 / fit.n), ("global_metric", "maximum_absolute_standardized_residual", top[2], 2.0), ("global_metric", "standardized_condition_number", cond, 30.0)):
-        diagnostics.append(dict(model_id=model_id, diagnostic_type=kind, row_type="summary", series="summary_metric", bin_count=fit.n, metric=metric, value=value, threshold=limit, flag=bool(value > limit), status="review" if value > limit else "within_threshold"))
+    for kind, metric, value, limit in (
+        ("leverage", "maximum_leverage", top[0], 2 * fit.k / fit.n), ("cooks_distance", "maximum_cooks_distance", top[1], 4 / fit.n),
+        ("global_metric", "maximum_absolute_standardized_residual", top[2], 2.0),
+        ("global_metric", "standardized_condition_number", cond, 30.0)
+    ):
+        diagnostics.append(dict(
+            model_id=model_id, diagnostic_type=kind, row_type="summary", series="summary_metric", bin_count=fit.n, metric=metric,
+            value=value, threshold=limit, flag=bool(value > limit), status="review" if value > limit else "within_threshold"
+        ))
     diagnostics += binned(points, model_id, "leverage", "leverage", "standardized_residual", "mean_standardized_residual")
     diagnostics += binned(points, model_id, "cooks_distance", "leverage", "cooks_distance", "mean_cooks_distance")
     for k, row in enumerate(diagnostics, start=1):
@@ -156,14 +178,25 @@ def locked_model(df: DataFrame, model_id: str, names: Sequence[str], locked: Seq
 def binned(points: DataFrame, model_id: str, kind: str, x: str, y: str, metric: str) -> list[dict]:
     bins = equal_count_bins(points, x, "member_id")
     got = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("x"), F.avg(y).alias("y")).orderBy("bin").collect()
-    return [dict(model_id=model_id, diagnostic_type=kind, row_type="plot_summary", series="binned_mean", bin_order=r["bin"], bin_method="stable_equal_count", bin_lower=r["lo"], bin_upper=r["hi"], bin_count=r["n"], x_value=r["x"], y_value=r["y"], metric=metric, value=r["y"], flag=False, status="descriptive") for r in got]
+    return [dict(
+        model_id=model_id, diagnostic_type=kind, row_type="plot_summary", series="binned_mean", bin_order=r["bin"],
+        bin_method="stable_equal_count", bin_lower=r["lo"], bin_upper=r["hi"], bin_count=r["n"], x_value=r["x"], y_value=r["y"],
+        metric=metric, value=r["y"], flag=False, status="descriptive"
+    ) for r in got]
 
 
 def quantile_pairs(points: DataFrame, model_id: str, n: int) -> list[dict]:
     k = min(9, n)
     at = [(i + 0.5) / k for i in range(k)]
     got = points.agg(F.percentile("standardized_residual", F.array(*[F.lit(p) for p in at]))).first()[0]
-    return [dict(model_id=model_id, diagnostic_type="normal_qq", row_type="plot_summary", series="quantile_pair", bin_order=i, bin_method="fixed_probability_quantiles", bin_lower=p, bin_upper=p, bin_count=n, x_value=NormalDist().inv_cdf(p), y_value=v, metric="standardized_residual_quantile", value=v, flag=False, status="descriptive") for i, (p, v) in enumerate(zip(at, got), start=1)]
+    return [
+        dict(
+            model_id=model_id, diagnostic_type="normal_qq", row_type="plot_summary", series="quantile_pair", bin_order=i,
+            bin_method="fixed_probability_quantiles", bin_lower=p, bin_upper=p, bin_count=n, x_value=NormalDist().inv_cdf(p), y_value=v,
+            metric="standardized_residual_quantile", value=v, flag=False, status="descriptive"
+        ) for i,
+        (p, v) in enumerate(zip(at, got), start=1)
+    ]
 
 
 def run_analysis(study: Study, rules: Rules | None = None, config: Config | None = None, actionability: dict[str, str] = d.ACTIONABILITY) -> Analysis:
@@ -256,18 +289,38 @@ def small(df: DataFrame, *order: str) -> pd.DataFrame:
     return df.orderBy(*order).toPandas()
 
 
-def build_tables(study: Study, rules: Rules, config: Config, members: DataFrame, types: DataFrame, wide: DataFrame, cv: DataFrame, best: str, specs: dict[str, Specification], chosen: str, locked: Sequence[str], base: Sequence[str], actionability: dict[str, str]) -> dict[str, pd.DataFrame]:
+def build_tables(
+    study: Study, rules: Rules, config: Config, members: DataFrame, types: DataFrame, wide: DataFrame, cv: DataFrame, best: str,
+    specs: dict[str, Specification], chosen: str, locked: Sequence[str], base: Sequence[str], actionability: dict[str, str]
+) -> dict[str, pd.DataFrame]:
     out: dict[str, pd.DataFrame] = {}
     flow = small(c.cohort_flow(study, rules), "flow_order").assign(row_type="stage", notes="")
-    out["cohort_flow"] = closed("cohort_flow", flow.assign(stage_label=flow["stage_id"].str.replace("_", " "), exclusion_definition=["", *[f"excluded first at: {s.replace('_', ' ')}" for s in c.STAGES]]))
-    levels = small(d.levels(members, rules), "scope_order", "characteristic_order", "level").assign(summary_type="categorical", unit="", notes="percent of observed; Missing in percent of all")
+    out["cohort_flow"] = closed(
+        "cohort_flow",
+        flow.assign(stage_label=flow["stage_id"].str.replace("_", " "), exclusion_definition=["", *[f"excluded first at: {s.replace('_', ' ')}" for s in c.STAGES]])
+    )
+    levels = small(d.levels(members, rules), "scope_order", "characteristic_order", "level").assign(
+        summary_type="categorical", unit="", notes="percent of observed; Missing in percent of all"
+    )
     levels["level_order"] = levels.groupby(["scope_order", "characteristic_order"]).cumcount() + 1
     out["sample_characteristics"] = closed("sample_characteristics", levels.assign(characteristic_label=levels["characteristic"].str.replace("_", " ")))
     outcomes = small(d.outcomes(members, rules), "scope_order", "outcome_order")
     binary = outcomes["outcome"] == "weight_loss_success"
-    out["outcomes_by_member_type"] = closed("outcomes_by_member_type", outcomes.assign(outcome_label=outcomes["outcome"].str.replace("_", " "), outcome_type=np.where(binary, "binary", "continuous"), unit="", ci_level=np.where(binary, 0.95, np.nan), ci_method=np.where(binary, "wilson", "")))
+    out["outcomes_by_member_type"] = closed(
+        "outcomes_by_member_type",
+        outcomes.assign(
+            outcome_label=outcomes["outcome"].str.replace("_", " "), outcome_type=np.where(binary, "binary", "continuous"), unit="",
+            ci_level=np.where(binary, 0.95, np.nan), ci_method=np.where(binary, "wilson", "")
+        )
+    )
     eng = small(d.engagement(wide, rules), "scope_order", "metric_order")
-    out["engagement_by_member_type"] = closed("engagement_by_member_type", eng.assign(metric_label=eng["metric"].str.replace("_", " "), unit="", exposure_window_definition="events up to the last weight", denominator_definition=np.where(eng["metric"].str.contains("rate"), f"at least {rules.floor_days:g} days", "")))
+    out["engagement_by_member_type"] = closed(
+        "engagement_by_member_type",
+        eng.assign(
+            metric_label=eng["metric"].str.replace("_", " "), unit="", exposure_window_definition="events up to the last weight",
+            denominator_definition=np.where(eng["metric"].str.contains("rate"), f"at least {rules.floor_days:g} days", "")
+        )
+    )
     counts = f.event_counts(study.engagement, members, rules)
     dense = f.dense_counts(members, counts, types)
     with_treated = wide.select("member_id", "percentage_loss", "first_weight", "treated", "weight_days")
@@ -275,10 +328,27 @@ def build_tables(study: Study, rules: Rules, config: Config, members: DataFrame,
     acts = d.activities(counts, members.count(), types).join(classed.select("event_type", "actionability_class"), "event_type").toPandas()
     tests = adjust_p(activity_associations(with_treated, dense, ["treated"]), "p_value").toPandas().drop(columns="n_reached")
     acts = acts.merge(tests, on="event_type").sort_values("event_type", ignore_index=True)
-    acts = acts.assign(event_order=acts.index + 1, predictor="event count", predictor_transform="standardised log1p", effect_unit="percentage points per SD", reference_distribution="normal", ci_level=0.95, fdr_method="benjamini_hochberg", fdr_family="event types tested", fdr_test_count=int((acts["test_status"] == "tested").sum()), covariance_estimator="HC3", adjustment_terms="first_weight, member_type, weight_days, weight_days squared", reference_member_type=rules.reference, interpretation="association, not an effect")
+    acts = acts.assign(
+        event_order=acts.index + 1, predictor="event count", predictor_transform="standardised log1p",
+        effect_unit="percentage points per SD", reference_distribution="normal", ci_level=0.95, fdr_method="benjamini_hochberg",
+        fdr_family="event types tested", fdr_test_count=int((acts["test_status"] == "tested").sum()), covariance_estimator="HC3",
+        adjustment_terms="first_weight, member_type, weight_days, weight_days squared", reference_member_type=rules.reference,
+        interpretation="association, not an effect"
+    )
     out["engagement_activity_summary"] = closed("engagement_activity_summary", acts)
     mods = small(d.modules(wide, rules), "scope_order", "module_order")
-    out["modules_by_member_type"] = closed("modules_by_member_type", mods.assign(module_label=mods["module_variable"].str.replace("_", " "), module_group=np.where(mods["module_variable"] == "module_core", "core", "extension"), completion_definition="distinct titles up to the last weight", availability_status=np.where(mods["zero_completion_group_flag"], "no completion observed", "observed"), support_scope=np.where(mods["zero_completion_group_flag"], "not verifiable in this scope", "observed in this scope"), cross_group_comparability=np.where(mods["zero_completion_group_flag"], "not comparable", "comparable"), interpretation="descriptive"))
+    out["modules_by_member_type"] = closed(
+        "modules_by_member_type",
+        mods.assign(
+            module_label=mods["module_variable"].str.replace("_", " "),
+            module_group=np.where(mods["module_variable"] == "module_core", "core", "extension"),
+            completion_definition="distinct titles up to the last weight",
+            availability_status=np.where(mods["zero_completion_group_flag"], "no completion observed", "observed"),
+            support_scope=np.where(mods["zero_completion_group_flag"], "not verifiable in this scope", "observed in this scope"),
+            cross_group_comparability=np.where(mods["zero_completion_group_flag"], "not comparable", "comparable"),
+            interpretation="descriptive"
+        )
+    )
     scores = cv.toPandas()
     out["base_model_comparison_summary"] = closed("base_model_comparison_summary", comparison_rows(scores, best, config))
     for k, kind in enumerate(("mean", "domains"), start=1):
@@ -290,9 +360,15 @@ def build_tables(study: Study, rules: Rules, config: Config, members: DataFrame,
     support = common_support(complete, "weight_days")
     mean_days = support.agg(F.avg("weight_days")).first()[0] or 0.0
     support = support.withColumn("days_centred", F.col("weight_days") - F.lit(mean_days)).withColumn("days_centred_squared", F.col("days_centred") ** 2)
-    models = [locked_model(complete, "locked_primary", names, locked, meta), locked_model(support, "duration_sensitivity", [*base, "days_centred", "days_centred_squared", *locked], locked, meta)]
+    models = [
+        locked_model(complete, "locked_primary", names, locked, meta),
+        locked_model(support, "duration_sensitivity", [*base, "days_centred", "days_centred_squared", *locked], locked, meta)
+    ]
     out["locked_model_coefficients_hc3"] = closed("locked_model_coefficients_hc3", [r for m in models for r in m[0]])
-    out["locked_model_fit_statistics"] = closed("locked_model_fit_statistics", [dict(m[1], reference_member_type=rules.reference, duration_adjustment=a) for m, a in zip(models, ("none", "centred linear and quadratic"))])
+    out["locked_model_fit_statistics"] = closed(
+        "locked_model_fit_statistics",
+        [dict(m[1], reference_member_type=rules.reference, duration_adjustment=a) for m, a in zip(models, ("none", "centred linear and quadratic"))]
+    )
     out["model_diagnostics"] = closed("model_diagnostics", [r for m in models for r in m[2]])
     out |= registers(out, chosen)
     return {name: out[name] for name in SCHEMAS}
@@ -304,7 +380,15 @@ def comparison_rows(scores: pd.DataFrame, best: str, config: Config) -> list[dic
         own = scores[scores["model"] == model]
         for j, metric in enumerate(("rmse", "mae"), start=1):
             v = own[metric]
-            rows.append(dict(model_order=k, model_id=model, model_family=family, modeled_outcome="log weights" if k == 1 else "percentage_loss", prediction_target="last_weight", metric_order=j, metric=metric, metric_unit="weight", n_members=int(own.groupby("repeat")["n_test"].sum().iloc[0]), cv_repeats=config.cv_repeats, cv_folds=config.cv_folds, n_fold_scores=len(own), n_test_predictions=int(own["n_test"].sum()), mean_score=v.mean(), standard_deviation=v.std(ddof=1), minimum_score=v.min(), maximum_score=v.max(), fold_plan_id=f"seed {config.seed}", score_aggregation="unweighted mean over folds", rank=1 if model == best else 2, is_winner=model == best, winner_rule="rmse, then mae, then least squares", tie_tolerance=0.0, validation_scope="internal"))
+            rows.append(dict(
+                model_order=k, model_id=model, model_family=family, modeled_outcome="log weights" if k == 1 else "percentage_loss",
+                prediction_target="last_weight", metric_order=j, metric=metric, metric_unit="weight",
+                n_members=int(own.groupby("repeat")["n_test"].sum().iloc[0]), cv_repeats=config.cv_repeats, cv_folds=config.cv_folds,
+                n_fold_scores=len(own), n_test_predictions=int(own["n_test"].sum()), mean_score=v.mean(), standard_deviation=v.std(ddof=1),
+                minimum_score=v.min(), maximum_score=v.max(), fold_plan_id=f"seed {config.seed}",
+                score_aggregation="unweighted mean over folds", rank=1 if model == best else 2, is_winner=model == best,
+                winner_rule="rmse, then mae, then least squares", tie_tolerance=0.0, validation_scope="internal"
+            ))
     return rows
 
 
@@ -314,7 +398,20 @@ def selection_rows(spec: Specification, order: int, wins: bool, locked: Sequence
         out, frequency = name in spec.fit.excluded, spec.frequency(name)
         reached = frequency >= config.threshold
         status = "ineligible_noncanonical_candidate" if not canonical(name) else "locked" if wins and name in locked else "inestimable_full_fit" if out else "nonwinning_specification" if not wins else "below_stability_threshold"
-        rows.append(dict(specification_order=order, module_spec=spec.name, is_winning_specification=wins, candidate_order=k + 1, candidate=name, candidate_label=name.replace("_", " "), candidate_role="module" if name.startswith("module") else "demographic" if name.startswith("sex") else "engagement", reference_level="FEMALE" if name.startswith("sex") else "", penalty_status="penalised", selected_lambda_ratio=spec.tuning.ratio, full_sample_lambda=spec.fit.lam, full_sample_lambda_max=spec.fit.lam_max, cv_selection_rule=config.selection_rule, cv_mean_mse=spec.score, cv_standard_error=float(spec.tuning.error[spec.tuning.best]), fold_plan_id=f"seed {config.seed + 1000}", n_resamples=spec.n_resamples, subsample_fraction=config.fraction, selection_threshold=config.threshold, full_sample_coefficient=float(spec.fit.coefficients[k]), full_sample_standardized_coefficient=float(spec.fit.theta[k]), selection_count=0 if out else spec.counts[name], selection_frequency=frequency, selected_at_threshold=reached, eligible_for_locked_model=wins and reached and not out, locked_model_status=status, exclusion_reason="constant or within the base" if out else "", coefficient_unit="percentage points", interpretation="selection is not inference"))
+        rows.append(dict(
+            specification_order=order, module_spec=spec.name, is_winning_specification=wins, candidate_order=k + 1, candidate=name,
+            candidate_label=name.replace("_", " "),
+            candidate_role="module" if name.startswith("module") else "demographic" if name.startswith("sex") else "engagement",
+            reference_level="FEMALE" if name.startswith("sex") else "", penalty_status="penalised", selected_lambda_ratio=spec.tuning.ratio,
+            full_sample_lambda=spec.fit.lam, full_sample_lambda_max=spec.fit.lam_max, cv_selection_rule=config.selection_rule,
+            cv_mean_mse=spec.score, cv_standard_error=float(spec.tuning.error[spec.tuning.best]), fold_plan_id=f"seed {config.seed + 1000}",
+            n_resamples=spec.n_resamples, subsample_fraction=config.fraction, selection_threshold=config.threshold,
+            full_sample_coefficient=float(spec.fit.coefficients[k]), full_sample_standardized_coefficient=float(spec.fit.theta[k]),
+            selection_count=0 if out else spec.counts[name], selection_frequency=frequency, selected_at_threshold=reached,
+            eligible_for_locked_model=wins and reached and not out, locked_model_status=status,
+            exclusion_reason="constant or within the base" if out else "", coefficient_unit="percentage points",
+            interpretation="selection is not inference"
+        ))
     return rows
 
 
@@ -339,8 +436,21 @@ def registers(t: dict[str, pd.DataFrame], chosen: str) -> dict[str, pd.DataFrame
         ("modules", "Does completing modules go with loss?", f"{int(zero.sum())} scopes without completions", "", "modules_by_member_type"),
         ("duration", "Do differing durations explain it?", effect("treated"), "sensitivity on common support", "locked_model_coefficients_hc3"),
     ]
-    hyp = [dict(hypothesis_order=i, hypothesis_id=h, question=q, population="primary complete pairs", outcome="percentage_loss", effect_summary=e, uncertainty_summary=u, evidence_table=s, result_status="reported", inference_status="descriptive", multiplicity_control="benjamini_hochberg" if h == "activities" else "none", **common) for i, (h, q, e, u, s) in enumerate(hypotheses, start=1)]
-    findings = [dict(finding_order=i, finding_id=h, finding=q, quantitative_evidence=e, evidence_table=s, certainty="low: observational", recommended_test="randomised pilot", **common) for i, (h, q, e, _, s) in enumerate(hypotheses, start=1)]
+    hyp = [
+        dict(
+            hypothesis_order=i, hypothesis_id=h, question=q, population="primary complete pairs", outcome="percentage_loss",
+            effect_summary=e, uncertainty_summary=u, evidence_table=s, result_status="reported", inference_status="descriptive",
+            multiplicity_control="benjamini_hochberg" if h == "activities" else "none", **common
+        ) for i,
+        (h, q, e, u, s) in enumerate(hypotheses, start=1)
+    ]
+    findings = [
+        dict(
+            finding_order=i, finding_id=h, finding=q, quantitative_evidence=e, evidence_table=s, certainty="low: observational",
+            recommended_test="randomised pilot", **common
+        ) for i,
+        (h, q, e, _, s) in enumerate(hypotheses, start=1)
+    ]
     flow = t["cohort_flow"]
     limits = [
         ("no_randomisation", "Types were not assigned at random.", ""),
@@ -355,4 +465,7 @@ def registers(t: dict[str, pd.DataFrame], chosen: str) -> dict[str, pd.DataFrame
         ("unmeasured", "Age and other causes are not in the extracts.", ""),
     ]
     lim = [dict(limitation_order=i, limitation_id=x, category="design", limitation=s, empirical_evidence=e, severity="material") for i, (x, s, e) in enumerate(limits, start=1)]
-    return {"hypothesis_evidence": closed("hypothesis_evidence", hyp), "findings_and_implications": closed("findings_and_implications", findings), "limitations": closed("limitations", lim)}
+    return {
+        "hypothesis_evidence": closed("hypothesis_evidence", hyp),
+        "findings_and_implications": closed("findings_and_implications", findings), "limitations": closed("limitations", lim)
+    }

@@ -15,7 +15,10 @@ from .moments import Scale, moments
 SCHEMA = "event_type string, n_reached bigint, test_status string, estimate double, standard_error double, test_statistic double, p_value double, ci_lower double, ci_upper double"
 
 
-def activity_associations(members: DataFrame, dense: DataFrame, types: Sequence[str], *, outcome: str = "percentage_loss", baseline: str = "first_weight", days: str = "weight_days", least_reach: int = 30) -> DataFrame:
+def activity_associations(
+    members: DataFrame, dense: DataFrame, types: Sequence[str], *, outcome: str = "percentage_loss", baseline: str = "first_weight",
+    days: str = "weight_days", least_reach: int = 30
+) -> DataFrame:
     """Percentage loss on baseline, type, centred days and their square, and the event's standardised log count.
 
     ``dense`` holds every member's count of every event type.  HC3, normal

@@ -49,7 +49,10 @@ def _rows(s: Study, names: list[str], rows: list[tuple], types: str) -> DataFram
     return s.demographics.sparkSession.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types.split())))
 
 
-@query("q25_percentage_loss_coefficients", _OLS + f" select 'first_weight' as term, {_r('b * 1000', 'estimate_x1000')} from coefs union all select 'intercept', {_r('a * 1000', 'e')} from coefs union all select 'treated', {_r('t * 1000', 'e')} from coefs")
+@query(
+    "q25_percentage_loss_coefficients",
+    _OLS + f" select 'first_weight' as term, {_r('b * 1000', 'estimate_x1000')} from coefs union all select 'intercept', {_r('a * 1000', 'e')} from coefs union all select 'treated', {_r('t * 1000', 'e')} from coefs"
+)
 def _(s: Study) -> DataFrame:
     fit = fit_ols(cohort_of(s), "percentage_loss", BASE)
     return _rows(s, ["term", "estimate_x1000"], [(t, float(v) * 1000) for t, v in zip(fit.terms, fit.coefficients)], "string double")
@@ -59,10 +62,17 @@ def _(s: Study) -> DataFrame:
  round(n * (ln(2 * pi() * rss / n) + 1), 6) as deviance, round(n * (ln(2 * pi() * rss / n) + 1) + 8, 6) as aic, round(n * (ln(2 * pi() * rss / n) + 1) + 4 * ln(n), 6) as bic from fit""")
 def _(s: Study) -> DataFrame:
     fit = fit_ols(cohort_of(s), "percentage_loss", BASE)
-    return _rows(s, ["n", "r_squared", "adjusted_r_squared", "rmse", "deviance", "aic", "bic"], [(fit.n, *map(float, (fit.r_squared, fit.adjusted_r_squared, math.sqrt(fit.rss / fit.n), fit.deviance, fit.aic(), fit.bic())))], "bigint double double double double double double")
+    return _rows(
+        s, ["n", "r_squared", "adjusted_r_squared", "rmse", "deviance", "aic", "bic"],
+        [(fit.n, *map(float, (fit.r_squared, fit.adjusted_r_squared, math.sqrt(fit.rss / fit.n), fit.deviance, fit.aic(), fit.bic())))],
+        "bigint double double double double double double"
+    )
 
 
-@query("q27_percentage_loss_hc3", _OLS + " select round(b * 1000, 6) as slope_x1000, round(sqrt(sum(pow((x - mx) * e / (1 - h), 2))) / sxx * 1000, 6) as se_x1000 from points group by b, sxx")
+@query(
+    "q27_percentage_loss_hc3",
+    _OLS + " select round(b * 1000, 6) as slope_x1000, round(sqrt(sum(pow((x - mx) * e / (1 - h), 2))) / sxx * 1000, 6) as se_x1000 from points group by b, sxx"
+)
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     fit = fit_ols(k, "percentage_loss", BASE)
@@ -82,7 +92,10 @@ a as (
   union all select 'iid', 4, logs, n, (2 * sm + sd / 2) / (2 * n), 0, (2 * sm + sd / 2) / (2 * n), -n * (ln(2 * pi() * (2 * sm + sd / 2) / (2 * n)) + 1) from m)"""
 
 
-@query("q28_two_occasion_gls", _GLS + " select structure, round(v00, 6) as v00, round(v01, 6) as v01, round(v11, 6) as v11, round(ll, 4) as log_likelihood, round(-2 * (ll - logs), 4) as deviance, round(-2 * (ll - logs) + 2 * parameters, 4) as aic from a")
+@query(
+    "q28_two_occasion_gls",
+    _GLS + " select structure, round(v00, 6) as v00, round(v01, 6) as v01, round(v11, 6) as v11, round(ll, 4) as log_likelihood, round(-2 * (ll - logs), 4) as deviance, round(-2 * (ll - logs) + 2 * parameters, 4) as aic from a"
+)
 def _(s: Study) -> DataFrame:
     fits = [fit_gls(cohort_of(s), ["treated"], scale_name="log", structure=x) for x in ("unstructured", "compound_symmetry", "iid")]
     names = ["structure", "v00", "v01", "v11", "log_likelihood", "deviance", "aic"]
@@ -95,25 +108,37 @@ def _(s: Study) -> DataFrame:
     return _rows(s, ["structure", "v00", "v01", "v11", "log_likelihood"], [(x.structure, x.v00, x.v01, x.v11, x.log_likelihood)], "string double double double double")
 
 
-@query("q30_predicted_last_weight", _OLS.replace(", first_weight as x", ", first_weight as x") + " select member_id, round(first_weight * (1 - (a + b * x + t * g) / 100), 4) as predicted_last_weight from points")
+@query(
+    "q30_predicted_last_weight",
+    _OLS.replace(", first_weight as x", ", first_weight as x") + " select member_id, round(first_weight * (1 - (a + b * x + t * g) / 100), 4) as predicted_last_weight from points"
+)
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     fit = fit_ols(k, "percentage_loss", BASE)
     return k.select("member_id", F.round(F.col("first_weight") * (1 - fit.fitted() / 100), 4).alias("predicted_last_weight"))
 
 
-@query("q31_regression_diagnostics", _OLS + " select count(*) as n, round(max(h), 6) as maximum_leverage, round(max(pow(e / sqrt(rss / (n - 3) * (1 - h)), 2) * h / ((1 - h) * 3)), 6) as maximum_cooks_distance, round(max(abs(e / sqrt(rss / (n - 3) * (1 - h)))), 6) as maximum_absolute_standardized_residual from points cross join fit")
+@query(
+    "q31_regression_diagnostics",
+    _OLS + " select count(*) as n, round(max(h), 6) as maximum_leverage, round(max(pow(e / sqrt(rss / (n - 3) * (1 - h)), 2) * h / ((1 - h) * 3)), 6) as maximum_cooks_distance, round(max(abs(e / sqrt(rss / (n - 3) * (1 - h)))), 6) as maximum_absolute_standardized_residual from points cross join fit"
+)
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     fit = fit_ols(k, "percentage_loss", BASE)
-    return fit.with_diagnostics(k).agg(F.count(F.lit(1)).alias("n"), F.max("leverage").alias("maximum_leverage"), F.max("cooks_distance").alias("maximum_cooks_distance"), F.max(F.abs("standardized_residual")).alias("maximum_absolute_standardized_residual"))
+    return fit.with_diagnostics(k).agg(
+        F.count(F.lit(1)).alias("n"), F.max("leverage").alias("maximum_leverage"), F.max("cooks_distance").alias("maximum_cooks_distance"),
+        F.max(F.abs("standardized_residual")).alias("maximum_absolute_standardized_residual")
+    )
 
 
 _PLACES = """, keyed as (select member_id, member_type, r::int as {r}, row_number() over (partition by r, member_type order by md5('20260901|' || r || '|' || member_id)) - 1 as place from cohort cross join range({n}) t(r)),
 sizes as (select member_type, count(*) as size from cohort group by 1), starts as (select *, coalesce(sum(size) over (order by member_type rows between unbounded preceding and 1 preceding), 0) as start from sizes)"""
 
 
-@query("q32_stratified_folds", _PLACES.format(r="repeat", n=2) + " select member_id, k.member_type, repeat, ((place + start) % 5)::int as fold from keyed k join starts s on k.member_type = s.member_type")
+@query(
+    "q32_stratified_folds",
+    _PLACES.format(r="repeat", n=2) + " select member_id, k.member_type, repeat, ((place + start) % 5)::int as fold from keyed k join starts s on k.member_type = s.member_type"
+)
 def _(s: Study) -> DataFrame:
     return ls.assign_folds(cohort_of(s), "member_id", "member_type", folds=5, repeats=2, seed=SEED)
 
@@ -123,7 +148,10 @@ ideal as (select member_type, size, size * c / n as i from sized cross join whol
 quotas as (select member_type, q + case when row_number() over (order by i - q desc, member_type) <= size - sum(q) over () then 1 else 0 end as quota from floors)"""
 
 
-@query("q33_quota_subsamples", _PLACES.format(r="resample", n=3) + _QUOTAS + " select member_id, k.member_type, resample from keyed k join quotas q on q.member_type = k.member_type where place < quota")
+@query(
+    "q33_quota_subsamples",
+    _PLACES.format(r="resample", n=3) + _QUOTAS + " select member_id, k.member_type, resample from keyed k join quotas q on q.member_type = k.member_type where place < quota"
+)
 def _(s: Study) -> DataFrame:
     return ls.subsamples(cohort_of(s), "member_id", "member_type", fraction=0.7, n=3, seed=SEED)
 
@@ -170,7 +198,10 @@ def _(s: Study) -> DataFrame:
     samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=100, seed=SEED + 11000)
     counts, n = ls.stability(w, samples, "percentage_loss", BASE, MEAN, tuned.ratio)
     w.unpersist()
-    return _rows(s, ["candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"], [(x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(MEAN, fit.coefficients)], "string double double bigint double")
+    return _rows(
+        s, ["candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"],
+        [(x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(MEAN, fit.coefficients)], "string double double bigint double"
+    )
 
 
 def _association_sql() -> str:
@@ -219,10 +250,20 @@ def _(s: Study) -> DataFrame:
 
 
 _SUMMARIZED = ["first_weight", "last_weight", "percentage_loss", "weight_days", *MEAN]
-_STATISTICS = {"n_observed": "count({v})::double", "n_missing": "(count(*) - count({v}))::double", "mean": "avg({v})", "standard_deviation": "stddev_samp({v})", "minimum": "min({v})::double", "median": "quantile_cont({v}, 0.5)", "maximum": "max({v})::double"}
-
-
-@query("q39_feature_summary", " union all ".join(f"select {k} as variable_order, '{v}' as variable, '{name}' as statistic, {_r(x.format(v=v), 'value')} from features" for k, v in enumerate(_SUMMARIZED, 1) for name, x in _STATISTICS.items()))
+_STATISTICS = {
+    "n_observed": "count({v})::double", "n_missing": "(count(*) - count({v}))::double", "mean": "avg({v})",
+    "standard_deviation": "stddev_samp({v})", "minimum": "min({v})::double", "median": "quantile_cont({v}, 0.5)",
+    "maximum": "max({v})::double"
+}
+
+
+@query(
+    "q39_feature_summary",
+    " union all ".join(
+        f"select {k} as variable_order, '{v}' as variable, '{name}' as statistic, {_r(x.format(v=v), 'value')} from features" for k,
+        v in enumerate(_SUMMARIZED, 1) for name, x in _STATISTICS.items()
+    )
+)
 def _(s: Study) -> DataFrame:
     return d.feature_summary(features_of(s), _SUMMARIZED)
 
@@ -236,7 +277,10 @@ union all select member_id, 'last', round(l.c * ln(first_weight) + l.d * ln(last
 def _(s: Study) -> DataFrame:
     w = wide(s)
     rows = whitened(w, fit_gls(w, ["treated"], scale_name="log", structure="compound_symmetry"), ["engagement_breadth"])
-    return rows.select("member_id", "occasion", "outcome", "time", "treated", F.col("engagement_breadth").alias("breadth"), F.col("`time:engagement_breadth`").alias("time_breadth"))
+    return rows.select(
+        "member_id", "occasion", "outcome", "time", "treated", F.col("engagement_breadth").alias("breadth"),
+        F.col("`time:engagement_breadth`").alias("time_breadth")
+    )
 
 
 @query("q42_longitudinal_lasso")

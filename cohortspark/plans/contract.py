@@ -104,7 +104,9 @@ def member_consistency(members: DataFrame, features: DataFrame, counts: DataFram
 
     Everything is 0 where cohort, features and event counts belong together.
     """
-    both = members.select("member_id", F.col("member_type").alias("a"), F.lit(True).alias("in_members")).join(features.select("member_id", F.col("member_type").alias("b"), F.lit(True).alias("in_features")), "member_id", "full_outer")
+    both = members.select("member_id", F.col("member_type").alias("a"), F.lit(True).alias("in_members")).join(
+        features.select("member_id", F.col("member_type").alias("b"), F.lit(True).alias("in_features")), "member_id", "full_outer"
+    )
     sides = both.agg(
         F.count_if(F.col("in_features").isNull()).alias("only_in_members"),
         F.count_if(F.col("in_members").isNull()).alias("only_in_features"),
@@ -130,9 +132,18 @@ def model_summary(fits: Mapping[str, Gls | Ols]) -> pd.DataFrame:
     for name, fit in fits.items():
         own = dict(model_id=name, n_members=fit.n, deviance=float(fit.deviance), coefficients=coefficients_json(fit))
         if isinstance(fit, Gls):
-            own |= dict(outcome_scale=fit.scale_name, covariance_structure=fit.structure, parameters=fit.parameters, log_likelihood=float(fit.raw_log_likelihood), aic=float(fit.aic), bic=float(fit.bic), v00=fit.v00, v01=fit.v01, v11=fit.v11)
+            own |= dict(
+                outcome_scale=fit.scale_name, covariance_structure=fit.structure, parameters=fit.parameters,
+                log_likelihood=float(fit.raw_log_likelihood), aic=float(fit.aic), bic=float(fit.bic), v00=fit.v00, v01=fit.v01, v11=fit.v11
+            )
         else:
-            own |= dict(outcome_scale="percentage_loss", parameters=fit.k + 1, aic=float(fit.aic()), bic=float(fit.bic()), r_squared=float(fit.r_squared), adjusted_r_squared=float(fit.adjusted_r_squared), rmse=math.sqrt(fit.rss / fit.n))
+            own |= dict(
+                outcome_scale="percentage_loss", parameters=fit.k + 1, aic=float(fit.aic()), bic=float(fit.bic()),
+                r_squared=float(fit.r_squared), adjusted_r_squared=float(fit.adjusted_r_squared), rmse=math.sqrt(fit.rss / fit.n)
+            )
         rows.append(own)
-    names = ("model_id", "outcome_scale", "covariance_structure", "n_members", "parameters", "log_likelihood", "deviance", "aic", "bic", "r_squared", "adjusted_r_squared", "rmse", "v00", "v01", "v11", "coefficients")
+    names = (
+        "model_id", "outcome_scale", "covariance_structure", "n_members", "parameters", "log_likelihood", "deviance", "aic", "bic",
+        "r_squared", "adjusted_r_squared", "rmse", "v00", "v01", "v11", "coefficients"
+    )
     return pd.DataFrame(rows, columns=list(names))

@@ -14,7 +14,10 @@ from html import escape
 
 import pandas as pd
 
-FIGURES = ("cohort_flow", "weight_loss_by_member_type", "responder_rate_by_member_type", "engagement_patterns", "module_completion", "base_model_performance", "lasso_stability", "locked_model_coefficients", "model_diagnostics")
+FIGURES = (
+    "cohort_flow", "weight_loss_by_member_type", "responder_rate_by_member_type", "engagement_patterns", "module_completion",
+    "base_model_performance", "lasso_stability", "locked_model_coefficients", "model_diagnostics"
+)
 
 WIDTH, LABEL, ROW, PLOT = 860, 320, 24, 220
 SURFACE, INK, MUTED, GRID, MARK = "#ffffff", "#1f2328", "#59636e", "#d9dee3", "#2563a8"
@@ -59,7 +62,10 @@ def _rows(panel: Rows, top: float) -> tuple[list[str], float]:
     bottom = top + ROW * len(shown)
     out = [_text(12, top - 8, panel.title, size=13)]
     for t in (lo, hi):
-        out += [f'<line x1="{place(t):.1f}" y1="{top}" x2="{place(t):.1f}" y2="{bottom}" stroke="{GRID}"/>', _text(place(t), bottom + 14, f"{t:.3g}", size=11, fill=MUTED, anchor="middle")]
+        out += [
+            f'<line x1="{place(t):.1f}" y1="{top}" x2="{place(t):.1f}" y2="{bottom}" stroke="{GRID}"/>',
+            _text(place(t), bottom + 14, f"{t:.3g}", size=11, fill=MUTED, anchor="middle")
+        ]
     if panel.limit is not None:
         out.append(f'<line x1="{place(panel.limit):.1f}" y1="{top}" x2="{place(panel.limit):.1f}" y2="{bottom}" stroke="{MUTED}" stroke-dasharray="4 3"/>')
     for k, (label, v, a, b) in enumerate(shown):
@@ -82,8 +88,16 @@ def _points(panel: Points, top: float) -> tuple[list[str], float]:
     (x0, x1), (y0, y1) = _ends([x for x, _ in own], False), _ends([y for _, y in own], False)
     at = lambda x, y: (LABEL + (x - x0) / (x1 - x0) * (WIDTH - LABEL - 90), top + PLOT - (y - y0) / (y1 - y0) * PLOT)
     out = [_text(12, top - 8, panel.title, size=13), f'<rect x="{LABEL}" y="{top}" width="{WIDTH - LABEL - 90}" height="{PLOT}" fill="none" stroke="{GRID}"/>']
-    out += [_text(LABEL - 10, top + 10, f"{y1:.3g}", size=11, fill=MUTED, anchor="end"), _text(LABEL - 10, top + PLOT, f"{y0:.3g}", size=11, fill=MUTED, anchor="end"), _text(LABEL - 60, top + PLOT / 2, panel.y, size=11, fill=MUTED, anchor="end")]
-    out += [_text(LABEL, top + PLOT + 16, f"{x0:.3g}", size=11, fill=MUTED), _text(WIDTH - 90, top + PLOT + 16, f"{x1:.3g}", size=11, fill=MUTED, anchor="end"), _text((LABEL + WIDTH - 90) / 2, top + PLOT + 16, panel.x, size=11, fill=MUTED, anchor="middle")]
+    out += [
+        _text(LABEL - 10, top + 10, f"{y1:.3g}", size=11, fill=MUTED, anchor="end"),
+        _text(LABEL - 10, top + PLOT, f"{y0:.3g}", size=11, fill=MUTED, anchor="end"),
+        _text(LABEL - 60, top + PLOT / 2, panel.y, size=11, fill=MUTED, anchor="end")
+    ]
+    out += [
+        _text(LABEL, top + PLOT + 16, f"{x0:.3g}", size=11, fill=MUTED),
+        _text(WIDTH - 90, top + PLOT + 16, f"{x1:.3g}", size=11, fill=MUTED, anchor="end"),
+        _text((LABEL + WIDTH - 90) / 2, top + PLOT + 16, panel.x, size=11, fill=MUTED, anchor="middle")
+    ]
     for x, y in own:
         a, b = at(x, y)
         out.append(f'<circle cx="{a:.1f}" cy="{b:.1f}" r="4.5" fill="{MARK}" stroke="{SURFACE}" stroke-width="2"><title>{x:.4g}, {y:.4g}</title></circle>')
@@ -114,12 +128,39 @@ def figures(tables: dict[str, pd.DataFrame]) -> dict[str, str]:
     plots = d[d["row_type"] == "plot_summary"]
     return {
         "cohort_flow": draw("Members kept after each stage", [Rows("members", _of(flow, "stage_label", "retained_n"), bars=True)]),
-        "weight_loss_by_member_type": draw("Percentage loss: median and quartiles", [Rows("percent of first weight", _of(o[o["outcome"] == "percentage_loss"], "scope", "median", "q1", "q3"))]),
-        "responder_rate_by_member_type": draw("Members who reached the loss threshold, with 95 % intervals", [Rows("percent of members", _of(o[o["outcome_type"] == "binary"], "scope", "percentage", "ci_lower", "ci_upper"))]),
+        "weight_loss_by_member_type": draw(
+            "Percentage loss: median and quartiles",
+            [Rows("percent of first weight", _of(o[o["outcome"] == "percentage_loss"], "scope", "median", "q1", "q3"))]
+        ),
+        "responder_rate_by_member_type": draw(
+            "Members who reached the loss threshold, with 95 % intervals",
+            [Rows("percent of members", _of(o[o["outcome_type"] == "binary"], "scope", "percentage", "ci_lower", "ci_upper"))]
+        ),
         "engagement_patterns": draw("Engagement: median and quartiles", [Rows(str(n), _of(own, "scope", "median", "q1", "q3")) for n, own in by(e, "metric_label")]),
-        "module_completion": draw("Members with a completed module", [Rows(str(n), _of(own, "scope", "member_completion_percentage"), bars=True) for n, own in by(m, "module_label")]),
-        "base_model_performance": draw("Errors over the folds: mean and range", [Rows(str(n), _of(own, "model_id", "mean_score", "minimum_score", "maximum_score")) for n, own in by(base, "metric")]),
-        "lasso_stability": draw("How often a term was selected", [Rows(str(n), _of(own, "candidate_label", "selection_frequency"), limit=float(own["selection_threshold"].iloc[0])) for n, own in by(lasso, "module_spec")]),
-        "locked_model_coefficients": draw("Coefficients with 95 % intervals", [Rows(f"{n}: {t}", _of(row.to_frame().T, "term_label", "estimate", "ci_lower", "ci_upper")) for n, own in by(k, "model_id") for t, row in own.set_index("term", drop=False).iterrows() if t != "intercept"]),
-        "model_diagnostics": draw("Diagnostics by bins", [Points(f"{n[0]}: {n[1]}".replace("_", " "), list(zip(own["x_value"], own["y_value"])), "x", str(own["metric"].iloc[0]).replace("_", " ")) for n, own in by(plots, ["model_id", "diagnostic_type"])]),
+        "module_completion": draw(
+            "Members with a completed module",
+            [Rows(str(n), _of(own, "scope", "member_completion_percentage"), bars=True) for n, own in by(m, "module_label")]
+        ),
+        "base_model_performance": draw(
+            "Errors over the folds: mean and range",
+            [Rows(str(n), _of(own, "model_id", "mean_score", "minimum_score", "maximum_score")) for n, own in by(base, "metric")]
+        ),
+        "lasso_stability": draw(
+            "How often a term was selected",
+            [Rows(str(n), _of(own, "candidate_label", "selection_frequency"), limit=float(own["selection_threshold"].iloc[0])) for n, own in by(lasso, "module_spec")]
+        ),
+        "locked_model_coefficients": draw(
+            "Coefficients with 95 % intervals",
+            [
+                Rows(f"{n}: {t}", _of(row.to_frame().T, "term_label", "estimate", "ci_lower", "ci_upper")) for n,
+                own in by(k, "model_id") for t, row in own.set_index("term", drop=False).iterrows() if t != "intercept"
+            ]
+        ),
+        "model_diagnostics": draw(
+            "Diagnostics by bins",
+            [
+                Points(f"{n[0]}: {n[1]}".replace("_", " "), list(zip(own["x_value"], own["y_value"])), "x", str(own["metric"].iloc[0]).replace("_", " ")) for n,
+                own in by(plots, ["model_id", "diagnostic_type"])
+            ]
+        ),
     }

@@ -40,7 +40,10 @@ class Lasso:
         return out
 
 
-def solve_lasso(gram: np.ndarray, m: Moments, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float, weights: Sequence[float] | None = None, tolerance: float = 1e-10, most: int = 10_000) -> Lasso:
+def solve_lasso(
+    gram: np.ndarray, m: Moments, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float,
+    weights: Sequence[float] | None = None, tolerance: float = 1e-10, most: int = 10_000
+) -> Lasso:
     """Coordinate descent on the candidates' Gram after the base columns are projected out.
 
     Means and scales are those of the Gram's own rows.  Candidates that are
@@ -116,7 +119,10 @@ def numbered(df: DataFrame, by: Sequence[str], key: Column, out: str) -> DataFra
     """
     keyed = df.withColumn("_key", key).withColumn("_part", F.substring("_key", 1, 3))
     sizes = keyed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.withColumn("_first", F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).drop("_n")
+    first = sizes.withColumn(
+        "_first",
+        F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    ).drop("_n")
     own = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_key"))
     # null-safe: a missing stratum is one of its own
     renamed = first.select(*[F.col(c).alias(f"_by_{k}") for k, c in enumerate([*by, "_part"])], "_first")
@@ -136,7 +142,10 @@ def assign_folds(df: DataFrame, group: str, stratum: str, *, folds: int, repeats
         raise ValueError("at least two folds and one repeat")
     groups = df.select(F.col(group).cast("string").alias(group), stratum).distinct()
     counts = groups.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    offset = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_first(stratum)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    offset = counts.withColumn(
+        "_offset",
+        F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(F.asc_nulls_first(stratum)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).drop("_n")
     rows = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("repeat").cast("string"), F.col(group)))
     placed = numbered(rows, ["repeat", stratum], key, "_place").join(F.broadcast(offset.withColumnRenamed(stratum, "_stratum")), F.col(stratum).eqNullSafe(F.col("_stratum")))
@@ -182,7 +191,10 @@ class Tuning:
         return self.ratios[self.best]
 
 
-def tune(df: DataFrame, folds: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], *, group: str = "member_id", ratios: Sequence[float] = RATIOS, rule: str = "one_standard_error") -> Tuning:
+def tune(
+    df: DataFrame, folds: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], *, group: str = "member_id",
+    ratios: Sequence[float] = RATIOS, rule: str = "one_standard_error"
+) -> Tuning:
     """Test MSE of each ratio by grouped folds: one aggregation by (repeat, fold).
 
     A fold's training moments are its repeat's total less its own.  The rule
@@ -227,7 +239,10 @@ def test_mse(fit: Lasso, gram: np.ndarray, m: Moments, outcome: str) -> float:
 test_mse.__test__ = False  # not a test
 
 
-def stability(df: DataFrame, samples: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float, *, group: str = "member_id", least: float = 1e-12) -> tuple[dict[str, int], int]:
+def stability(
+    df: DataFrame, samples: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float, *,
+    group: str = "member_id", least: float = 1e-12
+) -> tuple[dict[str, int], int]:
     """How many subsamples select each candidate (a standardised coefficient beyond ``least``), and their number."""
     joined = df.withColumn(group, F.col(group).cast("string")).join(samples.select(group, "resample"), group)
     m = moments(joined, [*base_names, *names, outcome], by=["resample"])

@@ -19,7 +19,10 @@ RATIO = 0.2
 def require_same_fit(df: DataFrame, gls: Gls) -> None:
     """Fail unless the model is the one that these members give: a covariance of others must not whiten them."""
     again = fit_gls(df, list(gls.names), scale_name=gls.scale_name, structure=gls.structure, interaction=bool(gls.change_names))
-    same = again.n == gls.n and all(np.allclose(a, b, rtol=1e-10, atol=1e-10) for a, b in ((again.beta, gls.beta), (again.delta, gls.delta), ((again.v00, again.v01, again.v11), (gls.v00, gls.v01, gls.v11))))
+    same = again.n == gls.n and all(
+        np.allclose(a, b, rtol=1e-10, atol=1e-10) for a,
+        b in ((again.beta, gls.beta), (again.delta, gls.delta), ((again.v00, again.v01, again.v11), (gls.v00, gls.v01, gls.v11)))
+    )
     if not same:
         raise ValueError("the model must have been fitted to the same members")
 

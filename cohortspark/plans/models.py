@@ -323,7 +323,10 @@ def solve_gls(gram: np.ndarray, m: Moments, names: Sequence[str], *, scale_name:
     beta, delta = beta.copy(), delta.copy()
     beta[0] += shift0
     delta[0] += shift_d
-    return Gls(scale_name, structure, tuple(names), tuple(names) if interaction else (), beta, delta, float(v00), float(v01), float(v11), int(round(n)), float(log_l), float(log_l - jacobian), se)
+    return Gls(
+        scale_name, structure, tuple(names), tuple(names) if interaction else (), beta, delta, float(v00), float(v01), float(v11),
+        int(round(n)), float(log_l), float(log_l - jacobian), se
+    )
 
 
 def fit_gls(df: DataFrame, names: Sequence[str], *, scale_name: str = "raw", structure: str = "unstructured", interaction: bool = False) -> Gls:

@@ -42,7 +42,9 @@ def base_model_cv(df: DataFrame, types: Sequence[str], *, folds: int, repeats: i
     gls_last = F.exp(mean0 + F.col("_delta") + F.col("_slope") * (F.col("_y0") - mean0) + F.col("_half"))
     both = F.array(F.struct(F.lit(GLS_MODEL).alias("model"), gls_last.alias("p")), F.struct(F.lit(OLS_MODEL).alias("model"), (F.col("first_weight") * (1 - loss / 100)).alias("p")))
     e = F.col("last_weight") - F.col("p")
-    return test.select("repeat", "fold", "last_weight", F.inline(both)).groupBy("repeat", "fold", "model").agg(F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+    return test.select("repeat", "fold", "last_weight", F.inline(both)).groupBy("repeat", "fold", "model").agg(
+        F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")
+    )
 
 
 def winner(scores: DataFrame) -> str:

@@ -45,7 +45,10 @@ MODULES = Extract(
 )
 DEMOGRAPHICS = Extract(
     "Data Analyst Case Study Doc 2 - Demographics.csv",
-    {"Readable Id": "member_id", "Day of Start Date": "start_date", "Status (Subscriptions)": "subscription_status", "cancellation_date": "cancellation_date", "Sex": "sex", "ethnicity": "ethnicity"},
+    {
+        "Readable Id": "member_id", "Day of Start Date": "start_date", "Status (Subscriptions)": "subscription_status",
+        "cancellation_date": "cancellation_date", "Sex": "sex", "ethnicity": "ethnicity"
+    },
     dates=("start_date", "cancellation_date"),
 )
 ENGAGEMENT = Extract(
