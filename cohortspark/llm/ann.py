@@ -65,7 +65,10 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return (vectors.astype(np.float64) * query.astype(np.float64)).sum(1)
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray], query_ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, bound: float = BOUND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(
+    ids: np.ndarray, vectors: np.ndarray, coded: tuple[np.ndarray, np.ndarray, np.ndarray], query_ids: np.ndarray, queries: np.ndarray,
+    turn: np.ndarray, k: int, bound: float = BOUND
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, vec_id, score) of each query's best ``k`` of a block, ties to the smaller id.
 
     A vector is reranked exactly unless its upper bound is below the k-th
@@ -135,7 +138,10 @@ def nearest(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding",
                 part = b.slice(lo, BLOCK_ROWS)
                 flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 codes, scale, spread = encode(flat.reshape(-1, dim), turn)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (np.asarray(part.column(0)), codes, scale, spread, flat)], names=["ids", "codes", "scale", "spread", "flat"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes()], pa.binary()) for x in (np.asarray(part.column(0)), codes, scale, spread, flat)],
+                    names=["ids", "codes", "scale", "spread", "flat"]
+                )
 
     coded = materialize(pool.mapInArrow(code, "ids binary, codes binary, scale binary, spread binary, flat binary"), "codes")
     # an id's smallest vector is the query; queries in blocks by a hash of their id, one row for each task that held some of it
@@ -153,9 +159,14 @@ def nearest(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding",
                 at = np.flatnonzero(number == n)
                 for lo in range(0, len(at), QUERY_ROWS):
                     own = at[lo : lo + QUERY_ROWS]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[own].tobytes()], pa.binary()), pa.array([flat[own].tobytes()], pa.binary()), pa.array([int(n)], pa.int32())], names=["q_ids", "q_flat", "qb"])
-
-    queries = asked.select("vec_id", "v", block.alias("qb")).mapInArrow(by_block, "q_ids binary, q_flat binary, qb int").select("*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[own].tobytes()], pa.binary()), pa.array([flat[own].tobytes()], pa.binary()), pa.array([int(n)], pa.int32())],
+                        names=["q_ids", "q_flat", "qb"]
+                    )
+
+    queries = asked.select("vec_id", "v", block.alias("qb")).mapInArrow(by_block, "q_ids binary, q_flat binary, qb int").select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group")
+    )
     candidates = coded.select("*", F.pmod(F.xxhash64("ids"), F.lit(n_groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("qb"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,10 +90,16 @@ def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id")
             begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else order
             counts = np.diff(np.append(begin, len(order)))
             ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(0))
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array([x.tobytes()], pa.binary()) for x in (first.astype(np.int32), ordered[begin], counts.astype(np.int32), order.astype(np.int32))]], names=["doc_ids", "first", "terms", "counts", "postings"])
+            yield pa.RecordBatch.from_arrays(
+                [ids, *[pa.array([x.tobytes()], pa.binary()) for x in (first.astype(np.int32), ordered[begin], counts.astype(np.int32), order.astype(np.int32))]],
+                names=["doc_ids", "first", "terms", "counts", "postings"]
+            )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in ("first", "terms", "counts", "postings")]])
+    schema = T.StructType([
+        T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)),
+        *[T.StructField(c, T.BinaryType()) for c in ("first", "terms", "counts", "postings")]
+    ])
     return materialize(rows.mapInArrow(index, schema).withColumn("shard", F.monotonically_increasing_id()), "postings")
 
 
@@ -150,7 +156,10 @@ def phrase_matches(index: DataFrame, test: TestTerms, counts: np.ndarray | None
                 if found:
                     w, start, size = (np.concatenate(x) for x in zip(*found))
                     items = pa.array([[str(i) for i in test.item_ids[test.item[w]]]], pa.list_(pa.string()))
-                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), items, *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (start, size)]], names=["shard", "items", "start", "length"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard], pa.int64()), items, *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (start, size)]],
+                        names=["shard", "items", "start", "length"]
+                    )
 
     def shard_matches(first: np.ndarray, terms: bytes, n: np.ndarray, postings: np.ndarray) -> Iterator[tuple]:
         at, own = _meet(terms, test.terms)
@@ -241,7 +250,10 @@ def summarize(index: DataFrame, hits: DataFrame) -> DataFrame:
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(delta)[:-1] > 0)])
                 n_hit = covered[first[1:]] - covered[first[:-1]]
                 sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in own]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in own], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0)], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(np.diff(first)), pa.array(n_hit), pa.array([len(x) for x in own], pa.int64()), pa.array(sha, pa.string()), pa.array(n_hit > 0)],
+                    names=names
+                )
 
     gathered = hits.groupBy("shard").agg(F.collect_list(F.struct("items", "start", "length")).alias("hits"))
     rows = index.select("shard", "doc_ids", "first").join(gathered, "shard", "left").select("doc_ids", "first", "hits")

@@ -32,7 +32,10 @@ def boilerplate(pages: DataFrame, host: str, text: str, *, ratio: float = BOILER
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, *, kept: str = "kept_text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(
+    pages: DataFrame, host: str, text: str, *, kept: str = "kept_text", n_lines: str = "n_lines", n_dropped: str = "n_dropped",
+    ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES
+) -> DataFrame:
     """``pages`` with its text less its host's boilerplate lines, and counts of both.
 
     Lines end at ``\\n``; the remaining lines stay as they are, blank ones
@@ -48,4 +51,7 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, *, kept: str = "kep
     left = F.when(F.col(b).isNull(), parts).otherwise(F.filter(parts, lambda x: ~F.array_contains(F.col(b), F.trim(x, F.lit(" \t\r")))))
     k = fresh(pages, "left", kept, n_lines, n_dropped)
     out = joined.withColumn(k, left)
-    return out.withColumns({kept: F.array_join(k, "\n"), n_lines: F.coalesce(F.size(parts), F.lit(0)).cast("bigint"), n_dropped: F.coalesce(F.size(parts) - F.size(k), F.lit(0)).cast("bigint")}).drop(b, k)
+    return out.withColumns({
+        kept: F.array_join(k, "\n"), n_lines: F.coalesce(F.size(parts), F.lit(0)).cast("bigint"),
+        n_dropped: F.coalesce(F.size(parts) - F.size(k), F.lit(0)).cast("bigint")
+    }).drop(b, k)

@@ -203,9 +203,22 @@ def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
                     if len(s) <= n_buckets // 64:
                         np.add.at(counts, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             n = rows.num_rows
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.binary()), pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), *rows.columns[2:]], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(numbers, pa.binary()),
+                    pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), *rows.columns[2:]
+                ],
+                names=names
+            )
         at = [k for k in range(n_buckets // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()), pa.array([counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in at], pa.binary()), *[pa.nulls(len(at), pa.binary())] * digest], names=names)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at, pa.int32()),
+                pa.array([counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in at], pa.binary()),
+                *[pa.nulls(len(at), pa.binary())] * digest
+            ],
+            names=names
+        )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"), *[text_digest(text).alias("t")] * digest)
     made = materialize(rows.mapInArrow(heads, schema), "sets")
@@ -219,7 +232,10 @@ def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 got = np.frombuffer(c, np.int32).astype(np.int64)
                 sums[k] = sums[k] + got if k in sums else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.packbits(v > least).tobytes() for v in sums.values()], pa.binary())], names=["slice", "full"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([np.packbits(v > least).tobytes() for v in sums.values()], pa.binary())],
+            names=["slice", "full"]
+        )
 
     bits = made.where("slice >= 0").select("slice", "counts").repartition("slice").mapInArrow(full, "slice int, full binary").collect()
     out = np.zeros(n_buckets, bool)
@@ -254,7 +270,13 @@ def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, te
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 count = np.diff(np.append(first, len(own))).astype(np.int32)
                 short = (sigs[part] // np.uint64(n_buckets)).view(np.uint8).reshape(-1, 8)[:, :6]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([names[own[first]].tobytes()], pa.binary()), pa.array([count.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(short).tobytes()], pa.binary())], names=["bucket", "sets", "counts", "sigs"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k], pa.int32()), pa.array([names[own[first]].tobytes()], pa.binary()),
+                        pa.array([count.tobytes()], pa.binary()), pa.array([np.ascontiguousarray(short).tobytes()], pa.binary())
+                    ],
+                    names=["bucket", "sets", "counts", "sigs"]
+                )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
@@ -322,7 +344,10 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [m.as_py() for m in batch.column(1)]
             size = [len(x) // 16 for x in own]
             names = pa.Array.from_buffers(pa.binary(16), sum(size), [None, pa.py_buffer(b"".join(own))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column(0)), size)), names.cast(pa.binary()), pa.array(np.repeat(size, size))], names=["g", "v", "z"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.asarray(batch.column(0)), size)), names.cast(pa.binary()), pa.array(np.repeat(size, size))],
+                names=["g", "v", "z"]
+            )
 
 
 def group_members(groups: DataFrame) -> DataFrame:
@@ -421,12 +446,16 @@ def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: s
     sizes = known.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
     own = known.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     if whole:
-        spread = own.select("v", "hub", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select("v", F.struct("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j")).alias("block"))
+        spread = own.select("v", "hub", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select(
+            "v", F.struct("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j")).alias("block")
+        )
     else:
         hubs = sizes.select(F.col("hub").alias("v"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
         spread = own.where("v <> hub").select("v", "hub", "b").union(hubs).select("v", F.struct("hub", F.col("b").alias("i"), F.col("b").alias("j")).alias("block"))
     listed = spread.groupBy("v").agg(F.collect_list("block").alias("blocks")).join(bearers.select(F.col("s").alias("v"), "doc_id"), "v")
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(listed, "doc_id").select("v", "text", F.explode("blocks").alias("b"))
+    rows = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")
+    ).join(listed, "doc_id").select("v", "text", F.explode("blocks").alias("b"))
     dealt = rows.select("b.hub", "b.i", "b.j", "v", "text").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

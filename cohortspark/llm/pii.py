@@ -147,14 +147,22 @@ def training_spans(n: int, seed: int, carriers: tuple[str, ...] = ()) -> list[tu
         return pick(["", "-", " ", ".", "  "]).join(d[k : k + 4] for k in range(0, 16, 4))
 
     def phone() -> str:
-        return pick([f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}.{num(3)}.{num(6)}", f"{num(3)}.{num(3)}.{num(4)}"])
+        return pick([
+            f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}", f"({num(3)}) {num(3)}-{num(4)}",
+            f"{num(3)}-{num(3)}-{num(4)}", f"+{num(2)}.{num(3)}.{num(6)}", f"{num(3)}.{num(3)}.{num(4)}"
+        ])
 
     def secret() -> str:
         signs = pick(["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
         return pick(["", "", "", "sk-", "key_"]) + "".join(pick(signs) for _ in range(int(rng.integers(24, 44))))
 
     make = {"email": email, "ip": lambda: ".".join(str(x) for x in rng.integers(0, 256, 4)), "card": card, "phone": phone, "secret": secret}
-    other = [lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(1)}", lambda: f"{num(2)}:{num(2)}", lambda: num(int(rng.integers(1, 8))), lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(1)}.{num(1)}.{num(2)}", lambda: f"{word()}{num(3)}{word()}{num(2)}", lambda: f"@{word()}", lambda: f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: "".join(word() for _ in range(7))]
+    other = [
+        lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(1)}.{num(1)}", lambda: f"{num(2)}:{num(2)}",
+        lambda: num(int(rng.integers(1, 8))), lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(1)}.{num(1)}.{num(2)}",
+        lambda: f"{word()}{num(3)}{word()}{num(2)}", lambda: f"@{word()}", lambda: f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}",
+        lambda: "".join(word() for _ in range(7))
+    ]
     out = []
     for _ in range(n):
         text, spans = "", []
@@ -267,7 +275,10 @@ def train(n: int = 3000, steps: int = 480, seed: int = 5, carriers: tuple[str, .
         shift = int(rng.integers(0, max(1, len(text) - WINDOW + 1)))
         x[k] = to_symbols(text)[shift : shift + WINDOW]
         y[k] = label_numbers(len(text), spans)[shift : shift + WINDOW]
-    p = [rng.normal(0, 0.3, (2, N_SYMBOLS, 4 * HIDDEN)), rng.normal(0, 0.25, (2, HIDDEN, 4 * HIDDEN)), np.zeros((2, 4 * HIDDEN)), rng.normal(0, 0.3, (2 * HIDDEN, len(LABELS))), np.zeros(len(LABELS)), np.zeros((len(LABELS), len(LABELS))), np.zeros(len(LABELS))]
+    p = [
+        rng.normal(0, 0.3, (2, N_SYMBOLS, 4 * HIDDEN)), rng.normal(0, 0.25, (2, HIDDEN, 4 * HIDDEN)), np.zeros((2, 4 * HIDDEN)),
+        rng.normal(0, 0.3, (2 * HIDDEN, len(LABELS))), np.zeros(len(LABELS)), np.zeros((len(LABELS), len(LABELS))), np.zeros(len(LABELS))
+    ]
     p[2][:, HIDDEN : 2 * HIDDEN] = 1
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
     for step in range(1, steps + 1):
@@ -412,7 +423,10 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", net
                 got = find(part.column(1).to_pylist(), net)
                 counts = [pa.array([sum(z[0] == kind for z in b) for b, _ in got], pa.int64()) for kind in BASE]
                 sha = [hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in got]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(sha, pa.string()), pa.array([_joined(a) for _, a in got], pa.string()), pa.array([len(a) for _, a in got], pa.int64())], names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *counts, pa.array(sha, pa.string()), pa.array([_joined(a) for _, a in got], pa.string()), pa.array([len(a) for _, a in got], pa.int64())],
+                    names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"]
+                )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint")

@@ -30,7 +30,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents without the strings that stand more than once; cases as in :func:`remove_repeats`."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("removed_spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(
+        "doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed_spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 def tokenizer_path() -> str:
@@ -50,7 +53,10 @@ def token_summary(docs: DataFrame) -> DataFrame:
     vocabulary = Vocabulary.load(tokenizer_path())
     made = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
     ids = F.coalesce(F.col("ids"), F.array().cast("array<int>"))
-    return made.select("doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+    return made.select(
+        "doc_id", F.size(ids).cast("bigint").alias("n_tokens"), F.sha2(F.array_join(ids, ","), 256).alias("ids_sha256"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip")
+    )
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

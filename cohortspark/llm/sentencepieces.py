@@ -404,7 +404,10 @@ def _level(rows: DataFrame) -> DataFrame:
         whole = None
         for m in zip(group["before"], group["after"], group["m"]):
             whole = m if whole is None else product(whole, m)
-        return pd.DataFrame({"key": group["key"].iloc[:1], "part": group["part"].iloc[0], "n": group["n"].iloc[0] // FAN, "before": [whole[0]], "after": [whole[1]], "m": [whole[2]]})
+        return pd.DataFrame({
+            "key": group["key"].iloc[:1], "part": group["part"].iloc[0], "n": group["n"].iloc[0] // FAN, "before": [whole[0]],
+            "after": [whole[1]], "m": [whole[2]]
+        })
 
     return rows.groupBy("key", "part", F.expr(f"n div {FAN}").alias("g")).applyInPandas(combine, "key string, part int, n int, before binary, after binary, m binary")
 
@@ -426,7 +429,10 @@ def boundary_states(rows: DataFrame) -> DataFrame:
         if told is None:
             joined = own.select("*", F.lit(0).alias("g"), *[F.lit(None).cast("bigint").alias(c) for c in ("from", "to")])
         else:
-            joined = own.withColumn("g", F.expr(f"cast(n div {FAN} as int)")).join(told.select("key", "part", F.col("n").alias("g"), F.col("enter").alias("from"), F.col("leave").alias("to")), ["key", "part", "g"])
+            joined = own.withColumn("g", F.expr(f"cast(n div {FAN} as int)")).join(
+                told.select("key", "part", F.col("n").alias("g"), F.col("enter").alias("from"), F.col("leave").alias("to")),
+                ["key", "part", "g"]
+            )
 
         def split(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values("n")
@@ -508,7 +514,10 @@ def _encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> Data
                     bounds = cut(part, chunk)
                     rows += [(key, p, n, part[a:b], part[max(0, a - reach) : a]) for n, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
                     for r in rows:
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(r, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))], names=["key", "part", "n", "chunk", "context"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([v], t) for v, t in zip(r, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))],
+                            names=["key", "part", "n", "chunk", "context"]
+                        )
 
     cut_up = materialize(texts.mapInArrow(chunks, "key string, part int, n int, chunk string, context string"), "chunks")
     spread = cut_up.repartition("key", "part", "n")
@@ -524,9 +533,15 @@ def _encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> Data
                 else:
                     before, after, m, first, middle, last = seg.transfer(context, chunk)
                     row = (_label(before), _label(after), m.tobytes(), context + chunk, first, middle, last)
-                yield pa.RecordBatch.from_arrays([batch.column(c).slice(k, 1) for c in range(3)] + [pa.array([len(context)], pa.int32())] + [pa.array([x], t) for x, t in zip(row, types)], names=["key", "part", "n", "start", "before", "after", "m", "whole", "first", "middle", "last"])
-
-    made = materialize(spread.mapInArrow(matrices, "key string, part int, n int, start int, before binary, after binary, m binary, whole string, first int, middle binary, last int"), "transfer")
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(c).slice(k, 1) for c in range(3)] + [pa.array([len(context)], pa.int32())] + [pa.array([x], t) for x, t in zip(row, types)],
+                    names=["key", "part", "n", "start", "before", "after", "m", "whole", "first", "middle", "last"]
+                )
+
+    made = materialize(
+        spread.mapInArrow(matrices, "key string, part int, n int, start int, before binary, after binary, m binary, whole string, first int, middle binary, last int"),
+        "transfer"
+    )
     fixed = boundary_states(made.where("n >= 0").select("key", "part", "n", "before", "after", "m"))
     joined = made.select("key", "part", "n", "start", "whole", "first", "middle", "last").join(fixed, ["key", "part", "n"], "left")
 

@@ -30,7 +30,10 @@ def rendezvous_shard(keys: Sequence[Column], weights: Sequence[float]) -> Column
     return scores[0]["n"] if len(scores) == 1 else F.greatest(*scores)["n"]
 
 
-def assign_shards(df: DataFrame, key: str, weights: Sequence[float], *, shard: str = "shard", slot: str = "slot", grown: str = "grown_shard", grown_weight: float = 1.0, tie_break: Sequence[str] = (), buckets: int = SLOT_BUCKETS) -> DataFrame:
+def assign_shards(
+    df: DataFrame, key: str, weights: Sequence[float], *, shard: str = "shard", slot: str = "slot", grown: str = "grown_shard",
+    grown_weight: float = 1.0, tie_break: Sequence[str] = (), buckets: int = SLOT_BUCKETS
+) -> DataFrame:
     """``df`` with its shard, its slot in the shard and its shard if there were one more.
 
     Slots are gapless from 0 in each shard.  They are numbered without

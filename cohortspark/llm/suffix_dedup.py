@@ -362,7 +362,11 @@ def anchor_rows(texts: DataFrame) -> DataFrame:
                 packed = start[order].astype(np.int32)
                 k = order[first]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[r] for r in row[k]], pa.binary()), pa.array(ah[k].view(np.int64)), pa.array(sh[k].tolist(), pa.binary()), pa.array([packed[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.array(own[k].astype(np.int32))],
+                    [
+                        pa.array([names[r] for r in row[k]], pa.binary()), pa.array(ah[k].view(np.int64)),
+                        pa.array(sh[k].tolist(), pa.binary()), pa.array([packed[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()),
+                        pa.array(own[k].astype(np.int32))
+                    ],
                     names=["t", "ah", "sh", "starts", "own"],
                 )
             if len(seen) < 1 << 18:
@@ -385,7 +389,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve() -> Iterator[pa.RecordBatch]:
         found = [(k, _runs(f)) for k, f in zip(held, repeated(list(held.values()))) if f.any()] if held else []
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.binary()), pa.array([r for _, r in found], pa.binary())], names=["ah", "sh", "runs"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k, _ in found], pa.int64()), pa.array([k[1] for k, _ in found], pa.binary()), pa.array([r for _, r in found], pa.binary())],
+                names=["ah", "sh", "runs"]
+            )
 
     for batch in batches:
         for ah, sh, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -423,7 +430,10 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(ah, sh, at, name) of each string of parts (ah, sh, at, raw)."""
     for batch in batches:
-        out = [(ah, sh, at + k, xxhash.xxh3_128_digest(raw[k : k + LENGTH])) for ah, sh, at, raw in zip(*(c.to_pylist() for c in batch.columns)) for k in range(len(raw) - LENGTH + 1)]
+        out = [
+            (ah, sh, at + k, xxhash.xxh3_128_digest(raw[k : k + LENGTH])) for ah, sh, at,
+            raw in zip(*(c.to_pylist() for c in batch.columns)) for k in range(len(raw) - LENGTH + 1)
+        ]
         if out:
             yield _columns(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), ["ah", "sh", "at", "name"])
 
@@ -471,7 +481,9 @@ def _finely(raw: DataFrame) -> DataFrame:
     own = parts.join(few, "finer", "left_semi").select(F.col("finer").alias("ah"), F.col("name").alias("sh"), "raw").dropDuplicates(["ah", "sh"])
     solved = _solve(own).select(F.col("ah").alias("finer"), F.col("sh").alias("name"), "runs")
     several = names.where("n > 1").select("name").distinct()
-    equal = parts.select("ah", "sh", "at", "name", (F.octet_length("raw") - LENGTH + 1).alias("own")).join(several, "name", "left_semi").select("ah", "sh", "at", F.concat(_bytes32(F.lit(0)), _bytes32(F.col("own"))).alias("runs"))
+    equal = parts.select("ah", "sh", "at", "name", (F.octet_length("raw") - LENGTH + 1).alias("own")).join(several, "name", "left_semi").select(
+        "ah", "sh", "at", F.concat(_bytes32(F.lit(0)), _bytes32(F.col("own"))).alias("runs")
+    )
     shared = parts.select("ah", "sh", "at", "finer", "name").join(solved, ["finer", "name"]).select("ah", "sh", "at", "runs").unionByName(equal)
     strings = parts.join(many, "finer", "left_semi").select("ah", "sh", "at", "raw").mapInArrow(_strings, "ah bigint, sh binary, at int, name binary")
     strings = materialize(strings, "strings")
@@ -514,7 +526,13 @@ def repeats(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFram
     # a segment of one text that stands in several of its blocks has a row of each, with different first starts
     one = F.struct("t", F.substring("starts", 1, 4).alias("s"), F.octet_length("starts").alias("z"))
     segments = anchors.groupBy("ah", "sh").agg(F.min(one).alias("a"), F.max(one).alias("b"), F.first("own").alias("own"))
-    segments = materialize(segments.select("ah", "sh", "own", F.col("a.t").alias("t"), F.col("a.s").alias("s"), ((F.col("a.t") != F.col("b.t")) | (F.col("a.s") != F.col("b.s")) | (F.col("a.z") > 4)).alias("multi")), "segments")
+    segments = materialize(
+        segments.select(
+            "ah", "sh", "own", F.col("a.t").alias("t"), F.col("a.s").alias("s"),
+            ((F.col("a.t") != F.col("b.t")) | (F.col("a.s") != F.col("b.s")) | (F.col("a.z") > 4)).alias("multi")
+        ),
+        "segments"
+    )
     groups = segments.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     wanted = segments.join(groups, "ah").select("t", F.struct("ah", "sh", _int32("s").alias("start"), "own", (F.col("k") > SHARD_SEGMENTS).alias("hot")).alias("x"))
     by_text = materialize(wanted.groupBy("t").agg(F.collect_list("x").alias("x")), "wanted")
@@ -596,7 +614,11 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", spans: str = "removed
                     out_kept.append(b"".join(raw[a:b] for a, b in zip(ends, begins)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out_spans, _SPANS), pa.array(out_kept, pa.binary())], names=[*columns, spans, kept])
 
-    whole_schema = T.StructType([*base.schema.fields, T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField(kept, T.BinaryType())])
+    whole_schema = T.StructType([
+        *base.schema.fields,
+        T.StructField(spans, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
+        T.StructField(kept, T.BinaryType())
+    ])
     return joined.mapInArrow(cut, whole_schema)
 
 

@@ -330,7 +330,10 @@ def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes, str],
 def damaged(spark: SparkSession, path: str, *, warc: bool = False) -> DataFrame:
     """(archive, position, reason) of what stands in ARC (or WARC) archives instead of records; conversion passes over it."""
     read = parse_warc if warc else parse_arc
-    return read_archives(spark, path, lambda data, name: ((name, x.offset, x.reason) for x in read(data, name) if isinstance(x, Damaged)), "archive string, position bigint, reason string")
+    return read_archives(
+        spark, path, lambda data, name: ((name, x.offset, x.reason) for x in read(data, name) if isinstance(x, Damaged)),
+        "archive string, position bigint, reason string"
+    )
 
 
 _TYPES = {"string": pa.string(), "binary": pa.binary(), "bigint": pa.int64()}
@@ -392,7 +395,9 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, *, least_pay
     """
     records = read_archives(spark, arc_path, _arc_rows, _ARC_ROWS)
     ids = materialize(read_archives(spark, arc_path, lambda data, name: (r[:3] for r in _arc_rows(data, name)), "page_id bigint, digest string, record_id string"), "arc-index")
-    best = ids.groupBy("digest").agg(F.max(F.struct("page_id", "record_id")).alias("best"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", F.col("best.record_id").alias("_first"), "copies")
+    best = ids.groupBy("digest").agg(
+        F.max(F.struct("page_id", "record_id")).alias("best"), F.count(F.lit(1)).alias("copies")
+    ).where("copies > 1").select("digest", F.col("best.record_id").alias("_first"), "copies")
     crowd = crowds(best, "digest", "copies", ids.count())
     paired = left_join(records, best.drop("copies"), "digest", crowd, F.concat(F.lit("#"), F.col("record_id")))
 
@@ -420,7 +425,10 @@ def _warc_rows(data: bytes, name: str) -> Iterator[tuple]:
 
 def read_warc_pages(spark: SparkSession, warc_path: str) -> DataFrame:
     """A row a record: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id)."""
-    index = materialize(read_archives(spark, warc_path, _warc_rows, "page_id bigint, record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_id string"), "warc-index")
+    index = materialize(
+        read_archives(spark, warc_path, _warc_rows, "page_id bigint, record_id string, record_type string, payload_bytes bigint, payload_digest string, refers_id string"),
+        "warc-index"
+    )
     named = index.where(F.col("refers_id").isNotNull()).groupBy(F.col("refers_id").alias("record_id")).agg(F.count(F.lit(1)).alias("n"))
     first = index.where("record_type <> 'revisit'").select("record_id", "page_id").join(named, "record_id").groupBy(F.col("record_id").alias("refers_id")).agg(F.max("page_id").alias("refers_to"))
     named = named.withColumnRenamed("record_id", "refers_id")
