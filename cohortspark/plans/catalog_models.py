@@ -192,16 +192,18 @@ def _(s: Study) -> DataFrame:
 @query("q36_lasso_tuning_and_stability")
 def _(s: Study) -> DataFrame:
     w = wide(s).persist()
-    folds = ls.assign_folds(w, "member_id", "member_type", folds=5, repeats=2, seed=SEED + 1000)
-    tuned = ls.tune(w, folds, "percentage_loss", BASE, MEAN)
-    fit = ls.fit_lasso(w, "percentage_loss", BASE, MEAN, tuned.ratio)
-    samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=100, seed=SEED + 11000)
-    counts, n = ls.stability(w, samples, "percentage_loss", BASE, MEAN, tuned.ratio)
-    w.unpersist()
-    return _rows(
-        s, ["candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"],
-        [(x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(MEAN, fit.coefficients)], "string double double bigint double"
-    )
+    folds = ls.assign_folds(w, "member_id", "member_type", folds=5, repeats=2, seed=SEED + 1000).persist()
+    domains = [*MEAN[:-1], *[f"module_{n}" for n, _, _ in RULES.module_domains]]
+    rows = []
+    for spec, names, seed in (("mean", MEAN, SEED + 11000), ("domains", domains, SEED + 12000)):
+        tuned = ls.tune(w, folds, "percentage_loss", BASE, names)
+        fit = ls.fit_lasso(w, "percentage_loss", BASE, names, tuned.ratio)
+        samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=100, seed=seed)
+        counts, n = ls.stability(w, samples, "percentage_loss", BASE, names, tuned.ratio)
+        rows += [(spec, x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(names, fit.coefficients)]
+    w.unpersist(), folds.unpersist()
+    names = ["module_spec", "candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"]
+    return _rows(s, names, rows, "string string double double bigint double")
 
 
 def _association_sql() -> str:
