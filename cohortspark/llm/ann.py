@@ -143,6 +143,8 @@ def nearest(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding",
                     names=["ids", "codes", "scale", "spread", "flat"]
                 )
 
+    # even parts of two blocks each, so that blocks are full and a query's best are told once for each of few
+    pool = pool.repartition(max(1, -(-rows.count() // (2 * BLOCK_ROWS))))
     coded = materialize(pool.mapInArrow(code, "ids binary, codes binary, scale binary, spread binary, flat binary"), "codes")
     # an id's smallest vector is the query; queries in blocks by a hash of their id, one row for each task that held some of it
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
