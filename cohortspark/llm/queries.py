@@ -13,7 +13,11 @@ from .decontam import decontaminate
 from .langid import fit, predict
 from .line_dedup import BOILERPLATE_RATIO, MIN_PAGES, drop_boilerplate
 from .ngram_join import similar_documents
+from .periodic import periodic_runs
+from .phrases import collocations
 from .pii import find_pii
+from .secrets import BASE as SECRET_KINDS
+from .secrets import find_secrets
 from .sentencepieces import Vocabulary, decode, encode
 from .sharding import assign_shards
 from .suffix_dedup import remove_repeats
@@ -119,6 +123,48 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_lines", "n_dropped", F.md5(F.coalesce(F.col("kept_text"), F.lit(""))).alias("kept_md5"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of every tenth id's text the words from one place on go over into a period of its own.
+
+    A null id has no digits and plants nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    picked = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).alias("w"))
+    n = F.size("w")
+    placed = picked.withColumn("a", F.when(n > 0, F.pmod(F.col("g"), n)).cast("int"))
+    period = placed.withColumn("p", (F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times))
+    made = F.concat(F.slice("w", 1, F.col("a")), F.slice(tail, 1, n - F.col("a")))
+    return period.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(made, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole document, of which every tenth has one planted; cases as in :func:`periodic_runs`."""
+    out = periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    # the longest first; of equal lengths the smallest start, then period
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    told = out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    start, length, period = F.col("b.s"), -F.col("b.l"), F.col("b.p")
+    return told.select("doc_id", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).cast("bigint").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document; cases as in :func:`find_secrets`."""
+    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda z: F.concat_ws(":", z["kind"], z["start"].cast("string"), z["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base_spans", lambda z: z["kind"] == kind)).cast("bigint")
+    return out.select("doc_id", *[count(k).alias(f"n_{k}") for k in SECRET_KINDS], F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first phrases by score; cases as in :func:`collocations`."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -130,6 +176,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_personal_data": op9_personal_data,
     "op10_line_dedup": op10_line_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -174,5 +223,36 @@ hits as (select r, count(distinct h) as n_hit from (select r, unnest(range(k, k
 items as (select r, count(distinct item) as n_items, array_to_string(list_sort(list(distinct item)), ',') as ids from found group by r)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, n_hit is not null as contaminated
 from split_docs d left join hits h on h.r = d.r left join items i on i.r = d.r
+""",
+    "op13_phrase_collocations": """
+with split as (
+  select row_number() over () as r, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (select r, lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) as piece from split),
+worded as (select row_number() over () as r, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces),
+words as materialized (select r, lang, unnest(w) as w1, unnest(range(len(w))) as k from worded),
+next as (
+  select lang, w1, lead(w1, 1) over p as w2, lead(w1, 2) over p as w3, lead(w1, 3) over p as w4 from words window p as (partition by r order by k)),
+counts as materialized (
+  select lang, 1 as m, w1 as phrase, count(*) as f from next group by lang, w1
+  union all select lang, 2, w1 || ' ' || w2, count(*) from next where w2 is not null group by 1, 3 having count(*) >= 30
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3, count(*) from next where w3 is not null group by 1, 3 having count(*) >= 30
+  union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, count(*) from next where w4 is not null group by 1, 3 having count(*) >= 30),
+totals as (select lang, sum(f)::bigint as n from counts where m = 1 group by lang),
+candidates as materialized (select lang, m, phrase, f as a, string_split(phrase, ' ') as w from counts where m > 1),
+cuts as (select *, unnest(range(1, m)) as k from candidates),
+scored as (
+  select c.lang, c.m, c.phrase, c.a, c.k, x.f as l, y.f as r, ((2000000::hugeint * c.a) // (x.f + y.f))::bigint as score
+  from cuts c join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1 : c.k], ' ') and x.m = c.k
+  join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.k + 1 :], ' ') and y.m = c.m - c.k),
+worst as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_parts as (
+  select c.lang, array_to_string(c.w[p : p + s - 1], ' ') as phrase, max(c.a) as longer
+  from (select lang, w, a, s, unnest(range(1, m - s + 2)) as p from candidates cross join (values (2), (3)) as sizes(s) where s < m) c group by 1, 2),
+kept as (
+  select o.* from worst o left join inner_parts i on i.lang = o.lang and i.phrase = o.phrase
+  where i.longer is null or 100::hugeint * i.longer < 80::hugeint * o.a)
+select k.lang, row_number() over (partition by k.lang order by score desc, a desc, k.phrase) as rank, k.phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score
+from kept k join totals t on t.lang = k.lang
+qualify row_number() over (partition by k.lang order by score desc, a desc, k.phrase) <= 2000
 """,
 }

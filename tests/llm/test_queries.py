@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cohortspark.llm import langid, queries, suffix_dedup
 
 from .cases import corpus, words
-from .test_operators import UTF8, base_by_force, classes_by_force, hits_by_force, library, lines_by_force
+from .test_operators import UTF8, base_by_force, classes_by_force, hits_by_force, library, lines_by_force, phrases_by_force, runs_by_force, secrets_by_force
 
 TABLES = {
     "documents": pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())]),
@@ -34,6 +34,7 @@ def made() -> dict[str, list[tuple]]:
     docs = [r[:5] for r in corpus()]
     passage = words(rng, 100)
     docs += [(300 + k, f"Menu\nbar {words(rng, 30)} {passage} mail{k}@x.org, +49 30 1234567{k}\nfooter", "fr" if k % 2 else "de", "host", None) for k in range(12)]
+    docs += [(400 + k, f"{words(rng, 40)} token = '24be64439e3e49cf46b2d7c9{k:02}' AKIAIOSFODNN7EXAMPL{k}, over and over again", "de", "host", None) for k in range(40)]
     benchmark = [(1, " ".join(passage.split()[10:40])), (2, "one two"), (3, None), (None, words(rng, 20))]
     pages = [(k, f"http://h/{k}", f"<p>{k % 4}</p>" * (k % 3)) for k in range(20)] + [(5, "http://again/", "<p>1</p>"), (21, None, None), (None, "u", "x")]
     embeddings = [(k, v.tolist(), 0) for k, v in enumerate(vectors.normal(size=(300, 16)).astype(np.float32))] + [(400, None, 1), (420, [0.0] * 16, 1), (None, [1.0] * 16, 1)]
@@ -183,6 +184,39 @@ def test_op10(spark, tables):
     assert got(spark, tables, "op10_line_dedup", "doc_id bigint, source string, n_lines bigint, n_dropped bigint, kept_md5 string") == wanted
 
 
+def test_op11(spark, tables):
+    out = []
+    for i, text, *_ in tables[0]["documents"]:
+        w = UTF8(text).split()
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if h % 10 == 0 and w:
+            g = h // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            w = [w[k] if k < a else w[a + (k - a) % p] for k in range(len(w))]
+        found = runs_by_force(w, 4, 6)
+        gone = {k for s, e, q in found for k in range(s + q, e)}
+        best = min(((s - e, s, q) for s, e, q in found), default=None)
+        told = (best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else (None,) * 4
+        lines = "".join(f"{s},{e - s},{q}\n" for s, e, q in found)
+        out.append((i, len(found), *told, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()))
+    schema = "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string"
+    assert got(spark, tables, "op11_periodic_runs", schema) == Counter(out) and any(r[1] for r in out)
+
+
+def test_op12(spark, tables):
+    order, out = ("assign", "access", "hex"), []
+    for i, text, *_ in tables[0]["documents"]:
+        spans = secrets_by_force(text)
+        out.append((i, *(sum(z[0] == k for z in spans) for k in order), hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()))
+    assert got(spark, tables, "op12_secret_scan", "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string") == Counter(out)
+
+
+def test_op13(spark, tables):
+    schema = "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint"
+    assert got(spark, tables, "op13_phrase_collocations", schema) == phrases_by_force([(r[1], r[2]) for r in tables[0]["documents"]])
+
+
 def test_empty_tables(spark, tmp_path):
     folder = write(tmp_path, {name: [] for name in TABLES})
     for name, query in queries.QUERIES.items():
