@@ -30,7 +30,7 @@ SUBSUMED = 80
 TOP = 2000
 
 #: Bytes of text that are counted together.
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 #: Rows of the sketch, counters of a shard of it, and n-grams a counter.
 DEPTH, CELLS, LOAD = 2, 1 << 20, LEAST // 4
 
@@ -102,20 +102,24 @@ class Grams:
         return out
 
 
-def cells(h: np.ndarray, shards: int) -> np.ndarray:
-    """(DEPTH, n) cells of the sketch's rows; the shard is what stands above the counters of one."""
-    out, bits = np.empty((DEPTH, len(h)), np.uint64), np.uint64(CELLS.bit_length() - 1)
+def cells(h: np.ndarray, shards: int) -> Iterator[np.ndarray]:
+    """The cells in each of the sketch's rows; the row and shard are what stands above the counters of a shard."""
+    bits = np.uint64(CELLS.bit_length() - 1)
     for row in range(DEPTH):
         shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
-        out[row] = (shard + np.uint64(row * shards)) << bits | h & np.uint64(CELLS - 1)
+        yield (shard + np.uint64(row * shards)) << bits | h & np.uint64(CELLS - 1)
         h = mix(h ^ _ODD)
-    return out
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    x = np.sort(x, axis=None)
-    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[first], np.diff(np.concatenate([first, [len(x)]]))
+def _distinct(hashes: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of all n-grams in order, and how many n-grams are in each."""
+    own, counts = [], []
+    for x in cells(np.concatenate(hashes), shards):  # rows lie one after the other
+        x.sort()
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        own.append(x[first])
+        counts.append(np.diff(np.concatenate([first, [len(x)]])))
+    return np.concatenate(own), np.concatenate(counts)
 
 
 def _by_shard(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,10 +157,9 @@ def _partial(shards: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, lang, body = (batch.column(c)[k].as_py() for c in ("chunk", "lang", "body"))
-                hashes = np.concatenate([h for _, h in Grams(lang, body).starts()])
-                if not len(hashes):
+                own, counts = _distinct([h for _, h in Grams(lang, body).starts()], shards)
+                if not len(own):
                     continue
-                own, counts = _distinct(cells(hashes, shards))
                 to, border = _by_shard(own)
                 own = own & np.uint64(CELLS - 1)
                 parts = [_packed(own[a:b], counts[a:b]) for a, b in zip(border, border[1:])]
@@ -195,12 +198,12 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exact(shards: int):
     """(lang, body, answers) to (lang, phrase, n_words, n): a chunk's exact counts of its survivors; a null phrase has the number of all words."""
-    slots = 1 << 24
+    slots = 1 << 22
 
     def survivors(grams: Grams, answers: list[dict]) -> list[np.ndarray]:
         """For each number of words the places whose n-gram and all its parts lie in heavy cells."""
         starts = grams.starts()
-        own, _ = _distinct(np.concatenate([cells(h, shards) for _, h in starts], axis=1))
+        own, _ = _distinct([h for _, h in starts], shards)
         to, border = _by_shard(own)
         bits = {a["shard"]: a["heavy"] for a in answers}
         heavy = np.concatenate([np.unpackbits(np.frombuffer(bits[s], np.uint8), count=b - a) for s, a, b in zip(to.tolist(), border, border[1:])])
