@@ -60,22 +60,56 @@ def adjust_p(df: DataFrame, p: str, family: list[str] | None = None, out: str =
     return ranked.withColumn(out, F.when(known, F.least(F.lit(1.0), F.min("_raw").over(down)))).drop("_raw", "_rank")
 
 
+#: Ranges of an order, for each shuffle partition and at most; and sampled rows for each range.
+RANGES, MOST_RANGES, SAMPLED = 4, 512, 20
+
+
+def range_edges(df: DataFrame, value: str, tie: str, parts: int) -> list[tuple]:
+    """At most ``parts`` - 1 (value, tie) pairs that cut the order of ``df`` into ranges of nearly equal counts, in order.
+
+    The sample is the ``SAMPLED * parts`` rows of the smallest hashes, so the
+    edges are the same whenever they are asked for.
+    """
+    h = F.xxhash64(value, tie)
+    rows = df.select(F.col(value).alias("v"), F.col(tie).alias("t"), h.alias("h")).orderBy("h", "v", "t").limit(SAMPLED * parts).collect()
+    lowest = lambda x: (x is not None, 0 if x is None else x)
+    order = sorted(((r["v"], r["t"]) for r in rows), key=lambda z: (lowest(z[0]), lowest(z[1])))
+    cuts = [order[k * len(order) // parts] for k in range(1, parts)] if order else []
+    return sorted(set(cuts), key=lambda z: (lowest(z[0]), lowest(z[1])))
+
+
+def range_of(df: DataFrame, value: str, tie: str, edges: list[tuple]) -> Column:
+    """How many of the edges are at most a row's (value, tie), by halving."""
+    kinds = dict(df.dtypes)
+    own = F.struct(F.col(value).alias("v"), F.col(tie).alias("t"))
+    edge = lambda z: F.struct(F.lit(z[0]).cast(kinds[value]).alias("v"), F.lit(z[1]).cast(kinds[tie]).alias("t"))
+
+    def among(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(own < edge(edges[middle]), among(lo, middle)).otherwise(among(middle + 1, hi))
+
+    return among(0, len(edges))
+
+
 def placed(df: DataFrame, value: str, tie: str, out: str = "place") -> tuple[DataFrame, int]:
-    """Each row's place from 0 in the order of ``value`` and ``tie``, and the number of rows.
+    """Each row's place from 0 in the order of ``value`` and ``tie`` (nulls first), and the number of rows.
 
     Rows are sorted in ranges that are numbered on from each other, so the
-    whole order is no single task.
+    whole order is no single task.  The ranges' borders are values, so they
+    are the same in every run and nothing has to be kept in memory.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = (F.asc_nulls_first(value), F.asc_nulls_first(tie))
-    # the number of a row's partition and its place there are in the identifier
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
-    sizes = dict(ordered.groupBy(F.shiftright("_id", 33).alias("p")).count().collect())
+    parts = min(MOST_RANGES, RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.withColumn("_range", range_of(df, value, tie, range_edges(df, value, tie, parts)))
+    sizes = dict(ranged.groupBy("_range").count().collect())
     first, start = {}, 0
     for p in sorted(sizes):
         first[p], start = start, start + sizes[p]
-    offset = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.shiftright("_id", 33)) if first else F.lit(0)
-    return ordered.withColumn(out, (offset + F.col("_id").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_id"), start
+    offset = F.element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), F.col("_range")) if first else F.lit(0)
+    order = (F.asc_nulls_first(value), F.asc_nulls_first(tie))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn(out, (offset + number).cast("bigint")).drop("_range"), start
 
 
 def rank_positions(df: DataFrame, value: str, tie: str, out: str = "position") -> DataFrame:

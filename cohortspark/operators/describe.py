@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import at_least, ratio, strip
+from ..functions.quantiles import aggregate_with_quantiles
 from ..functions.stats import wilson
 from .cohort import Rules
 
@@ -23,22 +24,23 @@ def scopes(df: DataFrame, rules: Rules) -> DataFrame:
     return df.select("*", F.inline(kinds))
 
 
-def summary(value: str = "value") -> list[Column]:
-    """Counts, mean, sample SD, linear quartiles and extremes; missing values are counted and left out."""
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def summarize(rows: DataFrame, keys: Sequence[str], *more: Column, value: str = "value") -> DataFrame:
+    """Counts, mean, sample SD, exact linear quartiles and extremes by ``keys``, and ``more`` aggregates; missing values are counted and left out."""
     v = F.col(value)
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [
-        F.count(F.lit(1)).alias("n_total"),
-        F.count(v).alias("n_observed"),
-        F.count_if(v.isNull()).alias("n_missing"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("standard_deviation"),
-        q[1].alias("median"),
-        q[0].alias("q1"),
-        q[2].alias("q3"),
-        F.min(v).alias("minimum"),
-        F.max(v).alias("maximum"),
+    own = [
+        F.count(F.lit(1)).alias("n_total"), F.count(v).alias("n_observed"), F.count_if(v.isNull()).alias("n_missing"),
+        F.avg(v).alias("mean"), F.stddev_samp(v).alias("standard_deviation"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), *more
     ]
+    out = aggregate_with_quantiles(rows, keys, value, QUARTILES, own)
+    extra = [c for c in out.columns if c not in {*keys, *_SUMMARY, "q"}]
+    named = out.withColumns({"median": F.col("q")[1], "q1": F.col("q")[0], "q3": F.col("q")[2]})
+    return named.select(*keys, *_SUMMARY, *extra)
+
+
+_SUMMARY = ("n_total", "n_observed", "n_missing", "mean", "standard_deviation", "median", "q1", "q3", "minimum", "maximum")
 
 
 def tall(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str, order: str) -> DataFrame:
@@ -50,7 +52,8 @@ def tall(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str, o
 def outcomes(cohort: DataFrame, rules: Rules, extra: Sequence[str] = ("first_weight", "last_weight", "absolute_weight_loss", "percentage_loss", "weight_days")) -> DataFrame:
     """Continuous outcomes and the success rate with its score interval, by scope."""
     own = scopes(cohort, rules)
-    continuous = tall(own, ("scope_order", "scope"), extra, "outcome", "outcome_order").groupBy("scope_order", "scope", "outcome_order", "outcome").agg(*summary())
+    rows = tall(own, ("scope_order", "scope"), extra, "outcome", "outcome_order")
+    continuous = summarize(rows, ("scope_order", "scope", "outcome_order", "outcome"))
     none = F.lit(None).cast("double")
     continuous = continuous.select("*", none.alias("numerator"), none.alias("denominator"), none.alias("percentage"), none.alias("ci_lower"), none.alias("ci_upper"))
     s = F.col("weight_loss_success")
@@ -74,9 +77,8 @@ def engagement(features: DataFrame, rules: Rules) -> DataFrame:
     """Engagement metrics by scope, with how many members are at zero and above."""
     own = features.withColumn("rate_by_weight_days", ratio(F.col("engagement_volume_repeatable"), at_least(F.col("weight_days"), rules.floor_days)))
     rows = tall(scopes(own, rules), ("scope_order", "scope"), ENGAGEMENT_METRICS, "metric", "metric_order")
-    return rows.groupBy("scope_order", "scope", "metric_order", "metric").agg(
-        *summary(), F.count_if(F.col("value") == 0).alias("zero_n"), F.count_if(F.col("value") > 0).alias("reached_n")
-    )
+    zero, reached = F.count_if(F.col("value") == 0).alias("zero_n"), F.count_if(F.col("value") > 0).alias("reached_n")
+    return summarize(rows, ("scope_order", "scope", "metric_order", "metric"), zero, reached)
 
 
 def modules(features: DataFrame, rules: Rules) -> DataFrame:
@@ -96,14 +98,15 @@ def modules(features: DataFrame, rules: Rules) -> DataFrame:
     ])
     flat = scopes(own, rules).select("scope_order", "scope", F.inline(rows))
     v, p = F.col("value"), F.col("share")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return flat.groupBy("scope_order", "scope", "module_order", "module_variable", "available_title_denominator").agg(
+    keys = ("scope_order", "scope", "module_order", "module_variable", "available_title_denominator")
+    out = aggregate_with_quantiles(flat, keys, "value", QUARTILES, [
         F.count(F.lit(1)).alias("n_members"), F.count_if(v > 0).alias("n_members_with_completion"), F.count_if(v == 0).alias("n_members_without_completion"),
         ratio(100.0 * F.count_if(v > 0), F.count(F.lit(1))).alias("member_completion_percentage"), F.sum(v).cast("bigint").alias("total_unique_completions"),
-        F.avg(v).alias("mean_completion_count"), F.stddev_samp(v).alias("standard_deviation_count"), q[1].alias("median_completion_count"), q[0].alias("q1_completion_count"), q[2].alias("q3_completion_count"),
+        F.avg(v).alias("mean_completion_count"), F.stddev_samp(v).alias("standard_deviation_count"),
         F.min(v).alias("minimum_completion_count"), F.max(v).alias("maximum_completion_count"), F.avg(p).alias("mean_completion_proportion"), F.stddev_samp(p).alias("standard_deviation_proportion"),
         (F.max(v) == 0).alias("zero_completion_group_flag"),
-    )
+    ])
+    return out.withColumns({"median_completion_count": F.col("q")[1], "q1_completion_count": F.col("q")[0], "q3_completion_count": F.col("q")[2]}).drop("q")
 
 
 def levels(cohort: DataFrame, rules: Rules, characteristics: Sequence[tuple[str, bool]] = (("member_type", False), ("sex", True), ("ethnicity", True))) -> DataFrame:
@@ -142,8 +145,7 @@ def activities(counts: DataFrame, members: int, types: DataFrame) -> DataFrame:
     of ``members``, the number of all.
     """
     n = F.col("event_count")
-    q = F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    per = counts.where(n > 0).groupBy("event_type").agg(F.count(F.lit(1)).alias("reached"), F.sum(n).alias("events"), q.alias("q"))
+    per = aggregate_with_quantiles(counts.where(n > 0), ["event_type"], "event_count", QUARTILES, [F.count(F.lit(1)).alias("reached"), F.sum(n).alias("events")])
     reached, events = F.coalesce("reached", F.lit(0)).cast("bigint"), F.coalesce("events", F.lit(0)).cast("bigint")
     return types.select("event_type", "is_repeatable").join(per, "event_type", "left").select(
         "event_type", F.lit(members).cast("bigint").alias("n_analysis"), reached.alias("n_reached"), (F.lit(members).cast("bigint") - reached).alias("n_zero"), events.alias("total_events"),
@@ -206,6 +208,6 @@ def subgroup_counts(df: DataFrame, by: str, *, least: int = 10, rare: str = "<SU
 
 def feature_summary(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, statistic, value): seven statistics of each variable, from one aggregation."""
-    flat = tall(features, (), columns, "variable", "variable_order").groupBy("variable_order", "variable").agg(*summary())
+    flat = summarize(tall(features, (), columns, "variable", "variable_order"), ("variable_order", "variable"))
     stats = ("n_observed", "n_missing", "mean", "standard_deviation", "minimum", "median", "maximum")
     return flat.select("variable_order", "variable", F.inline(F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).cast("double").alias("value")) for s in stats])))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import aggregate_with_quantiles
 from ..functions.stats import adjust_p, equal_count_bins
 from ..operators import cohort as c
 from ..operators import describe as d
@@ -25,7 +26,7 @@ from .contract import check_metadata, check_selection, model_summary
 from .figures import FIGURES
 from .longitudinal import RATIO as LONGITUDINAL_RATIO
 from .longitudinal import exploratory_records
-from .models import Gls, Ols, coefficient_table, fit_gls, fit_ols
+from .models import Contrasts, Gls, Ols, coefficient_table, fit_gls, fit_ols
 from .moments import Scale, tall_qr
 from .resample import GLS_MODEL, OLS_MODEL, base_model_cv, winner
 from .schemas import SCHEMAS
@@ -97,10 +98,12 @@ def candidates_of(kind: str, rules: Rules, sexes: Sequence[str]) -> tuple[str, .
 
 def specify(kind: str, df: DataFrame, folds: DataFrame, base: Sequence[str], sexes: Sequence[str], rules: Rules, config: Config, seed: int) -> Specification:
     names = candidates_of(kind, rules, sexes)
-    tuning = ls.tune(df, folds, "percentage_loss", base, names, ratios=config.lambda_ratios, rule=config.selection_rule)
-    fit = ls.fit_lasso(df, "percentage_loss", base, names, tuning.ratio)
+    own = [*base, *names, "percentage_loss"]
+    scale = Scale.of(df.dropna(subset=own), own)
+    tuning = ls.tune(df, folds, "percentage_loss", base, names, ratios=config.lambda_ratios, rule=config.selection_rule, scale=scale)
+    fit = ls.fit_lasso(df, "percentage_loss", base, names, tuning.ratio, scale=scale)
     samples = ls.subsamples(df, "member_id", "member_type", fraction=config.fraction, n=config.resamples, seed=seed)
-    counts, n = ls.stability(df, samples, "percentage_loss", base, names, tuning.ratio)
+    counts, n = ls.stability(df, samples, "percentage_loss", base, names, tuning.ratio, scale=scale)
     return Specification(kind, names, tuning, fit, counts, n)
 
 
@@ -188,7 +191,7 @@ def binned(points: DataFrame, model_id: str, kind: str, x: str, y: str, metric:
 def quantile_pairs(points: DataFrame, model_id: str, n: int) -> list[dict]:
     k = min(9, n)
     at = [(i + 0.5) / k for i in range(k)]
-    got = points.agg(F.percentile("standardized_residual", F.array(*[F.lit(p) for p in at]))).first()[0]
+    got = aggregate_with_quantiles(points, [], "standardized_residual", at).first()["q"]
     return [
         dict(
             model_id=model_id, diagnostic_type="normal_qq", row_type="plot_summary", series="quantile_pair", bin_order=i,
@@ -211,10 +214,12 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
     members = c.members(study, rules).persist()
     types = f.classify_events(study.engagement, rules).persist()
     wide = f.member_features(study.engagement, study.modules, members, rules)
-    wide = wide.withColumn("treated", F.when(F.col("member_type") == rules.treated, 1.0).otherwise(0.0))
-    sex_levels = sorted(r[0] for r in wide.select("sex").where("sex is not null").distinct().collect())
-    sexes = [f"sex[{v}]" for v in sex_levels if v != "FEMALE"] if len(sex_levels) > 1 else []
-    wide = wide.withColumns({s: F.when(F.col("sex") == s[4:-1], 1.0).when(F.col("sex").isNotNull(), 0.0) for s in sexes}).persist()
+    wide = Contrasts("member_type", (rules.treated, rules.reference), rules.reference).apply(wide, ["treated"])
+    sexes: list[str] = []
+    if not wide.where("sex is not null").isEmpty():
+        sex = Contrasts.of(wide, "sex", preferred="FEMALE")
+        sexes, wide = list(sex.names), sex.apply(wide)
+    wide = wide.persist()
     base = ["first_weight", "treated"]
     fits = {
         "raw_unstructured": fit_gls(wide, ["treated"], structure="unstructured"),
@@ -322,11 +327,10 @@ def build_tables(
         )
     )
     counts = f.event_counts(study.engagement, members, rules)
-    dense = f.dense_counts(members, counts, types)
     with_treated = wide.select("member_id", "percentage_loss", "first_weight", "treated", "weight_days")
     classed = d.classify_strictly(types, actionability)
     acts = d.activities(counts, members.count(), types).join(classed.select("event_type", "actionability_class"), "event_type").toPandas()
-    tests = adjust_p(activity_associations(with_treated, dense, ["treated"]), "p_value").toPandas().drop(columns="n_reached")
+    tests = adjust_p(activity_associations(with_treated, counts, types, ["treated"]), "p_value").toPandas().drop(columns="n_reached")
     acts = acts.merge(tests, on="event_type").sort_values("event_type", ignore_index=True)
     acts = acts.assign(
         event_order=acts.index + 1, predictor="event count", predictor_transform="standardised log1p",

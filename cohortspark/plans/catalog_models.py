@@ -15,11 +15,11 @@ from ..sources.extracts import Study
 from ..sources.views import RULES
 from . import lasso as ls
 from .association import activity_associations
-from .catalog import _r, features_of, query
+from .catalog import ORACLE_SQL, PREFIX, _r, features_of, query
 from .contract import member_consistency
 from .longitudinal import exploratory_records, whitened
-from .models import coefficient_table, fit_gls, fit_ols
-from .moments import diagnose_collinearity
+from .models import Contrasts, coefficient_table, fit_gls, fit_ols, fit_percentage_loss
+from .moments import Scale, diagnose_collinearity
 from .resample import base_model_cv, winner
 
 SEED = 20260901
@@ -153,7 +153,7 @@ quotas as (select member_type, q + case when row_number() over (order by i - q d
     _PLACES.format(r="resample", n=3) + _QUOTAS + " select member_id, k.member_type, resample from keyed k join quotas q on q.member_type = k.member_type where place < quota"
 )
 def _(s: Study) -> DataFrame:
-    return ls.subsamples(cohort_of(s), "member_id", "member_type", fraction=0.7, n=3, seed=SEED)
+    return ls.subsamples(cohort_of(s), "member_id", "member_type", fraction=0.7, n=3, seed=SEED).members(cohort_of(s))
 
 
 # Both models' closed forms on each training part, and their errors on the rest.
@@ -196,10 +196,12 @@ def _(s: Study) -> DataFrame:
     domains = [*MEAN[:-1], *[f"module_{n}" for n, _, _ in RULES.module_domains]]
     rows = []
     for spec, names, seed in (("mean", MEAN, SEED + 11000), ("domains", domains, SEED + 12000)):
-        tuned = ls.tune(w, folds, "percentage_loss", BASE, names)
-        fit = ls.fit_lasso(w, "percentage_loss", BASE, names, tuned.ratio)
+        own = [*BASE, *names, "percentage_loss"]
+        scale = Scale.of(w.dropna(subset=own), own)
+        tuned = ls.tune(w, folds, "percentage_loss", BASE, names, scale=scale)
+        fit = ls.fit_lasso(w, "percentage_loss", BASE, names, tuned.ratio, scale=scale)
         samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=100, seed=seed)
-        counts, n = ls.stability(w, samples, "percentage_loss", BASE, names, tuned.ratio)
+        counts, n = ls.stability(w, samples, "percentage_loss", BASE, names, tuned.ratio, scale=scale)
         rows += [(spec, x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(names, fit.coefficients)]
     w.unpersist(), folds.unpersist()
     names = ["module_spec", "candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"]
@@ -231,16 +233,14 @@ select event_type, n_reached::bigint as n_reached, case when n_reached < 30 then
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     types = f.classify_events(s.engagement, RULES)
-    dense = f.dense_counts(k, f.event_counts(s.engagement, k, RULES), types)
-    return activity_associations(k, dense, ["treated"]).drop("p_value")  # a normal probability: DuckDB has no erf
+    return activity_associations(k, f.event_counts(s.engagement, k, RULES), types, ["treated"]).drop("p_value")  # a normal probability: DuckDB has no erf
 
 
 @query("q40_activity_p_values")
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     types = f.classify_events(s.engagement, RULES)
-    dense = f.dense_counts(k, f.event_counts(s.engagement, k, RULES), types)
-    return adjust_p(activity_associations(k, dense, ["treated"]), "p_value").select("event_type", "p_value", "fdr_adjusted_p_value")
+    return adjust_p(activity_associations(k, f.event_counts(s.engagement, k, RULES), types, ["treated"]), "p_value").select("event_type", "p_value", "fdr_adjusted_p_value")
 
 
 @query("q38_collinearity")
@@ -303,3 +303,21 @@ def _(s: Study) -> DataFrame:
 @query("q44_rank_positions", " select member_id, round((row_number() over (order by percentage_loss, member_id) - 0.5) / count(*) over (), 6)::double as position from cohort")
 def _(s: Study) -> DataFrame:
     return rank_positions(cohort_of(s), "percentage_loss", "member_id").select("member_id", "position")
+
+
+@query("q45_lasso_huge_candidate", ORACLE_SQL["q35_lasso_one_candidate"].removeprefix(f"with {PREFIX} "))
+def _(s: Study) -> DataFrame:
+    """The fit of q35 with its candidate times 1e200 and its baseline over 1e200, told in the units of q35."""
+    far = wide(s).withColumns({"engagement_breadth": F.col("engagement_breadth") * 1e200, "first_weight": F.col("first_weight") / 1e200})
+    fit = ls.fit_lasso(far, "percentage_loss", BASE, ["engagement_breadth"], 0.5)
+    return _rows(s, ["candidate", "coefficient"], [("engagement_breadth", float(fit.coefficients[0]) * 1e200)], "string double")
+
+
+@query("q46_prediction_by_fitted_levels", """, k as (select *, trim(ethnicity) as g from cohort where trim(ethnicity) <> ''),
+means as (select g, avg(first_weight) as mx, avg(percentage_loss) as my from k group by g),
+slope as (select sum((first_weight - mx) * (percentage_loss - my)) / sum((first_weight - mx) * (first_weight - mx)) as b from k join means on k.g = means.g)
+select member_id, round(first_weight * (1 - (my + b * (first_weight - mx)) / 100), 4) as predicted_last_weight from k join means on k.g = means.g cross join slope""")
+def _(s: Study) -> DataFrame:
+    k = c.members(s, RULES).where("trim(ethnicity) <> ''")
+    model = fit_percentage_loss(k, [Contrasts.of(k, "ethnicity")])
+    return model.predict_last_weight(k).select("member_id", F.round("predicted_last_weight", 4).alias("predicted_last_weight"))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .moments import Moments, moments
+from .moments import Moments, Scale, moments, require_finite
 
 RATIOS = (1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01)
 
@@ -98,13 +98,17 @@ def solve_lasso(
     raw = base.copy()
     raw[1:] = base[1:] / m.scale.sd[order_b]
     raw[0] = base[0] + m.scale.mean[k] - raw[1:] @ m.scale.mean[order_b] - coef @ m.scale.mean[order_z]
-    fit = (rest / n - 2 * theta @ c + theta @ s @ theta) * unit**2
-    objective = float(fit / 2 + lam * unit * (w * np.abs(theta) * unit).sum())
+    with np.errstate(over="ignore", invalid="ignore"):
+        fit = (rest / n - 2 * theta @ c + theta @ s @ theta) * unit**2
+        objective = float(fit / 2 + lam * unit * (w * np.abs(theta) * unit).sum())
+    require_finite("the penalised fit", coef, raw, theta * unit, lam * unit, lam_max * unit, objective)
     return Lasso(tuple(base_names), tuple(names), theta * unit, coef, raw, lam * unit, lam_max * unit, objective, tuple(n for n, x in zip(names, out) if x), sweeps)
 
 
-def fit_lasso(df: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float, weights: Sequence[float] | None = None) -> Lasso:
-    m = moments(df, [*base_names, *names, outcome])
+def fit_lasso(
+    df: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float, weights: Sequence[float] | None = None, scale: Scale | None = None
+) -> Lasso:
+    m = moments(df, [*base_names, *names, outcome], scale=scale)
     return solve_lasso(m.total, m, outcome, base_names, names, ratio, weights)
 
 
@@ -168,14 +172,55 @@ def quotas(counts: dict[str, int], fraction: float) -> dict[str, int]:
     return out
 
 
-def subsamples(df: DataFrame, group: str, stratum: str, *, fraction: float, n: int, seed: int) -> DataFrame:
-    """(group, stratum, resample): stratified samples without replacement, by the order of a hash."""
+@dataclass(frozen=True)
+class Subsamples:
+    """Stratified samples of groups without replacement, as thresholds on a hash.
+
+    A group is in a resample if its key is at most the resample's threshold
+    of its stratum, so that any row can tell by itself; ``cutoffs`` is a row
+    a resample and stratum.
+    """
+
+    group: str
+    stratum: str
+    n: int
+    seed: int
+    cutoffs: DataFrame
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """``df``'s rows once for each ``resample`` that they are in; no row is shuffled."""
+        rows = _keyed(df, self.group, self.n, self.seed)
+        few = F.broadcast(self.cutoffs.withColumnsRenamed({self.stratum: "_stratum", "resample": "_resample"}))
+        same = (F.col(self.stratum) == F.col("_stratum")) & (F.col("resample") == F.col("_resample")) & (F.col("_key") <= F.col("_cutoff"))
+        return rows.join(few, same).drop("_key", "_stratum", "_resample", "_cutoff")
+
+    def members(self, df: DataFrame) -> DataFrame:
+        """(group, stratum, resample) of the samples."""
+        return self.spread(df.select(F.col(self.group).cast("string").alias(self.group), self.stratum).distinct())
+
+
+def _keyed(df: DataFrame, group: str, n: int, seed: int) -> DataFrame:
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("resample"))
+    return rows.withColumn("_key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col(group).cast("string"))))
+
+
+def subsamples(df: DataFrame, group: str, stratum: str, *, fraction: float, n: int, seed: int) -> Subsamples:
+    """Of each stratum its quota of groups, those of the smallest keys; a missing stratum takes no part.
+
+    Keys are counted in 4,096 parts by their first digits; the part in which
+    a quota ends is the only one that is sorted.
+    """
     groups = df.select(F.col(group).cast("string").alias(group), stratum).distinct()
-    counts = {r[0]: r[1] for r in groups.groupBy(stratum).count().collect()}
-    table = df.sparkSession.createDataFrame(list(quotas(dict(sorted(counts.items())), fraction).items()), f"`{stratum}` string, _quota int")
-    rows = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("resample"))
-    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("resample").cast("string"), F.col(group)))
-    return numbered(rows, ["resample", stratum], key, "_place").join(F.broadcast(table), stratum).where("_place < _quota").select(group, stratum, "resample")
+    counts = {r[0]: r[1] for r in groups.where(F.col(stratum).isNotNull()).groupBy(stratum).count().collect()}
+    table = F.broadcast(df.sparkSession.createDataFrame(list(quotas(dict(sorted(counts.items())), fraction).items()), f"`{stratum}` string, _quota int"))
+    rows = _keyed(groups, group, n, seed).withColumn("_part", F.substring("_key", 1, 3))
+    by = ["resample", stratum]
+    sizes = rows.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = sizes.withColumn("_end", F.sum("_n").over(up_to)).join(table, stratum).where((F.col("_end") >= F.col("_quota")) & (F.col("_end") - F.col("_n") < F.col("_quota")))
+    last = ends.select(*by, "_part", (F.col("_quota") - F.col("_end") + F.col("_n")).alias("_left"))
+    inside = rows.join(F.broadcast(last), [*by, "_part"]).withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy("_key")))
+    return Subsamples(group, stratum, n, seed, inside.where(F.col("_place") == F.col("_left")).select(*by, F.col("_key").alias("_cutoff")))
 
 
 @dataclass(frozen=True)
@@ -193,7 +238,7 @@ class Tuning:
 
 def tune(
     df: DataFrame, folds: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], *, group: str = "member_id",
-    ratios: Sequence[float] = RATIOS, rule: str = "one_standard_error"
+    ratios: Sequence[float] = RATIOS, rule: str = "one_standard_error", scale: Scale | None = None
 ) -> Tuning:
     """Test MSE of each ratio by grouped folds: one aggregation by (repeat, fold).
 
@@ -203,8 +248,9 @@ def tune(
     """
     if rule not in ("minimum", "one_standard_error"):
         raise ValueError("unknown rule")
+    own = [*base_names, *names, outcome]
     joined = df.withColumn(group, F.col(group).cast("string")).join(folds.select(group, "repeat", "fold"), group)
-    m = moments(joined, [*base_names, *names, outcome], by=["repeat", "fold"])
+    m = moments(joined, own, by=["repeat", "fold"], scale=scale or Scale.of(df.dropna(subset=own), own))
     keys = sorted(m.grams)
     totals = {r: sum(g for k, g in m.grams.items() if k[0] == r) for r in {k[0] for k in keys}}
     scores = np.zeros((len(keys), len(ratios)))
@@ -240,12 +286,17 @@ test_mse.__test__ = False  # not a test
 
 
 def stability(
-    df: DataFrame, samples: DataFrame, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float, *,
-    group: str = "member_id", least: float = 1e-12
+    df: DataFrame, samples: Subsamples, outcome: str, base_names: Sequence[str], names: Sequence[str], ratio: float, *,
+    least: float = 1e-12, scale: Scale | None = None
 ) -> tuple[dict[str, int], int]:
-    """How many subsamples select each candidate (a standardised coefficient beyond ``least``), and their number."""
-    joined = df.withColumn(group, F.col(group).cast("string")).join(samples.select(group, "resample"), group)
-    m = moments(joined, [*base_names, *names, outcome], by=["resample"])
+    """How many subsamples select each candidate (a standardised coefficient beyond ``least``), and their number.
+
+    Every row is spread over its resamples where it stands and added up
+    there; what is shuffled are the resamples' sums.
+    """
+    own = [*base_names, *names, outcome]
+    rows = df.dropna(subset=own)
+    m = moments(samples.spread(rows), own, by=["resample"], scale=scale or Scale.of(rows, own))
     counts = dict.fromkeys(names, 0)
     for gram in m.grams.values():
         for n, t in zip(names, solve_lasso(gram, m, outcome, base_names, names, ratio).theta):

@@ -10,8 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import strip
 from ..functions.stats import two_sided_p, z_value
-from .moments import Moments, Scale, moments
+from .moments import Moments, Scale, moments, require_finite
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,7 @@ class Ols:
 
     @property
     def back(self) -> np.ndarray:
-        own = Scale(self.names, self.scale.mean[: len(self.names)], self.scale.sd[: len(self.names)])
-        return own.back()
+        return self.scale.of_names(self.names).back()
 
     @property
     def coefficients(self) -> np.ndarray:
@@ -94,8 +94,7 @@ class Ols:
     def hc3(self, df: DataFrame) -> np.ndarray:
         """The heteroscedasticity-consistent covariance; a second aggregation, of x x' (e / (1 - h))^2."""
         weight = (F.col("residual") / (1 - F.col("leverage"))) ** 2
-        own = Scale(self.names, self.scale.mean[: len(self.names)], self.scale.sd[: len(self.names)])
-        meat = moments(self.with_diagnostics(df), self.names, scale=own, weight=weight).total
+        meat = moments(self.with_diagnostics(df), self.names, scale=self.scale.of_names(self.names), weight=weight).total
         return self.back @ self.inverse @ meat @ self.inverse @ self.back.T
 
 
@@ -116,9 +115,11 @@ def solve_ols(gram: np.ndarray, m: Moments, outcome: str, names: Sequence[str])
     sd, mean = m.scale.sd[k], m.scale.mean[k]
     scaled = beta * sd
     scaled[0] += mean
-    order = [m.scale.names.index(q) for q in names]
-    own = Scale(tuple(names), m.scale.mean[order], m.scale.sd[order])
-    return Ols(outcome, tuple(names), own, scaled, inverse, n, max(rss, 0.0) * sd**2, tss * sd**2)
+    own = m.scale.of_names(names)
+    with np.errstate(over="ignore", invalid="ignore"):
+        rss, tss = max(rss, 0.0) * sd**2, tss * sd**2
+    require_finite("the least-squares fit", rss, tss, own.back() @ scaled)
+    return Ols(outcome, tuple(names), own, scaled, inverse, n, rss, tss)
 
 
 def fit_ols(df: DataFrame, outcome: str, names: Sequence[str]) -> Ols:
@@ -147,18 +148,83 @@ def coefficient_table(fit: Ols, covariance: np.ndarray, confidence: float = 0.95
     return out
 
 
-def dummies(df: DataFrame, column: str, reference: str | None = None) -> tuple[DataFrame, list[str], list[str]]:
-    """``df`` with a 0/1 column for each level but the reference; (df, columns, levels).
+#: A factor has so many levels at most: its levels are the fit's columns.
+MOST_LEVELS = 1000
 
-    The reference is the given level if it is there, or else the first by
-    name.  Missing values have missing dummies.
-    """
-    levels = sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
-    base = reference if reference in levels else levels[0] if levels else None
-    others = [v for v in levels if v != base]
-    names = [f"{column}[{v}]" for v in others]
-    out = df.withColumns({n: F.when(F.col(column) == v, 1.0).when(F.col(column).isNotNull(), 0.0) for n, v in zip(names, others)}) if names else df
-    return out, names, levels
+
+@dataclass(frozen=True)
+class Contrasts:
+    """A factor's levels and reference as they were fitted; every other level is a 0/1 column."""
+
+    column: str
+    levels: tuple[str, ...]
+    reference: str
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str, reference: str | None = None, preferred: str | None = None) -> Contrasts:
+        """From the observed levels, trimmed, in order.
+
+        The reference is the one given, which has to be observed; else the
+        preferred one if it is; else the first.
+        """
+        rows = df.select(strip(F.col(column).cast("string")).alias("v")).where(F.col("v").isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
+        levels = tuple(sorted(r[0] for r in rows))
+        if not levels or len(levels) > MOST_LEVELS:
+            raise ValueError(f"{column} has no level, or more than {MOST_LEVELS}")
+        if reference is not None and reference.strip() not in levels:
+            raise ValueError(f"the reference of {column} must be an observed level")
+        return cls(column, levels, reference.strip() if reference is not None else preferred if preferred in levels else levels[0])
+
+    @property
+    def others(self) -> tuple[str, ...]:
+        return tuple(v for v in self.levels if v != self.reference)
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(f"{self.column}[{v}]" for v in self.others)
+
+    def apply(self, df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+        """``df`` with the contrasts' columns; a missing value's are missing, an unseen level fails the query."""
+        own = strip(F.col(self.column).cast("string"))
+        seen = own.isin(*self.levels)
+        unseen = F.raise_error(F.concat(F.lit(f"unseen level of {self.column}: "), own)).cast("double")
+        columns = {n: F.when(own.isNull(), F.lit(None).cast("double")).when(~seen, unseen).otherwise((own == v).cast("double")) for n, v in zip(names or self.names, self.others)}
+        return df.withColumns(columns) if columns else df.where(F.when(own.isNull() | seen, True).otherwise(unseen.isNull()))
+
+
+@dataclass(frozen=True)
+class Factored:
+    """A fitted model with its factors: new members are coded as the fitted ones were."""
+
+    fit: Ols | Gls
+    contrasts: tuple[Contrasts, ...]
+
+    def predict_last_weight(self, df: DataFrame, out: str = "predicted_last_weight", first: str = "first_weight") -> DataFrame:
+        """``df`` with the expected last weight; an unseen level, or a first weight that is missing or not positive, fails the query."""
+        for c in self.contrasts:
+            df = c.apply(df)
+        w = F.col(first).cast("double")
+        checked = F.when((w > 0) & (w < float("inf")), w).otherwise(F.raise_error(F.lit("a first weight must be positive and finite")).cast("double"))
+        own = df.withColumn(first, checked)
+        if isinstance(self.fit, Gls):
+            own = own.withColumn(out, self.fit.predicted_last(F.col(first)))
+        else:
+            own = own.withColumn(out, F.col(first) * (1 - self.fit.fitted() / 100))
+        return own.drop(*[n for c in self.contrasts for n in c.names])
+
+
+def fit_percentage_loss(df: DataFrame, factors: Sequence[Contrasts], names: Sequence[str] = ("first_weight",), outcome: str = "percentage_loss") -> Factored:
+    """Least squares of the percentage loss on ``names`` and the factors' contrasts."""
+    for c in factors:
+        df = c.apply(df)
+    return Factored(fit_ols(df, outcome, [*names, *[n for c in factors for n in c.names]]), tuple(factors))
+
+
+def fit_two_occasions(df: DataFrame, factors: Sequence[Contrasts], **options: object) -> Factored:
+    """:func:`fit_gls` on the factors' contrasts."""
+    for c in factors:
+        df = c.apply(df)
+    return Factored(fit_gls(df, [n for c in factors for n in c.names], **options), tuple(factors))
 
 
 # Two occasions
@@ -320,6 +386,7 @@ def solve_gls(gram: np.ndarray, m: Moments, names: Sequence[str], *, scale_name:
     bb, bd, d_d = g[np.ix_(b, b)], g[np.ix_(b, dd)], g[np.ix_(dd, dd)]
     information = np.block([[bb * w.sum(), bd * (w[0, 1] + w[1, 1])], [bd.T * (w[0, 1] + w[1, 1]), d_d * w[1, 1]]])
     se = np.sqrt(np.diag(np.linalg.inv(information)))
+    require_finite("the two-occasion fit", beta, delta, v, log_l, se)
     beta, delta = beta.copy(), delta.copy()
     beta[0] += shift0
     delta[0] += shift_d

@@ -11,30 +11,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Beyond these a column's squares may leave the range of doubles.
+LARGE, SMALL = 1e100, 1e-100
+
+
+def require_finite(what: str, *values: object) -> None:
+    """Fails on a number that is not finite: what was fitted can't be represented."""
+    if not all(np.isfinite(np.asarray(v, float)).all() for v in values):
+        raise ValueError(f"{what} is not finite: the columns' values overflow")
+
+
 @dataclass(frozen=True)
 class Scale:
     """Means and population standard deviations of columns; ``apply`` centres and scales them.
 
     Moments are of such columns, so that squares of large values do not
-    swallow small ones.  A constant column keeps its scale of 1.
+    swallow small ones.  A constant column keeps its scale of 1.  Columns of
+    extreme size are multiplied by ``unit``, a power of two, before anything
+    is added up or squared.
     """
 
     names: tuple[str, ...]
     mean: np.ndarray
     sd: np.ndarray
+    unit: np.ndarray | None = None
 
     @classmethod
     def of(cls, df: DataFrame, names: Sequence[str]) -> Scale:
-        aggs = [f(F.col(c).cast("double")) for c in names for f in (F.avg, F.stddev_pop)]
+        """One pass; a second one for columns whose values are extreme, which the first one tells."""
+        most, mean, sd = cls._told(df, names, np.ones(len(names)))
+        unit = np.ones(len(names))
+        with np.errstate(all="ignore"):
+            far = np.flatnonzero((most > LARGE) | ((most > 0) & (most < SMALL)))
+        if len(far):
+            require_finite("a column", most)
+            # unit times the largest value lies between 1/2 and 1; two factors, as one may overflow
+            unit[far] = np.exp2(np.clip(-np.frexp(most[far])[1], -1022, 1022))
+            some = [names[k] for k in far]
+            own, mean[far], sd[far] = cls._told(df, some, unit[far])
+            low, high = cls._ends(df, some)
+            with np.errstate(over="ignore"):
+                mean[far], sd[far] = mean[far] / unit[far], sd[far] / unit[far]
+                require_finite("a centred column", mean, sd, high - mean[far], low - mean[far])
+        tiny = sd <= np.finfo(float).eps * 100 * most
+        return cls(tuple(names), mean, np.where(tiny, 1 / unit, sd), unit if len(far) else None)
+
+    @staticmethod
+    def _told(df: DataFrame, names: Sequence[str], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest absolute value, mean and population standard deviation of the columns times ``unit``."""
+        own = [F.col(c).cast("double") if u == 1 else F.col(c).cast("double") * F.lit(float(u)) for c, u in zip(names, unit)]
+        aggs = [a for v in own for a in (F.max(F.abs(v)), F.avg(v), F.stddev_pop(v))]
         row = df.agg(*[a.alias(f"a{k}") for k, a in enumerate(aggs)]).first()
-        mean = np.array([row[2 * k] or 0.0 for k in range(len(names))])
-        sd = np.array([row[2 * k + 1] or 0.0 for k in range(len(names))])
-        tiny = sd <= np.finfo(float).eps * 100 * np.maximum(1.0, np.abs(mean))
-        return cls(tuple(names), mean, np.where(tiny, 1.0, sd))
+        return tuple(np.array([row[3 * k + j] or 0.0 for k in range(len(names))]) for j in range(3))
+
+    @staticmethod
+    def _ends(df: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        row = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}{f.__name__}") for k, c in enumerate(names) for f in (F.min, F.max)]).first()
+        return np.array([row[2 * k] for k in range(len(names))]), np.array([row[2 * k + 1] for k in range(len(names))])
+
+    def of_names(self, names: Sequence[str]) -> Scale:
+        """The scale of some of the columns."""
+        at = [self.names.index(n) for n in names]
+        return Scale(tuple(names), self.mean[at], self.sd[at], None if self.unit is None else self.unit[at])
 
     def apply(self, name: str) -> Column:
         k = self.names.index(name)
-        return (F.col(name).cast("double") - F.lit(float(self.mean[k]))) / F.lit(float(self.sd[k]))
+        v, u = F.col(name).cast("double"), 1.0 if self.unit is None else float(self.unit[k])
+        return ((v if u == 1 else v * F.lit(u)) - F.lit(float(self.mean[k]) * u)) / F.lit(float(self.sd[k]) * u)
 
     def back(self) -> np.ndarray:
         """T with raw coefficients = T @ scaled ones, the intercept first."""

@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.functions import stats
+from cohortspark.functions.quantiles import aggregate_with_quantiles
 from cohortspark.operators import cohort as c
 from cohortspark.operators import describe as d
 from cohortspark.operators import features as f
@@ -50,7 +51,8 @@ def test_wilson():
 
 
 def test_summary_and_fdr(spark):
-    row = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "value double").agg(*d.summary()).first()
+    row = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (4.0,), (None,)], "value double")
+    row = d.summarize(row, []).first()
     assert (row["n_total"], row["n_observed"], row["n_missing"]) == (5, 4, 1)
     assert [row[k] for k in ("standard_deviation", "q1", "median", "q3")] == pytest.approx([1.290994449, 1.75, 2.5, 3.25])
     tests = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, None)], "k int, p double")
@@ -254,7 +256,8 @@ def test_folds_tuning_and_stability(points):
     y = fit.base[0] + test[["w", "g"]].to_numpy() @ fit.base[1:] + test[["z0", "z1", "z2"]].to_numpy() @ fit.coefficients
     assert tuned.scores[0, 1] == pytest.approx(((test.y - y) ** 2).mean())
     samples = lasso.subsamples(points, "member_id", "member_type", fraction=0.7, n=10, seed=2)
-    assert samples.count() == 560 and samples.distinct().count() == 560
+    drawn = samples.members(points)
+    assert drawn.count() == 560 and drawn.distinct().count() == 560
     counts, n = lasso.stability(points, samples, "y", ["w", "g"], ["z0", "z1", "z2"], 0.5)
     assert n == 10 and counts["z0"] == 10 and counts["z1"] <= 3
     assert lasso.quotas({"a": 90, "b": 9, "c": 1}, 0.1) == {"a": 8, "b": 1, "c": 1}
@@ -382,3 +385,98 @@ def test_the_contract_module():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "q01_outcomes_by_member_type" in e.queries()
+
+
+def test_exact_quantiles_without_a_group_in_one_task(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{g}" if g else None, None if rng.random() < 0.1 else float(rng.choice([rng.integers(0, 4), rng.normal()]))) for g in range(40) for _ in range(g)]
+    rows += [("wide", float(x)) for x in rng.normal(size=60_000)] + [("ties", float(x)) for x in rng.integers(0, 3, 30_000)] + [("none", None), (None, -1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    at = [0.0, 0.05, 0.25, 0.5, 0.75, 0.99, 1.0]
+    exact = F.percentile("v", F.array(*map(F.lit, at)))
+    got = {r["k"]: (r["n"], r["q"]) for r in aggregate_with_quantiles(df, ["k"], "v", at, [F.count(F.lit(1)).alias("n")]).collect()}
+    wanted = {r["k"]: (r["n"], r["q"]) for r in df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), exact.alias("q")).collect()}
+    assert set(got) == set(wanted) and got["none"] == (1, None)
+    for k, (n, q) in wanted.items():
+        if k != "none":
+            assert got[k][0] == n and got[k][1] == pytest.approx(q, rel=1e-12)
+    assert aggregate_with_quantiles(df, [], "v", at).first()["q"] == pytest.approx(df.agg(exact).first()[0], rel=1e-12)
+    assert aggregate_with_quantiles(df.limit(0), ["k"], "v", at).count() == 0
+
+
+def test_quantile_plans_hold_no_percentile(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "k string, value double")
+    plan = d.summarize(rows, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" in plan and "percentile(" not in plan
+
+
+def test_places_keep_nothing(spark):
+    rng = np.random.default_rng(5)
+    rows = [(None if x > 2.3 else float(round(x, 1)), k) for k, x in enumerate(rng.normal(size=5000))]
+    df = spark.createDataFrame(rows, "v double, t bigint").repartition(6)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    out, n = stats.placed(df, "v", "t")
+    got = {r["t"]: r["place"] for r in out.collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0.0, r[1]))
+    assert n == len(rows) and [got[t] for _, t in order] == list(range(n))
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    assert stats.placed(df.limit(0), "v", "t")[0].count() == 0
+
+
+def test_huge_values_are_scaled_before_they_are_squared(spark):
+    largest = float(np.finfo(float).max)
+    frame = lambda rows: spark.createDataFrame([tuple(map(float, r)) for r in rows], "y double, z double")
+    df = frame([(5, largest), (5, largest), (-1, -largest), (-1, -largest)])
+    fit = lasso.fit_lasso(df, "y", [], ["z"], 0.0)
+    assert moments.Scale.of(df, ["z"]).sd[0] == largest and np.isfinite(fit.coefficients).all() and not fit.excluded
+    assert [r[0] for r in df.orderBy("y").select(fit.predicted()).collect()] == pytest.approx([-1, -1, 5, 5], abs=1e-12)
+    small = df.withColumn("z", F.col("z") * 1e-308 * 1e-300)
+    assert small.orderBy("y").select(lasso.fit_lasso(small, "y", [], ["z"], 0.0).predicted()).first()[0] == pytest.approx(-1)
+    for rows in ([(1, largest), (2, -largest), (3, -largest), (4, -largest)], [(largest, -1), (-largest, 1), (largest, -1), (-largest, 1)], [(1, math.inf), (2, 1), (3, 2), (4, 3)]):
+        with pytest.raises(ValueError, match="finite|overflow"):
+            lasso.fit_lasso(frame(rows), "y", [], ["z"], 0.5)
+    with pytest.raises(ValueError, match="finite"):
+        models.fit_ols(frame([(largest, -1), (-largest, 1), (largest, -1), (-largest, 1)]), "y", ["z"])
+
+
+def test_fitted_levels_code_new_members(spark, points):
+    rows = [(f"m{k}", [" A", "B", "C ", None][k % 4], 80.0 + k % 17, 79.0 + k % 17 - (k % 4) * 2 + (k % 5) / 7) for k in range(80)]
+    df = spark.createDataFrame(rows, "member_id string, member_type string, first_weight double, last_weight double")
+    df = df.withColumn("percentage_loss", 100 * (F.col("first_weight") - F.col("last_weight")) / F.col("first_weight"))
+    own = models.Contrasts.of(df, "member_type", preferred="B")
+    assert own == models.Contrasts("member_type", ("A", "B", "C"), "B") and own.names == ("member_type[A]", "member_type[C]")
+    assert models.Contrasts.of(df, "member_type", reference=" C").reference == "C"
+    with pytest.raises(ValueError, match="observed"):
+        models.Contrasts.of(df, "member_type", reference="D")
+    assert [tuple(r) for r in own.apply(df).where("member_id in ('m0', 'm1', 'm3')").orderBy("member_id").select(*[f"`{n}`" for n in own.names]).collect()] == [(1, 0), (0, 0), (None, None)]
+    new = spark.createDataFrame([("x", "A", 90.0), ("y", "B", 90.0)], "member_id string, member_type string, first_weight double")
+    bad = spark.createDataFrame([("x", "Z", 90.0)], "member_id string, member_type string, first_weight double")
+    zero = spark.createDataFrame([("x", "A", 0.0)], "member_id string, member_type string, first_weight double")
+    for model in (models.fit_percentage_loss(df, [own]), models.fit_two_occasions(df, [own], scale_name="log")):
+        told = {r["member_id"]: r["predicted_last_weight"] for r in model.predict_last_weight(new).collect()}
+        assert told["x"] > told["y"] and all(80 < v < 95 for v in told.values())
+        assert model.predict_last_weight(new).columns == [*new.columns, "predicted_last_weight"]
+        for wrong, message in ((bad, "unseen level of member_type: Z"), (zero, "positive")):
+            with pytest.raises(Exception, match=message):
+                model.predict_last_weight(wrong).collect()
+    same = models.fit_ols(own.apply(df), "percentage_loss", ["first_weight", *own.names])
+    wanted = own.apply(new).select((F.col("first_weight") * (1 - same.fitted() / 100)).alias("v")).collect()
+    assert [r["predicted_last_weight"] for r in models.fit_percentage_loss(df, [own]).predict_last_weight(new).collect()] == pytest.approx([r["v"] for r in wanted])
+
+
+def test_subsamples_are_the_smallest_keys_of_each_stratum(points):
+    import hashlib
+
+    own = points.select(F.col("member_id").cast("string").alias("m"), "member_type").distinct().collect()
+    samples = lasso.subsamples(points, "member_id", "member_type", fraction=0.3, n=4, seed=9)
+    quota = lasso.quotas({t: sum(r[1] == t for r in own) for t in sorted({r[1] for r in own})}, 0.3)
+    wanted = set()
+    for k in range(4):
+        for t, q in quota.items():
+            order = sorted((hashlib.md5(f"9|{k}|{r[0]}".encode()).hexdigest(), r[0]) for r in own if r[1] == t)
+            wanted |= {(m, t, k) for _, m in order[:q]}
+    assert {tuple(r) for r in samples.members(points).collect()} == wanted
+    twice = points.unionByName(points)
+    assert samples.spread(twice).count() == 2 * len(wanted)
+    plan = samples.spread(points)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
