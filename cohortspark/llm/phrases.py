@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ SUBSUMED = 80
 TOP = 2000
 
 #: Bytes of text that are counted together.
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: Rows of the sketch, counters of a shard of it, and n-grams a counter.
 DEPTH, CELLS, LOAD = 2, 1 << 20, LEAST // 4
 
@@ -41,7 +42,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(chunk, lang, size, body): the texts of a language, folded, in chunks that end between pieces; a full stop is every piece's end.
 
-    A chunk is of ``CHUNK`` bytes, or of one longer piece.
+    A chunk is of ``CHUNK`` bytes, or of one longer piece; it travels packed.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.col(text).cast("string")).where(F.octet_length(text) > 0)
 
@@ -51,7 +52,8 @@ def chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
             parts.append(body[lo:hi])
             lo = hi + 1
         parts.append(body[lo:])
-        return pa.RecordBatch.from_arrays([pa.array([own] * len(parts)), pa.array([len(x) for x in parts], pa.int64()), pa.array(parts, pa.binary())], names=["lang", "size", "body"])
+        packed = [zstandard.compress(x) for x in parts]
+        return pa.RecordBatch.from_arrays([pa.array([own] * len(parts)), pa.array([len(x) for x in parts], pa.int64()), pa.array(packed, pa.binary())], names=["lang", "size", "body"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[str, list[bytes]] = {}
@@ -75,12 +77,11 @@ def chunks(docs: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class Grams:
-    """The words of a chunk as numbers, and the hashes of its n-grams."""
+    """The words of a packed chunk as numbers, and the hashes of its n-grams."""
 
     def __init__(self, lang: str, body: bytes) -> None:
-        self.words: list[bytes] = []
         numbers: dict[bytes, int] = {b".": 0}
-        tokens = body.replace(b".", b" . ").split(b" ")
+        tokens = zstandard.decompress(body).replace(b".", b" . ").split(b" ")
         self.ids = np.array([numbers.setdefault(w, len(numbers)) for w in tokens if w], np.int64)
         self.words = list(numbers)
         seed = xxhash.xxh3_64_intdigest(lang.encode())
@@ -137,11 +138,13 @@ def _packed(places: np.ndarray, counts: np.ndarray) -> bytes:
     out[np.cumsum(steps + 1) - 1] = gaps % 65535
     small = np.minimum(counts, 255).astype(np.uint8)
     head = np.array([len(out), len(gaps)], "<u4")
-    # planes of bytes: the high ones and the counts are nearly all equal, which the shuffle's compression sees
-    return head.tobytes() + (out & 255).astype(np.uint8).tobytes() + (out >> 8).astype(np.uint8).tobytes() + small.tobytes() + counts[small == 255].astype("<u4").tobytes()
+    # planes of bytes: the high ones and the counts are nearly all equal
+    low, high = (out & 255).astype(np.uint8), (out >> 8).astype(np.uint8)
+    return zstandard.compress(head.tobytes() + low.tobytes() + high.tobytes() + small.tobytes() + counts[small == 255].astype("<u4").tobytes(), 1)
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(raw)
     size, n = np.frombuffer(raw, "<u4", 2).tolist()
     plane = np.frombuffer(raw, np.uint8, 2 * size + n, offset=8)
     gaps = plane[:size] + plane[size : 2 * size].astype(np.int64) * 256
