@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import strip
+from .utf16 import read_table
 
 # The tokens that mean a missing field.  'Null' is not one, it is a label.
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -85,9 +86,10 @@ def read_extract(spark: SparkSession, path: str, spec: Extract) -> DataFrame:
 
     Headers are stripped, unnamed trailing columns that hold nothing are
     dropped, further columns are ignored.  A missing file or column is an
-    error that names it; a bad date or number fails the query.
+    error that names it; a bad date or number fails the query.  A large file
+    is read by many tasks, line feeds in quotes included.
     """
-    raw = spark.read.options(header=True, sep="\t", encoding="UTF-16", multiLine=True).csv(path)
+    raw = read_table(spark, path)
     raw = raw.toDF(*[c.strip() for c in raw.columns])
     absent = sorted(set(spec.columns) - set(raw.columns))
     if absent:
