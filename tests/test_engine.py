@@ -21,7 +21,7 @@ from cohortspark.operators import cohort as c
 from cohortspark.operators import describe as d
 from cohortspark.operators import features as f
 from cohortspark.operators.quality import key_quality, require_keys
-from cohortspark.plans import analysis, contract, figures, lasso, longitudinal, models, moments, publish
+from cohortspark.plans import analysis, contract, figures, lasso, longitudinal, models, moments, publish, store
 from cohortspark.plans.schemas import SCHEMAS
 from cohortspark.sources.extracts import MODULES, load_study, read_extract
 
@@ -348,7 +348,82 @@ def test_identifiers_of_any_form_and_table_are_found(spark, study):
     publish.check_privacy(["clean", 48213, 0.12, None], ["48213", "12", " ", None])
     extra = study.weights.limit(1).withColumn("member_id", F.lit("only-in-weights"))
     made = replace(study, weights=study.weights.unionByName(extra))
-    assert "only-in-weights" in set(publish.member_ids(made))
+    ids = publish.member_ids(made)
+    assert "only-in-weights" in {r[0] for r in ids.collect()}
+    publish.check_privacy(["clean", 48213, None], ids)
+    for text in ("seen: ONLY-in-weights.", '{"k": ["\\u006fnly-in-weights"]}'):
+        with pytest.raises(ValueError) as e:
+            publish.check_privacy(["clean", text], ids)
+        assert "only" not in str(e.value)
+
+
+def test_needles_find_what_a_search_finds():
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abé\n\U0001f600"), 3000))
+    for _ in range(300):
+        size = int(rng.integers(1, 12))
+        at = int(rng.integers(0, 2900))
+        own = ["".join(rng.choice(list("abé"), size)), text[at : at + size] if rng.random() < 0.3 else "zz"]
+        assert (publish.Needles(text).first_in(own) is not None) == any(x in text for x in own)
+    long = text[100:500]
+    assert publish.Needles(text).first_in(["", long]) == long and publish.Needles(text).first_in([text + "a"]) is None
+
+
+@pytest.mark.parametrize("scheme", ["file", "viewfs"])
+def test_a_killed_publication_leaves_one_whole_set(spark, tmp_path, monkeypatch, scheme):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.shop.link./out", f"file://{tmp_path}")
+    url = f"file://{tmp_path}/r" if scheme == "file" else "viewfs://shop/out/r"
+    old, new = {"a.csv": "x\n1\n", "b.json": "{}\n"}, {"a.csv": "x\n2\né", "c.csv": ""}
+    assert store.published(spark, url) is None
+    store.publish(spark, old, url)
+    assert store.published(spark, url) == old
+    steps = [f"{n}" for n in ("write", "replace", "delete")]
+    seen = []
+    for kill in range(1, 20):
+        count = [0]
+
+        def step(real):
+            def own(self, *a):
+                count[0] += 1
+                if count[0] == kill:
+                    raise KeyboardInterrupt
+                return real(self, *a)
+
+            return own
+
+        with monkeypatch.context() as m:
+            for n in steps:
+                m.setattr(store.Store, n, step(getattr(store.Store, n)))
+            try:
+                store.publish(spark, new, url)
+                done = True
+            except KeyboardInterrupt:
+                done = False
+        now = store.published(spark, url)
+        assert now in (old, new)
+        seen.append(now == new)
+        if done:
+            break
+        store.publish(spark, old, url)  # the next run clears what is left
+        assert store.published(spark, url) == old and len(store.Store(spark, url).names("sets")) == 1 and store.Store(spark, url).names() == ["manifest.json", "sets"]
+    assert done and seen[0] is False and seen[-1] is True
+    other = store.Store(spark, url)
+    name = f"sets/{other.names('sets')[0]}/a.csv"
+    other.delete(name)
+    other.write(name, b"other")
+    with pytest.raises(ValueError, match="not as it was"):
+        store.published(spark, url)
+
+
+def test_tall_qr_is_combined_on_the_executors(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").repartition(60)
+    monkeypatch.setattr(moments, "TREE", (16, 4, 1))
+    r = moments.tall_qr(df, [F.col(c) for c in "abc"])
+    assert r.shape == (3, 3) and np.abs(r.T @ r) == pytest.approx(np.abs(x.T @ x))
+    assert moments.tall_qr(df.limit(0), [F.col("a")]).shape == (0, 1)
 
 
 def test_members_that_do_not_belong_together_are_counted(spark):
