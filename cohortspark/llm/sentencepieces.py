@@ -68,9 +68,30 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """From a BPE model file with byte pieces."""
-        import sentencepiece
+        """From a BPE model file with byte pieces that leaves texts as they are but for a space before them; others are refused.
 
+        What is encoded here is what the library encodes for such a model.
+        Of other kinds (unigram, words, characters), of other normalisers,
+        and of pieces that the user has set, it would not be.
+        """
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        with open(path, "rb") as f:
+            model = proto.ModelProto.FromString(f.read())
+        made, form = model.trainer_spec, model.normalizer_spec
+        wrong = {
+            "no BPE model": made.model_type != made.BPE,
+            "no pieces for bytes": not made.byte_fallback,
+            "space as a suffix": made.treat_whitespace_as_suffix,
+            "a normaliser that changes characters": bool(form.precompiled_charsmap or form.normalization_rule_tsv),
+            "a normaliser that removes spaces": form.remove_extra_whitespaces,
+            "no space before a text": not form.add_dummy_prefix,
+            "spaces that are not escaped": not form.escape_whitespaces,
+            "pieces set by the user": any(x.type in (x.USER_DEFINED, x.UNUSED) for x in model.pieces),
+        }
+        if any(wrong.values()):
+            raise ValueError(f"{path}: " + ", ".join(k for k, v in wrong.items() if v))
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         found, at, raw = {}, [0] * 256, []
         for k in range(sp.get_piece_size()):

@@ -375,7 +375,10 @@ def _arc_rows(data: bytes, name: str) -> Iterator[tuple]:
 
 
 def _number(text: str | None) -> int | None:
-    return int(text) if re.fullmatch(r"-?[0-9]{1,18}", text or "") else None
+    """The number of a header, if it is one of 64 bits."""
+    digits = re.fullmatch(r"(-?)0*([0-9]{1,19})", text or "", re.ASCII)
+    number = int(digits[1] + digits[2]) if digits else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
 _ARC_ROWS = "page_id bigint, digest string, record_id string, url string, ip string, date string, mime string, block binary, place string"

@@ -643,3 +643,41 @@ def test_sketch_parts():
         counts = rng.choice([1, 2, 254, 255, 256, 1_000_000], n)
         back = phrases._unpacked(phrases._packed(places, counts))
         assert back[0].tolist() == places.tolist() and back[1].tolist() == counts.tolist()
+
+
+def test_models_that_would_be_encoded_otherwise_are_refused(tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import public_tokenizers
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        whole = f.read()
+
+    def changed(change):
+        model = proto.ModelProto.FromString(whole)
+        change(model)
+        (tmp_path / "m.model").write_bytes(model.SerializeToString())
+        return str(tmp_path / "m.model")
+
+    assert sentencepieces.Vocabulary.load(changed(lambda m: None)).pieces
+    for change, message in [
+        (lambda m: setattr(m.trainer_spec, "model_type", m.trainer_spec.UNIGRAM), "no BPE"),
+        (lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), "changes characters"),
+        (lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True), "removes spaces"),
+        (lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), "no space before"),
+        (lambda m: setattr(m.trainer_spec, "byte_fallback", False), "bytes"),
+        (lambda m: setattr(m.pieces[500], "type", m.pieces[500].USER_DEFINED), "set by the user"),
+    ]:
+        with pytest.raises(ValueError, match=message):
+            sentencepieces.Vocabulary.load(changed(change))
+
+
+def test_page_ids_of_64_bits(spark, tmp_path):
+    ids = [1234567890123456789, 1234567890123456790, -(1 << 63), (1 << 63) - 1, 7]
+    pages = spark.createDataFrame([(i, "http://h/", "same" if i != 7 else "own") for i in ids], "page_id bigint, url string, html string")
+    warc.pages_to_arc(pages, str(tmp_path / "arc"))
+    warc.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    rows = warc.read_warc_pages(spark, str(tmp_path / "warc")).collect()
+    most = (1 << 63) - 1
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in rows} == {(most, "response", None), (7, "response", None), *((i, "revisit", most) for i in ids[:3])}
+    assert [warc._number(x) for x in ("9223372036854775808", "-9223372036854775809", "00012", "-5", "", "1a", None)] == [None, None, 12, -5, None, None, None]
