@@ -22,9 +22,9 @@ from ..operators.quality import require_keys
 from ..sources.extracts import Study
 from . import lasso as ls
 from .association import activity_associations
-from .contract import check_metadata, check_selection, model_summary
+from .contract import LABELS, check_metadata, check_selection, model_summary
+from .evidence import registers
 from .figures import FIGURES
-from .longitudinal import RATIO as LONGITUDINAL_RATIO
 from .longitudinal import exploratory_records
 from .models import Contrasts, Gls, Ols, coefficient_table, fit_gls, fit_ols
 from .moments import Scale, tall_qr
@@ -145,7 +145,7 @@ def locked_model(df: DataFrame, model_id: str, names: Sequence[str], locked: Seq
             test_statistic=x.statistic, reference_distribution="normal", p_value=x.p_value, ci_lower=x.ci_lower, ci_upper=x.ci_upper,
             ci_level=0.95, n_members=fit.n, covariance_estimator="HC3", selection_frequency=meta["frequency"].get(x.term),
             selection_provenance="stability selection" if x.term in locked else "always included",
-            inference_status="post-selection, descriptive", **meta["ids"]
+            inference_status=LABELS["locked_inference_status"], **meta["ids"]
         )
         for k, x in enumerate(coefficient_table(fit, fit.hc3(df)), start=1)
     ]
@@ -158,7 +158,7 @@ def locked_model(df: DataFrame, model_id: str, names: Sequence[str], locked: Seq
         residual_degrees_of_freedom=fit.n - fit.k, covariance_estimator="HC3", r_squared=fit.r_squared,
         adjusted_r_squared=fit.adjusted_r_squared, residual_rmse=math.sqrt(fit.rss / fit.n), negative_two_log_likelihood=fit.deviance,
         aic=fit.aic(0), bic=fit.bic(0), likelihood_use="descriptive", standardized_design_condition_number=cond, maximum_leverage=top[0],
-        maximum_cooks_distance=top[1], selection_rule=f"frequency >= {meta['threshold']}", inference_status="post-selection, descriptive",
+        maximum_cooks_distance=top[1], selection_rule=f"frequency >= {meta['threshold']}", inference_status=LABELS["locked_inference_status"],
         fit_status="estimated", **meta["ids"]
     )
     diagnostics = [*binned(points, model_id, "residuals_vs_fitted", "fitted_value", "residual", "mean_residual"), *quantile_pairs(points, model_id, fit.n)]
@@ -208,18 +208,32 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
     ``actionability`` classes every event type, and no other: a type without a
     class, a missing one or a class without its type fails the run.
     """
-    rules, config = rules or Rules(), config or Config()
+    kept: list[DataFrame] = []
+    try:
+        return _run(study, rules or Rules(), config or Config(), actionability, kept)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def _run(study: Study, rules: Rules, config: Config, actionability: dict[str, str], kept: list[DataFrame]) -> Analysis:
+    """:func:`run_analysis`; what is kept in memory meanwhile is put into ``kept``."""
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.persist())
+        return df
+
     require_keys(study.demographics, "member_id", "demographics")
     require_keys(study.weights, "member_id", "weights")
-    members = c.members(study, rules).persist()
-    types = f.classify_events(study.engagement, rules).persist()
+    members = keep(c.members(study, rules))
+    types = keep(f.classify_events(study.engagement, rules))
     wide = f.member_features(study.engagement, study.modules, members, rules)
     wide = Contrasts("member_type", (rules.treated, rules.reference), rules.reference).apply(wide, ["treated"])
     sexes: list[str] = []
     if not wide.where("sex is not null").isEmpty():
         sex = Contrasts.of(wide, "sex", preferred="FEMALE")
         sexes, wide = list(sex.names), sex.apply(wide)
-    wide = wide.persist()
+    wide = keep(wide)
     base = ["first_weight", "treated"]
     fits = {
         "raw_unstructured": fit_gls(wide, ["treated"], structure="unstructured"),
@@ -227,9 +241,11 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
         "log_compound_symmetry_by_type": fit_gls(wide, ["treated"], scale_name="log", structure="compound_symmetry", interaction=True),
         OLS_MODEL: fit_ols(wide, "percentage_loss", base),
     }
-    cv = base_model_cv(wide, ["treated"], folds=config.cv_folds, repeats=config.cv_repeats, seed=config.seed).persist()
+    cv = base_model_cv(wide, ["treated"], folds=config.cv_folds, repeats=config.cv_repeats, seed=config.seed)
+    cv = keep(cv)
     best = winner(cv)
-    folds = ls.assign_folds(wide, "member_id", "member_type", folds=config.cv_folds, repeats=config.cv_repeats, seed=config.seed + 1000).persist()
+    folds = ls.assign_folds(wide, "member_id", "member_type", folds=config.cv_folds, repeats=config.cv_repeats, seed=config.seed + 1000)
+    folds = keep(folds)
     specs = {k: specify(k, wide, folds, base, sexes, rules, config, config.seed + s) for k, s in (("mean", 11000), ("domains", 12000))}
     if len({x.n for x in fits.values()}) != 1:
         raise ValueError("the base models have different members: a value is missing in some")
@@ -242,7 +258,6 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
         check_selection(tables[k], specs[kind].candidates)
     flow = tables["cohort_flow"].iloc[-1]
     metadata = dict(
-        analysis_schema_version="1.0.0",
         seed=config.seed,
         cv_folds=config.cv_folds,
         cv_repeats=config.cv_repeats,
@@ -256,19 +271,9 @@ def run_analysis(study: Study, rules: Rules | None = None, config: Config | None
         reference_member_type=rules.reference,
         responder_threshold_percentage=float(rules.success_percent),
         source_row_counts=source_rows(study),
-        base_model_comparison_target="raw_last_weight",
-        base_model_comparison_metrics=["rmse", "mae"],
-        base_model_winner_rule=f"least mean rmse, then least mean mae, then {OLS_MODEL}",
         winning_base_model=best,
-        cross_family_likelihood_comparison=False,
-        locked_covariance_estimator="HC3",
-        locked_inference_status="conditional_exploratory",
-        selection_interpretation="selected terms describe these members; their p values do not account for the selection",
-        longitudinal_lasso_interpretation="exploratory, with the covariance of the whole sample",
-        longitudinal_exploratory_lambda_ratio=LONGITUDINAL_RATIO,
-        lasso_specification_tie_tolerance=1e-12,
         lasso_fold_plan_id=tables["lasso_mean_selection"]["fold_plan_id"].iloc[0],
-        lasso_fold_plan="the same whole members in both specifications",
+        **LABELS,
         output_files=sorted([*(f"{n}.csv" for n in tables), *(f"{n}.svg" for n in FIGURES), "metadata.json"]),
     )
     check_metadata(metadata, tables)
@@ -374,7 +379,7 @@ def build_tables(
         [dict(m[1], reference_member_type=rules.reference, duration_adjustment=a) for m, a in zip(models, ("none", "centred linear and quadratic"))]
     )
     out["model_diagnostics"] = closed("model_diagnostics", [r for m in models for r in m[2]])
-    out |= registers(out, chosen)
+    out |= {name: closed(name, rows) for name, rows in registers(out).items()}
     return {name: out[name] for name in SCHEMAS}
 
 
@@ -417,59 +422,3 @@ def selection_rows(spec: Specification, order: int, wins: bool, locked: Sequence
             interpretation="selection is not inference"
         ))
     return rows
-
-
-def registers(t: dict[str, pd.DataFrame], chosen: str) -> dict[str, pd.DataFrame]:
-    """Hypotheses, findings and limitations, with their figures taken from the other tables."""
-    o, k, a = t["outcomes_by_member_type"], t["locked_model_coefficients_hc3"], t["engagement_activity_summary"]
-    loss = o[(o["outcome"] == "percentage_loss") & (o["scope_order"] > 1)]
-    rate = o[(o["outcome"] == "weight_loss_success") & (o["scope_order"] > 1)]
-    said = lambda df, v: "; ".join(f"{r.scope}: {getattr(r, v):.2f}" for r in df.itertuples())
-    primary = k[k["model_id"] == "locked_primary"]
-    effect = lambda term: "; ".join(f"{r.estimate:.3f} (95 % CI {r.ci_lower:.3f} to {r.ci_upper:.3f})" for r in primary[primary["term"] == term].itertuples())
-    selected = ", ".join(primary[primary["term_role"] == "selected"]["term"]) or "none"
-    tested = a[a["test_status"] == "tested"]
-    below = int((tested["fdr_adjusted_p_value"] < 0.05).sum())
-    zero = t["modules_by_member_type"]["zero_completion_group_flag"]
-    common = dict(causal_status="not causal")
-    hypotheses = [
-        ("treatment_loss", "Do treated members lose more?", said(loss, "mean"), effect("treated"), "outcomes_by_member_type"),
-        ("treatment_response", "Do more treated members respond?", said(rate, "percentage"), said(rate, "ci_lower"), "outcomes_by_member_type"),
-        ("engagement", "Does engagement go with loss?", selected, f"specification {chosen}", "locked_model_coefficients_hc3"),
-        ("activities", "Which activities go with loss?", f"{below} of {len(tested)} adjusted p values below 0.05", "", "engagement_activity_summary"),
-        ("modules", "Does completing modules go with loss?", f"{int(zero.sum())} scopes without completions", "", "modules_by_member_type"),
-        ("duration", "Do differing durations explain it?", effect("treated"), "sensitivity on common support", "locked_model_coefficients_hc3"),
-    ]
-    hyp = [
-        dict(
-            hypothesis_order=i, hypothesis_id=h, question=q, population="primary complete pairs", outcome="percentage_loss",
-            effect_summary=e, uncertainty_summary=u, evidence_table=s, result_status="reported", inference_status="descriptive",
-            multiplicity_control="benjamini_hochberg" if h == "activities" else "none", **common
-        ) for i,
-        (h, q, e, u, s) in enumerate(hypotheses, start=1)
-    ]
-    findings = [
-        dict(
-            finding_order=i, finding_id=h, finding=q, quantitative_evidence=e, evidence_table=s, certainty="low: observational",
-            recommended_test="randomised pilot", **common
-        ) for i,
-        (h, q, e, _, s) in enumerate(hypotheses, start=1)
-    ]
-    flow = t["cohort_flow"]
-    limits = [
-        ("no_randomisation", "Types were not assigned at random.", ""),
-        ("selection", "The funnel keeps complete pairs only.", f"{int(flow['retained_n'].iloc[-1])} of {int(flow['starting_n'].iloc[0])} enrolled"),
-        ("duration", "Follow-up differs between members.", said(o[(o["outcome"] == "weight_days") & (o["scope_order"] > 1)], "median")),
-        ("two_occasions", "Two weights do not show a trajectory.", ""),
-        ("censoring", "Activity after the last weight is not used.", ""),
-        ("module_support", "Some modules are not completed in a scope.", f"{int(zero.sum())} scopes without completions"),
-        ("post_selection", "Intervals ignore the selection of terms.", f"selected: {selected}"),
-        ("multiplicity", "Many activities are tested.", f"{len(tested)} tests"),
-        ("internal_validation", "Errors come from folds of one sample.", ""),
-        ("unmeasured", "Age and other causes are not in the extracts.", ""),
-    ]
-    lim = [dict(limitation_order=i, limitation_id=x, category="design", limitation=s, empirical_evidence=e, severity="material") for i, (x, s, e) in enumerate(limits, start=1)]
-    return {
-        "hypothesis_evidence": closed("hypothesis_evidence", hyp),
-        "findings_and_implications": closed("findings_and_implications", findings), "limitations": closed("limitations", lim)
-    }

@@ -14,9 +14,10 @@ from ..operators import features as f
 from ..sources.extracts import Study
 from ..sources.views import RULES
 from . import lasso as ls
+from .analysis import Config, common_support, comparison_rows, condition_number, quantile_pairs
 from .association import activity_associations
 from .catalog import ORACLE_SQL, PREFIX, _r, features_of, query
-from .contract import member_consistency
+from .contract import member_consistency, model_summary
 from .longitudinal import exploratory_records, whitened
 from .models import Contrasts, coefficient_table, fit_gls, fit_ols, fit_percentage_loss
 from .moments import Scale, diagnose_collinearity
@@ -102,7 +103,20 @@ def _(s: Study) -> DataFrame:
     return _rows(s, names, [(x.structure, x.v00, x.v01, x.v11, round(x.log_likelihood, 4), round(x.deviance, 4), round(x.aic, 4)) for x in fits], "string" + " double" * 6)
 
 
-@query("q29_gls_diagonal")
+# Of the diagonal structure one number is left to find: golden section, as the rows of a recursion.
+_DIAGONAL = _GLS + """ select 'diagonal' as structure, round(-kappa * vd, 6) as v00, 0.0::double as v01, round((1 + kappa) * vd, 6) as v11, round(-n / 2 * (ln(2 * pi() * vd) + ln(2 * pi() * -kappa * (1 + kappa) * vd) + 2), 6) as log_likelihood
+from (select kappa, n, (sd + (s00 - 2 * kappa * s01 + kappa * kappa * s11) / (-kappa * (1 + kappa))) / (2 * n) as vd from q cross join (
+  with recursive golden(i, lo, hi) as (
+    select 0, -1 + 1e-12::double, -1e-12::double
+    union all
+    select i + 1, case when ln(q1) + 2 * ln(sd + (s00 - 2 * a1 * s01 + a1 * a1 * s11) / q1) <= ln(q2) + 2 * ln(sd + (s00 - 2 * a2 * s01 + a2 * a2 * s11) / q2) then lo else a1 end,
+      case when ln(q1) + 2 * ln(sd + (s00 - 2 * a1 * s01 + a1 * a1 * s11) / q1) <= ln(q2) + 2 * ln(sd + (s00 - 2 * a2 * s01 + a2 * a2 * s11) / q2) then a2 else hi end
+    from (select *, -a1 * (1 + a1) as q1, -a2 * (1 + a2) as q2 from (
+      select i, lo, hi, hi - (sqrt(5) - 1) / 2 * (hi - lo) as a1, lo + (sqrt(5) - 1) / 2 * (hi - lo) as a2 from golden where i < 60) x) y cross join q)
+  select (lo + hi) / 2 as kappa from golden order by i desc limit 1) g) z"""
+
+
+@query("q29_gls_diagonal", _DIAGONAL)
 def _(s: Study) -> DataFrame:
     x = fit_gls(cohort_of(s), ["treated"], scale_name="log", structure="diagonal")
     return _rows(s, ["structure", "v00", "v01", "v11", "log_likelihood"], [(x.structure, x.v00, x.v01, x.v11, x.log_likelihood)], "string double double double double")
@@ -175,7 +189,8 @@ select repeat::int as repeat, fold, model, n_test, round(rmse, 6) as rmse, round
 
 @query("q34_base_model_cv", _PLACES.format(r="repeat", n=2) + _CV)
 def _(s: Study) -> DataFrame:
-    scores = base_model_cv(cohort_of(s), ["treated"], folds=5, repeats=2, seed=SEED).persist()
+    made = base_model_cv(cohort_of(s), ["treated"], folds=5, repeats=2, seed=SEED)
+    scores = made.sparkSession.createDataFrame(made.collect(), made.schema)  # a row a fold and model
     return scores.withColumn("is_winner", F.col("model") == winner(scores))
 
 
@@ -208,7 +223,7 @@ def _(s: Study) -> DataFrame:
     return _rows(s, names, rows, "string string double double bigint double")
 
 
-def _association_sql() -> str:
+def _association_fits() -> str:
     """One regression an event type by successive orthogonalisation: each regressor less what those before it explain."""
     names = ["x1", "x2", "x3", "x4", "z"]
     centred = ", ".join(f"{c} - avg({c}) over w as {c}" for c in [*names, "y"])
@@ -224,19 +239,29 @@ def _association_sql() -> str:
         keep = f", z as zr, sum(z * z) over w as zz, {slope('y')} as b" if own == "z" else ""
         sql = f"(select event_type, n, n_reached, h + {own} * {own} / sum({own} * {own}) over w as h, {moved}{keep} from {sql} o{k} window w as (partition by event_type))"
     return f""", dense as (select k.*, t.event_type, coalesce(event_count, 0)::double as c from cohort k cross join types t left join counts n on n.member_id = k.member_id and n.event_type = t.event_type),
-fits as (select event_type, any_value(n_reached) as n_reached, any_value(b) as b, sqrt(sum(pow(zr * y / (1 - h), 2))) / any_value(zz) as se from {sql} e group by event_type)
-select event_type, n_reached::bigint as n_reached, case when n_reached < 30 then 'insufficient_reach' else 'tested' end as test_status, {_r('case when n_reached >= 30 then b end', 'estimate')}, {_r('case when n_reached >= 30 then se end', 'standard_error')},
+fits as (select event_type, any_value(n_reached) as n_reached, any_value(b) as b, sqrt(sum(pow(zr * y / (1 - h), 2))) / any_value(zz) as se from {sql} e group by event_type)"""
+
+
+_TESTED = f"""select event_type, n_reached::bigint as n_reached, case when n_reached < 30 then 'insufficient_reach' else 'tested' end as test_status, {_r('case when n_reached >= 30 then b end', 'estimate')}, {_r('case when n_reached >= 30 then se end', 'standard_error')},
  {_r('case when n_reached >= 30 then b / se end', 'test_statistic')}, {_r('case when n_reached >= 30 then b - 1.959963984540054 * se end', 'ci_lower')}, {_r('case when n_reached >= 30 then b + 1.959963984540054 * se end', 'ci_upper')} from fits"""
 
 
-@query("q37_activity_associations", _association_sql())
+# erfc(x) by the series of erf with positive terms only, told by logarithms.
+_NORMAL_P = "1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(200), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(x) - lgamma(2 * n + 2) + lgamma(n + 1))))"
+_P_VALUES = f""", ps as (select event_type, case when n_reached >= 30 then {_NORMAL_P} end as p from (select *, greatest(abs(b / se) / sqrt(2), 1e-300::double) as x from fits) f),
+ranked as (select *, row_number() over (order by p) as place, count(p) over () as m from ps where p is not null)
+select event_type, round(p, 6) as p_value, round(least(1, min(p * m / place) over (order by place desc rows between unbounded preceding and current row)), 6) as fdr_adjusted_p_value from ranked
+union all select event_type, null, null from ps where p is null"""
+
+
+@query("q37_activity_associations", _association_fits() + " " + _TESTED)
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     types = f.classify_events(s.engagement, RULES)
     return activity_associations(k, f.event_counts(s.engagement, k, RULES), types, ["treated"]).drop("p_value")  # a normal probability: DuckDB has no erf
 
 
-@query("q40_activity_p_values")
+@query("q40_activity_p_values", _association_fits() + _P_VALUES)
 def _(s: Study) -> DataFrame:
     k = cohort_of(s)
     types = f.classify_events(s.engagement, RULES)
@@ -288,7 +313,10 @@ def _(s: Study) -> DataFrame:
 @query("q42_longitudinal_lasso")
 def _(s: Study) -> DataFrame:
     w = wide(s).persist()
-    rows = exploratory_records(w, fit_gls(w, ["treated"], scale_name="log", structure="compound_symmetry"), MEAN)
+    try:
+        rows = exploratory_records(w, fit_gls(w, ["treated"], scale_name="log", structure="compound_symmetry"), MEAN)
+    finally:
+        w.unpersist()
     return _rows(s, ["variable", "selected", "coefficient", "estimable"], [(r["variable"], r["count"], r["value"], r["estimable"]) for r in rows], "string int double boolean")
 
 
@@ -296,7 +324,7 @@ def _(s: Study) -> DataFrame:
   (select count(*) from counts where member_id not in (select member_id from cohort)) as counts_of_no_member, (select count(*) from (select 1 from counts group by member_id, event_type having count(*) > 1) x) as repeated_pairs
   from cohort k full join features f on k.member_id = f.member_id""")
 def _(s: Study) -> DataFrame:
-    k = c.members(s, RULES).persist()
+    k = c.members(s, RULES)
     return member_consistency(k, features_of(s), f.event_counts(s.engagement, k, RULES))
 
 
@@ -321,3 +349,71 @@ def _(s: Study) -> DataFrame:
     k = c.members(s, RULES).where("trim(ethnicity) <> ''")
     model = fit_percentage_loss(k, [Contrasts.of(k, "ethnicity")])
     return model.predict_last_weight(k).select("member_id", F.round("predicted_last_weight", 4).alias("predicted_last_weight"))
+
+
+def _last_slope(source: str, names: list[str]) -> str:
+    """(n, b, se) of the last of the regressors, with HC3: each one less what those before it explain."""
+    sql = f"(select count(*) over () as n, 1.0::double / count(*) over () as h, {', '.join(f'{c} - avg({c}) over () as {c}' for c in [*names, 'y'])} from {source} d0)"
+    for k, own in enumerate(names):
+        moved = ", ".join(f"{c} - {own} * (sum({c} * {own}) over () / sum({own} * {own}) over ()) as {c}" for c in [*names[k + 1 :], "y"])
+        keep = f", {own} as zr, sum({own} * {own}) over () as zz, sum(y * {own}) over () / sum({own} * {own}) over () as b" if own == names[-1] else ""
+        sql = f"(select n, h + {own} * {own} / sum({own} * {own}) over () as h, {moved}{keep} from {sql} o{k})"
+    return f"select any_value(n) as n, any_value(b) as b, sqrt(sum(pow(zr * y / (1 - h), 2))) / any_value(zz) as se from {sql} e"
+
+
+_SUPPORT = """, ends as (select max(lo) as lo, min(hi) as hi from (select member_type, min(weight_days) as lo, max(weight_days) as hi from cohort group by member_type) t),
+near as (select first_weight as x, percentage_loss as y, (member_type = 'MACHINERY')::int::double as g, weight_days - avg(weight_days) over () as d from cohort cross join ends where weight_days between lo and hi),
+regressors as (select *, d * d as d2 from near)"""
+
+
+@query("q47_duration_sensitivity", f"{_SUPPORT} select 'treated' as term, n, {_r('b', 'estimate')}, {_r('se', 'standard_error')} from ({_last_slope('regressors', ['x', 'd', 'd2', 'g'])}) f")
+def _(s: Study) -> DataFrame:
+    k = common_support(cohort_of(s), "weight_days")
+    days = k.agg(F.avg("weight_days")).first()[0]
+    k = k.withColumn("days", F.col("weight_days") - F.lit(days)).withColumn("days2", F.col("days") ** 2)
+    fit = fit_ols(k, "percentage_loss", [*BASE, "days", "days2"])
+    row = coefficient_table(fit, fit.hc3(k))[2]
+    return _rows(s, ["term", "n", "estimate", "standard_error"], [(row.term, fit.n, float(row.estimate), float(row.standard_error))], "string bigint double double")
+
+
+@query("q48_model_summary", f""" select * from (with {_GLS.lstrip(', ')}
+  select structure as model_id, n::bigint as n_members, parameters::bigint as parameters, round(ll - logs, 4) as log_likelihood, round(-2 * (ll - logs), 4) as deviance, round(-2 * (ll - logs) + 2 * parameters, 4) as aic, round(-2 * (ll - logs) + ln(n) * parameters, 4) as bic, null::double as r_squared, null::double as rmse from a) g
+union all select * from (with {_OLS.lstrip(', ')}
+  select 'percentage_loss_ols', n::bigint, 4, null, round(n * (ln(2 * pi() * rss / n) + 1), 4), round(n * (ln(2 * pi() * rss / n) + 1) + 8, 4), round(n * (ln(2 * pi() * rss / n) + 1) + 4 * ln(n), 4), round(1 - rss / tss, 6), round(sqrt(rss / n), 6) from fit) o""")
+def _(s: Study) -> DataFrame:
+    k = cohort_of(s)
+    fits = {x: fit_gls(k, ["treated"], scale_name="log", structure=x) for x in ("unstructured", "compound_symmetry", "iid")}
+    table = model_summary({**fits, "percentage_loss_ols": fit_ols(k, "percentage_loss", BASE)})
+    four, six = ("log_likelihood", "deviance", "aic", "bic"), ("r_squared", "rmse")
+    rows = [(r.model_id, int(r.n_members), int(r.parameters), *(None if math.isnan(v) else round(v, d) for d, names in ((4, four), (6, six)) for v in (float(getattr(r, n)) for n in names))) for r in table.itertuples()]
+    return _rows(s, ["model_id", "n_members", "parameters", *four, *six], rows, "string bigint bigint" + " double" * 6)
+
+
+@query("q49_condition_number", " select round(sqrt((1 + abs(r)) / (1 - abs(r))), 6) as condition_number from (select corr(first_weight, (member_type = 'MACHINERY')::int::double) as r from cohort) c")
+def _(s: Study) -> DataFrame:
+    """Of an intercept and two standardised columns: their correlation matrix has the eigenvalues 1, 1 + r and 1 - r."""
+    return _rows(s, ["condition_number"], [(condition_number(cohort_of(s), BASE),)], "double")
+
+
+_COMPARED = _CV[: _CV.rindex("\nselect repeat::int")] + """
+select model as model_id, metric, count(*) as n_fold_scores, sum(n_test)::bigint as n_test_predictions, round(avg(v), 6) as mean_score, round(stddev_samp(v), 6) as standard_deviation, round(min(v), 6) as minimum_score, round(max(v), 6) as maximum_score, model = (select model from best) as is_winner
+from (select model, n_test, 'rmse' as metric, rmse as v from scores union all select model, n_test, 'mae', mae from scores) u group by model, metric"""
+
+
+@query("q50_base_model_comparison_summary", _PLACES.format(r="repeat", n=2) + _COMPARED)
+def _(s: Study) -> DataFrame:
+    scores = base_model_cv(cohort_of(s), ["treated"], folds=5, repeats=2, seed=SEED)
+    kept = s.demographics.sparkSession.createDataFrame(scores.collect(), scores.schema)  # a row a fold and model
+    names = {"model_id": "string", "metric": "string", "n_fold_scores": "bigint", "n_test_predictions": "bigint", "mean_score": "double", "standard_deviation": "double", "minimum_score": "double", "maximum_score": "double", "is_winner": "boolean"}
+    rows = comparison_rows(kept.toPandas(), winner(kept), Config(cv_folds=5, cv_repeats=2, seed=SEED))
+    plain = lambda r: tuple(float(r[n]) if t == "double" else bool(r[n]) if t == "boolean" else r[n] for n, t in names.items())
+    return _rows(s, list(names), [plain(r) for r in rows], " ".join(names.values()))
+
+
+@query("q51_residual_quantiles", _OLS + """, z as (select e / sqrt(rss / (n - 3) * (1 - h)) as z from points cross join fit)
+select k::int as bin_order, round((k - 0.5) / 9, 6) as probability, round(list_extract(quantile_cont(z, [0.5 / 9, 1.5 / 9, 2.5 / 9, 3.5 / 9, 4.5 / 9, 5.5 / 9, 6.5 / 9, 7.5 / 9, 8.5 / 9]), k), 6) as value from z cross join range(1, 10) r(k) group by k""")
+def _(s: Study) -> DataFrame:
+    k = cohort_of(s)
+    fit = fit_ols(k, "percentage_loss", BASE)
+    rows = quantile_pairs(fit.with_diagnostics(k), "percentage_loss", fit.n)
+    return _rows(s, ["bin_order", "probability", "value"], [(r["bin_order"], r["bin_lower"], float(r["value"])) for r in rows], "int double double")

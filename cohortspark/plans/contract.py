@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .figures import FIGURES
+from .longitudinal import RATIO
 from .models import Gls, Ols
+from .resample import OLS_MODEL
 
 # The keys of the metadata.
 METADATA_KEYS = (
@@ -45,6 +48,25 @@ METADATA_KEYS = (
     "output_files",
 )
 
+#: What a run's metadata says of its method, the same in every run.
+LABELS = {
+    "analysis_schema_version": "1.0.0",
+    "base_model_comparison_target": "raw_last_weight",
+    "base_model_comparison_metrics": ["rmse", "mae"],
+    "base_model_winner_rule": f"least mean rmse, then least mean mae, then {OLS_MODEL}",
+    "cross_family_likelihood_comparison": False,
+    "locked_covariance_estimator": "HC3",
+    "locked_inference_status": "conditional_exploratory",
+    "selection_interpretation": "selected terms describe these members; their p values do not account for the selection",
+    "longitudinal_lasso_interpretation": "exploratory, with the covariance of the whole sample",
+    "longitudinal_exploratory_lambda_ratio": RATIO,
+    "lasso_specification_tie_tolerance": 1e-12,
+    "lasso_fold_plan": "the same whole members in both specifications",
+}
+
+#: Percentage loss from which a member has responded.
+RESPONDER = 5.0
+
 #: Whole numbers in the metadata and the least that each may be.
 WHOLE = {"seed": 0, "cv_folds": 2, "cv_repeats": 1, "stability_resamples": 1, "complete_pair_eligible_members": 1, "excluded_nonprimary_members": 0, "included_members": 1}
 
@@ -61,21 +83,43 @@ def check_metadata(metadata: Mapping[str, Any], tables: Mapping[str, pd.DataFram
     for key, least in WHOLE.items():
         if type(metadata[key]) is not int or metadata[key] < least:
             problems.append(f"{key} must be a whole number from {least}")
+    problems += [f"{k} must be {v!r}" for k, v in LABELS.items() if metadata[k] != v or type(metadata[k]) is not type(v)]
     ratios = metadata["lambda_ratios"]
-    if not ratios or any(not isinstance(x, (int, float)) or not 0 <= x <= 1 for x in ratios):
-        problems.append("lambda_ratios must lie in 0 to 1")
+    if not isinstance(ratios, list) or not ratios or any(type(x) not in (int, float) or not 0 <= x <= 1 for x in ratios) or len(set(ratios)) != len(ratios):
+        problems.append("lambda_ratios must be different numbers in 0 to 1")
+        ratios = []
     for key in ("stability_subsample_fraction", "stability_selection_threshold"):
-        if not 0 < metadata[key] <= 1:
+        if type(metadata[key]) not in (int, float) or not 0 < metadata[key] <= 1:
             problems.append(f"{key} must lie in 0 to 1")
     flow = tables["cohort_flow"].iloc[-1]
-    told = [int(flow[c]) for c in ("starting_n", "excluded_n", "retained_n")]
-    if [metadata[k] for k in ("complete_pair_eligible_members", "excluded_nonprimary_members", "included_members")] != told:
-        problems.append("members do not agree with the cohort flow")
-    plans = {x for t in ("lasso_mean_selection", "lasso_domain_selection") for x in tables[t]["fold_plan_id"]}
-    if plans != {metadata["lasso_fold_plan_id"]}:
-        problems.append("both specifications must have the metadata's folds")
-    if set(tables["locked_model_coefficients_hc3"]["covariance_estimator"]) != {metadata["locked_covariance_estimator"]}:
-        problems.append("the covariance estimator is not the coefficients'")
+    told = {k: int(flow[c]) for k, c in (("complete_pair_eligible_members", "starting_n"), ("excluded_nonprimary_members", "excluded_n"), ("included_members", "retained_n"))}
+    selection = pd.concat([tables["lasso_mean_selection"], tables["lasso_domain_selection"]], ignore_index=True)
+    compared, fits, terms = tables["base_model_comparison_summary"], tables["locked_model_fit_statistics"], tables["locked_model_coefficients_hc3"]
+    # each of these must be the only value of its column
+    columns = {
+        "cv_folds": (compared, "cv_folds"), "cv_repeats": (compared, "cv_repeats"), "stability_resamples": (selection, "n_resamples"),
+        "stability_subsample_fraction": (selection, "subsample_fraction"), "stability_selection_threshold": (selection, "selection_threshold"),
+        "lasso_fold_plan_id": (selection, "fold_plan_id"), "locked_covariance_estimator": (terms, "covariance_estimator"),
+        "reference_member_type": (fits, "reference_member_type"), "winning_base_model": (fits, "winning_base_model"),
+        "locked_inference_status": (terms, "inference_status"),
+    }
+    problems += [f"{k} is {metadata[k]!r}, {c} of the tables {sorted(set(t[c]))!r}" for k, (t, c) in columns.items() if set(t[c]) != {metadata[k]}]
+    problems += [f"{k} does not agree with the cohort flow" for k, v in told.items() if metadata[k] != v]
+    if set(compared[compared["is_winner"].astype(bool)]["model_id"]) != {metadata["winning_base_model"]}:
+        problems.append("the winner is not the comparison's")
+    if set(compared["fold_plan_id"]) != {f"seed {metadata['seed']}"} or metadata["lasso_fold_plan_id"] != f"seed {metadata['seed'] + 1000 if isinstance(metadata['seed'], int) else ''}":
+        problems.append("the fold plans are not the seed's")
+    if not set(selection["selected_lambda_ratio"]) <= set(ratios):
+        problems.append("a selected ratio is none of lambda_ratios")
+    if metadata["output_files"] != sorted([*(f"{n}.csv" for n in tables), *(f"{n}.svg" for n in FIGURES), "metadata.json"]):
+        problems.append("output_files are not the tables, figures and metadata")
+    if metadata["responder_threshold_percentage"] != RESPONDER:
+        problems.append(f"responder_threshold_percentage must be {RESPONDER}")
+    counts = metadata["source_row_counts"]
+    if not isinstance(counts, dict) or set(counts) != {"body_weights", "demographics", "engagement", "module_completions"} or any(type(v) is not int or v < 0 for v in counts.values()):
+        problems.append("source_row_counts must be the four sources' whole numbers")
+    elif counts["demographics"] < told["included_members"]:
+        problems.append("there are fewer members in the sources than in the cohort")
     if rows is not None and dict(rows) != metadata["source_row_counts"]:
         problems.append("the row counts are not the sources'")
     if problems:

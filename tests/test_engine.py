@@ -21,7 +21,7 @@ from cohortspark.operators import cohort as c
 from cohortspark.operators import describe as d
 from cohortspark.operators import features as f
 from cohortspark.operators.quality import key_quality, require_keys
-from cohortspark.plans import analysis, contract, figures, lasso, longitudinal, models, moments, publish, store
+from cohortspark.plans import analysis, contract, evidence, figures, lasso, longitudinal, models, moments, publish, store
 from cohortspark.plans.schemas import SCHEMAS
 from cohortspark.sources.extracts import MODULES, load_study, read_extract
 
@@ -286,6 +286,19 @@ def test_whole_analysis_is_published_whole_or_not_at_all(spark, study, folder, t
             contract.check_metadata(result.metadata | {key: value}, result.tables)
     with pytest.raises(ValueError, match="unknown"):
         contract.check_metadata(result.metadata | {"more": 1}, result.tables)
+    # whatever key is altered, the run is not published
+    for key, value in result.metadata.items():
+        kind = type(value)
+        others = {str: ["other", ""], int: [value + 1 if kind is int else 0, float(value) if kind is int else 0], float: [value / 2 if kind is float else 0], bool: [True, 0], list: [[], value[:-1] if kind is list else []], dict: [{}, {k: -1 for k in value} if kind is dict else {}]}[kind]
+        if key == "lambda_ratios":  # the tables tell which were chosen, not which others were tried
+            others = [[], [0.123], [1.0, 1.0], [2.0], "1"]
+        for other in others:
+            with pytest.raises(ValueError):
+                contract.check_metadata(result.metadata | {key: other}, result.tables, analysis.source_rows(study) if key == "source_row_counts" else None)
+    t = result.tables["hypothesis_evidence"]
+    assert set(t["result_status"]) <= set(evidence.SAYINGS) and (t["evidence_filter"] != "").all() and not (set(result.tables["findings_and_implications"]["finding"]) & set(t["question"]))
+    every = t.set_index("hypothesis_id")["result_status"]
+    assert every["treatment_loss"] == evidence.interval(*result.tables["locked_model_coefficients_hc3"].set_index(["model_id", "term"]).loc[("locked_primary", "treated"), ["ci_lower", "ci_upper"]])
     assert list(result.models["model_id"])[-1] == analysis.OLS_MODEL and json.loads(result.models["coefficients"].iloc[-1]).keys() == {"intercept", "first_weight", "treated"}
     assert len(result.longitudinal) == len(result.specifications["mean"].candidates)
     before = {p.name: p.read_bytes() for p in paths}
@@ -555,3 +568,24 @@ def test_subsamples_are_the_smallest_keys_of_each_stratum(points):
     assert samples.spread(twice).count() == 2 * len(wanted)
     plan = samples.spread(points)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_evidence_follows_the_tables():
+    terms = lambda *rows: pd.DataFrame([dict(model_id=m, term=n, term_role=r, estimate=(a + b) / 2, ci_lower=a, ci_upper=b) for m, n, r, a, b in rows])
+    selection = lambda *rows: pd.DataFrame([dict(candidate=c, candidate_role=r, is_winning_specification=w, locked_model_status=s, selection_frequency=0.8) for c, r, w, s in rows])
+    none = pd.DataFrame(columns=["candidate", "candidate_role", "is_winning_specification", "locked_model_status", "selection_frequency"])
+    for ends, status in (((1, 2), "supported"), ((-2, -1), "contrary"), ((-1, 1), "inconclusive"), ((math.nan, 1), "not_estimable")):
+        t = {"locked_model_coefficients_hc3": terms(("locked_primary", "treated", "base", *ends))}
+        assert evidence.treatment_loss(t).status == status
+    both = lambda a, b: {"locked_model_coefficients_hc3": terms(("locked_primary", "treated", "base", *a), ("duration_sensitivity", "treated", "base", *b))}
+    assert [evidence.duration(both((1, 2), b)).status for b in ((1, 3), (-1, 3), (-3, -1))] == ["robust", "sensitive", "sensitive"]
+    assert evidence.duration({"locked_model_coefficients_hc3": terms(("locked_primary", "x", "base", 1, 2))}).status == "not_estimable"
+    rate = lambda *ends: {"outcomes_by_member_type": pd.DataFrame([dict(outcome="weight_loss_success", scope_order=k, scope=f"s{k}", percentage=50.0, ci_lower=a, ci_upper=b) for k, (a, b) in enumerate(ends, 2)])}
+    assert [evidence.treatment_response(rate(*x)).status for x in (((5, 6), (1, 2)), ((1, 2), (5, 6)), ((1, 4), (3, 6)), ((1, 2),))] == ["supported", "contrary", "inconclusive", "not_estimable"]
+    for status, frame, ends in (("supported", "locked", (1, 2)), ("contrary", "locked", (-2, -1)), ("not_selected", "below_stability_threshold", (1, 2)), ("not_estimable", "inestimable_full_fit", (1, 2))):
+        t = {"lasso_mean_selection": selection(("v", "engagement", True, frame)), "lasso_domain_selection": none, "locked_model_coefficients_hc3": terms(("locked_primary", "v", "selected", *ends))}
+        assert evidence.engagement(t).status == status
+        t["modules_by_member_type"] = pd.DataFrame([dict(scope="B", scope_order=3, module_variable="m", zero_completion_group_flag=True)])
+        assert evidence.modules(t).status == "not_comparable"
+    act = lambda *p: {"engagement_activity_summary": pd.DataFrame([dict(event_type=f"e{k}", test_status="tested" if x is not None else "insufficient_reach", estimate=1.0, fdr_adjusted_p_value=x) for k, x in enumerate(p)])}
+    assert [evidence.activities(act(*p)).status for p in ((0.01, 0.2), (0.2, None), (None,))] == ["supported", "inconclusive", "not_tested"]
