@@ -32,8 +32,10 @@ TOP = 2000
 
 #: Bytes of text that are counted together.
 CHUNK = 4 << 20
-#: Rows of the sketch, counters of a shard of it, and n-grams a counter.
-DEPTH, CELLS, LOAD = 2, 1 << 20, LEAST // 4
+#: Rows of the sketch that n-grams of 1, 2, ... words are counted in: longer ones pass only if all their parts do.
+DEPTHS = (2, 2, 1, 1)
+#: Counters of a shard of the sketch, and n-grams a counter of a row.
+CELLS, LOAD = 1 << 20, LEAST // 4
 
 _FOLD = bytes(46 if chr(b) in ENDS else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -103,10 +105,10 @@ class Grams:
         return out
 
 
-def cells(h: np.ndarray, shards: int) -> Iterator[np.ndarray]:
-    """The cells in each of the sketch's rows; the row and shard are what stands above the counters of a shard."""
+def cells(h: np.ndarray, shards: int, depth: int) -> Iterator[np.ndarray]:
+    """The cells in the first rows of the sketch; the row and shard are what stands above the counters of a shard."""
     bits = np.uint64(CELLS.bit_length() - 1)
-    for row in range(DEPTH):
+    for row in range(depth):
         shard = ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
         yield (shard + np.uint64(row * shards)) << bits | h & np.uint64(CELLS - 1)
         h = mix(h ^ _ODD)
@@ -114,9 +116,13 @@ def cells(h: np.ndarray, shards: int) -> Iterator[np.ndarray]:
 
 def _distinct(hashes: list[np.ndarray], shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The cells of all n-grams in order, and how many n-grams are in each."""
+    rows: list[list[np.ndarray]] = [[] for _ in range(max(DEPTHS))]
+    for h, depth in zip(hashes, DEPTHS):
+        for row, x in enumerate(cells(h, shards, depth)):
+            rows[row].append(x)
     own, counts = [], []
-    for x in cells(np.concatenate(hashes), shards):  # rows lie one after the other
-        x.sort()
+    for parts in rows:  # rows lie one after the other
+        x = np.sort(np.concatenate(parts))
         first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
         own.append(x[first])
         counts.append(np.diff(np.concatenate([first, [len(x)]])))
@@ -215,12 +221,12 @@ def _exact(shards: int):
         spread = lambda x: (mix(x) & np.uint64(slots - 1)).astype(np.int64)
         table[spread(own[heavy.astype(bool)])] = True
         out: list[np.ndarray] = []
-        for places, h in starts:
+        for depth, (places, h) in zip(DEPTHS, starts):
             if out:  # both parts of one word less
                 whole = good[places] & good[places + 1]
                 places, h = places[whole], h[whole]
             passed = np.ones(len(h), bool)
-            for row in cells(h, shards):
+            for row in cells(h, shards, depth):
                 passed &= table[spread(row)]
             out.append(places[passed])
             good = np.zeros(len(grams.ids) + 1, bool)
@@ -258,7 +264,7 @@ def frequent_ngrams(docs: DataFrame, *, text: str = "text", lang: str = "lang")
     size = body.agg(F.sum("size")).first()[0] or 0
     # of some six bytes a word; whatever the number of shards, results are the same
     shards = max(1, -(-(size // 6 * LONGEST) // (CELLS * LOAD)))
-    parts = max(DEPTH * shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(max(DEPTHS) * shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = body.mapInArrow(_partial(shards), "shard bigint, chunk bigint, part binary")
     answers = sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "chunk bigint, shard bigint, heavy binary")
     answered = answers.groupBy(F.col("chunk").alias("to")).agg(F.collect_list(F.struct("shard", "heavy")).alias("answers"))
@@ -292,11 +298,13 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", top
     phrases = counts.where("n_words > 1").select("lang", "phrase", "n_words", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     part = lambda lo, size: F.array_join(F.slice("w", lo, size), " ")
     cut = phrases.select("*", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k"))
-    sides = cut.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.col("n_words") - F.col("k")).alias("rest"))
+    # both parts tell the phrase, which therefore does not travel
+    sides = cut.select("lang", "a", part(F.lit(1), F.col("k")).alias("first"), part(F.col("k") + 1, F.col("n_words") - F.col("k")).alias("rest"))
     left = sides.join(known.select("lang", F.col("part").alias("first"), F.col("f").alias("l")), ["lang", "first"])
     both = left.join(known.select("lang", F.col("part").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
     score = F.call_function("div", _wide("a") * F.lit(2_000_000).cast("decimal(8,0)"), _wide("l") + _wide("r"))
-    worst = both.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("z"))
+    own = both.select("lang", "a", F.concat_ws(" ", "first", "rest").alias("phrase"), F.struct(score.alias("score"), F.size(F.split("first", " ")).alias("k"), "l", "r").alias("z"))
+    worst = own.groupBy("lang", "phrase", "a").agg(F.min("z").alias("z"))
     spans = F.expr("flatten(transform(sequence(2, n_words - 1), s -> transform(sequence(1, n_words - s + 1), p -> array_join(slice(w, p, s), ' '))))")
     within = phrases.where("n_words > 2").select("lang", F.explode(F.array_distinct(spans)).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     left_over = worst.join(within, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (_wide("longer") * 100 < _wide("a") * SUBSUMED))
