@@ -31,7 +31,7 @@ BLOCK_BYTES = 4 << 20
 #: Candidate places that are looked at together.
 CANDIDATES = 1 << 21
 
-HITS_SCHEMA = "shard bigint, items array<string>, start binary, length binary"
+HITS_SCHEMA = "shard bigint, names array<array<string>>, window binary, start binary, length binary"
 
 
 @dataclass(frozen=True)
@@ -39,15 +39,21 @@ class TestTerms:
     """The words of a block of test items, numbered, and the windows over them.
 
     ``terms`` are the sorted hashes of the distinct words; ``windows`` holds a
-    row of term numbers for each window, -1 beyond a short window's end.
+    row of term numbers for each different window, -1 beyond a short window's
+    end.  The items that a window stands in are ``item[begin[w]:begin[w + 1]]``.
     """
 
     terms: np.ndarray
     windows: np.ndarray
     length: np.ndarray
+    begin: np.ndarray
     item: np.ndarray
     item_ids: np.ndarray
 
+    def names(self, w: int) -> list[str]:
+        """The ids of the items that a window stands in."""
+        return sorted({str(i) for i in self.item_ids[self.item[self.begin[w] : self.begin[w + 1]]]})
+
 
 def read_test_set(items: list[tuple[int, str | None]], window: int = WINDOW) -> TestTerms:
     """Windows of ``window`` words of each item; an item of fewer words is one window, one without words none."""
@@ -68,8 +74,11 @@ def read_test_set(items: list[tuple[int, str | None]], window: int = WINDOW) ->
             got = np.lib.stride_tricks.sliding_window_view(own, window)
         rows.append(got)
         item += [k] * len(got)
-    windows = np.concatenate(rows) if rows else np.zeros((0, window), np.int32)
-    return TestTerms(terms, windows, (windows >= 0).sum(1), np.array(item, np.int64), np.array([i for i, _ in items], object))
+    every = np.concatenate(rows) if rows else np.zeros((0, window), np.int32)
+    windows, of = np.unique(every, axis=0, return_inverse=True)
+    of = of.ravel()
+    begin = np.searchsorted(np.sort(of), np.arange(len(windows) + 1))
+    return TestTerms(terms, windows, (windows >= 0).sum(1), begin, np.array(item, np.int64)[np.argsort(of, kind="stable")], np.array([i for i, _ in items], object))
 
 
 def build_index(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -134,7 +143,10 @@ def term_counts(index: DataFrame, test: TestTerms) -> np.ndarray:
 
 
 def phrase_matches(index: DataFrame, test: TestTerms, counts: np.ndarray | None = None, *, slop: int = 0) -> DataFrame:
-    """Occurrences of the windows: for each shard the item, start and length (words) of every match.
+    """Occurrences of the windows: for each shard the window, start and length (words) of every match.
+
+    ``names`` are the items of each window that the shard has, and ``window``
+    the place in them; a window of many items is matched and told once.
 
     A window's posting lists are intersected from its rarest term on: the
     positions of that term, less its offset in the window, are the candidate
@@ -155,10 +167,11 @@ def phrase_matches(index: DataFrame, test: TestTerms, counts: np.ndarray | None
                 found = [x for x in shard_matches(np.frombuffer(first, np.int32), terms, np.frombuffer(n, np.int32), np.frombuffer(postings, np.int32)) if len(x[0])]
                 if found:
                     w, start, size = (np.concatenate(x) for x in zip(*found))
-                    items = pa.array([[str(i) for i in test.item_ids[test.item[w]]]], pa.list_(pa.string()))
+                    used, w = np.unique(w, return_inverse=True)
+                    items = pa.array([[test.names(k) for k in used.tolist()]], pa.list_(pa.list_(pa.string())))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([shard], pa.int64()), items, *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (start, size)]],
-                        names=["shard", "items", "start", "length"]
+                        [pa.array([shard], pa.int64()), items, *[pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (w, start, size)]],
+                        names=["shard", "names", "window", "start", "length"]
                     )
 
     def shard_matches(first: np.ndarray, terms: bytes, n: np.ndarray, postings: np.ndarray) -> Iterator[tuple]:
@@ -245,8 +258,9 @@ def summarize(index: DataFrame, hits: DataFrame) -> DataFrame:
                     s, z = np.frombuffer(h["start"], np.int32).astype(np.int64), np.frombuffer(h["length"], np.int32)
                     np.add.at(delta, s, 1)
                     np.add.at(delta, s + z, -1)
-                    for d, i in set(zip((np.searchsorted(first, s, side="right") - 1).tolist(), h["items"])):
-                        own[d].add(i)
+                    pairs = np.stack([np.searchsorted(first, s, side="right") - 1, np.frombuffer(h["window"], np.int32)], 1)
+                    for d, w in np.unique(pairs, axis=0).tolist():
+                        own[d].update(h["names"][w])
                 covered = np.concatenate([[0], np.cumsum(np.cumsum(delta)[:-1] > 0)])
                 n_hit = covered[first[1:]] - covered[first[:-1]]
                 sha = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in own]
@@ -255,7 +269,7 @@ def summarize(index: DataFrame, hits: DataFrame) -> DataFrame:
                     names=names
                 )
 
-    gathered = hits.groupBy("shard").agg(F.collect_list(F.struct("items", "start", "length")).alias("hits"))
+    gathered = hits.groupBy("shard").agg(F.collect_list(F.struct("names", "window", "start", "length")).alias("hits"))
     rows = index.select("shard", "doc_ids", "first").join(gathered, "shard", "left").select("doc_ids", "first", "hits")
     types = (index.schema["doc_ids"].dataType.elementType, T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType())
     return rows.mapInArrow(sums, T.StructType([T.StructField(n, t) for n, t in zip(names, types)]))

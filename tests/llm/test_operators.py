@@ -681,3 +681,16 @@ def test_page_ids_of_64_bits(spark, tmp_path):
     most = (1 << 63) - 1
     assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in rows} == {(most, "response", None), (7, "response", None), *((i, "revisit", most) for i in ids[:3])}
     assert [warc._number(x) for x in ("9223372036854775808", "-9223372036854775809", "00012", "-5", "", "1a", None)] == [None, None, 12, -5, None, None, None]
+
+
+def test_equal_windows_are_matched_once(spark):
+    """Two hundred items of one word cost what one does, and are all told."""
+    items = [(k, "the") for k in range(200)] + [(500, "the end"), (501, None)]
+    test = decontam.read_test_set(items)
+    assert len(test.windows) == 2 and sorted(len(test.names(w)) for w in range(2)) == [1, 200]
+    docs = spark.createDataFrame([(1, "the " * 10_000), (2, "The end."), (3, "nothing")], "doc_id bigint, text string")
+    index = decontam.build_index(docs)
+    hits = decontam.phrase_matches(index, test)
+    assert sum(len(r["start"]) for r in hits.collect()) // 4 == 10_000 + 1 + 1
+    rows = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.summarize(index, hits).collect()}
+    assert rows == {1: (10_000, 200), 2: (2, 201), 3: (0, 0)}
