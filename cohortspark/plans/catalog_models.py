@@ -417,3 +417,20 @@ def _(s: Study) -> DataFrame:
     fit = fit_ols(k, "percentage_loss", BASE)
     rows = quantile_pairs(fit.with_diagnostics(k), "percentage_loss", fit.n)
     return _rows(s, ["bin_order", "probability", "value"], [(r["bin_order"], r["bin_lower"], float(r["value"])) for r in rows], "int double double")
+
+
+_DESIGN = ["first_weight", "treated", *MEAN]
+_PAIRS = " + ".join(f"2 * pow(corr({a}, {b}), 2)" for k, a in enumerate(_DESIGN) for b in _DESIGN[k + 1 :])
+
+
+@query(
+    "q52_collinearity_identities",
+    f" select count(*) as n, {float(len(_DESIGN))}::double as squares, round({len(_DESIGN)} + {_PAIRS}, 6) as fourth_powers from (select *, (member_type = 'MACHINERY')::int::double as treated from features) f"
+)
+def _(s: Study) -> DataFrame:
+    """Of the singular values of standardised columns the squares add up to n p, the fourth powers to n^2 times all squared correlations."""
+    w = wide(s)
+    scale = Scale.of(w, _DESIGN)
+    n = w.count()
+    v = [x * x / n for x in diagnose_collinearity(w, [scale.apply(x) for x in _DESIGN], _DESIGN).singular_values]
+    return _rows(s, ["n", "squares", "fourth_powers"], [(n, float(sum(v)), float(sum(x * x for x in v)))], "bigint double double")
