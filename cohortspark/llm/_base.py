@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_SCOPE: ContextVar[dict[str, DataFrame] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,9 +42,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if (own := _SCOPE.get()) is not None:
+        own[path] = out
     return out
 
 
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at the end, also after a failure, all that :func:`materialize` wrote inside.
+
+    What the yielded function is given stays; it belongs to the scope around
+    this one, if there is one.  Threads have scopes of their own.
+    """
+    outer, own = _SCOPE.get(), {}
+    token = _SCOPE.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.pop(df.written_to)
+        if outer is not None:
+            outer[df.written_to] = df
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        discard(*own.values())
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` wrote and nothing reads any more."""
     for df in tables:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import crowds, discard, left_join, materialize, pieces, release
+from ._base import crowds, discard, left_join, materialize, pieces, release, scope
 from ._words import FOLD, SPACED, mix, word_hashes
 
 SHINGLE = 5
@@ -36,6 +36,8 @@ HELD = 1 << 21
 #: Sets and features of a block of a family; two blocks are compared at a time.
 BLOCK_SETS = 512
 BLOCK_FEATURES = 1 << 20
+#: Members of a group in a row; a larger group has several rows.
+ROW_MEMBERS = 1 << 16
 #: Features of at most so many sets of two blocks are counted by pairs.
 FEW = 16
 
@@ -245,9 +247,10 @@ def set_heads(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
 
 
 def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, text: str = "text") -> DataFrame:
-    """(members) of each signature that several sets share: the sets' names, sorted, one after the other.
+    """(g, z, members) of each signature that several sets share: the sets' names, sorted, one after the other.
 
-    Signatures travel packed: for each task and bucket of signatures the
+    g is a hash of all members and z their number; a row has ``ROW_MEMBERS``
+    of them at most, so that no row grows with a group.  Signatures travel packed: for each task and bucket of signatures the
     distinct sets' names, how many signatures each has there, and those.
     Equal sets of a task are one, so that copies are not repeated.
     """
@@ -318,13 +321,31 @@ def candidate_groups(docs: DataFrame, full: np.ndarray, n_signatures: int, *, te
                 members = np.unique(who[order[a:b]])
                 if len(members) > 1:
                     found.add(names[members].tobytes())
-            todo = list(found)
-            for lo in range(0, len(todo), 1000):
-                yield pa.RecordBatch.from_arrays([pa.array(todo[lo : lo + 1000], pa.binary())], names=["members"])
+            names = None
+            held, size = [], 0
+            for own in found:
+                g, step = set_key(own), 16 * ROW_MEMBERS
+                for lo in range(0, len(own), step):
+                    held.append((g, len(own) // 16, own[lo : lo + step]))
+                    size += len(held[-1][2])
+                    if size > 16 * ROW_MEMBERS:
+                        yield _grouped(held)
+                        held, size = [], 0
+            yield _grouped(held)
 
     rows = docs.select(F.col(text).cast("string").alias("text"))
     shipped = rows.mapInArrow(sign, "bucket int, sets binary, counts binary, sigs binary")
-    return shipped.repartition(n_buckets, "bucket").mapInArrow(group, "members binary")
+    return shipped.repartition(n_buckets, "bucket").mapInArrow(group, "g binary, z bigint, members binary")
+
+
+def set_key(members: bytes) -> bytes:
+    """A group's 128-bit name."""
+    return xxhash.xxh3_128_digest(members)
+
+
+def _grouped(held: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+    g, z, members = zip(*held) if held else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), pa.array(z, pa.int64()), pa.array(members, pa.binary())], names=["g", "z", "members"])
 
 
 def numbered(names: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -340,32 +361,38 @@ def numbered(names: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows:
-            own = [m.as_py() for m in batch.column(1)]
-            size = [len(x) // 16 for x in own]
-            names = pa.Array.from_buffers(pa.binary(16), sum(size), [None, pa.py_buffer(b"".join(own))])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.asarray(batch.column(0)), size)), names.cast(pa.binary()), pa.array(np.repeat(size, size))],
-                names=["g", "v", "z"]
-            )
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            own = part.column(2).to_pylist()
+            size = np.array([len(x) // 16 for x in own])
+            names = pa.Array.from_buffers(pa.binary(16), int(size.sum()), [None, pa.py_buffer(b"".join(own))])
+            at = pa.array(np.repeat(np.arange(len(own)), size))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(at), names.cast(pa.binary()), part.column(1).take(at)], names=["g", "v", "z"])
 
 
 def group_members(groups: DataFrame) -> DataFrame:
     """(g, v, z): the members v of each group and its size."""
-    return groups.select(F.xxhash64("members").alias("g"), "members").mapInArrow(_exploded, "g bigint, v binary, z bigint")
+    return groups.select("g", "z", "members").mapInArrow(_exploded, "g binary, v binary, z bigint")
+
+
+def crowded_groups(members: DataFrame) -> DataFrame:
+    """(g) of the groups with the most members (see :func:`crowds`)."""
+    return crowds(members.groupBy("g").agg(F.count(F.lit(1)).alias("k")), "g", "k", members.count())
 
 
-def families(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def families(members: DataFrame, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hub, v) twice: each set with its most popular hub only, and with every hub.
 
     A set is as popular as all its groups together are large, and the hub of a
     group is its most popular member.  Variants of a text share many signatures
     in many overlapping groups; their hub is the one that is nearest to the
     others.  The second table's families hold every pair that the groups hold.
+    The groups of ``crowd`` are in no task of their own.
     """
     fame = members.groupBy("v").agg(F.sum("z").alias("fame"))
     hubs = members.join(fame, "v").groupBy("g").agg(F.max(F.struct("fame", "v")).alias("h"))
-    known = members.join(hubs, "g").select("v", "h")
+    hubs = materialize(hubs, "group-hubs")
+    known = left_join(members, hubs, "g", crowd, _salt()).select("v", "h")
     best = known.groupBy("v").agg(F.max("h").alias("h")).select(F.col("h.v").alias("hub"), "v")
     return best, known.select(F.col("h.v").alias("hub"), "v").distinct()
 
@@ -441,10 +468,15 @@ def family_links(docs: DataFrame, heads: DataFrame, family: DataFrame, doc_id: s
     smaller than its features; they are made again in the block.
     """
     wanted = family.select(F.col("v").alias("s")).union(family.select(F.col("hub").alias("s"))).distinct()
-    bearers = materialize(heads.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")).where("doc_id is not null"), "bearers")
-    known = family.join(bearers.select(F.col("s").alias("v"), "n"), "v")
+    # copies of a set are one row before they meet it, so that no set is a task
+    first = heads.where("doc_id is not null").groupBy("s").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    bearers = materialize(first.join(wanted, "s", "left_semi"), "bearers")
+    known = materialize(family.join(bearers.select(F.col("s").alias("v"), "n"), "v"), "families")
     sizes = known.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_FEATURES)).cast("int").alias("blocks"))
-    own = known.join(sizes, "hub").withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    sizes = materialize(sizes.withColumn("k", F.col("blocks").cast("bigint") * BLOCK_SETS), "hub-sizes")
+    crowd = crowds(sizes, "hub", "k", known.count())
+    sizes = sizes.drop("k")
+    own = left_join(known, sizes, "hub", crowd, _salt()).withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     if whole:
         spread = own.select("v", "hub", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x")).select(
             "v", F.struct("hub", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j")).alias("block")
@@ -525,24 +557,28 @@ def link_sets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", di
     heads, full = set_heads(docs, doc_id=doc_id, text=text, digest=digest)
     total = heads.agg(F.sum("n")).first()[0] or 0
     spark = docs.sparkSession
-    groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
-    members = materialize(group_members(groups), "members")
-    discard(groups)
-    release(spark)
-    near = materialize(family_links(docs, heads, families(members)[0], doc_id, text, whole=False), "near-links")
-    # a set has one link here, to its hub or to another of its block, and a hub to a more popular one
-    release(spark)
-    label = near.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
-    for _ in range(2):
-        label = materialize(label, "near-labels")
-        label = label.join(label.select(F.col("v").alias("label"), F.col("label").alias("next")), "label", "left").select("v", F.coalesce("next", "label").alias("label"))
-    told = members.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    open_ = told.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
-    left = materialize(members.join(open_, "g", "left_semi"), "open-members")
-    links = materialize(family_links(docs, heads, families(left)[1], doc_id, text, whole=True), "links")
-    discard(members, left)
-    release(spark)
-    return heads, materialize(components(links.unionByName(near)), "labels")
+    with scope() as keep:
+        groups = materialize(candidate_groups(docs, full, total * 2 // 3 + 1, text=text).distinct(), "groups")
+        members = materialize(group_members(groups), "members")
+        discard(groups)
+        release(spark)
+        crowd = crowded_groups(members)
+        near = materialize(family_links(docs, heads, families(members, crowd)[0], doc_id, text, whole=False), "near-links")
+        # a set has one link here, to its hub or to another of its block, and a hub to a more popular one
+        release(spark)
+        label = near.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("label"))
+        for _ in range(2):
+            label = materialize(label, "near-labels")
+            label = label.join(label.select(F.col("v").alias("label"), F.col("label").alias("next")), "label", "left").select("v", F.coalesce("next", "label").alias("label"))
+        told = members.join(label, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        open_ = told.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+        open_ = materialize(open_.withColumn("open", F.lit(True)), "open-groups")
+        left = materialize(left_join(members, open_, "g", crowd, _salt()).where("open").drop("open"), "open-members")
+        links = materialize(family_links(docs, heads, families(left, crowd)[1], doc_id, text, whole=True), "links")
+        discard(members, left)
+        release(spark)
+        labels = keep(materialize(components(links.unionByName(near)), "labels"))
+    return heads, labels
 
 
 def _salt() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.llm import ann, decontam, langid, line_dedup, ngram_join, periodic, phrases, pii, secrets, sentencepieces, sharding, suffix_dedup, warc
+from cohortspark.llm import _base, ann, decontam, langid, line_dedup, ngram_join, periodic, phrases, pii, secrets, sentencepieces, sharding, suffix_dedup, warc
 
 from .cases import corpus, frame, words
 
@@ -206,6 +207,40 @@ def test_ngram_join(spark, monkeypatch, full):
     assert Counter(map(tuple, got)) == classes_by_force(rows)
 
 
+def test_ngram_join_of_crowds(spark, monkeypatch):
+    """Groups of several rows and blocks, and crowds of copies, members and hubs, all far below their usual sizes."""
+    for module, name, value in ((ngram_join, "ROW_MEMBERS", 3), (ngram_join, "BLOCK_SETS", 4), (_base, "CROWD", 2)):
+        monkeypatch.setattr(module, name, value)
+    rng = random.Random(19)
+    rows, base = corpus(), words(rng, 120).split()
+    for k in range(40):
+        own = list(base)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"edit{rng.randint(0, 9)}"
+        rows.append((100 + k, " ".join(own), *[None] * 7))
+    rows += [(200 + k, " ".join(base), *[None] * 7) for k in range(20)]
+    got = ngram_join.similar_documents(frame(spark, rows)).collect()
+    assert Counter(map(tuple, got)) == classes_by_force(rows)
+
+
+def test_scopes_delete_what_is_not_kept(spark):
+    there = lambda df: os.path.isdir(df.written_to)
+    write = lambda name: _base.materialize(spark.range(3).toDF("x"), name)
+    outside = write("outside")
+    with _base.scope() as keep:
+        first = keep(write("first"))
+        with _base.scope() as keep_here:
+            kept, gone = keep_here(write("kept")), write("gone")
+            assert there(gone)
+        assert there(kept) and not there(gone)
+    assert there(outside) and there(first) and not there(kept)
+    with pytest.raises(ZeroDivisionError), _base.scope():
+        gone = write("gone")
+        1 / 0
+    assert not there(gone) and there(write("later"))
+    _base.discard(outside, first)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for size in (1, 2, 4, 5, 9, 17, 40, 123, 400):
@@ -456,7 +491,9 @@ def lines_by_force(rows, ratio):
     return Counter(out)
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_line_dedup(spark, monkeypatch, crowd):
+    monkeypatch.setattr(_base, "CROWD", crowd)
     rows = [(k, f"Menu\nown line {k}\n  Menu\t\n\nfooter {k % 2}", "en", "a" if k < 20 else "b" if k < 23 else None, 1, 1, "k", "s", 5) for k in range(26)]
     rows += [(30, None, None, "a", None, 1, "k", "s", 5), (31, "", None, "a", None, 1, "k", "s", 5), rows[0], (40, "alone\nalone", "en", "c", 1, 1, "k", "s", 5)]
     for ratio in (0.1, 0.6):
