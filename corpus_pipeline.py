@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm import queries as q
-from cohortspark.llm._base import fresh, materialize
+from cohortspark.llm._base import discard, fresh, materialize, scope
 from cohortspark.llm.decontam import decontaminate
 from cohortspark.llm.langid import UNKNOWN, fit, predict
 from cohortspark.llm.line_dedup import drop_boilerplate
@@ -92,8 +92,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again as the next stage's input."""
-    docs = q.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower())
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), "stage-last")
+    """All stages over ``documents``; each result is written and read again as the next stage's input.
+
+    A stage's tables, and the stage's before it, go when its result is written.
+    """
+    docs, before = q.table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES:
+        with scope() as keep:
+            docs = keep(materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-").lower()))
+        discard(*before)
+        before = [docs]
+    return docs
