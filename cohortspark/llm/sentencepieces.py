@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._base import fresh, materialize
+from ._base import crowds, fresh, materialize
 
 SPACE = "▁"
 #: Characters of a chunk; longer texts are cut.
 CHUNK = 1 << 15
+#: Copies of one giant text that a task is given, about.
+COPIES = 1000
 #: A chunk ends before a space among its last characters, if there is one.
 LOOK_BACK = 1 << 10
 #: Matrices that a task combines.
@@ -494,7 +496,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
     that name is replaced.  Texts of more than ``chunk`` characters are
     encoded by the scan; equal texts among them once.  Literal SPACE
     characters are encoded as their bytes, so that decoding gives them back;
-    otherwise the numbers are those of the library.
+    otherwise the numbers are those of the library.  Of neighbouring pairs of
+    equal rank the first is merged, as there.  Repeated rows are encoded alike,
+    each in its row, and an empty table gives none.
     """
     base = docs.drop(ids)
     names = [*base.columns, ids]
@@ -514,7 +518,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
     giants = base.where(giant).withColumn(key, F.sha2(F.col(text), 256))
     texts = giants.select(F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"])
     found = _encode_giants(texts, vocabulary, chunk).withColumnsRenamed({"key": key, "ids": ids})
-    long = giants.join(found, key).select(*base.columns, ids)
+    # copies of a text that very many rows have are dealt over several tasks, each with its numbers once
+    copies, deal = fresh(base, "copies", key), fresh(base, "deal", key)
+    counts = materialize(giants.groupBy(key).agg(F.count(F.lit(1)).alias(copies)), "giant-copies")
+    most = crowds(counts, key, copies, counts.agg(F.sum(copies)).first()[0] or 0)
+    dealt = F.broadcast(counts.join(F.broadcast(most), key, "left_semi").select(key, F.ceil(F.col(copies) / COPIES).cast("int").alias(copies)))
+    deals = F.coalesce(F.col(copies), F.lit(1))
+    own = giants.join(dealt, key, "left").withColumn(deal, F.pmod(F.monotonically_increasing_id(), deals).cast("int")).drop(copies)
+    numbers = found.join(dealt, key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), deals - 1))).drop(copies)
+    long = own.join(numbers, [key, deal]).select(*base.columns, ids)
     return base.where(~giant).mapInArrow(small, schema).unionByName(long)
 
 

@@ -122,6 +122,9 @@ def library():
 def test_sentencepiece_is_the_library_and_a_round_trip(spark, vocabulary, monkeypatch, chunk):
     """With small chunks and small trees every boundary falls into words, runs of spaces and characters of no piece."""
     monkeypatch.setattr(sentencepieces, "FAN", 3 if chunk == 7 else 64)
+    if chunk == 50:  # copies of a text are dealt over several tasks
+        monkeypatch.setattr(_base, "CROWD", 2)
+        monkeypatch.setattr(sentencepieces, "COPIES", 1)
     rng = random.Random(4)
     odd = ["  x  y\tz ", "q" * 300, " " * 90, "=" * 70 + "-" * 70, "梦" * 40 + "a😀b" * 20, "".join(rng.choice("ab .\né梦") for _ in range(400)), "internationalization" * 12]
     rows = [r for r in corpus() if chunk > 7 or len(r[1] or "") < 1000] + [(90, "a ▁b ▁▁ c", *[None] * 7), (91, "▁", *[None] * 7), *((92 + k, t, *[None] * 7) for k, t in enumerate(odd))]
