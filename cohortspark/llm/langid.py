@@ -183,7 +183,10 @@ def predict(docs: DataFrame, net: ByteCNN, *, text: str = "text", lang: str = "l
     The score is the language's mean probability over all windows of the
     text, from 0 to 1; ties go to the first language by name.  Null text, and
     text without a letter, is ``und`` with score 0, as is all text when the
-    network has learnt no language.
+    network has learnt no language.  Equal texts, repeated rows among them,
+    have equal results; a very long text is read window by window to its end,
+    and an empty table gives none.  Columns named as ``lang`` and ``score``
+    say are replaced.
     """
     base = docs.drop(lang, score)
     fields = base.columns

@@ -599,7 +599,9 @@ def similar_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     ``component_id`` is the smallest doc_id reachable by links, itself
     included.  Documents without words, null text included, have no shingles
     and no links; those with a null id have no links and a null component.
-    Repeated rows are equal sets.  An empty table gives none.
+    Repeated rows are equal sets.  A very long text is one set of all its
+    shingles, in one task.  Other columns are not read.  An empty table gives
+    none.
     """
     heads, labels = link_sets(docs, doc_id=doc_id, text=text)
     told = materialize(_labelled(heads, labels), "told")

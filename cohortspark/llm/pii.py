@@ -411,8 +411,14 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", net
     """A row a document: counts of the base spans by kind, their digest, all spans and their number.
 
     Positions are code points, ends are exclusive.  Null and empty text has
-    no spans.  Repeated rows have a row each.  Without a network one is
-    trained on spans in pieces of the documents.
+    no spans.  Repeated rows have a row each, and an empty table gives none.
+    A very long text is decoded window by window to its end; where windows
+    overlap a character's label is that of the window in which it lies deepest,
+    of equally deep ones the earlier.  The network's spans that are longer than
+    a window are put together of its labels in neighbouring windows, if these
+    have a digit or an at sign near; base spans have any length.  Columns
+    besides the id and the text are not read.  Without a network one is trained
+    on spans in pieces of the documents.
     """
     net = net or train(carriers=carriers(docs, text=text))
 

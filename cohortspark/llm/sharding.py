@@ -41,7 +41,9 @@ def assign_shards(
     buckets' sizes (``shards * buckets`` rows at most, which bounds what is
     broadcast) give each bucket its first slot, and a sort within the bucket
     the rest.  Rows with equal keys are ordered by ``tie_break``; rows equal in
-    all of it get their slots in any order.  An empty table gives none.
+    all of it get their slots in any order, in one sort.  Columns named as
+    ``shard``, ``slot`` and ``grown`` say are replaced.  Texts of any length are
+    only hashed.  An empty table gives none.
     """
     b, first = fresh(df, "bucket"), fresh(df, "first")
     out = df.withColumns({shard: rendezvous_shard([F.col(key)], weights), grown: rendezvous_shard([F.col(key)], [*weights, grown_weight])})
