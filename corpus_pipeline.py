@@ -41,7 +41,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their site's boilerplate lines; those of nothing else go."""
+    """Documents without their site's boilerplate lines; those of nothing else go.
+
+    Documents without a site or text stay as they are; ids are not read, and
+    repeated rows are pages of their own.  An empty table gives none.
+    """
     kept, lines, dropped = (fresh(docs, x) for x in ("kept", "lines", "dropped"))
     out = drop_boilerplate(docs, "source", "text", kept=kept, n_lines=lines, n_dropped=dropped)
     left = out.where((F.col(dropped) == 0) | F.coalesce(F.length(F.trim(F.regexp_replace(kept, r"\s+", " "))) > 0, F.lit(False)))
@@ -66,7 +70,11 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark; each row is judged by its own text, which its MD5 names."""
+    """Documents without a passage of the benchmark; each row is judged by its own text, which its MD5 names.
+
+    Null and empty texts hold none and stay, whatever their ids; repeated rows
+    stay or go together.  An empty table gives none.
+    """
     h = fresh(docs, "h")
     own = docs.select(text_digest("text").alias("doc_id"), "text")
     # written first, so that its size is known: small, it is broadcast and the texts stay where they are
@@ -75,7 +83,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's tokens: counted, digested, and decoded again."""
+    """Each document's tokens: counted, digested, and decoded again.
+
+    A row a row, repeated ones and null ids too; null text has 0 tokens.  An
+    empty table gives none.
+    """
     return q.token_summary(docs)
 
 
