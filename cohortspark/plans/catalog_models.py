@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,16 @@ def wide(s: Study) -> DataFrame:
     return features_of(s).withColumn("treated", F.when(F.col("member_type") == RULES.treated, 1.0).otherwise(0.0))
 
 
+@contextmanager
+def once(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
+    """``df`` (some columns of it) made once and kept: a fit reads its rows several times."""
+    kept = (df.select(*columns) if columns else df).persist()
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 # Closed forms: with one slope and two groups the slope is that within groups.
 _OLS = """, k as (select *, case when member_type = 'MACHINERY' then 1 else 0 end as g, first_weight as x, percentage_loss as y from cohort),
 means as (select g, count(*) as n, avg(x) as mx, avg(y) as my from k group by g),
@@ -381,9 +393,9 @@ def _(s: Study) -> DataFrame:
 union all select * from (with {_OLS.lstrip(', ')}
   select 'percentage_loss_ols', n::bigint, 4, null, round(n * (ln(2 * pi() * rss / n) + 1), 4), round(n * (ln(2 * pi() * rss / n) + 1) + 8, 4), round(n * (ln(2 * pi() * rss / n) + 1) + 4 * ln(n), 4), round(1 - rss / tss, 6), round(sqrt(rss / n), 6) from fit) o""")
 def _(s: Study) -> DataFrame:
-    k = cohort_of(s)
-    fits = {x: fit_gls(k, ["treated"], scale_name="log", structure=x) for x in ("unstructured", "compound_symmetry", "iid")}
-    table = model_summary({**fits, "percentage_loss_ols": fit_ols(k, "percentage_loss", BASE)})
+    with once(cohort_of(s), "last_weight", "percentage_loss", *BASE) as k:
+        fits = {x: fit_gls(k, ["treated"], scale_name="log", structure=x) for x in ("unstructured", "compound_symmetry", "iid")}
+        table = model_summary({**fits, "percentage_loss_ols": fit_ols(k, "percentage_loss", BASE)})
     four, six = ("log_likelihood", "deviance", "aic", "bic"), ("r_squared", "rmse")
     rows = [(r.model_id, int(r.n_members), int(r.parameters), *(None if math.isnan(v) else round(v, d) for d, names in ((4, four), (6, six)) for v in (float(getattr(r, n)) for n in names))) for r in table.itertuples()]
     return _rows(s, ["model_id", "n_members", "parameters", *four, *six], rows, "string bigint bigint" + " double" * 6)
