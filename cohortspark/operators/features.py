@@ -17,7 +17,15 @@ def classify_events(engagement: DataFrame, rules: Rules) -> DataFrame:
 
     Always over the whole engagement table, whoever is in a cohort.
     """
-    per = engagement.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("member_id").alias("distinct_members"))
+    return _classified(engagement.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("member_id").alias("distinct_members")), rules)
+
+
+def classify_pairs(pairs: DataFrame, rules: Rules) -> DataFrame:
+    """:func:`classify_events` from the pairs of :func:`event_pairs`."""
+    return _classified(pairs.groupBy("event_type").agg(F.sum("events").alias("events"), F.count("member_id").alias("distinct_members")), rules)
+
+
+def _classified(per: DataFrame, rules: Rules) -> DataFrame:
     per = per.withColumn("events_per_member", ratio(F.col("events"), F.col("distinct_members")))
     return per.withColumn("is_repeatable", holds((F.col("events_per_member") >= rules.repeatable_ratio) & (F.col("distinct_members") >= rules.repeatable_members)))
 
@@ -40,13 +48,28 @@ def cutoff_audit(facts: DataFrame, cohort: DataFrame, at: str) -> DataFrame:
     return facts.agg(F.count(F.lit(1)).alias("source_rows")).crossJoin(own)
 
 
-def event_counts(engagement: DataFrame, cohort: DataFrame, rules: Rules) -> DataFrame:
-    """Sparse (member, event type) counts of kept events, with the type's class; absent pairs have no row."""
-    kept = _cut(engagement, cohort, "activity_at").where(F.col("kept") & F.col("event_type").isNotNull())
-    pairs = kept.groupBy("member_id", "event_type").agg(F.count(F.lit(1)).alias("event_count"))
-    return pairs.join(
-        classify_events(engagement, rules).select("event_type", "is_repeatable"), "event_type", "left"
-    ).select("member_id", "event_type", "event_count", "is_repeatable")
+def event_pairs(engagement: DataFrame, cohort: DataFrame) -> DataFrame:
+    """(member, event type) with all ``events`` and the cohort's kept ones, ``event_count``; a row a pair, whoever is in the cohort.
+
+    Classes and counts both come from it: who keeps it reads the engagement
+    table once.
+    """
+    dates = cohort.select("member_id", F.col("last_weight_at").alias("_until"))
+    kept = F.col("_until").isNotNull() & holds(F.col("activity_at") <= F.col("_until"))
+    return engagement.join(dates, "member_id", "left").groupBy("member_id", "event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(kept).alias("event_count"))
+
+
+def event_counts(engagement: DataFrame, cohort: DataFrame, rules: Rules, pairs: DataFrame | None = None) -> DataFrame:
+    """Sparse (member, event type) counts of kept events, with the type's class; absent pairs have no row.
+
+    ``pairs`` are those of :func:`event_pairs`, if the caller keeps them.
+    """
+    if pairs is None:
+        kept = _cut(engagement, cohort, "activity_at").where(F.col("kept") & F.col("event_type").isNotNull())
+        own, classes = kept.groupBy("member_id", "event_type").agg(F.count(F.lit(1)).alias("event_count")), classify_events(engagement, rules)
+    else:
+        own, classes = pairs.where((F.col("event_count") > 0) & F.col("event_type").isNotNull()), classify_pairs(pairs, rules)
+    return own.join(classes.select("event_type", "is_repeatable"), "event_type", "left").select("member_id", "event_type", "event_count", "is_repeatable")
 
 
 def engagement_features(cohort: DataFrame, counts: DataFrame, rules: Rules) -> DataFrame:
@@ -83,9 +106,9 @@ def module_features(cohort: DataFrame, kept: DataFrame, rules: Rules) -> DataFra
     return joined.withColumn("module_mean", sum((F.col(f"module_{n}") for n in names[1:]), F.col(f"module_{names[0]}")) / float(len(names)))
 
 
-def member_features(engagement: DataFrame, modules: DataFrame, cohort: DataFrame, rules: Rules) -> DataFrame:
+def member_features(engagement: DataFrame, modules: DataFrame, cohort: DataFrame, rules: Rules, pairs: DataFrame | None = None) -> DataFrame:
     """The cohort with all features: two fact scans, each aggregated once to members."""
-    counts = event_counts(engagement, cohort, rules)
+    counts = event_counts(engagement, cohort, rules, pairs)
     wide = engagement_features(cohort, counts, rules)
     return module_features(wide, kept_modules(modules, cohort, rules), rules)
 

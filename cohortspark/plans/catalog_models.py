@@ -266,18 +266,19 @@ select event_type, round(p, 6) as p_value, round(least(1, min(p * m / place) ove
 union all select event_type, null, null from ps where p is null"""
 
 
+def _associations(s: Study) -> DataFrame:
+    with once(cohort_of(s), "member_id", "last_weight_at", "percentage_loss", "weight_days", *BASE) as k, once(f.event_pairs(s.engagement, k)) as pairs:
+        return activity_associations(k, f.event_counts(s.engagement, k, RULES, pairs), f.classify_pairs(pairs, RULES), ["treated"])
+
+
 @query("q37_activity_associations", _association_fits() + " " + _TESTED)
 def _(s: Study) -> DataFrame:
-    k = cohort_of(s)
-    types = f.classify_events(s.engagement, RULES)
-    return activity_associations(k, f.event_counts(s.engagement, k, RULES), types, ["treated"]).drop("p_value")  # a normal probability: DuckDB has no erf
+    return _associations(s).drop("p_value")  # a normal probability: DuckDB has no erf
 
 
 @query("q40_activity_p_values", _association_fits() + _P_VALUES)
 def _(s: Study) -> DataFrame:
-    k = cohort_of(s)
-    types = f.classify_events(s.engagement, RULES)
-    return adjust_p(activity_associations(k, f.event_counts(s.engagement, k, RULES), types, ["treated"]), "p_value").select("event_type", "p_value", "fdr_adjusted_p_value")
+    return adjust_p(_associations(s), "p_value").select("event_type", "p_value", "fdr_adjusted_p_value")
 
 
 @query("q38_collinearity")
