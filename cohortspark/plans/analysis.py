@@ -226,8 +226,9 @@ def _run(study: Study, rules: Rules, config: Config, actionability: dict[str, st
     require_keys(study.demographics, "member_id", "demographics")
     require_keys(study.weights, "member_id", "weights")
     members = keep(c.members(study, rules))
-    types = keep(f.classify_events(study.engagement, rules))
-    wide = f.member_features(study.engagement, study.modules, members, rules)
+    pairs = keep(f.event_pairs(study.engagement, members))
+    types = keep(f.classify_pairs(pairs, rules))
+    wide = f.member_features(study.engagement, study.modules, members, rules, pairs)
     wide = Contrasts("member_type", (rules.treated, rules.reference), rules.reference).apply(wide, ["treated"])
     sexes: list[str] = []
     if not wide.where("sex is not null").isEmpty():
@@ -331,7 +332,7 @@ def build_tables(
             denominator_definition=np.where(eng["metric"].str.contains("rate"), f"at least {rules.floor_days:g} days", "")
         )
     )
-    counts = f.event_counts(study.engagement, members, rules)
+    counts = f.event_counts(study.engagement, members, rules, pairs)
     with_treated = wide.select("member_id", "percentage_loss", "first_weight", "treated", "weight_days")
     classed = d.classify_strictly(types, actionability)
     acts = d.activities(counts, members.count(), types).join(classed.select("event_type", "actionability_class"), "event_type").toPandas()

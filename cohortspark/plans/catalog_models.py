@@ -48,6 +48,13 @@ def once(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+@contextmanager
+def wide_once(s: Study, *columns: str) -> Iterator[DataFrame]:
+    """``wide``, of which the cohort, the event pairs and the rows are each made once."""
+    with once(cohort_of(s)) as k, once(f.event_pairs(s.engagement, k)) as pairs, once(f.member_features(s.engagement, s.modules, k, RULES, pairs), *columns) as w:
+        yield w
+
+
 # Closed forms: with one slope and two groups the slope is that within groups.
 _OLS = """, k as (select *, case when member_type = 'MACHINERY' then 1 else 0 end as g, first_weight as x, percentage_loss as y from cohort),
 means as (select g, count(*) as n, avg(x) as mx, avg(y) as my from k group by g),
@@ -212,25 +219,24 @@ zr as (select (z - means.mz) - c * (x - means.mx) as r, e, y from points join me
 o as (select sum(r * e) / sum(r * r) as whole, count(*) as n from zr)
 select 'engagement_breadth' as candidate, round(whole * 0.5, 6) as coefficient from o""")
 def _(s: Study) -> DataFrame:
-    fit = ls.fit_lasso(wide(s), "percentage_loss", BASE, ["engagement_breadth"], 0.5)
+    with wide_once(s, *BASE, "engagement_breadth", "percentage_loss") as w:
+        fit = ls.fit_lasso(w, "percentage_loss", BASE, ["engagement_breadth"], 0.5)
     return _rows(s, ["candidate", "coefficient"], [("engagement_breadth", float(fit.coefficients[0]))], "string double")
 
 
 @query("q36_lasso_tuning_and_stability")
 def _(s: Study) -> DataFrame:
-    w = wide(s).persist()
-    folds = ls.assign_folds(w, "member_id", "member_type", folds=5, repeats=2, seed=SEED + 1000).persist()
     domains = [*MEAN[:-1], *[f"module_{n}" for n, _, _ in RULES.module_domains]]
     rows = []
-    for spec, names, seed in (("mean", MEAN, SEED + 11000), ("domains", domains, SEED + 12000)):
-        own = [*BASE, *names, "percentage_loss"]
-        scale = Scale.of(w.dropna(subset=own), own)
-        tuned = ls.tune(w, folds, "percentage_loss", BASE, names, scale=scale)
-        fit = ls.fit_lasso(w, "percentage_loss", BASE, names, tuned.ratio, scale=scale)
-        samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=100, seed=seed)
-        counts, n = ls.stability(w, samples, "percentage_loss", BASE, names, tuned.ratio, scale=scale)
-        rows += [(spec, x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(names, fit.coefficients)]
-    w.unpersist(), folds.unpersist()
+    with wide_once(s, "member_id", "member_type", *BASE, *MEAN, *domains[len(MEAN) - 1 :], "percentage_loss") as w, once(ls.assign_folds(w, "member_id", "member_type", folds=5, repeats=2, seed=SEED + 1000)) as folds:
+        for spec, names, seed in (("mean", MEAN, SEED + 11000), ("domains", domains, SEED + 12000)):
+            own = [*BASE, *names, "percentage_loss"]
+            scale = Scale.of(w.dropna(subset=own), own)
+            tuned = ls.tune(w, folds, "percentage_loss", BASE, names, scale=scale)
+            fit = ls.fit_lasso(w, "percentage_loss", BASE, names, tuned.ratio, scale=scale)
+            samples = ls.subsamples(w, "member_id", "member_type", fraction=0.7, n=100, seed=seed)
+            counts, n = ls.stability(w, samples, "percentage_loss", BASE, names, tuned.ratio, scale=scale)
+            rows += [(spec, x, tuned.ratio, float(b), counts[x], counts[x] / n) for x, b in zip(names, fit.coefficients)]
     names = ["module_spec", "candidate", "lambda_ratio", "coefficient", "selection_count", "selection_frequency"]
     return _rows(s, names, rows, "string string double double bigint double")
 
@@ -283,9 +289,9 @@ def _(s: Study) -> DataFrame:
 
 @query("q38_collinearity")
 def _(s: Study) -> DataFrame:
-    w = wide(s)
     names = ["intercept", "first_weight", "treated", *MEAN]
-    got = diagnose_collinearity(w, [F.lit(1.0), *[F.col(x) for x in names[1:]]], names)
+    with wide_once(s, *names[1:]) as w:
+        got = diagnose_collinearity(w, [F.lit(1.0), *[F.col(x) for x in names[1:]]], names)
     return _rows(s, ["position", "singular_value", "rank"], [(k, v, got.rank) for k, v in enumerate(got.singular_values)], "int double int")
 
 
@@ -325,11 +331,8 @@ def _(s: Study) -> DataFrame:
 
 @query("q42_longitudinal_lasso")
 def _(s: Study) -> DataFrame:
-    w = wide(s).persist()
-    try:
+    with wide_once(s, "member_id", "member_type", "last_weight", *BASE, *MEAN) as w:
         rows = exploratory_records(w, fit_gls(w, ["treated"], scale_name="log", structure="compound_symmetry"), MEAN)
-    finally:
-        w.unpersist()
     return _rows(s, ["variable", "selected", "coefficient", "estimable"], [(r["variable"], r["count"], r["value"], r["estimable"]) for r in rows], "string int double boolean")
 
 
@@ -349,8 +352,9 @@ def _(s: Study) -> DataFrame:
 @query("q45_lasso_huge_candidate", ORACLE_SQL["q35_lasso_one_candidate"].removeprefix(f"with {PREFIX} "))
 def _(s: Study) -> DataFrame:
     """The fit of q35 with its candidate times 1e200 and its baseline over 1e200, told in the units of q35."""
-    far = wide(s).withColumns({"engagement_breadth": F.col("engagement_breadth") * 1e200, "first_weight": F.col("first_weight") / 1e200})
-    fit = ls.fit_lasso(far, "percentage_loss", BASE, ["engagement_breadth"], 0.5)
+    with wide_once(s, *BASE, "engagement_breadth", "percentage_loss") as w:
+        far = w.withColumns({"engagement_breadth": F.col("engagement_breadth") * 1e200, "first_weight": F.col("first_weight") / 1e200})
+        fit = ls.fit_lasso(far, "percentage_loss", BASE, ["engagement_breadth"], 0.5)
     return _rows(s, ["candidate", "coefficient"], [("engagement_breadth", float(fit.coefficients[0]) * 1e200)], "string double")
 
 
@@ -442,8 +446,8 @@ _PAIRS = " + ".join(f"2 * pow(corr({a}, {b}), 2)" for k, a in enumerate(_DESIGN)
 )
 def _(s: Study) -> DataFrame:
     """Of the singular values of standardised columns the squares add up to n p, the fourth powers to n^2 times all squared correlations."""
-    w = wide(s)
-    scale = Scale.of(w, _DESIGN)
-    n = w.count()
-    v = [x * x / n for x in diagnose_collinearity(w, [scale.apply(x) for x in _DESIGN], _DESIGN).singular_values]
+    with wide_once(s, *_DESIGN) as w:
+        scale = Scale.of(w, _DESIGN)
+        n = w.count()
+        v = [x * x / n for x in diagnose_collinearity(w, [scale.apply(x) for x in _DESIGN], _DESIGN).singular_values]
     return _rows(s, ["n", "squares", "fourth_powers"], [(n, float(sum(v)), float(sum(x * x for x in v)))], "bigint double double")

@@ -21,7 +21,7 @@ from cohortspark.operators import cohort as c
 from cohortspark.operators import describe as d
 from cohortspark.operators import features as f
 from cohortspark.operators.quality import key_quality, require_keys
-from cohortspark.plans import analysis, contract, evidence, figures, lasso, longitudinal, models, moments, publish, store
+from cohortspark.plans import analysis, catalog, contract, evidence, figures, lasso, longitudinal, models, moments, publish, store
 from cohortspark.plans.schemas import SCHEMAS
 from cohortspark.sources.extracts import MODULES, load_study, read_extract
 
@@ -589,3 +589,41 @@ def test_evidence_follows_the_tables():
         assert evidence.modules(t).status == "not_comparable"
     act = lambda *p: {"engagement_activity_summary": pd.DataFrame([dict(event_type=f"e{k}", test_status="tested" if x is not None else "insufficient_reach", estimate=1.0, fdr_adjusted_p_value=x) for k, x in enumerate(p)])}
     assert [evidence.activities(act(*p)).status for p in ((0.01, 0.2), (0.2, None), (None,))] == ["supported", "inconclusive", "not_tested"]
+
+
+def test_pairs_give_the_classes_and_counts(spark):
+    day = "2025-01-0"
+    rows = [(m, f"{day}{1 + k % 9}" if k % 5 else None, e) for k, (m, e) in enumerate([(m, e) for m in ("a", "b", "c", None) for e in ("X", "Y", None)] * 7)]
+    engagement = spark.createDataFrame(rows, "member_id string, activity_at string, event_type string").withColumn("activity_at", F.to_date("activity_at"))
+    cohort = spark.createDataFrame([("a", f"{day}4"), ("b", None), ("d", f"{day}9")], "member_id string, last_weight_at string").withColumn("last_weight_at", F.to_date("last_weight_at"))
+    rules = replace(RULES, repeatable_ratio=1.0, repeatable_members=3)
+    told = lambda df: sorted(map(repr, df.collect()))
+    pairs = f.event_pairs(engagement, cohort)
+    assert told(f.classify_pairs(pairs, rules)) == told(f.classify_events(engagement, rules))
+    assert told(f.event_counts(engagement, cohort, rules, pairs)) == told(f.event_counts(engagement, cohort, rules)) != []
+
+
+@pytest.mark.parametrize("name", ["q37_activity_associations", "q38_collinearity", "q40_activity_p_values", "q42_longitudinal_lasso", "q45_lasso_huge_candidate", "q48_model_summary", "q52_collinearity_identities"])
+def test_sources_are_read_once(spark, monkeypatch, name):
+    from __spark_entry__ import SMOKE_DIR, queries
+
+    real, told = catalog.order_study, {}
+
+    def counted(df, source):
+        told[source] = (df.count(), spark.sparkContext.accumulator(0))
+
+        def run(batches, seen=told[source][1]):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    def order_study(*args):
+        s = real(*args)
+        return replace(s, **{x: counted(getattr(s, x), x) for x in ("weights", "engagement", "modules")})
+
+    monkeypatch.setattr(catalog, "order_study", order_study)
+    queries()[name](spark, SMOKE_DIR).collect()
+    assert len(told) == 3 and all(seen.value in (0, n) for n, seen in told.values())
+    assert told["weights"][1].value > 0
