@@ -627,3 +627,14 @@ def test_sources_are_read_once(spark, monkeypatch, name):
     queries()[name](spark, SMOKE_DIR).collect()
     assert len(told) == 3 and all(seen.value in (0, n) for n, seen in told.values())
     assert told["weights"][1].value > 0
+
+
+def test_resample_moments_are_those_of_the_spread_rows(spark):
+    rows = [(f"m{k}" if k else None, "ab"[k % 2] if k % 11 else None, float(k % 7), None if k == 5 else float(k * k % 13)) for k in range(90)]
+    points = spark.createDataFrame(rows, "member_id string, kind string, x double, y double").repartition(3)
+    samples = lasso.subsamples(points, "member_id", "kind", fraction=0.6, n=5, seed=4)
+    scale = moments.Scale.of(points.dropna(subset=["x", "y"]), ["x", "y"])
+    want = moments.moments(samples.spread(points), ["x", "y"], by=["resample"], scale=scale).grams
+    got = samples.moments(points, ["x", "y"], scale).grams
+    assert got.keys() == want.keys() and len(want) == 5
+    assert all(np.allclose(got[k], want[k], rtol=1e-12, atol=1e-12) for k in want)
