@@ -254,7 +254,7 @@ def _run(study: Study, rules: Rules, config: Config, actionability: dict[str, st
     if best != OLS_MODEL:
         raise ValueError(f"{best} won the comparison; only {OLS_MODEL} can be locked")
     locked = locked_candidates(specs[chosen], config.threshold)
-    tables = build_tables(study, rules, config, members, types, wide, cv, best, specs, chosen, locked, base, actionability)
+    tables = build_tables(study, rules, config, members, pairs, types, wide, cv, best, specs, chosen, locked, base, actionability)
     for k, kind in (("lasso_mean_selection", "mean"), ("lasso_domain_selection", "domains")):
         check_selection(tables[k], specs[kind].candidates)
     flow = tables["cohort_flow"].iloc[-1]
@@ -301,7 +301,7 @@ def small(df: DataFrame, *order: str) -> pd.DataFrame:
 
 
 def build_tables(
-    study: Study, rules: Rules, config: Config, members: DataFrame, types: DataFrame, wide: DataFrame, cv: DataFrame, best: str,
+    study: Study, rules: Rules, config: Config, members: DataFrame, pairs: DataFrame, types: DataFrame, wide: DataFrame, cv: DataFrame, best: str,
     specs: dict[str, Specification], chosen: str, locked: Sequence[str], base: Sequence[str], actionability: dict[str, str]
 ) -> dict[str, pd.DataFrame]:
     out: dict[str, pd.DataFrame] = {}
