@@ -96,6 +96,15 @@ def test_suffix_dedup_strings_that_a_polynomial_hash_confuses(spark):
     assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
 
 
+def test_suffix_dedup_copies_travel_without_marks(spark):
+    rng = random.Random(12)
+    whole = words(rng, 150)
+    rows = [(k, whole, *[None] * 7) for k in range(40)] + [(50, whole[:500] + words(rng, 100), *[None] * 7)]
+    assert removed(frame(spark, rows)) == repeats_by_force([r[1] for r in rows])
+    found = suffix_dedup.repeats(frame(spark, rows))[0].collect()
+    assert sorted((r["whole"], len(r["marks"]) > 0) for r in found) == [(False, True), (True, False)]
+
+
 def test_suffix_dedup_crowds(spark):
     text = words(random.Random(8), 120)
     rows = [(k, text, *[None] * 7) for k in range(1500)] + [(5000, "x" * 50 + text[:450], *[None] * 7)]
