@@ -205,8 +205,44 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from answers()
 
 
-def _exact(shards: int):
-    """(lang, body, answers) to (lang, phrase, n_words, n): a chunk's exact counts of its survivors; a null phrase has the number of all words."""
+def _listed(counted: list[tuple[bytes, int]]) -> bytes:
+    """Phrases and their counts, packed; in order, so that equal beginnings are neighbours."""
+    counted.sort()
+    head = np.array([n for _, n in counted], "<u4")
+    return zstandard.compress(len(head).to_bytes(4, "little") + head.tobytes() + b"\n".join([w for w, _ in counted]))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, counts) in order of language and bucket to (lang, phrase, n_words, n) of frequent phrases; a null phrase has the number of all words.
+
+    The phrases of one bucket are held at a time; the number of buckets grows
+    with the corpus, so a bucket's phrases do not.
+    """
+    now, total = None, {}
+
+    def told() -> pa.RecordBatch:
+        kept = [(w, n) for w, n in total.items() if n >= LEAST or not w]
+        phrases = [w.decode() if w else None for w, _ in kept]
+        sizes = [w.count(b" ") + 1 if w else 0 for w, _ in kept]
+        return pa.RecordBatch.from_arrays([pa.array([now[0]] * len(kept), pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array([n for _, n in kept], pa.int64())], names=["lang", "phrase", "n_words", "n"])
+
+    for batch in batches:
+        for lang, bucket, packed in zip(*(batch.column(c) for c in ("lang", "bucket", "counts"))):
+            key = lang.as_py(), bucket.as_py()
+            if key != now and total:
+                yield told()
+                total = {}
+            now = key
+            raw = zstandard.decompress(packed.as_py())
+            size = int.from_bytes(raw[:4], "little")
+            for w, n in zip(raw[4 + 4 * size :].split(b"\n"), np.frombuffer(raw, "<u4", size, offset=4).tolist()):
+                total[w] = total.get(w, 0) + n
+    if total:
+        yield told()
+
+
+def _exact(shards: int, buckets: int):
+    """(lang, body, answers) to (lang, bucket, counts): a chunk's exact counts of its survivors, packed for each bucket of phrases; an empty phrase has the number of all words."""
     slots = 1 << 22
 
     def survivors(grams: Grams, answers: list[dict]) -> list[np.ndarray]:
@@ -238,7 +274,7 @@ def _exact(shards: int):
             for k in range(batch.num_rows):
                 lang, body, answers = (batch.column(c)[k].as_py() for c in ("lang", "body", "answers"))
                 grams = Grams(lang, body)
-                words, sizes, counts = [None], [0], [int((grams.ids > 0).sum())]
+                words, counts = [b""], [int((grams.ids > 0).sum())]
                 if answers:
                     number = np.zeros(len(grams.ids), np.int64)  # of the n-gram of one word less that starts at a place
                     for n, places in enumerate(survivors(grams, answers), 1):
@@ -246,10 +282,13 @@ def _exact(shards: int):
                         _, first, of, m = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                         number = np.zeros(len(grams.ids), np.int64)
                         number[places] = of
-                        words += [" ".join(grams.words[w].decode() for w in grams.ids[p : p + n].tolist()) for p in places[first].tolist()]
-                        sizes += [n] * len(m)
+                        words += [b" ".join([grams.words[w] for w in grams.ids[p : p + n].tolist()]) for p in places[first].tolist()]
                         counts += m.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words, pa.string()), pa.array(sizes, pa.int32()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n_words", "n"])
+                dealt: dict[int, list[int]] = {}
+                for k, w in enumerate(words):
+                    dealt.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(k)
+                blobs = [_listed([(words[k], counts[k]) for k in own]) for own in dealt.values()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(dealt)), pa.array(list(dealt), pa.int64()), pa.array(blobs, pa.binary())], names=["lang", "bucket", "counts"])
 
     return run
 
@@ -268,8 +307,10 @@ def frequent_ngrams(docs: DataFrame, *, text: str = "text", lang: str = "lang")
     sent = body.mapInArrow(_partial(shards), "shard bigint, chunk bigint, part binary")
     answers = sent.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(_merge, "chunk bigint, shard bigint, heavy binary")
     answered = answers.groupBy(F.col("chunk").alias("to")).agg(F.collect_list(F.struct("shard", "heavy")).alias("answers"))
-    told = body.join(answered, body["chunk"] == answered["to"], "left").select("lang", "body", "answers").mapInArrow(_exact(shards), "lang string, phrase string, n_words int, n bigint")
-    out = materialize(told.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST) | F.col("phrase").isNull()), "phrase-counts")
+    told = body.join(answered, body["chunk"] == answered["to"], "left").select("lang", "body", "answers").mapInArrow(_exact(shards, shards), "lang string, bucket bigint, counts binary")
+    # packed, a phrase of many chunks costs some bytes in each, not a row
+    summed = told.repartition(parts, "lang", "bucket").sortWithinPartitions("lang", "bucket").mapInArrow(_summed, "lang string, phrase string, n_words int, n bigint")
+    out = materialize(summed, "phrase-counts")
     discard(body)
     return out
 

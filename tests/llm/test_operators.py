@@ -743,3 +743,19 @@ def test_equal_windows_are_matched_once(spark):
     assert sum(len(r["start"]) for r in hits.collect()) // 4 == 10_000 + 1 + 1
     rows = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.summarize(index, hits).collect()}
     assert rows == {1: (10_000, 200), 2: (2, 201), 3: (0, 0)}
+
+
+def test_phrases_chunks_send_their_counts_in_buckets():
+    import pyarrow as pa
+    import zstandard
+
+    text = b" ".join(b"w%d w%d x." % (k % 40, k % 7) for k in range(2000))
+    body = zstandard.compress(text)
+    batch = lambda **c: pa.RecordBatch.from_arrays([pa.array(x) for x in c.values()], names=list(c))
+    sent = list(phrases._partial(1)(iter([batch(chunk=[0, 1], lang=["en"] * 2, body=[body] * 2)])))
+    answers = [r for b in phrases._merge(iter(sent)) for r in b.to_pylist()]
+    per = [[{"shard": a["shard"], "heavy": a["heavy"]} for a in answers if a["chunk"] == c] for c in (0, 1)]
+    counted = list(phrases._exact(1, 1)(iter([batch(lang=["en"] * 2, body=[body] * 2, answers=per)])))
+    assert sum(b.num_rows for b in counted) == 2  # not a row for each phrase
+    told = {r["phrase"]: r["n"] for b in phrases._summed(iter(counted)) for r in b.to_pylist()}
+    assert told[None] == 12000 and told["x"] == 4000 and told["w3"] == 2 * sum((k % 40 == 3) + (k % 7 == 3) for k in range(2000))
