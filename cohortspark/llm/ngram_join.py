@@ -32,7 +32,7 @@ SLICE = 1 << 14
 #: Signatures of one bucket of the signature shuffle, about.
 BUCKET_SIGNATURES = 1 << 20
 #: Signatures that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Sets and features of a block of a family; two blocks are compared at a time.
 BLOCK_SETS = 512
 BLOCK_FEATURES = 1 << 20

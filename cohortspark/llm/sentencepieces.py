@@ -489,7 +489,7 @@ def _ids_array(column: list[bytes | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array([x is None for x in column]))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids: str = "ids", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids: str = "ids", chunk: int = CHUNK, decoded: str | None = None) -> DataFrame:
     """``docs`` with the numbers of each whole text's pieces (array of int).
 
     Null text has null, an empty text an empty array; an existing column of
@@ -499,20 +499,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
     otherwise the numbers are those of the library.  Of neighbouring pairs of
     equal rank the first is merged, as there.  Repeated rows are encoded alike,
     each in its row, and an empty table gives none.
+
+    With ``decoded``, a column of that name has what :func:`decode` makes of
+    the numbers.  It is made in the task that made these, so that each task
+    keeps one Python worker busy and not two.
     """
-    base = docs.drop(ids)
-    names = [*base.columns, ids]
-    schema = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    asked = [decoded] if decoded else []
+    base = docs.drop(ids, *asked)
+    names = [*base.columns, ids, *asked]
+    schema = T.StructType([*base.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *[T.StructField(c, T.StringType()) for c in asked]])
     giant = F.coalesce(F.char_length(text) > chunk, F.lit(False))
     where = base.columns.index(text)
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg = Segmenter(vocabulary)
+        seg, table = Segmenter(vocabulary), raw_table(vocabulary)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 got = encode_texts(part.column(where).to_pylist(), seg)
-                yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(got)], names=names)
+                back = [pa.array([decode_ids(np.frombuffer(x, np.int32), table) if x is not None else None for x in got], pa.string()) for _ in asked]
+                yield pa.RecordBatch.from_arrays([*part.columns, _ids_array(got), *back], names=names)
 
     key = fresh(base, "key")
     giants = base.where(giant).withColumn(key, F.sha2(F.col(text), 256))
@@ -527,7 +533,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, text: str = "text", ids:
     own = giants.join(dealt, key, "left").withColumn(deal, F.pmod(F.monotonically_increasing_id(), deals).cast("int")).drop(copies)
     numbers = found.join(dealt, key, "left").withColumn(deal, F.explode(F.sequence(F.lit(0), deals - 1))).drop(copies)
     long = own.join(numbers, [key, deal]).select(*base.columns, ids)
-    return base.where(~giant).mapInArrow(small, schema).unionByName(long)
+    return base.where(~giant).mapInArrow(small, schema).unionByName(decode(long, vocabulary, ids=ids, text=decoded) if decoded else long)
 
 
 def _encode_giants(texts: DataFrame, vocabulary: Vocabulary, chunk: int) -> DataFrame:

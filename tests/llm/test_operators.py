@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.llm import _base, ann, decontam, langid, line_dedup, ngram_join, periodic, phrases, pii, secrets, sentencepieces, sharding, suffix_dedup, warc
+from cohortspark.llm import _base, ann, decontam, langid, line_dedup, ngram_join, periodic, phrases, pii, queries, secrets, sentencepieces, sharding, suffix_dedup, warc
 
 from .cases import corpus, frame, words
 
@@ -147,6 +147,26 @@ def test_sentencepiece_is_the_library_and_a_round_trip(spark, vocabulary, monkey
         assert (r["ids"] is None) == (r["text"] is None)
 
 
+def test_a_task_that_encodes_and_decodes_keeps_one_python_worker(spark, vocabulary):
+    """The same numbers and texts as by two operators, without a second Python operator in the task."""
+    docs = frame(spark).withColumn("decoded", F.lit("old"))
+    made = sentencepieces.encode(docs, vocabulary, chunk=50, decoded="decoded")
+    apart = sentencepieces.decode(sentencepieces.encode(docs, vocabulary, chunk=50), vocabulary)
+    assert made.columns == apart.columns
+    assert Counter(map(str, made.collect())) == Counter(map(str, apart.collect()))
+
+    def workers(node, above=0):
+        """The most Python operators of a task."""
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return workers(node.executedPlan(), above)
+        own = 0 if "Exchange" in name else above + (name in ("MapInArrow", "MapInPandas", "FlatMapGroupsInPandas"))
+        below = node.children()
+        return max([own, *(workers(below.apply(k), own) for k in range(below.size()))])
+
+    assert workers(queries.token_summary(docs)._jdf.queryExecution().executedPlan()) == 1
+
+
 def test_segments_are_encoded_as_by_the_library(vocabulary):
     rng, seg, sp = random.Random(2), sentencepieces.Segmenter(vocabulary), library()
     pieces = sorted(vocabulary.pieces)
