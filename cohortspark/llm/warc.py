@@ -193,20 +193,21 @@ def _header(line: bytes, names: list[str], strict: bool) -> dict[str, str] | Non
     return own
 
 
-def http_payload(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """(headers, head, payload) of an HTTP response; a block that is none is all payload."""
-    if not block.startswith(b"HTTP/"):
-        return {}, b"", block
-    end = block.find(b"\r\n\r\n")
-    if end < 0:
-        return {}, b"", block
-    lines = block[:end].decode("utf-8", "replace").split("\r\n")[1:]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}, block[: end + 4], block[end + 4 :]
-
-
-def warc_id(record: ArcRecord, payload_digest: str) -> str:
+def http_payload(block: bytes) -> tuple[bytes, bytes]:
+    """(head, payload) of an HTTP response; a block that is none is all payload."""
+    if not block.startswith(b"HTTP/") or (end := block.find(b"\r\n\r\n")) < 0:
+        return b"", block
+    return block[: end + 4], block[end + 4 :]
+
+
+def http_headers(head: bytes) -> dict[str, str]:
+    """The headers of an HTTP head, with lower-case names."""
+    lines = head[:-4].decode("utf-8", "replace").split("\r\n")[1:]
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def warc_id(record: ArcRecord, head: bytes, payload_digest: str) -> str:
     """A stable identifier for a converted record: the same record of the same place gets the same one."""
-    _, head, _ = http_payload(record.block)
     seed = "\n".join([record.url, record.date, hashlib.sha1(head).hexdigest(), payload_digest, record.place])
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, seed)}>"
 
@@ -219,7 +220,7 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
 
 
-def to_warc(record: ArcRecord, *, digest: str | None = None, refers_to: str | None = None) -> bytes:
+def to_warc(record: ArcRecord, *, refers_to: str | None = None) -> bytes:
     """The WARC record equivalent to an ARC record, without its last line feed.
 
     HTTP responses become ``response`` records, dns: URLs and others
@@ -227,14 +228,14 @@ def to_warc(record: ArcRecord, *, digest: str | None = None, refers_to: str | No
     it is a ``revisit``: the HTTP head stays, the payload goes, and the
     digest is of the full payload.
     """
-    _, head, payload = http_payload(record.block)
-    digest = digest or sha1_base32(payload)
+    head, payload = http_payload(record.block)
+    digest = sha1_base32(payload)
     kind = "revisit" if refers_to else "response" if head else "resource"
     body = head if refers_to else record.block
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {warc_id(record, digest)}",
+        f"WARC-Record-ID: {warc_id(record, head, digest)}",
         f"WARC-Date: {warc_date(record.date)}",
         f"WARC-Target-URI: {record.url}",
         f"WARC-IP-Address: {record.ip}",
@@ -248,7 +249,7 @@ def to_warc(record: ArcRecord, *, digest: str | None = None, refers_to: str | No
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r"
 
 
-def parse_warc(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], bytes] | Damaged]:
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes] | Damaged]:
     """(headers with lower-case names, block) of each record, by declared lengths; damage as in :func:`parse_arc`."""
     stream, lost = Stream(data), False
     while (line := stream.line()) is not None:
@@ -275,33 +276,36 @@ def parse_warc(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str], by
         yield Damaged(stream.offset, stream.broken)
 
 
-def write_archives(rows: DataFrame, path: str, join: Callable[[list], bytes], size: Callable[[object], int], most: int = ARCHIVE_BYTES) -> None:
-    """Write archives of about ``most`` bytes (or one larger record) made by ``join``.
+def bundles(items: Iterator, join: Callable[[list], bytes], size: Callable[[object], int], most: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """Archives made by ``join`` of about ``most`` bytes of items (or one larger one); no more than one is held."""
+    held, own = 0, []
+    for item in items:
+        own.append(item)
+        held += size(item)
+        if held >= most:
+            yield join(own)
+            held, own = 0, []
+    if own:
+        yield join(own)
 
-    ``rows`` are given to ``join`` as tuples.  An archive is a file of its
-    own; gzip makes it smaller, and no task holds more than one.
+
+def write_archives(rows: DataFrame, path: str, make: Callable[[Iterator[tuple]], Iterator[bytes]]) -> None:
+    """Write the archives that ``make`` makes of a task's rows, which are given as tuples.
+
+    An archive is a file of its own; gzip makes it smaller.  At the default
+    level that would take most of the work's time, for a tenth less of bytes.
     """
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = 0, []
-        for batch in batches:
-            columns = batch.columns
-            for k in range(batch.num_rows):
-                row = tuple(c[k].as_py() for c in columns)
-                own.append(row)
-                held += size(row)
-                if held >= most:
-                    yield pa.RecordBatch.from_arrays([pa.array([join(own)], pa.binary())], names=["archive"])
-                    held, own = 0, []
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array([join(own)], pa.binary())], names=["archive"])
+        for archive in make(tuple(c[k].as_py() for c in batch.columns) for batch in batches for k in range(batch.num_rows)):
+            yield pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], names=["archive"])
 
     made = rows.mapInArrow(archives, "archive binary").select(F.col("archive").cast("string").alias("value"))
-    made.write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    made.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes, str], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that ``parse`` makes of each archive file's bytes and name under ``path``, packed or not.
+    """The rows that ``parse`` makes of each archive file's bytes and path under ``path``, packed or not.
 
     A file is one row, so it has to be smaller than 2 GB; what it holds is
     unpacked as it is read.
@@ -313,7 +317,7 @@ def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes, str],
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 out: list[tuple] = []
                 held = 0
-                for row in parse(content.as_py(), file.rpartition("/")[2]):
+                for row in parse(content.as_py(), file):
                     out.append(row)
                     held += sum(len(x) for x in row if isinstance(x, (bytes, str)))
                     if held > 2 << 20:
@@ -322,16 +326,23 @@ def read_archives(spark: SparkSession, path: str, parse: Callable[[bytes, str],
                 if out:
                     yield _batch(out, names, schema)
 
-    # names that Spark gives to no data (_SUCCESS, checksums) are not archives
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(records, schema)
+    return archive_files(spark, path).mapInArrow(records, schema)
+
+
+def archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the files under ``path``; names that Spark gives to no data (_SUCCESS, checksums) are not archives."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "[!._]*").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
+def _name(file: str) -> str:
+    return file.rpartition("/")[2]
 
 
 def damaged(spark: SparkSession, path: str, *, warc: bool = False) -> DataFrame:
     """(archive, position, reason) of what stands in ARC (or WARC) archives instead of records; conversion passes over it."""
     read = parse_warc if warc else parse_arc
     return read_archives(
-        spark, path, lambda data, name: ((name, x.offset, x.reason) for x in read(data, name) if isinstance(x, Damaged)),
+        spark, path, lambda data, file: ((_name(file), x.offset, x.reason) for x in read(data) if isinstance(x, Damaged)),
         "archive string, position bigint, reason string"
     )
 
@@ -358,20 +369,21 @@ def page_record(page_id: int | None, url: str | None, payload: bytes) -> ArcReco
 def pages_to_arc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", version: int = 1) -> None:
     """Write pages as ARC archives; null html is an empty payload."""
 
-    def join(rows: list[tuple]) -> bytes:
+    def make(rows: Iterator[tuple]) -> Iterator[bytes]:
         # the text writer adds the last line feed
-        return arc_archive([page_record(i, u, h or b"") for i, u, h in rows], "pages.arc", version)[:-1]
+        records = (page_record(i, u, h or b"") for i, u, h in rows)
+        return bundles(records, lambda own: arc_archive(own, "pages.arc", version)[:-1], lambda r: len(r.block) + 200)
 
     rows = pages.select(F.col(page_id).cast("bigint"), F.col(url).cast("string"), F.encode(F.col(html), "UTF-8"))
-    write_archives(rows, path, join, lambda r: len(r[2] or b"") + 400)
+    write_archives(rows, path, make)
 
 
-def _arc_rows(data: bytes, name: str) -> Iterator[tuple]:
-    for r in parse_arc(data, name):
+def _arc_rows(data: bytes, file: str) -> Iterator[tuple]:
+    for r in parse_arc(data, _name(file)):
         if isinstance(r, ArcRecord):
-            headers, _, payload = http_payload(r.block)
+            head, payload = http_payload(r.block)
             digest = sha1_base32(payload)
-            yield _number(headers.get("x-page-id")), digest, warc_id(r, digest), r.url, r.ip, r.date, r.mime, r.block, r.place
+            yield _number(http_headers(head).get("x-page-id")), len(payload), digest, warc_id(r, head, digest), r.place, file
 
 
 def _number(text: str | None) -> int | None:
@@ -381,7 +393,7 @@ def _number(text: str | None) -> int | None:
     return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
-_ARC_ROWS = "page_id bigint, digest string, record_id string, url string, ip string, date string, mime string, block binary, place string"
+_ARC_ROWS = "page_id bigint, payload_bytes bigint, digest string, record_id string, place string, archive string"
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, *, least_payload: int = 0) -> None:
@@ -392,35 +404,44 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, *, least_pay
     refer to it; ties have the larger record identifier, which is of the
     record's place, so that of equal records one is the response.  Records
     without a page id come last.  Damaged ones (see :func:`damaged`) are
-    passed over.  The archives are read twice, first for the digests alone,
-    so that payloads are shuffled once; the records of a payload that very
-    many have are dealt by their identifiers.
+    passed over.  The archives are read twice: first for an index, from which
+    each archive gets the list of its revisits, then to be converted one by
+    one.  Payloads are never shuffled by themselves; packed archives are, if
+    the lists are too many to be broadcast.
     """
-    records = read_archives(spark, arc_path, _arc_rows, _ARC_ROWS)
-    ids = materialize(read_archives(spark, arc_path, lambda data, name: (r[:3] for r in _arc_rows(data, name)), "page_id bigint, digest string, record_id string"), "arc-index")
-    best = ids.groupBy("digest").agg(
-        F.max(F.struct("page_id", "record_id")).alias("best"), F.count(F.lit(1)).alias("copies")
-    ).where("copies > 1").select("digest", F.col("best.record_id").alias("_first"), "copies")
+    ids = materialize(read_archives(spark, arc_path, _arc_rows, _ARC_ROWS), "arc-index")
+    fit = ids.where(F.col("payload_bytes") >= least_payload)
+    best = fit.groupBy("digest").agg(
+        F.max(F.struct("page_id", "record_id", "archive")).alias("best"), F.count(F.lit(1)).alias("copies")
+    ).where("copies > 1").select("digest", F.col("best.record_id").alias("_first"), F.col("best.archive").alias("_of"), "copies")
     crowd = crowds(best, "digest", "copies", ids.count())
-    paired = left_join(records, best.drop("copies"), "digest", crowd, F.concat(F.lit("#"), F.col("record_id")))
+    paired = left_join(fit, best.drop("copies"), "digest", crowd, F.concat(F.lit("#"), F.col("record_id")))
+    again = paired.where("_first is not null and (_first <> record_id or _of <> archive)")
+    lists = again.groupBy(F.col("archive").alias("path")).agg(F.map_from_entries(F.collect_list(F.struct("place", "_first"))).alias("revisits"))
+
+    def make(rows: Iterator[tuple]) -> Iterator[bytes]:
+        return bundles(_converted(rows), b"\n".join, len)
+
+    files = archive_files(spark, arc_path).join(materialize(lists, "revisits"), "path", "left")
+    write_archives(files.select("path", "content", "revisits"), warc_path, make)
 
-    def join(rows: list[tuple]) -> bytes:
-        out = []
-        for digest, own, first, url, ip, date, mime, block, place in rows:
-            again = first is not None and first != own and len(http_payload(block)[2]) >= least_payload
-            out.append(to_warc(ArcRecord(url, ip, date, mime, block, place), digest=digest, refers_to=first if again else None))
-        return b"\n".join(out)
 
-    rows = paired.select("digest", "record_id", "_first", "url", "ip", "date", "mime", "block", "place")
-    write_archives(rows, warc_path, join, lambda r: len(r[7]) + 600)
+def _converted(archives: Iterator[tuple]) -> Iterator[bytes]:
+    """The WARC records of ARC archives: (file, bytes, (place, what it refers to) of the revisits)."""
+    for file, content, revisits in archives:
+        refers = dict(revisits or ())
+        for r in parse_arc(content, _name(file)):
+            if isinstance(r, ArcRecord):
+                yield to_warc(r, refers_to=refers.get(r.place))
 
 
-def _warc_rows(data: bytes, name: str) -> Iterator[tuple]:
-    for record in parse_warc(data, name):
+def _warc_rows(data: bytes, file: str) -> Iterator[tuple]:
+    for record in parse_warc(data):
         if isinstance(record, Damaged):
             continue
         headers, block = record
-        http, _, payload = http_payload(block)
+        head, payload = http_payload(block)
+        http = http_headers(head)
         size = len(payload) if headers.get("warc-type") != "revisit" else _number(http.get("content-length")) or 0
         digest = headers.get("warc-payload-digest")
         yield _number(http.get("x-page-id")), headers.get("warc-record-id"), headers.get("warc-type"), size, digest.rpartition(":")[2] if digest else None, headers.get("warc-refers-to")

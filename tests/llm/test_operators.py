@@ -779,3 +779,40 @@ def test_phrases_chunks_send_their_counts_in_buckets():
     assert sum(b.num_rows for b in counted) == 2  # not a row for each phrase
     told = {r["phrase"]: r["n"] for b in phrases._summed(iter(counted)) for r in b.to_pylist()}
     assert told[None] == 12000 and told["x"] == 4000 and told["w3"] == 2 * sum((k % 40 == 3) + (k % 7 == 3) for k in range(2000))
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_revisits_of_archives_of_equal_names(spark, tmp_path, broadcast):
+    """The lists of revisits are by an archive's whole path, whether they are broadcast or meet the archives in a shuffle."""
+    records = [warc.page_record(i, "http://h/", html) for i, html in ((3, b"same"), (1, b"own"), (2, b"same"), (3, b"same"))]
+    for folder in ("a", "b"):
+        (tmp_path / "arc" / folder).mkdir(parents=True)
+        (tmp_path / "arc" / folder / "x.arc").write_bytes(warc.arc_archive(records, "x.arc"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        for least, want in ((0, {(3, "response", None): 1, (3, "revisit", 3): 3, (2, "revisit", 3): 2, (1, "response", None): 1, (1, "revisit", 1): 1}), (4, {(3, "response", None): 1, (3, "revisit", 3): 3, (2, "revisit", 3): 2, (1, "response", None): 2})):
+            out = str(tmp_path / f"warc{least}")
+            warc.arc_to_warc(spark, str(tmp_path / "arc"), out, least_payload=least)
+            assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read_warc_pages(spark, out).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_archives_are_packed_fast_and_payloads_stay(spark, tmp_path, monkeypatch):
+    """Packing took most of the conversion's time; few revisits are sent to the archives, not payloads to the revisits."""
+    import gzip
+
+    plans, write = [], warc.write_archives
+    monkeypatch.setattr(warc, "write_archives", lambda rows, *a: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), write(rows, *a)))
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    rows = [(i, "u", " ".join(rng.choices(words, k=300))) for i in range(300)]
+    warc.pages_to_arc(spark.createDataFrame([*rows, (300, "u", rows[0][2])], "page_id bigint, url string, html string").coalesce(1), str(tmp_path / "arc"))
+    warc.arc_to_warc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    assert len(plans) == 2 and "hashpartitioning" not in plans[1]
+    for folder in ("arc", "warc"):
+        (packed,) = (p.read_bytes() for p in (tmp_path / folder).glob("part-*"))
+        fast, small = (len(zlib.compress(gzip.decompress(packed), level)) for level in (1, 6))
+        assert abs(len(packed) - fast) < abs(len(packed) - small)
+    assert Counter(r["record_type"] for r in warc.read_warc_pages(spark, str(tmp_path / "warc")).collect()) == {"response": 300, "revisit": 1}
